@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.maths import UNIT_MS, epoch_ms
 from caseloom.operators.filters import sort_cases
+from caseloom.plans.lineage import stored
 from caseloom.plans.slices import attach_cases, neighbours, running, slice_of, with_case_values
 
 START = "_Start"
@@ -127,7 +128,8 @@ def temporal_profile(log: DataFrame) -> DataFrame:
     minus the prefix at its begin; the requests for a prefix are summed per
     (case, position, activity, set) before they meet the prefixes.
     """
-    prefix = _prefix_moments(log)
+    log = stored(log.select("case_id", "pos", "activity", "ts"))
+    prefix = stored(_prefix_moments(log))
     by_recency = Window.partitionBy("case_id", "pos").orderBy(F.desc("last"))
     listed = F.collect_list("other").over(by_recency.rowsBetween(Window.unboundedPreceding, -1))
     segments = (prefix.withColumn("_rank", F.row_number().over(by_recency))

@@ -1,30 +1,38 @@
-"""Cutting lineage for iterative jobs."""
+"""Cutting lineage: checkpoints for iterative jobs, written tables for reuse."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; pick a folder only in local mode."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the session names; a folder of its own only in local mode."""
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return
-    if context.getCheckpointDir() is not None:
-        return
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+            named = tempfile.mkdtemp(prefix="caseloom-checkpoint-")
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Write the rows of an iteration to the checkpoint folder and go on from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table that several branches read to the shared folder, once, and
+    read it back as parquet: columns are still pruned and its size is known."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/caseloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

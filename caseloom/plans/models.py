@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.plans.bounds import BROADCAST_ROWS
-from caseloom.plans.lineage import cut
+from caseloom.plans.lineage import stored  # noqa: F401
 
 SALTS = 32
 
 
-def stored(model: DataFrame) -> DataFrame:
-    """Compute a model table once and keep it in the checkpoint folder, so it
-    is not learned again by every branch that uses it."""
-    return cut(model)
-
-
 def join_model(rows: DataFrame, model: DataFrame, on: list[str], how: str = "inner",
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join many rows with a stored model table.
 
-    The model is counted first: a small one is broadcast; a larger one is
+    ``model`` should be a stored table.  It is counted first: a small one is broadcast; a larger one is
     repeated under ``SALTS`` salts, so a key that holds a third of the rows is
     spread over that many tasks.
     """
@@ -31,3 +25,19 @@ def join_model(rows: DataFrame, model: DataFrame, on: list[str], how: str = "inn
     copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                             F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def split_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join rows with a table that has one line per key and its number of
+    rows in ``weight``.
+
+    Lines above ``hotRows`` (at most rows / hotRows of them) are broadcast;
+    all others meet their rows in a shuffle without hot keys.
+    """
+    from caseloom.plans.slices import HOT_CONF, _conf
+
+    heavy = table.where(F.col(weight) > _conf(HOT_CONF))
+    light = table.where(F.col(weight) <= _conf(HOT_CONF))
+    heavy_keys = F.broadcast(heavy.select(*on))
+    return (rows.join(F.broadcast(heavy), on)
+            .unionByName(rows.join(heavy_keys, on, "left_anti").join(light, on)))

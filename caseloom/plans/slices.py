@@ -89,14 +89,11 @@ def running(
     else:
         span = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
     frame = span.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    own = df
-    for name, (op, col) in cols.items():
-        own = own.withColumn(name, _aggregate(op, col, order, True).over(frame))
+    windowed = {name: _aggregate(op, col, order, True).over(frame) for name, (op, col) in cols.items()}
     if not buckets:
-        for name, (op, _) in cols.items():
-            if op in ("sum", "xor"):
-                own = own.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-        return own
+        return df.withColumns({n: F.coalesce(c, F.lit(0)) if cols[n][0] in ("sum", "xor") else c
+                               for n, c in windowed.items()})
+    own = df.withColumns(windowed)
 
     totals = df.groupBy(*keys, *buckets).agg(
         *[_aggregate(op, col, order, False).alias(f"_t_{n}") for n, (op, col) in cols.items()],
@@ -106,16 +103,18 @@ def running(
         # the value carried into a bucket is the inclusive value of the one before
         carried = running(totals, keys, buckets[:-1], [buckets[-1]],
                           {f"_b_{n}": (op, F.col(f"_t_{n}")) for n, (op, _) in cols.items()})
-        carried = carried.withColumn(buckets[-1], F.col(buckets[-1]) + 1)
+        step = 1
     else:
         carried = running(totals, keys, buckets[:-1], [buckets[-1]],
                           {f"_b_{n}": (op, F.col(f"_t_{n}")) for n, (op, _) in cols.items()},
                           exclusive=True)
-    carried = carried.select(*keys, *buckets, *[f"_b_{n}" for n in cols])
+        step = 0
+    last = F.col(buckets[-1])
+    carried = carried.select(*keys, *buckets[:-1], (last + step if step else last).alias(buckets[-1]),
+                             *[f"_b_{n}" for n in cols])
     out = own.join(carried, keys + buckets, "left")
-    for name, (op, _) in cols.items():
-        out = out.withColumn(name, _COMBINE[op](F.col(f"_b_{name}"), F.col(name)))
-    return out.drop(*[f"_b_{n}" for n in cols])
+    kept = [c for c in df.columns if c not in cols]
+    return out.select(*kept, *[_COMBINE[op](F.col(f"_b_{n}"), F.col(n)).alias(n) for n, (op, _) in cols.items()])
 
 
 def running_dense(df: DataFrame, keys: list[str], order: str,
@@ -142,10 +141,9 @@ def neighbours(df: DataFrame, keys: list[str], order: str,
         targets.append(F.when(slot < ahead, home - 1))
     spread = df.withColumn("_slice", F.explode(F.array_compact(F.array(*targets))))
     span = Window.partitionBy(*keys, "_slice").orderBy(order)
-    out = spread
-    for name, (col, offset) in cols.items():
-        source = F.col(col) if isinstance(col, str) else col
-        out = out.withColumn(name, F.lag(source, offset).over(span))
+    out = spread.withColumns({
+        name: F.lag(F.col(col) if isinstance(col, str) else col, offset).over(span)
+        for name, (col, offset) in cols.items()})
     return out.where(F.col("_slice") == home).drop("_slice")
 
 
@@ -161,9 +159,8 @@ def positions(df: DataFrame, keys: list[str], order: list[str], out: str,
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > _conf(HOT_CONF)).select(*keys, F.lit(True).alias("_hot")))
     names = [f"_s_{n}" for n, _ in slices]
-    tagged = df.join(F.broadcast(hot), keys, "left")
-    for name, (_, expr) in zip(names, slices):
-        tagged = tagged.withColumn(name, F.when(F.col("_hot"), expr).otherwise(F.lit(0)))
+    tagged = df.join(F.broadcast(hot), keys, "left").withColumns({
+        name: F.when(F.col("_hot"), expr).otherwise(F.lit(0)) for name, (_, expr) in zip(names, slices)})
     numbered = tagged.withColumn(
         out, F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)).cast("bigint"))
     totals = (tagged.where(F.col("_hot")).groupBy(*keys, *names)
@@ -171,9 +168,9 @@ def positions(df: DataFrame, keys: list[str], order: list[str], out: str,
     before = running(totals, keys, names[:-1], [names[-1]],
                      {"_before": ("sum", F.col("_rows"))}, exclusive=True)
     before = before.select(*keys, *names, "_before")
-    return (numbered.join(before, keys + names, "left")
-            .withColumn(out, F.col(out) + F.coalesce(F.col("_before"), F.lit(0)).cast("bigint"))
-            .drop("_before", "_hot", *names))
+    place = F.col(out) + F.coalesce(F.col("_before"), F.lit(0)).cast("bigint")
+    return numbered.join(before, keys + names, "left").select(
+        *[c for c in df.columns if c != out], place.alias(out))
 
 
 def with_case_values(log: DataFrame, **aggregates: Column) -> DataFrame:
