@@ -271,10 +271,10 @@ def _(spark, folder):
 
 @query("duration_matrix", "S5", LOG + """SELECT case_id, """ + ", ".join(
     f"coalesce(arg_max(duration, pos) FILTER (activity = '{k}'), -1) AS {k}"
-    for k in ["click", "error", "login", "purchase", "view"]) + " FROM steps GROUP BY case_id")
+    for k in ["click", "error", "signup", "purchase", "view"]) + " FROM steps GROUP BY case_id")
 def _(spark, folder):
     from caseloom.sources.sinks import duration_matrix
-    kinds = ["click", "error", "login", "purchase", "view"]
+    kinds = ["click", "error", "signup", "purchase", "view"]
     m = duration_matrix(events_log(spark, folder), kinds)
     return m.select("case_id", *[F.coalesce(F.col(k), F.lit(-1)).alias(k) for k in kinds])
 

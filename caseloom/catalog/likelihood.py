@@ -72,7 +72,7 @@ def _(spark, folder):
 # small groups, zero groups and steady groups next to each other
 _GROUPS = """SELECT event_type || '#' || user_id || '#' || CAST(CAST(ts AS DATE) AS VARCHAR) AS activity,
   CASE WHEN event_type = 'click' THEN 0.0 WHEN event_type = 'view' AND user_id % 3 > 0 THEN 5.0 ELSE value END AS x FROM events
-  UNION ALL SELECT event_type || '#' || (user_id % 6), CASE WHEN event_type = 'login' AND user_id % 6 < 4 THEN
+  UNION ALL SELECT event_type || '#' || (user_id % 6), CASE WHEN event_type = 'signup' AND user_id % 6 < 4 THEN
     CASE WHEN user_id % 30 < 7 THEN value ELSE 7.5 END
     WHEN event_type = 'click' THEN CASE WHEN user_id % 24 = 0 THEN value ELSE 0.0 END ELSE value END FROM events"""
 
@@ -90,7 +90,7 @@ def _(spark, folder):
     small = ev.select(F.concat_ws("#", kind, user.cast("string"), day).alias("activity"), F.when(kind == "click", 0.0).when(
         (kind == "view") & (user % 3 > 0), 5.0).otherwise(v).alias("duration"))
     large = ev.select(F.concat_ws("#", kind, (user % 6).cast("string")).alias("activity"), F.when(
-        (kind == "login") & (user % 6 < 4), F.when(user % 30 < 7, v).otherwise(7.5)).when(
+        (kind == "signup") & (user % 6 < 4), F.when(user % 30 < 7, v).otherwise(7.5)).when(
         kind == "click", F.when(user % 24 == 0, v).otherwise(0.0)).otherwise(v).alias("duration"))
     return _params(ds.fit_durations(small.unionByName(large), "NORMAL"))
 
@@ -121,11 +121,11 @@ def _(spark, folder):
 
 
 @query("density_families", "L1", LOG + FIT + f"""SELECT case_id, pos, activity, round(CASE activity WHEN 'click' THEN exp({EXP_LD})
-  WHEN 'view' THEN exp(-0.5 * ((ln(value) - lm) / ls) ** 2) / (ls * sqrt(2 * pi()) * value) WHEN 'login' THEN 1 / (hi - lo) ELSE exp({NORMAL_LD}) END, 7) AS density
+  WHEN 'view' THEN exp(-0.5 * ((ln(value) - lm) / ls) ** 2) / (ls * sqrt(2 * pi()) * value) WHEN 'signup' THEN 1 / (hi - lo) ELSE exp({NORMAL_LD}) END, 7) AS density
   FROM log JOIN fit USING (activity)""")
 def _(spark, folder):
     data = samples(spark, folder)
-    families = {"click": "EXPONENTIAL", "view": "LOGNORMAL", "login": "UNIFORM", "error": "NORMAL", "purchase": "NORMAL"}
+    families = {"click": "EXPONENTIAL", "view": "LOGNORMAL", "signup": "UNIFORM", "error": "NORMAL", "purchase": "NORMAL"}
     parts = [ds.fit_durations(data, f).where(F.col("activity").isin([k for k, v in families.items() if v == f]))
              for f in sorted(set(families.values()))]
     dists = parts[0]

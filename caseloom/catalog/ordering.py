@@ -11,7 +11,7 @@ from caseloom.operators import windows as w
 from caseloom.plans.ranks import value_ranks
 from caseloom.sources.logs import events_log, shipments_log
 
-KINDS = ["click", "error", "login", "purchase", "view"]
+KINDS = ["click", "error", "signup", "purchase", "view"]
 
 
 @query("correlation_durations", "W1", LOG + """, firsts AS (SELECT * FROM (SELECT s.*,

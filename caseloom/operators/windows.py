@@ -138,24 +138,31 @@ def largest_keys(df: DataFrame, keys: list[str], order: str, n: int) -> DataFram
     return top.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= n).drop("_rn", "_salt")
 
 
-def sample_rank(ranks: DataFrame, probes: DataFrame, keys: list[str], value: str, probe: str) -> DataFrame:
-    """Add ``rank``: index of the last sorted sample <= probe, clamped to
-    [0, n - 1].  ``ranks`` comes from ``value_ranks``; every probe is swept
-    together with the ranked values in one running maximum."""
+def lookup_ranks(ranks: DataFrame, probes: DataFrame, keys: list[str], value: str, probe: str,
+                 carry: list[str], strict: bool) -> DataFrame:
+    """For every distinct probe, the ``carry`` columns of the largest ranked
+    value <= probe (``strict``: < probe), null if there is none.  Ranked values
+    and probes are swept together, cut by value cells."""
     from caseloom.plans.ranks import value_cell
 
-    totals = ranks.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    marks = ranks.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_is_probe"),
-                         F.col("upto").alias("_upto"), F.lit(None).cast("double").alias(probe))
+    empty = F.lit(None)
+    marks = ranks.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), *carry)
     asks = probes.select(*keys, F.col(probe).cast("double").alias("_v")).distinct().select(
-        *keys, "_v", F.lit(1).alias("_is_probe"), F.lit(None).cast("bigint").alias("_upto"),
-        F.col("_v").alias(probe))
+        *keys, "_v", F.lit(0 if strict else 2).alias("_kind"),
+        *[empty.cast(marks.schema[c].dataType).alias(c) for c in carry])
     swept = running(marks.unionByName(asks).withColumn("_cell", value_cell(F.col("_v"))), keys,
-                    ["_cell"], ["_v", "_is_probe"], {"_below": ("max", F.col("_upto"))})
-    answers = swept.where(F.col("_is_probe") == 1).select(*keys, probe, "_below")
-    answers = answers.join(totals, keys) if keys else answers.join(F.broadcast(totals))
-    return answers.select(*keys, probe, F.greatest(F.coalesce("_below", F.lit(0)) - 1, F.lit(0)).alias("rank"),
-                          F.col("_total").alias("total"))
+                    ["_cell"], ["_v", "_kind"], {f"_at_{c}": ("last", F.col(c)) for c in carry})
+    return swept.where(F.col("_kind") != 1).select(
+        *keys, F.col("_v").alias(probe), *[F.col(f"_at_{c}").alias(c) for c in carry])
+
+
+def sample_rank(ranks: DataFrame, probes: DataFrame, keys: list[str], value: str, probe: str) -> DataFrame:
+    """Rank of a probe among sorted samples: index of the last sample <= probe,
+    clamped to [0, n - 1]: ``keys, probe, rank, total``."""
+    totals = ranks.groupBy(*keys).agg(F.sum("n").alias("total"))
+    found = lookup_ranks(ranks, probes, keys, value, probe, ["upto"], strict=False)
+    found = found.join(totals, keys) if keys else found.join(F.broadcast(totals))
+    return found.select(*keys, probe, F.greatest(F.coalesce("upto", F.lit(0)) - 1, F.lit(0)).alias("rank"), "total")
 
 
 RESOLUTION = 200  # fixed value

@@ -17,12 +17,6 @@ def element_hashes(*parts: Column | str) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit("second"), *reversed(cols))
 
 
-def unordered(*parts: Column | str) -> tuple[Column, Column]:
-    """Aggregates fingerprinting a set of distinct elements."""
-    a, b = element_hashes(*parts)
-    return F.bit_xor(a), F.bit_xor(b)
-
-
 def uniform(seed: int, salt: str, *keys: Column | str) -> Column:
     """A number in [0, 1) that depends only on the keys, so retries agree."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]

@@ -27,8 +27,8 @@ def join_model(rows: DataFrame, model: DataFrame, on: list[str], how: str = "inn
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def split_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Inner join rows with a table that has one line per key and its number of
+def split_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) rows with a table that has one line per key and its number of
     rows in ``weight``.
 
     Lines above ``hotRows`` (at most rows / hotRows of them) are broadcast;
@@ -40,4 +40,4 @@ def split_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) ->
     light = table.where(F.col(weight) <= _conf(HOT_CONF))
     heavy_keys = F.broadcast(heavy.select(*on))
     return (rows.join(F.broadcast(heavy), on)
-            .unionByName(rows.join(heavy_keys, on, "left_anti").join(light, on)))
+            .unionByName(rows.join(heavy_keys, on, "left_anti").join(light, on, how)))
