@@ -104,12 +104,16 @@ def reorder_by_time(log: DataFrame) -> DataFrame:
 def sort_cases(log: DataFrame) -> DataFrame:
     """One row per case with its start, number of events and 1-based place in
     start-time order (ties by case id): ``case_id, start, n_events, case_index``."""
-    cases = log.groupBy("case_id").agg(F.min_by("ts", "pos").alias("start"),
-                                       F.max("pos").alias("n_events"))
-    cases = (cases.withColumn("_day", F.expr("unix_micros(start) div 86400000000"))
-             .withColumn("_minute", F.expr("unix_micros(start) div 60000000")))
-    return (running(cases, [], ["_day", "_minute"], ["start", "case_id"],
-                    {"case_index": ("sum", F.lit(1))}).drop("_day", "_minute"))
+    return number_cases(log.groupBy("case_id").agg(F.min_by("ts", "pos").alias("start"),
+                                                   F.max("pos").alias("n_events")))
+
+
+def number_cases(cases: DataFrame) -> DataFrame:
+    """Add ``case_index`` to a table with one row per case and its ``start``.
+    The single-task step sees one row per minute of the calendar."""
+    cases = cases.withColumn("_minute", F.expr("unix_micros(start) div 60000000"))
+    return running(cases, [], ["_minute"], ["start", "case_id"],
+                   {"case_index": ("sum", F.lit(1))}).drop("_minute")
 
 
 def filter_classes(log: DataFrame, classes: list[str]) -> DataFrame:
@@ -163,10 +167,12 @@ def classes_by_count(log: DataFrame) -> DataFrame:
 
 
 def case_sequences(log: DataFrame) -> DataFrame:
-    """One row per case with the fingerprint of its activity sequence."""
+    """One row per case with the fingerprint of its activity sequence (and its
+    ``start``, where the log has timestamps)."""
     a, b = element_hashes("pos", "activity")
+    start = [F.min_by("ts", "pos").alias("start")] if "ts" in log.columns else []
     return log.groupBy("case_id").agg(F.max("pos").alias("n_events"), F.bit_xor(a).alias("seq_a"),
-                                      F.bit_xor(b).alias("seq_b"))
+                                      F.bit_xor(b).alias("seq_b"), *start)
 
 
 SEQUENCE = ["n_events", "seq_a", "seq_b"]
@@ -189,15 +195,14 @@ def variant_texts(log: DataFrame) -> DataFrame:
 def most_frequent_variant(log: DataFrame, all_cases: bool = False) -> DataFrame:
     """The most frequent sequence: the trace that brings it to its full count,
     or all its cases.  Between equally frequent ones the first to get there wins."""
-    cases = case_sequences(log).join(sort_cases(log).select("case_id", "case_index"), "case_id")
+    cases = case_sequences(log)
     top = (cases.groupBy(*SEQUENCE).agg(F.count(F.lit(1)).alias("_n"),
-                                        F.max("case_index").alias("_reached"),
-                                        F.max_by("case_id", "case_index").alias("_at"))
+                                        F.max(F.struct("start", "case_id")).alias("_reached"))
            .orderBy(F.desc("_n"), "_reached").limit(1))
     if all_cases:
         keep = cases.join(F.broadcast(top.select(*SEQUENCE)), SEQUENCE).select("case_id", "n_events")
     else:
-        keep = top.select(F.col("_at").alias("case_id"), "n_events")
+        keep = top.select(F.col("_reached.case_id").alias("case_id"), "n_events")
     return attach_cases(log, keep, "n_events").select(*log.columns)
 
 

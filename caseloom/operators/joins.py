@@ -54,7 +54,7 @@ def last_observation(training: DataFrame, probes: DataFrame, keys: list[str], va
     (``inclusive``: up to) the probe time ``ts``.  ``order`` breaks ties among
     training rows.
 
-    Training rows and probes are swept together, cut by day and minute, so a
+    Training rows and probes are swept together, cut by minute, so a
     key with a third of all rows is spread over its time range.
     """
     tie = F.struct(*[F.col(c) for c in order])
@@ -65,9 +65,8 @@ def last_observation(training: DataFrame, probes: DataFrame, keys: list[str], va
     both = left.withColumn("_probe", empty.cast(right.schema["_probe"].dataType)).unionByName(
         right.withColumns({"_tie": empty.cast(left.schema["_tie"].dataType),
                            "_value": empty.cast(left.schema["_value"].dataType)}))
-    cut = both.withColumns({"_day": F.expr("unix_micros(ts) div 86400000000"),
-                            "_minute": F.expr("unix_micros(ts) div 60000000")})
-    swept = running(cut, keys, ["_day", "_minute"], ["ts", "_kind", "_tie"], {"observed": ("last", F.col("_value"))})
+    cut = both.withColumn("_minute", F.expr("unix_micros(ts) div 60000000"))
+    swept = running(cut, keys, ["_minute"], ["ts", "_kind", "_tie"], {"observed": ("last", F.col("_value"))})
     return swept.where(F.col("_kind") != 1).select(*keys, "ts", *[F.col(f"_probe.`{c}`").alias(c) for c in extra],
                                                    "observed")
 

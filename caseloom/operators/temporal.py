@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import UNIT_MS, epoch_ms
-from caseloom.operators.filters import sort_cases
 from caseloom.plans.lineage import stored
-from caseloom.plans.slices import attach_cases, neighbours, running, slice_of, with_case_values
+from caseloom.plans.slices import neighbours, running, slice_of, with_case_values
 
 START = "_Start"
 TIME = "decimal(15,0)"
@@ -108,10 +107,10 @@ def pairwise_gaps(log: DataFrame, unit: str = "minutes") -> DataFrame:
 
 def class_ids(log: DataFrame) -> DataFrame:
     """``activity, id``: 0-based ids by first appearance in case order."""
-    events = attach_cases(log, sort_cases(log).select("case_id", "n_events", "case_index"), "n_events")
-    first = events.groupBy("activity").agg(F.min(F.struct("case_index", "pos")).alias("_at"))
-    first = first.withColumn("_block", F.expr("_at.case_index div 1000000"))
-    ranked = running(first, [], ["_block"], ["_at"], {"id": ("sum", F.lit(1))})
+    events = with_case_values(log, _start=F.min_by("ts", "pos"))
+    first = events.groupBy("activity").agg(F.min(F.struct("_start", "case_id", "pos")).alias("_at"))
+    first = first.withColumn("_minute", F.expr("unix_micros(_at._start) div 60000000"))
+    ranked = running(first, [], ["_minute"], ["_at"], {"id": ("sum", F.lit(1))})
     return ranked.select("activity", (F.col("id") - 1).cast("bigint").alias("id"))
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms, round_half_up
-from caseloom.operators.filters import SEQUENCE, case_sequences, sort_cases
-from caseloom.plans.slices import (attach_cases, neighbours, running, running_dense, slice_of,
-                                   with_case_values)
+from caseloom.operators.filters import SEQUENCE, case_sequences, number_cases
+from caseloom.plans.slices import neighbours, running, running_dense, slice_of, with_case_values
 
 
 def step_durations(log: DataFrame) -> DataFrame:
@@ -43,14 +42,11 @@ def active_case_load(log: DataFrame) -> DataFrame:
     order; a case closes after its last event.  Cases must be sorted by time;
     events without a timestamp are left out."""
     timed = log.where(F.col("ts").isNotNull())
-    cases = sort_cases(timed).select("case_id", "n_events", "case_index")
-    events = attach_cases(timed, cases, "n_events")
+    events = with_case_values(timed, _start=F.min_by("ts", "pos"), _n=F.max("pos"))
     first = (F.col("pos") == 1).cast("int")
-    last = (F.col("pos") == F.col("n_events")).cast("int")
-    swept = running(
-        events.withColumn("_day", F.expr("unix_micros(ts) div 86400000000"))
-        .withColumn("_second", F.expr("unix_micros(ts) div 1000000")),
-        [], ["_day", "_second"], ["ts", "case_index", "pos"], {"load": ("sum", first - last)})
+    last = (F.col("pos") == F.col("_n")).cast("int")
+    swept = running(events.withColumn("_minute", F.expr("unix_micros(ts) div 60000000")), [], ["_minute"],
+                    ["ts", "_start", "case_id", "pos"], {"load": ("sum", first - last)})
     return swept.withColumn("load", F.col("load") + last).select(*log.columns, "load")
 
 
@@ -61,7 +57,7 @@ def running_entropy(log: DataFrame) -> DataFrame:
     With c counts of N cases, H = log2 N - sum(c log2 c) / N; each case changes
     the sum by the step of c log2 c for its own sequence.
     """
-    cases = case_sequences(log).join(sort_cases(log).select("case_id", "case_index"), "case_id")
+    cases = number_cases(case_sequences(log))
     cases = cases.withColumn("_slice", slice_of("case_index"))
     counted = running(cases, SEQUENCE, ["_slice"], ["case_index"], {"_c": ("sum", F.lit(1))}).drop("_slice")
     c = F.col("_c").cast("double")
