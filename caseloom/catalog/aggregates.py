@@ -95,7 +95,8 @@ def _(spark, folder):
   SELECT activity, round(mean / (SELECT max(mean) FROM s), 6) AS relative_position,
     activity = (SELECT arg_max(activity, (mean, activity)) FROM s) AS latest FROM s""")
 def _(spark, folder):
-    p = tp.relative_positions(tp.directly_follows(events_log(spark, folder)))
+    from caseloom.plans.models import stored
+    p = tp.relative_positions(stored(tp.directly_follows(events_log(spark, folder))))
     return p.select("activity", r("relative_position", 6).alias("relative_position"), "latest")
 
 

@@ -346,7 +346,7 @@ def _(spark, folder):
 def _(spark, folder):
     bands, slots = ds.kernel_model(samples(spark, folder), ["activity"], "duration")
     cut = bands.select("activity", F.ln(F.lit(0.002)).alias("cutoff"))
-    return an.kernel_intervals(stored(bands), stored(slots), cut)
+    return an.kernel_intervals(bands, stored(slots), cut)
 
 
 @query("anomaly_intervals_json", "K1")
@@ -437,12 +437,19 @@ _KERNEL = LOG + """, s AS (SELECT activity, count(*) AS n, min(value) AS lo, max
   round(sum(w * {phi_sql('((x - c) / h)')}) / any_value(n), 5) AS cdf FROM grid JOIN slots USING (activity) GROUP BY 1, 2""")
 def _(spark, folder):
     bands, slots = ds.kernel_model(samples(spark, folder), ["activity"], "duration")
-    bands = stored(bands)
-    grid = ds.kernel_grid(bands, ["activity"], 100)
-    out = ds.kde(bands, stored(slots), grid.drop("i"), ["activity"], "x").join(grid, ["activity", "x"])
+    out = ds.kde(bands, stored(slots), ds.kernel_grid(bands, ["activity"], 100), ["activity"], "x")
     return out.select("activity", "i", r("density", 6).alias("density"), r("cdf", 5).alias("cdf"))
 
 
+@query("density_kernel", "L1,A17", _KERNEL + """SELECT case_id, pos, round(sum(w * exp(-0.5 * ((value - c) / h) ** 2)) / any_value(n * h) / sqrt(2 * pi()), 7) AS density
+  FROM log JOIN h USING (activity) JOIN slots USING (activity) GROUP BY 1, 2""")
+def _(spark, folder):
+    bands, slots = ds.kernel_model(samples(spark, folder), ["activity"], "duration")
+    dists = stored(ds.fit_durations(samples(spark, folder), "GAUSSIAN_KERNEL"))
+    steps = ds.with_density(valued_steps(spark, folder), dists, kernels=(bands, stored(slots)))
+    return steps.select("case_id", "pos", r("density", 7).alias("density"))
+
+
 @query("kernel_bandwidth", "A17", _KERNEL + "SELECT activity, n, round(h, 6) AS h FROM h")
 def _(spark, folder):
     return ds.kernel_model(samples(spark, folder), ["activity"], "duration")[0].select("activity", "n", r("h", 6).alias("h"))

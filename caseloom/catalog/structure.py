@@ -111,7 +111,7 @@ def _(spark, folder):
 @query("case_warping_distances", "J8")
 def _(spark, folder):
     series = stored(w.case_time_series(events_log(spark, folder)))
-    # probes: the first case of every distinct number of points in use
+    # probes: the first case of every distinct number of points in use, at most 201 cases
     sizes = series.where(F.size("active") > 0).groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
     firsts = sizes.groupBy("k").agg(F.min("case_id").alias("case_id")).select("case_id")
     return j.case_distances(series, series.join(F.broadcast(firsts), "case_id", "left_semi"))

@@ -136,14 +136,11 @@ def roc(df: DataFrame, score: str, label: Column, keys: list[str] | None = None)
     keys = keys or []
     marked = df.select(*keys, score, label.cast("bigint").alias("_hit"))
     ranked = value_ranks(marked, keys, score, {"hits": F.col("_hit")})
-    totals = marked.where(F.col(score).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_hit").alias("_p"))
-    ranked = ranked.join(totals, keys) if keys else ranked.join(F.broadcast(totals))
     hits = F.col("upto_hits").cast("double")
+    misses = (F.col("total") - F.col("total_hits")).cast("double")
     return ranked.select(
-        *keys, score, "n", F.col("hits"),
-        F.try_divide(hits, F.col("_p").cast("double")).alias("tpr"),
-        F.try_divide(F.col("upto") - hits, (F.col("_n") - F.col("_p")).cast("double")).alias("fpr"))
+        *keys, score, "n", F.col("hits"), F.try_divide(hits, F.col("total_hits").cast("double")).alias("tpr"),
+        F.try_divide(F.col("upto") - hits, misses).alias("fpr"))
 
 
 def forecast_eval(predictions: DataFrame, keys: list[str], predicted: str, actual: str,

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms, normal_cdf, normal_pdf, normal_quantile
-from caseloom.operators.distributions import (EPSILON, INFINITY, bin_of, cdf, convolve, density, discretize,
+from caseloom.operators.distributions import (EPSILON, INFINITY, cdf, convolve, density, discretize,
                                               kde, kernel_grid)
 from caseloom.plans.fingerprint import gaussian, uniform
+from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model, split_join
 from caseloom.plans.ranks import order_statistics, value_ranks
 from caseloom.plans.slices import neighbours, running, with_case_values
@@ -109,9 +110,7 @@ def p_values(scored: DataFrame) -> DataFrame:
         F.col("dist_type"), F.col("params"), F.col("duration").cast("double")))
     other = scored.where(~closed)
     ranks = value_ranks(other, ["activity"], "log_density")
-    totals = ranks.groupBy("activity").agg(F.sum("n").alias("_total"))
-    shares = ranks.join(totals, "activity").select(
-        "activity", "log_density", "n", (F.col("upto") / F.col("_total")).alias("_share"))
+    shares = ranks.select("activity", "log_density", "n", (F.col("upto") / F.col("total")).alias("_share"))
     seen = split_join(other, shares, ["activity", "log_density"], "n").drop("n")
     share = F.when(F.col("log_density") == -INFINITY, 0.0).otherwise(F.col("_share"))
     return done.unionByName(seen.withColumn("p_value", share).drop("_share"))
@@ -138,15 +137,21 @@ def error_test(scored: DataFrame, dists: DataFrame, binwidth: float) -> DataFram
         "child": ("activity", -1), "child_duration": ("duration", -1), "p_child": ("p_value", -1),
         "_child_type": ("dist_type", -1), "_child_params": ("params", -1)})
     total = (F.col("duration") + F.col("child_duration")).cast("double")
-    bins = discretize(dists, binwidth)
-    both = neighbours(scored.select("case_id", "pos", "activity"), ["case_id"], "pos", {"child": ("activity", -1)})
-    pairs = both.where(F.col("child").isNotNull()).groupBy("activity", "child").agg(F.count(F.lit(1)).alias("_n"))
-    first = pairs.select("activity", "child").join(bins, "activity")
-    second = pairs.select("activity", "child").join(bins.withColumnRenamed("activity", "child"), "child")
-    sums = grid_p_values(convolve(first, second, ["activity", "child"]), ["activity", "child"])
-    sums = sums.select("activity", "child", F.col("bin").alias("_bin"), F.col("p").alias("_p_grid"))
+    # only pairs that are not both normal need a grid
+    both = neighbours(scored.select("case_id", "pos", "activity", "dist_type"), ["case_id"], "pos",
+                      {"child": ("activity", -1), "_child_type": ("dist_type", -1)})
+    pairs = stored(both.where(F.col("child").isNotNull() & ~(
+        (F.col("dist_type") == "NORMAL") & (F.col("_child_type") == "NORMAL"))).select("activity", "child").distinct())
     placed = linked.withColumn("_bin", F.floor(total / binwidth - 0.5).cast("bigint"))
-    joined = join_model(placed, sums, ["activity", "child", "_bin"], "left")
+    if pairs.isEmpty():
+        joined = placed.withColumn("_p_grid", F.lit(None).cast("double"))
+    else:
+        bins = stored(discretize(dists, binwidth))
+        first = pairs.join(bins, "activity")
+        second = pairs.join(bins.withColumnRenamed("activity", "child"), "child")
+        sums = grid_p_values(convolve(first, second, ["activity", "child"]), ["activity", "child"])
+        sums = stored(sums.select("activity", "child", F.col("bin").alias("_bin"), F.col("p").alias("_p_grid")))
+        joined = join_model(placed, sums, ["activity", "child", "_bin"], "left")
 
     def at(params: str, i: int) -> Column:
         return F.try_element_at(F.col(params), F.lit(i))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import normal_cdf, normal_pdf, normal_quantile, round_half_up
+from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model
 from caseloom.plans.ranks import order_statistics, value_ranks
 from caseloom.plans.slices import running
@@ -130,9 +131,10 @@ def cdf(dist_type: Column, params: Column, x: Column) -> Column:
 
 
 def with_density(steps: DataFrame, dists: DataFrame, bins: DataFrame | None = None,
-                 binwidth: float | None = None) -> DataFrame:
+                 binwidth: float | None = None, kernels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Add ``dist_type, params, density, log_density`` to steps (``activity,
-    duration``).  Histogram activities look their bin up in ``bins``."""
+    duration``).  Histogram activities look their bin up in ``bins``, kernel
+    activities sum over the slots of ``kernels`` (from ``kernel_model``)."""
     scored = join_model(steps, dists.select("activity", "dist_type", "params"), ["activity"])
     x = F.col("duration").cast("double")
     d = density(F.col("dist_type"), F.col("params"), x)
@@ -141,11 +143,14 @@ def with_density(steps: DataFrame, dists: DataFrame, bins: DataFrame | None = No
         scored = join_model(scored, bins.select("activity", "bin", F.col("density").alias("_bin_density")),
                             ["activity", "bin"], "left").drop("bin")
         d = F.when(F.col("dist_type") == "HISTOGRAM", F.coalesce("_bin_density", F.lit(0.0))).otherwise(d)
+    if kernels is not None:
+        scored = join_model(scored, packed_kernels(*kernels, ["activity"]), ["activity"], "left")
+        d = F.when(F.col("dist_type") == "GAUSSIAN_KERNEL", _kernel_density(x)).otherwise(d)
     scored = scored.withColumn("density", d)
     log = F.when(F.col("density") == INFINITY, 0.0).when(
         F.col("density") > 0, F.ln(F.greatest("density", F.lit(1e-320)))).when(
             F.col("density").isNotNull(), F.lit(-INFINITY))
-    return scored.withColumn("log_density", log).drop("_bin_density")
+    return scored.withColumn("log_density", log).drop("_bin_density", "_n", "_h", "slots")
 
 
 # ---------------------------------------------------------------- histograms
@@ -159,9 +164,8 @@ def histogram(df: DataFrame, keys: list[str], col: str, binwidth: float = 0.1) -
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, bin_of(F.col(col).cast("double"), binwidth).alias("bin")
                                                      ).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("_block", F.floor(F.col("bin") / 100_000))
-    summed = running(counts, keys, ["_block"], ["bin"], {"_upto": ("sum", F.col("n"))})
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    summed = summed.join(totals, keys) if keys else summed.join(F.broadcast(totals))
+    summed = running(counts, keys, ["_block"], ["bin"], {"_upto": ("sum", F.col("n"))},
+                     overall={"_total": ("sum", F.col("n"))})
     share = F.col("n") / F.col("_total")
     return summed.select(*keys, "bin", (F.col("bin") * binwidth).alias("value"), "n", share.alias("probability"),
                          (share / binwidth).alias("density"), (F.col("_upto") / F.col("_total")).alias("cdf"))
@@ -176,9 +180,17 @@ def histogram_moments(bins: DataFrame, keys: list[str], binwidth: float = 0.1) -
         (F.min("value") - binwidth / 2).alias("lower"), (F.max("value") + binwidth / 2).alias("upper"))
 
 
+MAX_BINS = 2048  # fixed value: points of the convolution grid
+
+
 def convolve(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Distribution of the sum of two independent durations on bin tables with
-    the same bin width: ``keys, bin, probability``."""
+    the same bin width: ``keys, bin, probability``.  A bin table may have at
+    most ``MAX_BINS`` bins per key (checked), which bounds the products."""
+    for side in (first, second):
+        widest = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+        if widest > MAX_BINS:
+            raise ValueError(f"{widest} bins per key; choose a bin width that gives at most {MAX_BINS}")
     left = first.select(*keys, F.col("bin").alias("_i"), F.col("probability").alias("_p"))
     right = second.select(*keys, F.col("bin").alias("_j"), F.col("probability").alias("_q"))
     return (left.join(right, keys).groupBy(*keys, (F.col("_i") + F.col("_j")).alias("bin"))
@@ -238,7 +250,7 @@ def kernel_model(df: DataFrame, keys: list[str], col: str) -> tuple[DataFrame, D
     robust = F.when(F.col("n") <= 4, F.lit(1e300)).when(iqr == 0, F.lit(1.0) / 1.34).otherwise(iqr / 1.34)
     h = F.least(sd, robust) * 1.06 * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     width = (F.col("_hi") - F.col("_lo")) / KERNEL_SLOTS
-    bands = both.select(*keys, "n", h.alias("h"), width.alias("_width"), "_lo", "_hi")
+    bands = stored(both.select(*keys, "n", h.alias("h"), width.alias("_width"), "_lo", "_hi"))
     slotted = join_model(ranks.select(*keys, "_x", F.col("n").alias("_n")), bands.select(*keys, "_width"), keys)
     flat = F.col("_width") <= 0
     slot = F.when(flat, 0).otherwise(round_half_up(F.col("_x") / F.greatest("_width", F.lit(1e-300))))
@@ -247,14 +259,28 @@ def kernel_model(df: DataFrame, keys: list[str], col: str) -> tuple[DataFrame, D
     return bands, slots.select(*keys, "centre", "weight")
 
 
+def packed_kernels(bands: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: ``n, h`` and its at most 1001 slots as an array."""
+    listed = slots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("centre", "weight"))).alias("slots"))
+    return bands.select(*keys, F.col("n").alias("_n"), F.col("h").alias("_h")).join(listed, keys)
+
+
+def _kernel_sum(x: Column, term) -> Column:
+    return F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + term((x - s["centre"]) / F.col("_h")) * s["weight"])
+
+
+def _kernel_density(x: Column) -> Column:
+    bell = _kernel_sum(x, lambda z: F.exp(z * z * -0.5))
+    return bell / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+
+
 def kde(bands: DataFrame, slots: DataFrame, probes: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Kernel density and distribution function at probe points (``keys, x``)."""
-    met = probes.join(bands.select(*keys, "n", "h"), keys).join(slots, keys)
-    z = (F.col(x) - F.col("centre")) / F.col("h")
-    bell = F.exp(z * z * -0.5) / (F.col("h") * math.sqrt(2 * math.pi))
-    return met.groupBy(*keys, x).agg(
-        (F.sum(bell * F.col("weight")) / F.max("n")).alias("density"),
-        (F.sum(normal_cdf(z) * F.col("weight")) / F.max("n")).alias("cdf"))
+    """Probe rows (``keys, x`` and any others) with the kernel ``density`` and
+    ``cdf`` there; a row sums over the slots of its key in place."""
+    met = join_model(probes, packed_kernels(bands, slots, keys), keys)
+    at = F.col(x).cast("double")
+    return met.withColumns({"density": _kernel_density(at), "cdf": _kernel_sum(at, normal_cdf) / F.col("_n")}
+                           ).drop("_n", "_h", "slots")
 
 
 def kernel_grid(bands: DataFrame, keys: list[str], points: int) -> DataFrame:

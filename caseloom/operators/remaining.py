@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms
@@ -80,15 +80,10 @@ def conditional_duration(train: DataFrame, probes: DataFrame, keys: list[str], d
                          elapsed: str = "elapsed") -> DataFrame:
     """Mean of the training durations not below the elapsed time; the elapsed
     time itself where none is left: ``keys, elapsed, n_left, expected``."""
-    x = F.col(duration).cast("double")
-    ranks = value_ranks(train, keys, duration, {"s": x})
-    totals = ranks.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
-    below = lookup_ranks(ranks, probes, keys, duration, elapsed, ["upto", "upto_s"], strict=True)
-    below = below.join(totals, keys, "left") if keys else below.join(F.broadcast(totals))
-    left = F.coalesce(F.col("_n"), F.lit(0)) - F.coalesce("upto", F.lit(0))
-    mean = (F.col("_s") - F.coalesce("upto_s", F.lit(0.0))) / F.greatest(left, F.lit(1))
-    return below.select(*keys, elapsed, left.alias("n_left"),
-                        F.when(left > 0, mean).otherwise(F.col(elapsed)).alias("expected"))
+    sums = conditional_sums(train, probes, keys, duration, elapsed)
+    left = F.coalesce("n_left", F.lit(0))
+    return sums.select(*keys, elapsed, left.alias("n_left"), F.when(
+        left > 0, F.col("s_left") / F.greatest(left, F.lit(1))).otherwise(F.col(elapsed)).alias("expected"))
 
 
 def conditional_expectation(dist_type: Column, params: Column, elapsed: Column) -> Column:
@@ -154,8 +149,8 @@ def compare_predictors(log: DataFrame, k: int, n: int, study: str | None = None)
     durations = folded.groupBy(*keys, "fold", "case_id").agg(
         (F.max_by(epoch_ms("ts"), "pos") - F.min_by(epoch_ms("ts"), "pos")).alias("duration"))
     fold_sums = durations.groupBy(*keys, "fold").agg(F.sum("duration").alias("_fs"), F.count(F.lit(1)).alias("_fn"))
-    all_sums = fold_sums.groupBy(*keys).agg(F.sum("_fs").alias("_s"), F.sum("_fn").alias("_n"))
-    sums = fold_sums.join(all_sums, keys) if keys else fold_sums.join(F.broadcast(all_sums))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # k rows per study
+    sums = fold_sums.withColumns({"_s": F.sum("_fs").over(whole), "_n": F.sum("_fn").over(whole)})
     means = sums.select(*keys, "fold", F.try_divide(F.col("_s") - F.col("_fs"), F.col("_n") - F.col("_fn")).alias("mean"))
 
     # state of a case at a probe: the last activity up to then
@@ -167,8 +162,7 @@ def compare_predictors(log: DataFrame, k: int, n: int, study: str | None = None)
     seen = remaining_times(folded).groupBy(*keys, F.col("activity").alias("state"), "fold").agg(
         F.sum("remaining").alias("_fs"), F.count(F.lit(1)).alias("_fn"))
     whole = seen.groupBy(*keys, "state").agg(F.sum("_fs").alias("_s"), F.sum("_fn").alias("_n"))
-    folds = seen.select(*keys, "fold").distinct()
-    grid = whole.join(folds, keys) if keys else whole.join(F.broadcast(folds))
+    grid = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     model = grid.join(seen, [*keys, "state", "fold"], "left").select(
         *keys, "state", "fold", F.try_divide(F.col("_s") - F.coalesce("_fs", F.lit(0)),
                                              F.col("_n") - F.coalesce("_fn", F.lit(0))).alias("mean_remaining"))
@@ -197,14 +191,13 @@ def compare_predictors(log: DataFrame, k: int, n: int, study: str | None = None)
     return forecast_eval(predictions, [*keys, "method"], "predicted", "remaining", "hours")
 
 
-def conditional_sums(train: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
+def conditional_sums(train: DataFrame, probes: DataFrame, keys: list[str], duration: str = "duration",
+                     elapsed: str = "elapsed") -> DataFrame:
     """Number and sum of the durations not below each elapsed time."""
-    ranks = value_ranks(train, keys, "duration", {"s": F.col("duration").cast("double")})
-    totals = ranks.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
-    below = lookup_ranks(ranks, probes, keys, "duration", "elapsed", ["upto", "upto_s"], strict=True)
-    below = below.join(totals, keys) if keys else below.join(F.broadcast(totals))
-    return below.select(*keys, "elapsed", (F.col("_n") - F.coalesce("upto", F.lit(0))).alias("n_left"),
-                        (F.col("_s") - F.coalesce("upto_s", F.lit(0.0))).alias("s_left"))
+    ranks = value_ranks(train, keys, duration, {"s": F.col(duration).cast("double")})
+    below = lookup_ranks(ranks, probes, keys, duration, elapsed, ["upto", "upto_s"], strict=True)
+    return below.select(*keys, elapsed, (F.col("total") - F.coalesce("upto", F.lit(0))).alias("n_left"),
+                        (F.col("total_s") - F.coalesce("upto_s", F.lit(0.0))).alias("s_left"))
 
 
 def subset_study(log: DataFrame, mandatory: list[str], optional: list[str], size: int, folds: int, points: int) -> DataFrame:

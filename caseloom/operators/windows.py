@@ -81,7 +81,7 @@ def carry_forward(series: DataFrame, keys: list[str], order: str, value: str, ha
         return running_dense(series, keys, order, {"filled": ("last", F.col(value))})
     if handling == "mean":
         means = series.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-        joined = series.join(means, keys) if keys else series.join(F.broadcast(means))
+        joined = series.join(means, keys) if keys else series.withColumn("_mean", means.scalar())
         return joined.withColumn("filled", F.coalesce(F.col(value), F.col("_mean"))).drop("_mean")
     raise ValueError(f"unknown handling {handling!r}")
 
@@ -100,7 +100,7 @@ def bounded_history(series: DataFrame, keys: list[str], order: str, value: str,
     back = neighbours(sums, keys, order, {"_old_sum": ("_sum", size), "_old_count": ("_count", size),
                                           "_oldest": (value, size - 1)})
     firsts = series.where(F.col(order) == 1).select(*keys, F.col(value).alias("_first"))
-    joined = back.join(firsts, keys) if keys else back.join(F.broadcast(firsts))
+    joined = back.join(firsts, keys) if keys else back.withColumn("_first", firsts.scalar())
     count = F.col("_count") - F.coalesce("_old_count", F.lit(0))
     total = F.col("_sum") - F.coalesce("_old_sum", F.lit(0))
     return joined.select(
@@ -137,28 +137,31 @@ def largest_keys(df: DataFrame, keys: list[str], order: str, n: int) -> DataFram
 def lookup_ranks(ranks: DataFrame, probes: DataFrame, keys: list[str], value: str, probe: str,
                  carry: list[str], strict: bool) -> DataFrame:
     """For every distinct probe, the ``carry`` columns of the largest ranked
-    value <= probe (``strict``: < probe), null if there is none.  Ranked values
-    and probes are swept together, cut by value cells."""
+    value <= probe (``strict``: < probe), null if there is none, and the totals
+    of the key.  Ranked values and probes are swept together, cut by value cells."""
     from caseloom.plans.ranks import value_cell
 
     empty = F.lit(None)
-    marks = ranks.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), *carry)
+    whole = [c for c in ranks.columns if c == "total" or c.startswith("total_")]
+    marks = ranks.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), *carry, *whole)
     asks = probes.select(*keys, F.col(probe).cast("double").alias("_v")).distinct().select(
         *keys, "_v", F.lit(0 if strict else 2).alias("_kind"),
-        *[empty.cast(marks.schema[c].dataType).alias(c) for c in carry])
+        *[empty.cast(marks.schema[c].dataType).alias(c) for c in [*carry, *whole]])
     swept = running(marks.unionByName(asks).withColumn("_cell", value_cell(F.col("_v"))), keys,
-                    ["_cell"], ["_v", "_kind"], {f"_at_{c}": ("last", F.col(c)) for c in carry})
+                    ["_cell"], ["_v", "_kind"], {f"_at_{c}": ("last", F.col(c)) for c in carry},
+                    overall={f"_all_{c}": ("max", F.col(c)) for c in whole})
     return swept.where(F.col("_kind") != 1).select(
-        *keys, F.col("_v").alias(probe), *[F.col(f"_at_{c}").alias(c) for c in carry])
+        *keys, F.col("_v").alias(probe), *[F.col(f"_at_{c}").alias(c) for c in carry],
+        *[F.col(f"_all_{c}").alias(c) for c in whole])
 
 
 def sample_rank(ranks: DataFrame, probes: DataFrame, keys: list[str], value: str, probe: str) -> DataFrame:
     """Rank of a probe among sorted samples: index of the last sample <= probe,
-    clamped to [0, n - 1]: ``keys, probe, rank, total``."""
-    totals = ranks.groupBy(*keys).agg(F.sum("n").alias("total"))
+    clamped to [0, n - 1]: ``keys, probe, rank, total``; keys without samples
+    are left out."""
     found = lookup_ranks(ranks, probes, keys, value, probe, ["upto"], strict=False)
-    found = found.join(totals, keys) if keys else found.join(F.broadcast(totals))
-    return found.select(*keys, probe, F.greatest(F.coalesce("upto", F.lit(0)) - 1, F.lit(0)).alias("rank"), "total")
+    return found.where(F.col("total").isNotNull()).select(
+        *keys, probe, F.greatest(F.coalesce("upto", F.lit(0)) - 1, F.lit(0)).alias("rank"), "total")
 
 
 RESOLUTION = 200  # fixed value

@@ -27,8 +27,8 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Col
     """Distinct values per key with weighted ranks.
 
     Columns: ``keys, value, n`` (rows with this value), ``upto`` (rows with a
-    value <= this one) and one running total ``upto_<name>`` per ``extra``
-    aggregate input.  The 0-based sorted samples ``upto - n .. upto - 1`` equal
+    value <= this one), ``total`` (rows of the key) and, per ``extra`` input,
+    its running sum ``upto_<name>`` and whole sum ``total_<name>``.  The 0-based sorted samples ``upto - n .. upto - 1`` equal
     ``value``.
     """
     extra = extra or {}
@@ -38,7 +38,9 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Col
                 .withColumn("_cell", value_cell(F.col(value))))
     sums = {"upto": ("sum", F.col("n"))}
     sums.update({f"upto_{k}": ("sum", F.col(k)) for k in extra})
-    return running(distinct, keys, ["_cell"], [value], sums).drop("_cell")
+    overall = {"total": ("sum", F.col("n"))}
+    overall.update({f"total_{k}": ("sum", F.col(k)) for k in extra})
+    return running(distinct, keys, ["_cell"], [value], sums, overall=overall).drop("_cell")
 
 
 def pick(value: str, index: Column, upto: str = "upto", n: str = "n") -> Column:
@@ -47,19 +49,13 @@ def pick(value: str, index: Column, upto: str = "upto", n: str = "n") -> Column:
     return F.max(F.when(hit, F.col(value)))
 
 
-def with_totals(ranks: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the number of samples per key (``total``)."""
-    totals = ranks.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return ranks.join(totals, keys) if keys else ranks.join(F.broadcast(totals))
-
-
 def order_statistics(ranks: DataFrame, keys: list[str], value: str,
                      picks: dict[str, Column]) -> DataFrame:
     """One row per key with the samples at the given 0-based indexes.
 
     The index columns may use ``total``.
     """
-    return with_totals(ranks, keys).groupBy(*keys).agg(
+    return ranks.groupBy(*keys).agg(
         F.max("total").alias("total"),
         *[pick(value, index).alias(name) for name, index in picks.items()])
 

@@ -74,6 +74,7 @@ def running(
     cols: dict[str, tuple[str, Column]],
     exclusive: bool = False,
     full_bucket_rows: int | None = None,
+    overall: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Add running aggregates over ``order`` within ``keys``.
 
@@ -82,8 +83,11 @@ def running(
     value over the coarser buckets, and each row adds its in-bucket window.
     ``full_bucket_rows`` says a bucket is followed by another one only when it
     holds exactly that many rows, so the totals of all others are dropped.
-    ``exclusive`` leaves out the current row.
+    ``exclusive`` leaves out the current row.  ``overall`` adds sums or maxima
+    over the whole key, taken over the bucket totals, so no row meets all rows
+    of its key (needs ``buckets`` and no ``full_bucket_rows``).
     """
+    overall = overall or {}
     if buckets:
         span = Window.partitionBy(*keys, *buckets).orderBy(*order)
     else:
@@ -97,7 +101,12 @@ def running(
 
     totals = df.groupBy(*keys, *buckets).agg(
         *[_aggregate(op, col, order, False).alias(f"_t_{n}") for n, (op, col) in cols.items()],
+        *[_aggregate(op, col, order, False).alias(f"_o_{n}") for n, (op, col) in overall.items()],
         F.count(F.lit(1)).alias("_rows"))
+    if overall:
+        whole = Window.partitionBy(*(keys or [F.lit(0)]))
+        totals = totals.withColumns({
+            f"_o_{n}": _aggregate(op, F.col(f"_o_{n}"), order, True).over(whole) for n, (op, _) in overall.items()})
     if full_bucket_rows is not None:
         totals = totals.where(F.col("_rows") == full_bucket_rows)
         # the value carried into a bucket is the inclusive value of the one before
@@ -111,10 +120,11 @@ def running(
         step = 0
     last = F.col(buckets[-1])
     carried = carried.select(*keys, *buckets[:-1], (last + step if step else last).alias(buckets[-1]),
-                             *[f"_b_{n}" for n in cols])
+                             *[f"_b_{n}" for n in cols], *[f"_o_{n}" for n in overall])
     out = own.join(carried, keys + buckets, "left")
-    kept = [c for c in df.columns if c not in cols]
-    return out.select(*kept, *[_COMBINE[op](F.col(f"_b_{n}"), F.col(n)).alias(n) for n, (op, _) in cols.items()])
+    kept = [c for c in df.columns if c not in cols and c not in overall]
+    return out.select(*kept, *[_COMBINE[op](F.col(f"_b_{n}"), F.col(n)).alias(n) for n, (op, _) in cols.items()],
+                      *[F.col(f"_o_{n}").alias(n) for n in overall])
 
 
 def running_dense(df: DataFrame, keys: list[str], order: str,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators.distributions import with_density
+from caseloom.plans.models import join_model
 
 DELAY = "1 hour"
 
@@ -48,9 +49,8 @@ def running_normal(stream: DataFrame) -> DataFrame:
 
 def outlier_flags(stream: DataFrame, dists: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Score events against static fits and cut-offs (stateless)."""
-    scored = with_density(stream.withColumn("duration", F.col("value")), dists.join(cutoffs, "activity", "left").select(
-        "activity", "dist_type", "params"))
-    flagged = scored.join(F.broadcast(cutoffs), "activity", "left")
+    scored = with_density(stream.withColumn("duration", F.col("value")), dists)
+    flagged = join_model(scored, cutoffs, ["activity"], "left")
     return flagged.withColumn("is_outlier", F.coalesce(F.col("log_density") < F.col("cutoff"), F.lit(False)))
 
 
