@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.catalog.base import LOG, SHIP, query
-from caseloom.functions.maths import epoch_ms
+from caseloom.functions.maths import epoch_ms, normal_quantile
 from caseloom.operators import aggs as a
 from caseloom.operators import filters as f
 from caseloom.operators import temporal as tp
@@ -198,7 +198,15 @@ def _(spark, folder):
                     r("var_samp", 3).alias("var_samp"), "n_negative")
 
 
-@query("mean_confidence_interval", "A27")
+_Z995 = normal_quantile(0.995)
+_T995 = " + ".join(f"{c!r}::DOUBLE / (n - 1) ** {i}" for i, c in enumerate([
+    _Z995, (_Z995**3 + _Z995) / 4, (5 * _Z995**5 + 16 * _Z995**3 + 3 * _Z995) / 96,
+    (3 * _Z995**7 + 19 * _Z995**5 + 17 * _Z995**3 - 15 * _Z995) / 384]))
+
+
+@query("mean_confidence_interval", "A27", f"""WITH s AS (SELECT event_type AS activity, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1),
+  w AS (SELECT *, 2 * ({_T995}) * sqrt(v / n) AS w FROM s)
+  SELECT activity, n, round(m, 6) AS mean, round(w, 4) AS ci_width, round(w / 2, 4) AS half_width, round((m / (m - w / 2) - 1) * 100, 4) AS error_percent FROM w""")
 def _(spark, folder):
     ci = a.mean_ci(load(spark, folder, "events").withColumnRenamed("event_type", "activity"), ["activity"], "value")
     return ci.select("activity", "n", r("mean", 6).alias("mean"), r("ci_width").alias("ci_width"),

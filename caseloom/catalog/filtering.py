@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.catalog.base import LOG, SHIP, TALK, query
 from caseloom.functions.maths import epoch_ms, format_duration, to_unit
 from caseloom.operators import filters as f
+from caseloom.plans.lineage import stored
 from caseloom.sources.logs import conversations_log, events_log, load, shipments_log
 
 
@@ -173,6 +174,25 @@ def _(spark, folder):
     return f.accurate_noise(events_log(spark, folder), 0.3, 0.5, 7).select("case_id", "pos", "activity", "ts")
 
 
+@query("add_noise_without_noise", "F15", LOG + "SELECT case_id, pos, activity, ms FROM log")
+def _(spark, folder):
+    return f.add_noise(events_log(spark, folder), 0.0, 0.0, 7).select("case_id", "pos", "activity", epoch_ms("ts").alias("ms"))
+
+
+@query("accurate_noise_sizes", "F16", LOG + """SELECT case_id, true AS deletions_fit, true AS insertions_fit FROM cases""")
+def _(spark, folder):
+    log = stored(events_log(spark, folder).select("case_id", "pos", "activity", "ts"))
+
+    def sizes(ratio, name):
+        return f.accurate_noise(log, 0.3, ratio, 7).groupBy("case_id").agg(F.max("pos").alias(name))
+
+    n, whole = F.col("n"), F.floor(F.col("n") * 0.3)
+    both = log.groupBy("case_id").agg(F.max("pos").alias("n")).join(sizes(1.0, "less"), "case_id").join(
+        sizes(0.0, "more"), "case_id")
+    return both.select("case_id", (F.col("less").between(n - whole - 1, n - whole) & (F.col("less") >= 1)).alias("deletions_fit"),
+                       F.col("more").between(n + whole, n + whole + 1).alias("insertions_fit"))
+
+
 @query("unit_conversion", "F17", LOG + """SELECT case_id, pos, round(duration / 60000.0::DOUBLE, 6) AS minutes,
   round(duration / 3600000.0::DOUBLE, 9) AS hours, round(duration / 31536000000.0::DOUBLE, 12) AS years FROM steps""")
 def _(spark, folder):

@@ -334,12 +334,23 @@ def _(spark, folder):
     return found.select("activity", text("lower").alias("lower"), text("upper").alias("upper"))
 
 
-@query("anomaly_intervals_histogram", "L9")
+@query("anomaly_intervals_histogram", "L9", LOG + """, b AS (SELECT activity, CAST(floor(value / 2 + 0.5) AS BIGINT) AS bin, count(*) AS k FROM log GROUP BY 1, 2),
+  t AS (SELECT activity, count(*) AS n FROM log GROUP BY 1), d AS (SELECT b.*, n, ln(k / (n * 2.0::DOUBLE)) AS ld FROM b JOIN t USING (activity)),
+  o AS (SELECT l.activity, d.n, d.ld, row_number() OVER (PARTITION BY l.activity ORDER BY d.ld) - 1 AS i FROM log l JOIN d ON d.activity = l.activity AND d.bin = floor(l.value / 2 + 0.5)),
+  cut AS (SELECT activity, (1 - (0.02::DOUBLE * n - floor(0.02::DOUBLE * n))) * max(ld) FILTER (i = least(ceil(0.02::DOUBLE * n), n - 1))
+    + (0.02::DOUBLE * n - floor(0.02::DOUBLE * n)) * max(ld) FILTER (i = floor(0.02::DOUBLE * n)) AS cutoff FROM o GROUP BY activity, n),
+  kept AS (SELECT activity, bin, bin - row_number() OVER (PARTITION BY activity ORDER BY bin) AS g FROM d JOIN cut USING (activity) WHERE ld >= cutoff - 1e-12),
+  runs AS (SELECT activity, min(bin) AS lo, max(bin) AS hi FROM kept GROUP BY activity, g),
+  e AS (SELECT activity, lo, hi, lag(hi) OVER w AS before, lead(lo) OVER w AS after FROM runs WINDOW w AS (PARTITION BY activity ORDER BY lo))
+  SELECT activity, CAST(coalesce(before * 2 + 1, -1000000) AS DOUBLE) AS lower, CAST(lo * 2 - 1 AS DOUBLE) AS upper FROM e
+  UNION ALL SELECT activity, hi * 2 + 1, 1000000 FROM e WHERE after IS NULL""")
 def _(spark, folder):
     bins = stored(ds.histogram(samples(spark, folder), ["activity"], "duration", 2.0))
     dists = stored(ds.fit_durations(samples(spark, folder), "HISTOGRAM"))
     cut = an.ll_cutoffs(ds.with_density(samples(spark, folder), dists, bins, 2.0), 0.02)
-    return an.histogram_intervals(bins, cut, 2.0)
+    cut = cut.withColumn("cutoff", F.col("cutoff") - 1e-12)
+    found = an.histogram_intervals(bins, cut, 2.0)
+    return found.select("activity", F.greatest("lower", F.lit(-1e6)).alias("lower"), F.least("upper", F.lit(1e6)).alias("upper"))
 
 
 @query("anomaly_intervals_kernel", "L9,A17")

@@ -112,55 +112,57 @@ def case_distances(series: DataFrame, probes: DataFrame, max_probes: int = MAX_P
     names = [r[0] for r in require_at_most(
         series.select(F.explode("active").alias("a")).distinct(), 10_000, "activities").collect()]
     index = F.create_map(*[x for i, n in enumerate(sorted(names)) for x in (F.lit(n), F.lit(i))])
-    points = F.transform("active", lambda a: F.try_element_at(index, a))
 
     def curves(df: DataFrame) -> DataFrame:
-        listed = F.sort_array(F.collect_list(F.struct("t", points.alias("on"))))
-        return df.groupBy("case_id").agg(F.transform(listed, lambda p: p["on"]).alias("curve"))
+        """Per case its number of points and the (point, activity) marks."""
+        marks = df.select("case_id", "t", F.explode_outer("active").alias("a"))
+        mark = F.struct(F.col("t").cast("int").alias("t"), F.try_element_at(index, F.col("a")).alias("i"))
+        listed = marks.groupBy("case_id").agg((F.max("t") + 1).cast("int").alias("size"), F.sort_array(
+            F.collect_list(F.when(F.col("a").isNotNull(), mark))).alias("marks"))
+        return listed.select("case_id", F.struct("size", F.transform("marks", lambda m: m["t"]).alias("at"),
+                                                 F.transform("marks", lambda m: m["i"]).alias("on")).alias("curve"))
 
     wanted = curves(probes).agg(F.collect_list(F.struct("case_id", "curve"))).scalar()
     paired = curves(series).select("case_id", "curve", F.explode(wanted).alias("p")).select(
-        "case_id", F.col("p.case_id").alias("probe_id"), "curve", F.col("p.curve").alias("other"))
+        "case_id", F.col("p.case_id").alias("probe_id"), *[
+            F.col(f"{c}.{part}").alias(f"{side}_{part}") for c, side in (("curve", "x"), ("p.curve", "y"))
+            for part in ("size", "at", "on")])
     width = len(names)
 
     def warp(batches):
         import numpy as np
         import pandas as pd
 
-        def dense(curves):
-            m = np.zeros((len(curves), len(curves[0]), width), dtype=np.float32)
-            for k, curve in enumerate(curves):
-                for i, on in enumerate(curve):
-                    m[k, i, np.asarray(on, dtype=int)] = 1
+        def dense(part, side):
+            m = np.zeros((len(part), part[f"{side}_size"].iloc[0], width), dtype=np.float32)
+            for k, (at, on) in enumerate(zip(part[f"{side}_at"], part[f"{side}_on"])):
+                m[k, np.asarray(at, dtype=int), np.asarray(on, dtype=int)] = 1
             return m
 
-        def distances(left, right):
+        def distances(part):
             """Warping distances of many pairs of equally long curves at once."""
-            x, y = dense(left), dense(right)
+            x, y = dense(part, "x"), dense(part, "y")
             size_x, size_y = x.sum(axis=2), y.sum(axis=2)
             best = None
             for i in range(x.shape[1]):
-                shared = np.einsum("kw,kjw->kj", x[:, i], y)
-                cost = size_x[:, i, None] + size_y - 2 * shared
+                cost = size_x[:, i, None] + size_y - 2 * np.matmul(y, x[:, i, :, None])[:, :, 0]
                 prefix = np.cumsum(cost, axis=1)
                 if best is None:
                     best = prefix
                     continue
                 arrive = best.copy()
-                arrive[:, 1:] = np.minimum(best[:, 1:], best[:, :-1])
-                arrive[:, 1:] -= prefix[:, :-1]
+                arrive[:, 1:] = np.minimum(best[:, 1:], best[:, :-1]) - prefix[:, :-1]
                 # moving on within the row: running minimum of arrival minus prefix cost
                 best = np.minimum.accumulate(arrive, axis=1) + prefix
             return best[:, -1].astype(float)
 
         for batch in batches:
-            sizes = list(zip(batch["curve"].map(len), batch["other"].map(len)))
-            found = np.zeros(len(batch))
-            for size in set(sizes):
-                rows = np.array([i for i, s in enumerate(sizes) if s == size])
-                for part in np.array_split(rows, max(1, len(rows) // 256)):
-                    found[part] = distances([batch["curve"].iloc[i] for i in part],
-                                            [batch["other"].iloc[i] for i in part])
+            batch = batch.reset_index(drop=True)
+            found = pd.Series(0.0, index=batch.index)
+            for _, same in batch.groupby(["x_size", "y_size"]):
+                for begin in range(0, len(same), 256):
+                    part = same.iloc[begin:begin + 256]
+                    found.loc[part.index] = distances(part)
             yield pd.DataFrame({"case_id": batch["case_id"], "probe_id": batch["probe_id"], "distance": found})
 
     # few bytes but much work per row: spread the pairs explicitly
