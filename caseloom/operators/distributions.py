@@ -206,6 +206,7 @@ def sum_of_normals(params_a: Column, params_b: Column) -> Column:
 GRID_TAIL = 1e-6
 GRID_UPPER = 1000.0
 GRID_FLOOR = 1e-7
+MAX_GRID = 1_000_000
 
 
 def discretize(dists: DataFrame, binwidth: float) -> DataFrame:
@@ -220,8 +221,10 @@ def discretize(dists: DataFrame, binwidth: float) -> DataFrame:
     high = (F.when(kind == "NORMAL", a + b * z).when(kind == "EXPONENTIAL", a * -math.log(GRID_TAIL))
             .when(kind == "LOGNORMAL", F.exp(a + b * z)).when(kind == "UNIFORM", F.least(b, F.lit(GRID_UPPER))))
     index = [F.floor((edge + binwidth / 2) / binwidth).cast("bigint") for edge in (low, high)]
+    bins = F.when(index[1] - index[0] < MAX_GRID, F.sequence(*index)).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_GRID} bins; choose a wider bin")).cast("array<bigint>"))
     grid = dists.where(kind.isin("NORMAL", "EXPONENTIAL", "LOGNORMAL", "UNIFORM")).select(
-        "activity", "dist_type", "params", F.explode(F.sequence(*index)).alias("bin"))
+        "activity", "dist_type", "params", F.explode(bins).alias("bin"))
     points = [density(F.col("dist_type"), F.col("params"), F.col("bin") * binwidth + binwidth * k / 3)
               for k in range(4)]
     weighed = grid.select("activity", "bin", ((points[0] + points[1] + points[2] + points[3]) / 4).alias("w")

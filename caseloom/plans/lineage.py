@@ -23,6 +23,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/caseloom-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows of an iteration to the checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
@@ -33,6 +38,6 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table that several branches read to the shared folder, once, and
     read it back as parquet: columns are still pruned and its size is known."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/caseloom-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

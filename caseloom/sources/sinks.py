@@ -41,12 +41,12 @@ def write_duration_matrix(matrix: DataFrame, path: str) -> None:
      .option("nullValue", "NaN").csv(path))
 
 
-def write_likelihoods(scores: DataFrame, path: str) -> None:
-    """One case per row: id, log-likelihood, duration, then the choice
-    probabilities joined by blanks."""
-    rows = scores.select("case_id", "log_likelihood", "case_duration",
-                         F.array_join(F.transform("choices", lambda c: c.cast("string")), " ").alias("choices"))
-    rows.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+def write_likelihoods(scores: DataFrame, path: str, choices: DataFrame | None = None) -> None:
+    """One case per row: the scores of ``case_likelihood``.  The probabilities of
+    the choices (``step_choices``) go to a folder next to them, one per row."""
+    scores.write.mode("overwrite").option("header", True).option("sep", ";").csv(f"{path}/cases")
+    if choices is not None:
+        choices.write.mode("overwrite").option("header", True).option("sep", ";").csv(f"{path}/choices")
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:

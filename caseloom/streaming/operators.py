@@ -113,9 +113,9 @@ def event_gaps(stream: DataFrame, delay: str = DELAY) -> DataFrame:
                 waiting.extend((int(t.value // 1_000_000), int(i)) for t, i in zip(b["ts"], b["event_id"]))
         waiting.sort()
         mark = state.getCurrentWatermarkMs()
-        out = []
-        while waiting and waiting[0][0] < mark:
-            ms, event = waiting.pop(0)
+        out, due = [], [w for w in waiting if w[0] < mark]
+        waiting = waiting[len(due):]
+        for ms, event in due:
             out.append((key[0], event, ms, 0 if last is None else ms - last))
             last = ms
         state.update((last, [i for _, i in waiting], [t for t, _ in waiting]))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.plans.lineage import checkpoint_dir
+from caseloom.plans.lineage import new_folder
 
 
 def events_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 1) -> DataFrame:
@@ -21,13 +19,9 @@ def events_stream(spark: SparkSession, folder: str, files: str = "events.parquet
                       F.col("event_type").alias("activity"), "value", "user_id")
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/caseloom-stream-{uuid.uuid4().hex}"
-
-
 def append_to_folder(stream: DataFrame) -> str:
     """Process everything available in append mode into parquet files; their folder."""
-    place = _place(stream.sparkSession)
+    place = new_folder(stream.sparkSession, "stream")
     query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state")
              .option("path", f"{place}/rows").trigger(availableNow=True).start())
     query.awaitTermination()
@@ -41,7 +35,7 @@ def append_to_table(stream: DataFrame) -> DataFrame:
 
 def updates_to_table(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Process everything available in update mode; the latest row per key."""
-    spark, place = stream.sparkSession, _place(stream.sparkSession)
+    spark, place = stream.sparkSession, new_folder(stream.sparkSession, "stream")
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/rows/{number:08d}")

@@ -77,11 +77,12 @@ def test_exports(spark, make_log, tmp_path):
     lines = sorted(line for p in (tmp_path / "m").glob("*.csv") for line in p.read_text().split())
     assert set(lines) == {"CaseId;a;b", "1;60;40", "2;NaN;0"}
 
-    scores = spark.createDataFrame([("1", -2.5, 100, [0.5, 0.25])],
-                                   "case_id string, log_likelihood double, case_duration bigint, choices array<double>")
-    sinks.write_likelihoods(scores, str(tmp_path / "l"))
-    text = "".join(p.read_text() for p in (tmp_path / "l").glob("*.csv"))
-    assert "1;-2.5;100;0.5 0.25" in text
+    scores = spark.createDataFrame([("1", -2.5, 100, 2)], "case_id string, log_likelihood double, case_duration bigint, n_choices int")
+    choices = spark.createDataFrame([("1", 1, "a", 0.5), ("1", 2, "b", 0.25)], "case_id string, pos int, activity string, probability double")
+    sinks.write_likelihoods(scores, str(tmp_path / "l"), choices)
+    text = "".join(p.read_text() for p in (tmp_path / "l" / "cases").glob("*.csv"))
+    assert "case_id;log_likelihood" in text and "1;-2.5;100;2" in text
+    assert "1;2;b;0.25" in "".join(p.read_text() for p in (tmp_path / "l" / "choices").glob("*.csv"))
 
     predictions = spark.createDataFrame([(1, "naive", 2.0, 0.5, 3.0)],
                                         "numCase int, method string, prediction double, confidence_interval double, real_duration double")
