@@ -8,7 +8,7 @@ from caseloom.catalog.base import LOG, SHIP, TALK, query
 from caseloom.functions.maths import epoch_ms, format_duration, to_unit
 from caseloom.operators import filters as f
 from caseloom.plans.lineage import stored
-from caseloom.sources.logs import conversations_log, events_log, load, shipments_log
+from caseloom.sources.logs import conversations_log, events_log, shipments_log
 
 
 @query("events_as_log", "S3", LOG + "SELECT case_id, pos, activity, ms, event_id, value FROM log")

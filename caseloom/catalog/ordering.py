@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.catalog.base import LOG, SHIP, query
-from caseloom.functions.maths import epoch_ms
 from caseloom.operators import filters as f
 from caseloom.operators import windows as w
 from caseloom.plans.ranks import value_ranks

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import names
 from caseloom.functions.maths import epoch_ms
 from caseloom.plans.fingerprint import element_hashes, uniform
-from caseloom.plans.slices import (attach_cases, positions, running, running_dense, slice_of,
+from caseloom.plans.slices import (attach_cases, positions, running, running_dense, running_in_case,
                                    with_case_values)
 
 def _minute_slices() -> list[tuple[str, Column]]:
@@ -47,9 +47,7 @@ def base_activity(log: DataFrame) -> DataFrame:
 
 def unroll_loops(log: DataFrame) -> DataFrame:
     """The 2nd, 3rd ... occurrence of a name in a case becomes ``name_2``, ``name_3`` ..."""
-    sliced = log.withColumn("_slice", slice_of("pos"))
-    seen = running(sliced, ["case_id", "activity"], ["_slice"], ["pos"],
-                   {"_seen": ("sum", F.lit(1))}).drop("_slice")
+    seen = running_in_case(log, ["activity"], {"_seen": ("sum", F.lit(1))})
     return seen.withColumn("activity", F.when(
         F.col("_seen") > 1, F.concat("activity", F.lit("_"), F.col("_seen").cast("string"))
     ).otherwise(F.col("activity"))).select(*log.columns)

@@ -10,7 +10,7 @@ from caseloom.functions.names import ITERATION_MARK, label_base
 from caseloom.plans.bounds import require_at_most
 from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model
-from caseloom.plans.slices import neighbours, positions, running, slice_of
+from caseloom.plans.slices import neighbours, positions, running, running_in_case
 
 DUMMY = "DUMMY"
 
@@ -37,10 +37,10 @@ def to_intervals(log: DataFrame) -> DataFrame:
     the last open start wins; a complete without start has length zero.
     ``case_id, activity, instance, start, end, pos`` (pos of the complete)."""
     base = log.select("case_id", "activity", F.coalesce("instance", F.lit("")).alias("instance"), "pos", "ts",
-                      F.lower("lifecycle").alias("lifecycle"), slice_of("pos").alias("_slice"))
+                      F.lower("lifecycle").alias("lifecycle"))
     keys = ["case_id", "activity", "instance"]
     done = (F.col("lifecycle") == "complete")
-    rounds = running(base, keys, ["_slice"], ["pos"], {"_round": ("sum", done.cast("int"))}, exclusive=True)
+    rounds = running_in_case(base, keys[1:], {"_round": ("sum", done.cast("int"))}, exclusive=True, log=log)
     return rounds.groupBy(*keys, "_round").agg(
         F.max(F.when(done, F.col("ts"))).alias("end"), F.max(F.when(done, F.col("pos"))).alias("pos"),
         F.max_by("ts", F.when(F.col("lifecycle") == "start", F.col("pos"))).alias("_start")
@@ -272,10 +272,9 @@ def _ages(steps: DataFrame, moves: DataFrame, policy: str) -> DataFrame:
     lost = ~fires & F.col("_still").isNull()
     resets = (fires | lost) if policy == "race_enabling_memory" else fires
     base = enabled.select("case_id", "pos", "activity", "state", "option", "elapsed", fires.alias("fires"),
-                          lost.alias("disabled"), resets.cast("int").alias("_reset"), slice_of("pos").alias("_slice"))
-    keys = ["case_id", "option"]
-    islands = running(base, keys, ["_slice"], ["pos"], {"_island": ("sum", F.col("_reset"))}, exclusive=True)
-    return running(islands, [*keys, "_island"], ["_slice"], ["pos"], {"age": ("sum", F.col("elapsed"))}).drop("_slice")
+                          lost.alias("disabled"), resets.cast("int").alias("_reset"))
+    islands = running_in_case(base, ["option"], {"_island": ("sum", F.col("_reset"))}, exclusive=True, log=steps)
+    return running_in_case(islands, ["option", "_island"], {"age": ("sum", F.col("elapsed"))}, log=steps)
 
 
 def censored_durations(steps: DataFrame, moves: DataFrame, policy: str = "race_resampling") -> DataFrame:

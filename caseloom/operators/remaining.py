@@ -17,7 +17,7 @@ from caseloom.plans.fingerprint import element_hashes
 from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model, split_join
 from caseloom.plans.ranks import value_ranks
-from caseloom.plans.slices import attach_cases, positions, running, running_dense, slice_of, with_case_values
+from caseloom.plans.slices import attach_cases, positions, running_dense, running_in_case, with_case_values
 
 STATES = ("last", "set", "list", "bag")
 
@@ -31,8 +31,7 @@ def with_prefix_state(log: DataFrame, state: str) -> DataFrame:
     if state == "list":
         a, b = element_hashes("pos", "activity")
     elif state in ("set", "bag"):
-        nth = running(log.withColumn("_slice", slice_of("pos")), ["case_id", "activity"], ["_slice"], ["pos"],
-                      {"_nth": ("sum", F.lit(1).cast("bigint"))}).drop("_slice")
+        nth = running_in_case(log, ["activity"], {"_nth": ("sum", F.lit(1).cast("bigint"))})
         now, before = (element_hashes(F.col("activity"), n) for n in (F.col("_nth"), F.col("_nth") - 1))
         none = F.lit(0).cast("bigint")
         if state == "set":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.maths import UNIT_MS, epoch_ms
 from caseloom.plans.lineage import stored
-from caseloom.plans.slices import neighbours, running, slice_of, with_case_values
+from caseloom.plans.slices import neighbours, running, running_in_case, with_case_values
 
 START = "_Start"
 TIME = "decimal(15,0)"
@@ -69,23 +69,24 @@ def _prefix_moments(log: DataFrame) -> DataFrame:
     timed = with_case_values(log.withColumn("_ms", epoch_ms("ts")), _t0=F.min_by(epoch_ms("ts"), "pos"),
                              _classes=F.collect_set("activity"))
     t = (F.col("_ms") - F.col("_t0")).cast(TIME)
-    base = timed.select("case_id", "pos", "activity", t.alias("t"), F.explode("_classes").alias("other"),
-                        slice_of("pos").alias("_slice"))
+    base = timed.select("case_id", "pos", "activity", t.alias("t"), F.explode("_classes").alias("other"))
     here = F.col("activity") == F.col("other")
-    seen = running(base, ["case_id", "other"], ["_slice"], ["pos"], {
+    seen = running_in_case(base, ["other"], {
         "n": ("sum", here.cast("int")),
         "s1": ("sum", F.when(here, F.col("t")).otherwise(0).cast(EXACT)),
         "s2": ("sum", F.when(here, F.col("t") * F.col("t")).otherwise(0).cast(EXACT)),
         "p1": ("sum", F.when(here, F.col("pos")).otherwise(0)),
         "last": ("max", F.when(here, F.col("pos"))),
-    }, exclusive=True)
-    return seen.where(F.col("n") > 0).drop("_slice")
+    }, exclusive=True, log=log)
+    return seen.where(F.col("n") > 0)
 
 
 def pairwise_gaps(log: DataFrame, unit: str = "minutes") -> DataFrame:
     """All ordered pairs i < j per case, summed per activity pair:
     ``before, after, n, mean, sd, mean_distance, n_direct``; ``_Start`` counts
-    as distance 1 to every event."""
+    as distance 1 to every event.  The events are stored first: six branches
+    read them."""
+    log = stored(log.select("case_id", "pos", "activity", "ts"))
     m = _prefix_moments(log)
     t, n = F.col("t"), F.col("n").cast("decimal(20,0)")
     pairs = m.groupBy(F.col("other").alias("before"), F.col("activity").alias("after")).agg(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms, round_half_up
 from caseloom.operators.filters import SEQUENCE, case_sequences, number_cases
-from caseloom.plans.slices import neighbours, running, running_dense, slice_of, with_case_values
+from caseloom.plans.slices import (neighbours, running, running_dense, running_in_case, slice_of,
+                                   with_case_values)
 
 
 def step_durations(log: DataFrame) -> DataFrame:
@@ -188,8 +189,7 @@ def case_time_series(log: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     spans = own
     if "lifecycle" in log.columns:
         # per activity: an opening stays active up to the next event of the same activity
-        per = points.withColumn("_slice", slice_of("pos"))
-        ranked = running(per, ["case_id", "activity"], ["_slice"], ["pos"], {"_n": ("sum", F.lit(1))}).drop("_slice")
+        ranked = running_in_case(points, ["activity"], {"_n": ("sum", F.lit(1))}, log=log)
         ranked = neighbours(ranked.withColumn("_n", F.col("_n").cast("bigint")), ["case_id", "activity"], "_n",
                             {"_until": ("t", -1)})
         held = ranked.where("opens").select("case_id", "activity", F.explode(

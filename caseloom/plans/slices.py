@@ -75,6 +75,7 @@ def running(
     exclusive: bool = False,
     full_bucket_rows: int | None = None,
     overall: dict[str, tuple[str, Column]] | None = None,
+    carry_for: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates over ``order`` within ``keys``.
 
@@ -85,7 +86,8 @@ def running(
     holds exactly that many rows, so the totals of all others are dropped.
     ``exclusive`` leaves out the current row.  ``overall`` adds sums or maxima
     over the whole key, taken over the bucket totals, so no row meets all rows
-    of its key (needs ``buckets`` and no ``full_bucket_rows``).
+    of its key (needs ``buckets`` and no ``full_bucket_rows``).  ``carry_for``
+    lists the (few) keys with more than one bucket; no totals are taken for others.
     """
     overall = overall or {}
     if buckets:
@@ -99,7 +101,8 @@ def running(
                                for n, c in windowed.items()})
     own = df.withColumns(windowed)
 
-    totals = df.groupBy(*keys, *buckets).agg(
+    sources = df if carry_for is None else df.join(F.broadcast(carry_for), carry_for.columns, "left_semi")
+    totals = sources.groupBy(*keys, *buckets).agg(
         *[_aggregate(op, col, order, False).alias(f"_t_{n}") for n, (op, col) in cols.items()],
         *[_aggregate(op, col, order, False).alias(f"_o_{n}") for n, (op, col) in overall.items()],
         F.count(F.lit(1)).alias("_rows"))
@@ -135,6 +138,22 @@ def running_dense(df: DataFrame, keys: list[str], order: str,
                    full_bucket_rows=slice_rows()).drop("_slice")
 
 
+def long_cases(log: DataFrame) -> DataFrame:
+    """Cases with more than one slice: at most (events / slice rows) of them,
+    which bounds their broadcast.  On a stored log the filter is pushed down."""
+    return log.where(F.col("pos") > slice_rows()).select("case_id").distinct()
+
+
+def running_in_case(df: DataFrame, keys: list[str], cols: dict[str, tuple[str, Column]], exclusive: bool = False,
+                    log: DataFrame | None = None) -> DataFrame:
+    """``running`` by position within ``case_id`` and further keys.  Only cases
+    with more than one slice have totals to carry; ``log`` is the table to find
+    them in (default: the rows themselves)."""
+    sliced = df.withColumn("_slice", slice_of("pos"))
+    return running(sliced, ["case_id", *keys], ["_slice"], ["pos"], cols, exclusive,
+                   carry_for=long_cases(df if log is None else log)).drop("_slice")
+
+
 def neighbours(df: DataFrame, keys: list[str], order: str,
                cols: dict[str, tuple[Column | str, int]]) -> DataFrame:
     """Add columns read from the row ``offset`` places before (positive) or

@@ -9,14 +9,12 @@ from caseloom.catalog import COVERS, QUERIES, SQL
 
 FOLDER = str(DATA / "sf0.001")
 # one or two queries per operator family; CASELOOM_ALL=1 runs every query
-SAMPLE = """events_as_log unroll_loops reduplicate reorder_by_time sort_cases most_frequent_variant kfold_in ratio_split
-prefix_until trace_text variants active_case_load running_entropy case_time_series sample_rank duration_stats
-directly_follows pairwise_gaps_shipments temporal_profile durations_excluding roc_curve subset_support hourly_medians
-fit_classification density_histogram outlier_steps p_values_empirical error_posterior convolved_histograms
-kernel_density activity_intervals last_observation resource_movements case_jaccard censored_enabling_memory
-quantile_entropy prefix_automaton suffix_states bounded_history last_season forecast_average branch_forecast_naive
-rolling_fit remaining_by_bag conditional_duration compare_predictors longest_paths stream_hourly_activity
-stream_event_gaps xes_round_trip training_export""".split()
+SAMPLE = """events_as_log reduplicate reorder_by_time most_frequent_variant kfold_in prefix_until variants
+running_entropy sample_rank duration_stats directly_follows pairwise_gaps_shipments durations_excluding roc_curve
+hourly_medians fit_classification density_histogram outlier_steps p_values_empirical error_posterior kernel_density
+activity_intervals last_observation resource_movements case_jaccard censored_enabling_memory quantile_entropy
+prefix_automaton bounded_history last_season forecast_average remaining_by_bag compare_predictors longest_paths
+stream_event_gaps xes_round_trip""".split()
 NAMES = sorted(SQL) if os.environ.get("CASELOOM_ALL") else SAMPLE
 
 
