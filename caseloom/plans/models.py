@@ -21,7 +21,8 @@ def join_model(rows: DataFrame, model: DataFrame, on: list[str], how: str = "inn
     """
     if model.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(model), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    hashable = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
     copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                             F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

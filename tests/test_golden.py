@@ -358,3 +358,20 @@ def test_subset_study_equals_projected_evaluation(make_log, spark):
     alone = {r["method"]: r for r in remaining.compare_predictors(kept, 3, 4).collect()}
     assert {k[0] for k in study} == {"a,b", "a,c"}
     assert study["a,b", "naive"]["n"] == alone["naive"]["n"]
+
+
+def test_error_test_on_a_convolved_grid(make_log, spark):
+    """p-value of the sum of two exponential durations against direct integration."""
+    log = make_log({"x": [("A", 0), ("B", 1)]}).withColumn("duration", F.when(F.col("pos") == 1, 14.0).otherwise(6.0))
+    dists = spark.createDataFrame([("A", "EXPONENTIAL", [5.0]), ("B", "EXPONENTIAL", [2.0])],
+                                  "activity string, dist_type string, params array<double>")
+    rows = anomaly.error_test(distributions.with_density(log, dists), dists, 0.25).orderBy("pos").collect()
+
+    def g(s):
+        return (math.exp(-s / 5) - math.exp(-s / 2)) / 3
+    step = 0.001
+    expected = sum(g(i * step) * step for i in range(1, 120_000) if g(i * step) <= g(20.0))
+    assert rows[0]["p_child"] == pytest.approx(math.exp(-3.0))
+    assert rows[0]["p_sum"] == pytest.approx(expected, abs=0.01)
+    assert rows[0]["is_error"] == (rows[0]["p_sum"] > rows[0]["p_child"])
+    assert rows[1]["p_sum"] is None and rows[1]["is_error"] == (math.exp(-3.0) < 0.05)
