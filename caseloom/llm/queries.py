@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, packing
+from caseloom.llm import bpe, exact, packing, sharding, simhash
 from caseloom.llm.common import default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,33 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 2,048 tokens."""
     pieces = packing.with_crc(packing.pack(documents(spark, folder), default_vocabulary()))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in three bits or fewer."""
+    found = simhash.near_duplicates(documents(spark, folder))
+    return found.select("doc_id", simhash.as_hex("print").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the copy of its text that stays."""
+    found = exact.deduplicate(documents(spark, folder))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+SQL["op3_exact"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+g AS (SELECT *, count(*) OVER (PARTITION BY body) AS n,
+             first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g"""
+
+
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes, equal texts together."""
+    found = sharding.assign(documents(spark, folder))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
