@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, exact, packing, sharding, simhash
-from caseloom.llm.common import default_vocabulary, documents
+from caseloom.llm import bpe, exact, language, packing, sharding, simhash
+from caseloom.llm.common import crc_of_id, default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,12 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = sharding.assign(documents(spark, folder))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the ids."""
+    docs = documents(spark, folder)
+    held_out = crc_of_id() % 3 == 1
+    found = language.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
