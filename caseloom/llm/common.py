@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.plans.lineage import stored
+
+FEW_ENTRIES = 1_000_000  # of some 24 bytes: what may be broadcast
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -26,3 +30,21 @@ def whole_text(column: str = "text") -> Column:
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id written as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Add a number of its own to every row: its file's place among the files and its place in the file. Rows that do
+    not come from Parquet files are written to the shared folder first. The driver sees the names of the files only."""
+    try:
+        place = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return with_row_ids(stored(df), name)
+    files = sorted(r[0] for r in place.select("_file").distinct().collect())
+    numbers = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_file string, _base bigint")
+    return place.join(F.broadcast(numbers), "_file").withColumn(name, F.col("_base") + F.col("_row")).drop(
+        "_file", "_row", "_base")
+
+
+def join_small(big: DataFrame, table: DataFrame, on: str, entries: int, how: str = "inner") -> DataFrame:
+    """Join documents with what belongs to them: by broadcast while the table has few entries, else by a shuffle."""
+    return big.join(F.broadcast(table) if entries <= FEW_ENTRIES else table, on, how)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, exact, language, packing, sharding, simhash
+from caseloom.llm import bpe, exact, language, packing, sharding, simhash, suffix
 from caseloom.llm.common import crc_of_id, default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_of_id() % 3 == 1
     found = language.identify(docs, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the strings of 200 bytes that occur more than once."""
+    found = suffix.remove_repeats(documents(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
