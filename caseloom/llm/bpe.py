@@ -2,8 +2,8 @@
 
 A merge can only join symbols that stand next to each other inside some vocabulary token. Two neighbouring symbols that
 no token contains side by side are therefore a certain cut: whatever the merges do, no token spans it. Every word is
-split at its certain cuts, the fragments are encoded independently and their ids are concatenated; a worker keeps the ids
-of words it has seen. Long words fall into short fragments, so a word of a million letters costs no more than its length.
+split at its certain cuts, the fragments are encoded independently and their ids are concatenated. A worker keeps the ids
+of words it has seen; the fragments of all new words of some texts are merged together, one merge of each per step. Long words fall into short fragments, so a word of a million letters costs no more than its length.
 
 Ids travel as one binary value per document, little-endian unsigned 32-bit. ``encode`` and ``decode`` add columns; they
 need no shuffle, keep all other columns, and use memory for one Arrow batch and a bounded cache per worker.
@@ -20,8 +20,9 @@ import heapq
 import json
 import re
 import unicodedata
-from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 CACHED_WORDS = 250_000  # entries of one generation of a worker's word cache
 CACHED_LENGTH = 64      # longer words are encoded without being kept
 
-LONG_FRAGMENT = 48      # from here on merges are found with a heap
+LONG_FRAGMENT = 200     # longer ones are merged one by one with a heap
+GROUP_CHARS = 2_000_000 # of texts whose new words are encoded together
 LATIN = 0x180           # texts of code points below, lower case included, are split by the standard library
 BEYOND_LATIN = re.compile(f"[{chr(LATIN)}-\U0010ffff]").search
 NEWER_FROM = 0x558      # the first code point on which versions of Unicode differ
 BEYOND = re.compile(f"[{chr(NEWER_FROM)}-\U0010ffff]").search
-BITS, MASK, NONE = 20, (1 << 20) - 1, 1 << 60
+BITS, MASK = 20, (1 << 20) - 1
+NONE, CUT = 1 << 60, 1 << 61  # pairs without a merge; pairs that no token contains
 
 # fixed values: the pattern that splits words, as in the vocabulary file
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -48,23 +51,36 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(other)) for b in range(256)]
 
 
-class TwoGenerations(dict):
-    """Cache of a function of short keys: a full generation becomes the old one, and what is used again moves on."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= CACHED_LENGTH:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = found
-        return found
+class PairTable:
+    """Numbers by pair of ids, looked up for whole arrays: open addressing with a fixed number of steps."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.bits = max(10, (4 * len(pairs)).bit_length())
+        size, self.steps = 1 << self.bits, 1
+        self.keys, self.values = np.full(size + 64, -1, dtype=np.int64), np.full(size + 64, CUT, dtype=np.int64)
+        keys = np.array(list(pairs), dtype=np.int64)
+        for key, home, value in zip(keys.tolist(), self.home(keys).tolist(), pairs.values()):
+            at = home
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.values[at] = key, value
+            self.steps = max(self.steps, at - home + 1)
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        keys = first << BITS | second
+        at = self.home(keys)
+        out = np.where(self.keys[at] == keys, self.values[at], CUT)
+        for step in range(1, self.steps):
+            left = np.flatnonzero((out == CUT) & (self.keys[at + step - 1] >= 0))
+            if not len(left):
+                break
+            there = at[left] + step
+            out[left] = np.where(self.keys[there] == keys[left], self.values[there], CUT)
+        return out
 
 
 class Codec:
@@ -79,21 +95,23 @@ class Codec:
         self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for name, number in [*vocab.items(), *self.special.items()]:
             self.tokens[number] = name
-        # a pair of ids -> rank of its merge and the new id, in one number, so that the smallest is the next merge
-        self.pairs = {}
+        # a pair of ids -> rank of its merge and the new id in one number, so that the smallest is the next merge
+        pairs = {}
         for rank, pair in enumerate(model["merges"]):
             first, second = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[vocab[first] << BITS | vocab[second]] = rank << BITS | vocab[first + second]
+            pairs[vocab[first] << BITS | vocab[second]] = rank << BITS | vocab[first + second]
         letters = byte_letters()
-        self.inner = [vocab[c] for c in letters]
-        self.last = [vocab[c + suffix] for c in letters]
-        self.together = set()
+        self.inner = np.array([vocab[c] for c in letters])
+        self.last = np.array([vocab[c + suffix] for c in letters])
+        together = {}
         for name in vocab:
             ended = suffix and name.endswith(suffix) and len(name) > len(suffix)
             symbols = [vocab[c] for c in (name[: -len(suffix)] if ended else name)]
             if ended:
                 symbols[-1] = vocab[name[-len(suffix) - 1:]]
-            self.together.update(a << BITS | b for a, b in zip(symbols, symbols[1:]))
+            together.update((a << BITS | b, NONE) for a, b in zip(symbols, symbols[1:]))
+        self.pairs = pairs
+        self.rank, self.beside = PairTable(pairs), PairTable(together | {k: pairs[k] for k in together if k in pairs})
         self.find = regex.compile(WORDS).findall
         self.regex = regex
         # the same pattern for the standard library, which is faster, for texts of Latin letters
@@ -101,7 +119,8 @@ class Codec:
                                     for k in (r"\p{L}", r"\p{N}", r"\s"))
         self.simple = re.compile(f"'(?:[stmd]|re|ve|ll)|[{letters_}]+|[{digits}]|[^{blanks}{letters_}{digits}]+").findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.words = TwoGenerations(self.encode_word, CACHED_WORDS)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @functools.cached_property
     def newer(self) -> frozenset[str]:
@@ -109,24 +128,8 @@ class Codec:
         later = self.regex.compile(r"[\p{L}\p{N}]").match
         return frozenset(c for c in map(chr, range(NEWER_FROM, 0x110000)) if unicodedata.category(c) == "Cn" and later(c))
 
-    def merge(self, parts: list[int]) -> list[int]:
-        """Ids of a fragment: always the pair of lowest rank next, the leftmost first."""
-        if len(parts) > LONG_FRAGMENT:
-            return self.merge_long(parts)
-        rank = self.pairs.get
-        keys = [rank(a << BITS | b, NONE) for a, b in zip(parts, parts[1:])]
-        while keys and (best := min(keys)) != NONE:
-            i = keys.index(best)
-            parts[i] = new = best & MASK
-            del keys[i], parts[i + 1]
-            if i:
-                keys[i - 1] = rank(parts[i - 1] << BITS | new, NONE)
-            if i < len(keys):
-                keys[i] = rank(new << BITS | parts[i + 1], NONE)
-        return parts
-
     def merge_long(self, parts: list[int]) -> list[int]:
-        """The same with a heap over a linked list, for fragments of any length."""
+        """Ids of a fragment of any length: always the pair of lowest rank next, the leftmost first."""
         rank, n = self.pairs.get, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(key, i) for i in range(n - 1) if (key := rank(parts[i] << BITS | parts[i + 1], NONE)) != NONE]
@@ -145,17 +148,65 @@ class Codec:
                     heapq.heappush(heap, (found, a))
         return [p for p in parts if p >= 0]
 
-    def encode_word(self, word: str) -> bytes:
-        raw = word.encode()
-        symbols = [*map(self.inner.__getitem__, raw)]
-        symbols[-1] = self.last[raw[-1]]
-        keys = [a << BITS | b for a, b in zip(symbols, symbols[1:])]
-        if self.together.issuperset(keys):
-            out = self.merge(symbols)
-        else:
-            cuts = [0, *[i for i, key in enumerate(keys, 1) if key not in self.together], len(symbols)]
-            out = [x for a, b in zip(cuts, cuts[1:]) for x in self.merge(symbols[a:b])]
-        return array("I", out).tobytes()
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: their symbols in one row, cut into fragments, each fragment merged until no pair has a rank."""
+        if not words:
+            return []
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ends = np.cumsum(size)
+        symbols = self.inner[data]
+        symbols[ends - 1] = self.last[data[ends - 1]]
+        rank = np.append(self.beside(symbols[:-1], symbols[1:]), CUT)
+        rank[ends - 1] = CUT
+        cuts = np.flatnonzero(rank == CUT) + 1
+        rank[cuts - 1] = NONE
+        length = np.diff(np.r_[0, cuts])
+        done = np.full(len(data), -1, dtype=np.int64)
+        long = length > LONG_FRAGMENT
+        for stop, n in zip(cuts[long].tolist(), length[long].tolist()):
+            merged = self.merge_long(symbols[stop - n: stop].tolist())
+            done[stop - n: stop - n + len(merged)] = merged
+        some = ~np.repeat(long, length)
+        self.merge_all(symbols[some], rank[some], length[~long], np.flatnonzero(some), done)
+        kept = done >= 0
+        ids = done[kept].astype(np.uint32).tobytes()
+        stops = (4 * np.cumsum(kept)[ends - 1]).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+    def merge_all(self, symbols, rank, length, place, done) -> None:
+        """Merge many fragments at once: in every step the pair of lowest rank of each fragment, at all its places.
+        ``rank`` holds that of a symbol and the next one; ``done`` gets the ids at their places."""
+        final = np.zeros(len(symbols), dtype=bool)
+        final[np.cumsum(length) - 1] = True
+        while len(symbols):
+            starts = np.cumsum(length) - length
+            least = np.minimum.reduceat(rank, starts)
+            live = least < NONE
+            if not live.all():
+                keep = np.repeat(live, length)
+                done[place[~keep]] = symbols[~keep]
+                symbols, rank, place, final = symbols[keep], rank[keep], place[keep], final[keep]
+                length, least = length[live], least[live]
+                if not len(length):
+                    return
+            number = np.repeat(np.arange(len(length)), length)
+            at = np.flatnonzero(rank == least[number])
+            order = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], order, 0))
+            at = at[(order - run) % 2 == 0]  # of pairs that overlap, every other one from the left
+            symbols[at] = rank[at] & MASK
+            final[at] = final[at + 1]
+            length = length - np.bincount(number[at], minlength=len(length))
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[at + 1] = False
+            symbols, rank, place, final = symbols[keep], rank[keep], place[keep], final[keep]
+            at = at - np.arange(len(at))
+            changed = np.unique(np.r_[at, at[at > 0] - 1])
+            after = np.minimum(changed + 1, len(symbols) - 1)
+            new = self.rank(symbols[changed], symbols[after])
+            rank[changed] = np.where(final[changed] | (new == CUT), NONE, new)
 
     def segment(self, text: str) -> list[str]:
         """Words of the composed text in lower case, letter by letter (a final sigma gets no form of its own)."""
@@ -171,19 +222,48 @@ class Codec:
         signs = "".join("\u00a6" if c in self.newer else c for c in text)  # of the same length
         return [text[w.start():w.end()] for w in self.regex.finditer(WORDS, signs)]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words, special = self.words, self.special
+    def pieces(self, text: str) -> list[str]:
+        """Words and special tokens of a text."""
         if self.parts is None or "<" not in text:
-            return b"".join([words[w] for w in self.segment(text)])
-        out = []
-        for part in self.parts(text):
-            if part in special:
-                out.append(special[part].to_bytes(4, "little"))
-            elif part:
-                out.extend([words[w] for w in self.segment(part)])
-        return b"".join(out)
+            return self.segment(text)
+        return [w for part in self.parts(text) if part for w in ([part] if part in self.special else self.segment(part))]
+
+    def ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of some words: what was seen before is kept in two generations of bounded size."""
+        if len(self.words) + len(words) > CACHED_WORDS:
+            self.older, self.words = self.words, {}
+        new = []
+        for word in words.difference(self.words):
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.words[word] = ids
+        found = dict(zip(new, self.encode_words(new)))
+        for word in self.special.keys() & words:
+            found[word] = self.special[word].to_bytes(4, "little")
+        self.words.update((w, i) for w, i in found.items() if len(w) <= CACHED_LENGTH)
+        return {w: i for w, i in found.items() if len(w) > CACHED_LENGTH}
+
+    def encode_texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of every text, taken together in groups of some characters."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(self.pieces(text) if text else [])
+            chars += len(text or "")
+            if chars >= GROUP_CHARS:
+                yield from self.encode_group(group)
+                group, chars = [], 0
+        yield from self.encode_group(group)
+
+    def encode_group(self, group: list[list[str]]) -> Iterator[bytes]:
+        long = self.ids_of(set().union(*group))
+        words = self.words
+        for pieces in group:
+            yield b"".join([long[w] if w in long else words[w] for w in pieces] if long else [words[w] for w in pieces])
+
+    def encode(self, text: str | None) -> bytes:
+        return next(iter(self.encode_texts([text])))
 
     def decode(self, ids: bytes | None) -> str:
         """Tokens joined by blanks, as a vocabulary without a decoder has it."""
@@ -220,8 +300,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     @F.pandas_udf("binary")
     def to_ids(texts: pd.Series) -> pd.Series:
-        one = vocabulary.codec().encode
-        return pd.Series([one(t) for t in texts], dtype=object)
+        return pd.Series(list(vocabulary.codec().encode_texts(texts)), dtype=object)
 
     return df.withColumn(ids, to_ids(F.col(text).cast("string")))
 

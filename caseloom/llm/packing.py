@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,22 +35,20 @@ def token_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     kind = docs.schema[key].dataType.simpleString()
 
     def number(batches):
-        part, before, encode = TaskContext.get().partitionId(), 0, vocabulary.codec().encode
+        part, before, encode = TaskContext.get().partitionId(), 0, vocabulary.codec().encode_texts
         for batch in batches:
-            keys, texts, at = batch.column(0), batch.column(1), 0
-            while at < len(keys):
-                ids, filled, begin = [], 0, at
-                while at < len(keys) and filled < BATCH_BYTES:
-                    ids.append(encode(texts[at].as_py()) + last)
-                    filled += len(ids[-1])
-                    at += 1
-                n, start = [len(x) // 4 for x in ids], []
-                for x in n:
-                    start.append(before)
-                    before += x
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(n), pa.int32()), pa.array(start, pa.int64()), keys.slice(begin, at - begin),
-                     pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "before", "key", "n", "ids"])
+            at, held, filled = 0, [], 0
+            for ids in encode(t.as_py() for t in batch.column(1)):
+                held.append(ids + last)
+                filled += len(held[-1])
+                if filled >= BATCH_BYTES or at + len(held) == batch.num_rows:
+                    n = np.fromiter(map(len, held), np.int64, len(held)) // 4
+                    start = before + np.cumsum(n) - n
+                    before += int(n.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(n), part, np.int32)), pa.array(start), batch.column(0).slice(at, len(n)),
+                         pa.array(n), pa.array(held, pa.binary())], ["part", "before", "key", "n", "ids"])
+                    at, held, filled = at + len(held), [], 0
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
         number, f"part int, before bigint, key {kind}, n bigint, ids binary")
