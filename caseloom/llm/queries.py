@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, exact, language, packing, sharding, simhash, suffix
+from caseloom.llm import bpe, exact, language, neighbours, packing, sharding, simhash, suffix
 from caseloom.llm.common import crc_of_id, default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def op9_suffix(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the strings of 200 bytes that occur more than once."""
     found = suffix.remove_repeats(documents(spark, folder).select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    found = neighbours.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"),
+                        "recall")
