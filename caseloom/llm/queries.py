@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, exact, language, neighbours, packing, sharding, simhash, suffix
+from caseloom.llm import bpe, exact, language, neighbours, packing, sharding, simhash, suffix, toxicity
 from caseloom.llm.common import crc_of_id, default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,14 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     found = neighbours.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"),
                         "recall")
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four fifths of the ids."""
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where(crc_of_id() % 5 != 0)
+    network = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score(docs.select("doc_id", "text"), network)
+    return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
