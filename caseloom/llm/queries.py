@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, exact, language, neighbours, packing, sharding, simhash, suffix, toxicity
+from caseloom.llm import bpe, chaining, exact, language, neighbours, packing, sharding, simhash, suffix, toxicity
 from caseloom.llm.common import crc_of_id, default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,11 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(docs.select("doc_id", "text"), network)
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op5_chaining(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the fuzzy passages it shares with others."""
+    found = chaining.shared_passages(documents(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "partner_id", "n_words", "n_bytes", "n_removed", "n_spans",
+                        F.sha2("kept", 256).alias("kept_sha256"))
