@@ -13,8 +13,8 @@ their digests while those are few (``FEW_HITS``), else through a join.
 Texts are equal when they are identical after deleting blanks (``[\\x20\\x09-\\x0D]``). Of equal texts the longest original
 (in code points) stays, then the smallest identifier.
 
-Defined cases: a missing text counts as the empty text, and all empty texts are copies of each other; rows that repeat
-with the same identifier are each reported, and those equal to the one that stays in identifier and locator are kept;
+Defined cases: a missing text counts as the empty text, and all empty texts are copies of each other; of rows that repeat
+with the same identifier the one with the largest locator stays (without files and a locator, all of them do);
 identifiers are integers, a missing one loses against any other; an empty table gives no rows. Columns other than
 identifier and text are not read.
 """
@@ -46,17 +46,24 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def records(docs: DataFrame, text: str = "text", key: str = "doc_id", digest=digest_of) -> DataFrame:
-    """``id, digest, chars, locator`` of every row; the locator is file and row where the source is files."""
+def located(docs: DataFrame, text: str, key: str, locator: str | None) -> DataFrame:
+    """``id, chars, locator, body`` of every row; the locator is file and row where the source is files, unless a column
+    is named."""
     whole = whole_text(text)
-    columns = [F.col(key).cast("bigint").alias("id"), digest(without_blanks(whole)).alias("digest"),
-               F.length(whole).alias("chars")]
+    columns = [F.col(key).cast("bigint").alias("id"), F.length(whole).alias("chars"), without_blanks(whole).alias("body")]
+    if locator:
+        return docs.select(*columns, F.col(locator).cast("string").alias("locator"))
     try:
         return docs.select(*columns, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("locator"))
     except AnalysisException:  # rows that do not come from files
         return docs.select(*columns, F.col(key).cast("string").alias("locator"))
 
 
+def records(rows: DataFrame, digest=digest_of) -> DataFrame:
+    """``id, digest, chars, locator``: what the state sees of a document."""
+    return rows.select("id", digest(F.col("body")).alias("digest"), "chars", "locator")
+
+
 def take_in(spark: SparkSession, folder: str, state: str, files_per_batch: int | None = None) -> DataFrame:
     """Run the stream over all records in ``folder`` that ``state`` has not seen; the whole state then:
     ``digest, n, id, locator`` (of the record that stays)."""
@@ -80,45 +87,39 @@ def take_in(spark: SparkSession, folder: str, state: str, files_per_batch: int |
                         F.col("value.max.locator").alias("locator"))
 
 
-def collisions(docs: DataFrame, state: DataFrame, text: str = "text", key: str = "doc_id",
-               digest=digest_of) -> DataFrame:
+def collisions(rows: DataFrame, state: DataFrame, digest=digest_of) -> DataFrame:
     """Classes of equal text inside digests that several texts share: ``digest, body, n, stay``. The full texts of all
     rows whose digest was a hit are compared."""
     hits = stored(state.where("n > 1").select("digest"))
-    whole = whole_text(text)
-    body = docs.select(F.col(key).cast("bigint").alias("id"), F.length(whole).alias("chars"),
-                       without_blanks(whole).alias("body")).withColumn("digest", digest(F.col("body")))
     few = hits.count() <= FEW_HITS
-    again = body.join(F.broadcast(hits) if few else hits, "digest", "left_semi")
+    again = rows.withColumn("digest", digest(F.col("body"))).join(F.broadcast(hits) if few else hits, "digest",
+                                                                  "left_semi")
     classes = again.groupBy("digest", "body").agg(
-        F.count("*").alias("n"), F.max(F.struct("chars", F.bitwise_not("id").alias("low"))).alias("stay"))
-    shared = classes.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
-    shared = stored(shared)
+        F.count("*").alias("n"), F.max(F.struct("chars", F.bitwise_not("id").alias("low"), "locator")).alias("stay"))
+    shared = stored(classes.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"))
     if shared.isEmpty():
-        return shared.select("digest", F.lit("").alias("body"), F.lit(0).cast("bigint").alias("n"),
-                             F.lit(0).cast("bigint").alias("keep")).where("false")
-    return stored(classes.join(shared, "digest").select("digest", "body", "n", F.bitwise_not("stay.low").alias("keep")))
+        return classes.where("false")
+    return stored(classes.join(shared, "digest"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", digest=digest_of,
-                files_per_batch: int | None = None) -> DataFrame:
-    """One row per document: the key, ``keep_id, group_size, kept`` and ``digest`` (of the text without blanks)."""
-    spark = docs.sparkSession
+                files_per_batch: int | None = None, locator: str | None = None) -> DataFrame:
+    """One row per document: the key, ``keep_id, group_size, kept, digest`` (of the text without blanks) and
+    ``locator``."""
+    spark, rows = docs.sparkSession, located(docs, text, key, locator)
     folder = new_folder(spark, "records")
-    records(docs, text, key, digest).write.parquet(folder)
+    records(rows, digest).write.parquet(folder)
     state = stored(take_in(spark, folder, new_folder(spark, "state"), files_per_batch))
-    split = collisions(docs, state, text, key, digest)
-    rows = spark.read.schema("id bigint, digest binary, chars int, locator string").parquet(folder)
+    split = collisions(rows, state, digest)
+    seen = spark.read.schema("id bigint, digest binary, chars int, locator string").parquet(folder)
     of_digest = state.select("digest", "n", F.col("id").alias("keep"), F.col("locator").alias("keep_at"))
-    sure = rows.join(of_digest, "digest")
-    if split.isEmpty():
-        found = sure
-    else:
+    found = seen.join(of_digest, "digest").select("id", "digest", "locator", "n", "keep", "keep_at")
+    if not split.isEmpty():
         some = split.select("digest").distinct()
-        whole = whole_text(text)
-        apart = docs.select(F.col(key).cast("bigint").alias("id"), without_blanks(whole).alias("body")).withColumn(
-            "digest", digest(F.col("body"))).join(some, "digest", "left_semi").join(split, ["digest", "body"])
-        found = sure.join(some, "digest", "left_anti").select("id", "digest", "n", "keep").unionByName(
-            apart.select("id", "digest", "n", "keep"))
+        apart = rows.withColumn("digest", digest(F.col("body"))).join(some, "digest", "left_semi").join(
+            split.select("digest", "body", "n", F.bitwise_not("stay.low").alias("keep"),
+                         F.col("stay.locator").alias("keep_at")), ["digest", "body"])
+        found = found.join(some, "digest", "left_anti").unionByName(apart.select(found.columns))
+    kept = F.col("id").eqNullSafe(F.col("keep")) & F.col("locator").eqNullSafe(F.col("keep_at"))
     return found.select(F.col("id").alias(key), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"),
-                        F.col("id").eqNullSafe(F.col("keep")).alias("kept"), "digest")
+                        kept.alias("kept"), "digest", "locator")
