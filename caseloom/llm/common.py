@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from caseloom.plans.lineage import stored
 
+FEW_FILES = 200          # whose numbers are written into the plan; those of more are joined
 FEW_ENTRIES = 1_000_000  # of some 24 bytes: what may be broadcast
 VOCABULARY = "word_bpe_49k.json"
 
@@ -36,13 +37,17 @@ def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Add a number of its own to every row: its file's place among the files and its place in the file. Rows that do
     not come from Parquet files are written to the shared folder first. The driver sees the names of the files only."""
     try:
-        place = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        place = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:
         return with_row_ids(stored(df), name)
-    files = sorted(r[0] for r in place.select("_file").distinct().collect())
-    numbers = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_file string, _base bigint")
-    return place.join(F.broadcast(numbers), "_file").withColumn(name, F.col("_base") + F.col("_row")).drop(
-        "_file", "_row", "_base")
+    files = sorted(r[0] for r in place.select("__file").distinct().collect())
+    if len(files) <= FEW_FILES:
+        numbers = F.create_map(*(F.lit(x) for i, f in enumerate(files) for x in (f, i << 40)))
+        base = numbers[F.col("__file")] if files else F.lit(0)
+        return place.withColumn(name, base + F.col("__row")).drop("__file", "__row")
+    numbers = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "__file string, __base bigint")
+    return place.join(F.broadcast(numbers), "__file").withColumn(name, F.col("__base") + F.col("__row")).drop(
+        "__file", "__row", "__base")
 
 
 def join_small(big: DataFrame, table: DataFrame, on: str, entries: int, how: str = "inner") -> DataFrame:

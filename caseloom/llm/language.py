@@ -181,8 +181,8 @@ def predict(df: DataFrame, trees: Trees, text: str = "text", lang: str = "lang_p
         for texts in batches:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
 
-    found = df.withColumn("_found", identify(F.col(text).cast("string")))
-    return found.withColumn(lang, F.col("_found.lang")).withColumn(score, F.col("_found.score")).drop("_found")
+    found = df.withColumn("__found", identify(F.col(text).cast("string")))
+    return found.withColumn(lang, F.col("__found.lang")).withColumn(score, F.col("__found.score")).drop("__found")
 
 
 def identify(df: DataFrame, learn_from: Column, text: str = "text", lang: str = "lang") -> DataFrame:

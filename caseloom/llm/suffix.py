@@ -16,9 +16,10 @@ be measured at the run ends only, and few of them are there in repetitive text.
 elsewhere of every position (its matching statistic) is the largest of these samples less the distance to it; positions
 with ``WINDOW`` or more are marked.
 
-*Hot anchors.* An anchor with more than ``BUCKET`` different contexts (a common passage) is split: a window around it
-holds at least half of the missing bytes to its left or to its right, so two longer anchors take its place. At
-``WINDOW`` bytes the anchor is the window itself, and contexts are equal.
+*Hot anchors.* An anchor with more than ``BUCKET`` different contexts (at the edges of a common passage) is split: the
+windows around it are told apart by how many bytes they hold to its left, in ``WAYS`` steps, and a longer anchor that all
+windows of a step hold takes its place. After three such rounds the anchor is the window itself, and contexts are equal.
+Only one context of each kind goes on.
 
 Defined cases: a missing text is the empty text; texts shorter than the window lose nothing; rows that repeat are copies
 of each other; an empty table gives no rows. Columns other than the text are kept; columns of the outputs' names are
@@ -32,7 +33,7 @@ import functools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import join_small, whole_text, with_row_ids
@@ -40,8 +41,9 @@ from caseloom.plans.lineage import stored
 
 WINDOW = 200
 ANCHOR = 32
-BUCKET = 4096          # contexts of one anchor in one task
-CHUNK = 1_000_000      # bytes that are indexed together
+BUCKET = 1024          # different contexts of one anchor in one index
+WAYS = 8               # longer anchors that take the place of a hot one
+CHUNK = 600_000        # bytes that are indexed together
 STRETCH = 1 << 20      # bytes of a text that are hashed together
 OUT_ROWS = 50_000
 SEPARATOR = 255        # never a byte of UTF-8
@@ -103,8 +105,8 @@ def stretches(n: int, window: int):
 
 
 def anchors(data: np.ndarray, window: int = WINDOW, length: int = ANCHOR):
-    """Arrays ``a`` (hash of the anchor), ``c`` (hash of its context), ``pos, lo, hi`` of a text's anchors."""
-    found = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+    """Arrays ``a`` (hash of the anchor), ``c`` (hash of its context) and ``pos`` of a text's anchors."""
+    found = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64)]
     last = -1
     for first, end, low, high in stretches(len(data), window):
         part = data[low:high]
@@ -117,37 +119,55 @@ def anchors(data: np.ndarray, window: int = WINDOW, length: int = ANCHOR):
         pos = pos[pos + low > last]
         if len(pos):
             last = int(pos[-1]) + low
-            found = [np.concatenate([x, y]) for x, y in zip(found, contexts_of(part, spans, pos, low, window, length))]
+            found = [np.concatenate([x, y]) for x, y in zip(found, hashed(part, spans, pos, low, window, length))]
     return found
 
 
-def contexts_of(part: np.ndarray, spans: Spans, pos: np.ndarray, low: int, window: int, length: int):
-    lo, hi = np.maximum(pos - (window - length), 0), np.minimum(pos + window, len(part))
+def context(pos, size, window: int, length: int):
+    """First and last byte of the windows around an anchor."""
+    return np.maximum(pos - (window - length), 0), np.minimum(pos + window, size)
+
+
+def hashed(part: np.ndarray, spans: Spans, pos: np.ndarray, low: int, window: int, length: int):
+    lo, hi = context(pos, len(part), window, length)
     shape = (pos - lo).astype(np.uint64) << np.uint64(32) | (hi - pos).astype(np.uint64)
-    return (spans(pos, pos + length), mix(Spans(part, 2)(lo, hi) ^ mix(shape)), pos + low, lo + low, hi + low)
+    return spans(pos, pos + length), mix(Spans(part, 2)(lo, hi) ^ mix(shape)), pos + low
 
 
-def longer(pos: int, length: int, size: int, window: int) -> list[tuple[int, int]]:
-    """The two longer anchors that take the place of one, as far as the text has room."""
-    more = -(-(window - length) // 2)
-    return [p for p in {(pos - more, length + more), (pos, length + more)} if p[0] >= 0 and p[0] + p[1] <= size]
+def longer(pos: np.ndarray, length: int, size: int, window: int) -> tuple[np.ndarray, int]:
+    """Places and length of the longer anchors that take the place of some of ``length``, as far as the text has room.
+    A window holds ``window - length`` bytes beside its anchor; the anchors are told apart by how many of them are on
+    the left, in up to ``WAYS`` steps, or one by one if they are few."""
+    rest = window - length
+    step = -(-rest // WAYS) if rest > WAYS else 0
+    left = np.arange(0, rest, step) if step else np.arange(rest + 1)
+    starts = np.unique((pos[:, None] - left[None, :]).ravel())
+    return starts[(starts >= 0) & (starts + window - step <= size)], window - step
 
 
 def bytes_of(value) -> np.ndarray:
     return np.frombuffer((value.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-ROWS = "row_id bigint, a bigint, c bigint, pos int, lo int, hi int, length int"
+ROWS = "row_id bigint, a bigint, c bigint, place bigint"
 
 
 def batch_of(parts: list[tuple]) -> pa.RecordBatch:
-    """A batch of ``ROWS`` from (row id, arrays, anchor length)."""
-    n = [len(arrays[0]) for _, arrays, _ in parts]
-    join = lambda k: np.concatenate([arrays[k] for _, arrays, _ in parts])
+    """A batch of ``ROWS`` from (row id, size of the text, arrays). ``place`` holds the place of the anchor and the room
+    behind it, as far as a window reaches."""
+    n = [len(arrays[0]) for _, _, arrays in parts]
+    join = lambda k: np.concatenate([arrays[k] for _, _, arrays in parts])
+    pos, size = join(2), np.repeat(np.array([s for _, s, _ in parts], np.int64), n)
     columns = [np.repeat(np.array([r for r, _, _ in parts], np.int64), n), join(0).view(np.int64), join(1).view(np.int64),
-               *(join(k).astype(np.int32) for k in (2, 3, 4)),
-               np.repeat(np.array([x for _, _, x in parts], np.int32), n)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row_id", "a", "c", "pos", "lo", "hi", "length"])
+               pos << 16 | np.minimum(size - pos, (1 << 16) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row_id", "a", "c", "place"])
+
+
+def span_of(place: str, window: int, length: int) -> tuple[Column, Column]:
+    """First and last byte of the context of a place, as columns."""
+    pos, room = F.shiftright(place, 16), F.col(place).bitwiseAND(F.lit((1 << 16) - 1))
+    return (F.greatest(F.lit(0), pos - (window - length)).cast("int"),
+            (pos + F.least(room, F.lit(window))).cast("int"))
 
 
 def anchor_rows(docs: DataFrame, window: int, length: int) -> DataFrame:
@@ -155,9 +175,10 @@ def anchor_rows(docs: DataFrame, window: int, length: int) -> DataFrame:
         for batch in batches:
             parts, filled = [], 0
             for row, text in zip(batch.column(0), batch.column(1)):
-                found = anchors(bytes_of(text), window, length)
+                data = bytes_of(text)
+                found = anchors(data, window, length)
                 if len(found[0]):
-                    parts.append((row.as_py(), found, length))
+                    parts.append((row.as_py(), len(data), found))
                     filled += len(found[0])
                 if filled >= OUT_ROWS:
                     yield batch_of(parts)
@@ -168,26 +189,25 @@ def anchor_rows(docs: DataFrame, window: int, length: int) -> DataFrame:
     return docs.select("row_id", "_text").mapInArrow(scan, ROWS)
 
 
-def longer_rows(docs: DataFrame, hot: DataFrame, entries: int, window: int) -> DataFrame:
+def longer_rows(docs: DataFrame, hot: DataFrame, entries: int, window: int, length: int) -> DataFrame:
     """Rows of the longer anchors that take the place of hot ones."""
-    wanted = hot.groupBy("row_id").agg(F.collect_set(F.struct("pos", "length")).alias("wanted"))
+    wanted = hot.groupBy("row_id").agg(F.collect_set(F.shiftright("place", 16)).alias("wanted"))
 
     def scan(batches):
         for batch in batches:
-            parts = []
+            parts, filled = [], 0
             for row, text, places in zip(*(batch.column(i) for i in range(3))):
                 data = bytes_of(text)
-                new = {x for p in places.as_py() for x in longer(p["pos"], p["length"], len(data), window)}
-                for size in sorted({x[1] for x in new}):
-                    for pos in sorted(p for p, s in new if s == size):
-                        low, high = max(0, pos - window), min(len(data), pos + 2 * window)
-                        part = data[low:high]
-                        if len(part) >= window:
-                            parts.append((row.as_py(), contexts_of(part, Spans(part, 1), np.array([pos - low]), low,
-                                                                   window, size), size))
-                if len(parts) >= OUT_ROWS // 10:
+                pos, size = longer(np.array(places.as_py(), dtype=np.int64), length, len(data), window)
+                for number in np.unique(pos // STRETCH):
+                    some = pos[pos // STRETCH == number]
+                    low, high = max(0, int(some[0]) - window), min(len(data), int(some[-1]) + 2 * window)
+                    part = data[low:high]
+                    parts.append((row.as_py(), len(data), hashed(part, Spans(part, 1), some - low, low, window, size)))
+                    filled += len(some)
+                if filled >= OUT_ROWS:
                     yield batch_of(parts)
-                    parts = []
+                    parts, filled = [], 0
             if parts:
                 yield batch_of(parts)
 
@@ -195,20 +215,23 @@ def longer_rows(docs: DataFrame, hot: DataFrame, entries: int, window: int) -> D
     return rows.select("row_id", "_text", "wanted").mapInArrow(scan, ROWS)
 
 
-def context_rows(docs: DataFrame, needed: DataFrame, entries: int) -> DataFrame:
+def context_rows(docs: DataFrame, needed: DataFrame, entries: int, window: int, length: int) -> DataFrame:
     """``a, row_id, lo, body``: the bytes of the contexts to be indexed."""
-    wanted = needed.groupBy("row_id").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("wanted"))
+    wanted = needed.groupBy("row_id").agg(F.collect_list(F.struct("a", F.shiftright("place", 16).alias("pos"))).alias(
+        "wanted"))
 
     def scan(batches):
         for batch in batches:
             for row, text, places in zip(*(batch.column(i) for i in range(3))):
                 body, places, row = (text.as_py() or "").encode("utf-8", "surrogatepass"), places.as_py(), row.as_py()
-                for at in range(0, len(places), OUT_ROWS):
-                    some = places[at: at + OUT_ROWS]
+                for at in range(0, len(places), OUT_ROWS // 10):
+                    some = places[at: at + OUT_ROWS // 10]
+                    lo, hi = context(np.array([p["pos"] for p in some]), len(body), window, length)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([p["a"] for p in some], pa.int64()), pa.array([row] * len(some), pa.int64()),
-                         pa.array([p["lo"] for p in some], pa.int32()),
-                         pa.array([body[p["lo"]: p["hi"]] for p in some], pa.binary())], ["a", "row_id", "lo", "body"])
+                         pa.array(lo.astype(np.int32)),
+                         pa.array([body[x:y] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
+                        ["a", "row_id", "lo", "body"])
 
     rows = join_small(docs.select("row_id", "_text"), wanted, "row_id", entries)
     return rows.select("row_id", "_text", "wanted").mapInArrow(scan, "a bigint, row_id bigint, lo int, body binary")
@@ -333,22 +356,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, length: int = ANCHOR, bucket:
     while True:
         twice = rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
         members = stored(rows.join(twice, "a", "left_semi"))
-        classes = stored(members.groupBy("a", "c").agg(
-            F.count("*").alias("n"), F.min(F.struct("row_id", "pos", "lo", "hi", "length")).alias("one")))
+        classes = stored(members.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "place")).alias(
+            "one")))
+        start, stop = span_of("place", window, length)
         whole = members.join(classes.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select(
-            "row_id", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+            "row_id", start.alias("start"), stop.alias("stop"))
         found = whole if found is None else found.union(whole)
         mixed = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where(
             "kinds > 1 AND least = 1").select("a", "kinds")
         open_ = stored(classes.join(mixed, "a").select("a", "one.*", "kinds"))
         few, many = open_.agg(F.count_if(F.col("kinds") <= bucket), F.count_if(F.col("kinds") > bucket)).first()
         if few:
-            found = found.union(stored(indexed(context_rows(docs, open_.where(F.col("kinds") <= bucket), few), window)))
+            bodies = context_rows(docs, open_.where(F.col("kinds") <= bucket), few, window, length)
+            found = found.union(stored(indexed(bodies, window)))
         if not many:
             return found
-        # all members of a hot anchor go on, since equal ones have to be counted again
-        hot = members.join(mixed.where(F.col("kinds") > bucket).select("a"), "a", "left_semi")
-        rows = stored(longer_rows(docs, hot, hot.count(), window))
+        # one of each kind goes on; the others of a kind are repeated as a whole and marked already
+        hot = open_.where(F.col("kinds") > bucket)
+        rows = stored(longer_rows(docs, hot, many, window, length))
+        length = longer(np.zeros(1, np.int64), length, window, window)[1]
 
 
 def merged(spans: DataFrame) -> DataFrame:
