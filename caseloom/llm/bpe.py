@@ -123,11 +123,19 @@ class Codec:
         self.older: dict[str, bytes] = {}
 
     @functools.cached_property
-    def newer(self) -> frozenset[str]:
-        """Letters and digits that only later versions of Unicode assign; words are split as if they were signs."""
+    def recent(self) -> frozenset[str]:
+        """Letters and digits that only later versions of Unicode assign than the standard library has."""
         later = self.regex.compile(r"[\p{L}\p{N}]").match
         return frozenset(c for c in map(chr, range(NEWER_FROM, 0x110000)) if unicodedata.category(c) == "Cn" and later(c))
 
+    @functools.cached_property
+    def newer(self) -> frozenset[str]:
+        """Those of them that the version of the tokenizers has not either; words are split as if they were signs."""
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+        known = Split(Regex(r"[\p{L}\p{N}]+"), "removed", invert=True).pre_tokenize_str
+        return frozenset(c for c in self.recent if not known(c))
+
     def merge_long(self, parts: list[int]) -> list[int]:
         """Ids of a fragment of any length: always the pair of lowest rank next, the leftmost first."""
         rank, n = self.pairs.get, len(parts)
@@ -215,7 +223,7 @@ class Codec:
         text = unicodedata.normalize("NFC", text)
         if not BEYOND_LATIN(text):
             return self.simple(text.lower())
-        if "\u03a3" not in text and (not BEYOND(text) or self.newer.isdisjoint(text)):
+        if "\u03a3" not in text and (not BEYOND(text) or self.recent.isdisjoint(text)):
             return self.find(text.lower())
         from tokenizers.normalizers import Lowercase
         text = Lowercase().normalize_str(text)
