@@ -9,7 +9,7 @@ cover every pair within three bits, without exception.
 
 Equal fingerprints are collapsed first. A bucket emits no pairs but a spanning forest of its links, at most one edge per
 fingerprint. Buckets beyond ``BUCKET`` members are split the same way again: the members agree on the mask, so masks over
-the other positions cover their pairs in smaller buckets, until the positions are used up.
+the other positions cover their pairs in smaller buckets, until so few positions are left that a bucket is small anyway.
 
 Defined cases: a missing text is the empty text; texts without words have fingerprint zero and link like any other; a
 text of fewer words than a shingle is one shingle; rows that repeat fall into one component; an empty table gives no rows.
@@ -32,6 +32,7 @@ WORDS = 3
 SEED = 42
 RADIUS = 3
 BUCKET = 2048
+FEW_POSITIONS = 14  # positions left out of a mask, over which there are at most 2 ** 14 fingerprints
 COUNTED = 1 << 15  # shingles whose bits are counted at once
 
 
@@ -108,8 +109,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``a, b`` of a spanning forest of every bucket's links. Buckets are bounded by ``BUCKET``; a task holds one
-    batch and one bucket."""
+    """Edges ``a, b`` of a spanning forest of every bucket's links. Buckets are bounded; a task holds a batch and one
+    bucket."""
     def forest(prints: np.ndarray) -> list[tuple[int, int]]:
         rest, edges = prints, []
         while len(rest):
@@ -159,7 +160,8 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     """Edges between distinct fingerprints that connect exactly what pairs within the radius connect."""
     rows, edges = first_tables(prints), None
     while True:
-        large = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("bucket"))
+        open_ = rows.where(F.bit_count("mask") < 64 - FEW_POSITIONS)
+        large = stored(open_.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("bucket"))
         if large.isEmpty():
             found = bucket_links(rows, radius)
             return found if edges is None else edges.union(found)

@@ -268,7 +268,7 @@ def test_chains_are_in_order_and_best():
         found = chaining.chains(pos, at)
         for _, chain in found:
             assert all(pos[a] < pos[b] and at[a] < at[b] for a, b in zip(chain, chain[1:]))
-        if found:
+        if brute_chain(pos, at) > (chaining.SEED + chaining.WINNOW) / 2:  # more than one link
             assert found[0][0] == pytest.approx(brute_chain(pos, at))
 
 
