@@ -27,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 250_000  # entries of one generation of a worker's word cache
+CACHED_WORDS = 100_000  # entries of one generation of a worker's word cache
 CACHED_LENGTH = 64      # longer words are encoded without being kept
 
 LONG_FRAGMENT = 200     # longer ones are merged one by one with a heap
-GROUP_CHARS = 2_000_000 # of texts whose new words are encoded together
+GROUP_CHARS = 1_000_000 # of texts whose new words are encoded together
 LATIN = 0x180           # texts of code points below, lower case included, are split by the standard library
 BEYOND_LATIN = re.compile(f"[{chr(LATIN)}-\U0010ffff]").search
 NEWER_FROM = 0x558      # the first code point on which versions of Unicode differ

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 ORDER = 4
 SAMPLE_TEXTS = 400        # per language, at most
 SAMPLE_CHARS = 1_500_000  # per language, at most; texts longer than that are not taken into the sample
-CACHED_WORDS = 250_000
-CACHED_GRAMS = 400_000
+CACHED_WORDS = 120_000
+CACHED_GRAMS = 200_000
 UNKNOWN = "und"
 MARK = b" "
 LETTERS = re.compile(r"[^\W\d_]+").findall

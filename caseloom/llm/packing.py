@@ -25,7 +25,7 @@ from caseloom.plans.lineage import new_folder
 
 SEQUENCE = 2048
 END_ID = 1
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 
 
 def token_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = END_ID) -> DataFrame:

@@ -30,7 +30,7 @@ SAMPLE_TEXTS = 600        # per label
 SAMPLE_CHARS = 1_200_000  # per label; texts of more than a twentieth are not taken into the sample
 VOCABULARY = 20_000       # words and groups of bytes that are learned, each
 UNITS, WIDTH, ATTENTION = 8, 12, 8
-EPOCHS, RATE, BATCH_WINDOWS, SHARP = 5, 0.02, 512, 3.0
+EPOCHS, STEPS, RATE, BATCH_WINDOWS, SHARP = 5, 250, 0.02, 256, 3.0  # small samples are gone through more often
 CACHED_WORDS = 120_000
 GROUP_WORDS = 300_000     # words that are scored together
 WORDS = re.compile(r"[^\W_]+").findall
@@ -212,7 +212,7 @@ def laid_out(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return owner, flat[np.where(mask, begin + inside, len(flat) - 1)], mask
 
 
-def fit(texts: list[tuple[int, str]], share: float, epochs: int = EPOCHS) -> Network | None:
+def fit(texts: list[tuple[int, str]], share: float) -> Network | None:
     """Train on a sample of (label, text); None if it does not hold both labels."""
     split = [(y, WORDS(t.lower())) for y, t in texts]
     split = [(y, w) for y, w in split if w]
@@ -220,6 +220,8 @@ def fit(texts: list[tuple[int, str]], share: float, epochs: int = EPOCHS) -> Net
     if len({y for y, _ in learn}) < 2:
         return None
     network = Network(Words([w for _, w in learn]))
+    n_windows = sum(1 + len(w) // STRIDE for _, w in learn)
+    epochs = max(EPOCHS, min(STEPS, -(-STEPS * BATCH_WINDOWS // n_windows)))
     rng = np.random.default_rng(3)
     mean = {k: np.zeros_like(v) for k, v in network.p.items()}
     square = {k: np.zeros_like(v) for k, v in network.p.items()}
