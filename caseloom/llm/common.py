@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 
 from caseloom.plans.lineage import stored
 
+BATCH_CONF, DEFAULT_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 FEW_FILES = 200          # whose numbers are written into the plan; those of more are joined
 FEW_ENTRIES = 1_000_000  # of some 24 bytes: what may be broadcast
 VOCABULARY = "word_bpe_49k.json"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python in batches of ``TEXT_ROWS``, unless the session says otherwise: a worker then
+    holds some MB of texts at a time."""
+    if spark.conf.get(BATCH_CONF, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_CONF, TEXT_ROWS)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 

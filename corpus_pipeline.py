@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import exact, language, packing, simhash, suffix
-from caseloom.llm.common import default_vocabulary, documents, join_small, with_row_ids
+from caseloom.llm.common import default_vocabulary, documents, join_small, small_batches, with_row_ids
 from caseloom.plans.lineage import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found: texts without a letter go, and those that no language explains better than
     all others together (a score below one half)."""
+    small_batches(spark)
     found = language.identify(docs.select(COLUMNS), F.lit(True))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).select(COLUMNS)
 
@@ -35,6 +36,8 @@ def keep(docs: DataFrame, stay) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts."""
+    small_batches(spark)
+
     def gone(rows: DataFrame) -> DataFrame:
         found = exact.deduplicate(rows, locator="row_id")
         return found.where(~F.col("kept")).select(F.col("locator").cast("bigint").alias("row_id"))
@@ -43,7 +46,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, the one with the smallest identifier."""
+    """One document of every group of near copies, the first one in the table."""
+    small_batches(spark)
+
     def gone(rows: DataFrame) -> DataFrame:
         found = simhash.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text"))
         return found.where("doc_id <> component_id").select(F.col("doc_id").alias("row_id"))
@@ -54,6 +59,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes that occur more than once. Bytes of a character that a cut has broken
     go with it; documents of which nothing is left go."""
+    small_batches(spark)
+
     @F.pandas_udf("string")
     def whole_characters(kept: pd.Series) -> pd.Series:
         return pd.Series([k.decode("utf-8", "ignore") for k in kept], dtype=object)
@@ -67,6 +74,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2,048 tokens from all documents that are left, as their pieces."""
+    small_batches(spark)
     return packing.with_crc(packing.pack(docs, default_vocabulary())).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
