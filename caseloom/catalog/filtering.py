@@ -110,7 +110,8 @@ def _(spark, folder):
     return f.most_frequent_variant(events_log(spark, folder), all_cases=True).select("case_id", "pos", "activity")
 
 
-@query("filter_classes", "F10", LOG + "SELECT case_id, pos, activity FROM log WHERE activity IN ('click', 'purchase')")
+@query("filter_classes", "F10", LOG + """SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS pos, activity
+  FROM log WHERE activity IN ('click', 'purchase')""")
 def _(spark, folder):
     return f.filter_classes(events_log(spark, folder), ["click", "purchase"]).select("case_id", "pos", "activity")
 

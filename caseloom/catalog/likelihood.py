@@ -389,7 +389,7 @@ def _(spark, folder):
 @query("injected_error_detection", "L12,L4,A28")
 def _(spark, folder):
     from caseloom.operators.aggs import retrieval_stats
-    steps = stored(an.inject_errors(w.step_durations(events_log(spark, folder)).where("pos > 1"), 0.1, 11))
+    steps = stored(an.inject_errors(w.step_durations(events_log(spark, folder)), 0.1, 11).where("pos > 1"))
     clean = steps.select("activity", F.col("duration"))
     dists = stored(ds.fit_durations(clean, "NORMAL"))
     scored = ds.with_density(steps.withColumn("duration", F.col("observed")), dists)

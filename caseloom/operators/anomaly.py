@@ -285,22 +285,30 @@ def anomaly_intervals(dists: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def histogram_intervals(bins: DataFrame, cutoffs: DataFrame, binwidth: float) -> DataFrame:
-    """Intervals outside the bins whose log-density reaches the cut-off."""
-    kept = bins.join(cutoffs, "activity").where(F.ln("density") >= F.col("cutoff")).select("activity", "bin")
+    """Intervals outside the bins whose log-density reaches the cut-off; the
+    whole line for an activity without such a bin."""
+    judged = bins.join(cutoffs, "activity")
+    kept = judged.where(F.ln("density") >= F.col("cutoff")).select("activity", "bin")
     # runs of adjacent bins: bin minus rank is constant within a run
     kept = kept.withColumn("_block", F.floor(F.col("bin") / 100_000))
     ranked = running(kept, ["activity"], ["_block"], ["bin"], {"_rank": ("sum", F.lit(1))})
     runs = ranked.groupBy("activity", (F.col("bin") - F.col("_rank")).alias("_run")).agg(
         F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
-    w = Window.partitionBy("activity").orderBy("_lo")
-    edged = runs.select("activity", F.lag("_hi").over(w).alias("_before"), "_lo", "_hi",
-                        F.lead("_lo").over(w).alias("_after"))
     half = binwidth / 2
-    gaps = edged.select("activity", F.coalesce(F.col("_before") * binwidth + half, F.lit(-INFINITY)).alias("lower"),
-                        (F.col("_lo") * binwidth - half).alias("upper"))
-    tail = edged.where(F.col("_after").isNull()).select(
-        "activity", (F.col("_hi") * binwidth + half).alias("lower"), F.lit(INFINITY).alias("upper"))
-    return gaps.unionByName(tail)
+    inside = runs.select("activity", (F.col("_lo") * binwidth - half).alias("_from"),
+                         (F.col("_hi") * binwidth + half).alias("_to"))
+    return _outside(judged.select("activity").distinct(), inside)
+
+
+def _outside(activities: DataFrame, inside: DataFrame) -> DataFrame:
+    """What the disjoint spans ``activity, _from, _to`` leave of the whole line,
+    for every activity; an activity without spans keeps all of it."""
+    w = Window.partitionBy("activity").orderBy("_from")
+    gaps = inside.select("activity", F.coalesce(F.lag("_to").over(w), F.lit(-INFINITY)).alias("lower"),
+                         F.col("_from").alias("upper"))
+    tails = activities.join(inside.groupBy("activity").agg(F.max("_to").alias("_to")), "activity", "left").select(
+        "activity", F.coalesce("_to", F.lit(-INFINITY)).alias("lower"), F.lit(INFINITY).alias("upper"))
+    return gaps.unionByName(tails)
 
 
 SCAN_POINTS = 1000  # fixed value
@@ -308,21 +316,36 @@ SCAN_POINTS = 1000  # fixed value
 
 def kernel_intervals(bands: DataFrame, slots: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Intervals where the kernel log-density is below the cut-off: a scan over
-    1000 grid points per activity, edges interpolated between two points."""
+    1000 grid points per activity, edges interpolated between two points.  The
+    scan starts and ends below the cut-off, so both tails are reported; the
+    whole line where the density never reaches the cut-off."""
     grid = kernel_grid(bands, ["activity"], SCAN_POINTS)
     seen = kde(bands, slots, grid, ["activity"], "x").join(cutoffs, "activity")
     height = F.ln(F.greatest("density", F.lit(1e-300))) - F.col("cutoff")
     w = Window.partitionBy("activity").orderBy("x")
-    points = seen.select("activity", "x", height.alias("h")).withColumns({
-        "_x0": F.lag("x").over(w), "_h0": F.lag("h").over(w)})
-    crossing = points.where(((F.col("h") >= 0) != (F.col("_h0") >= 0)))
+    points = stored(seen.select("activity", "x", height.alias("h")).withColumns({
+        "_x0": F.lag("x").over(w), "_h0": F.lag("h").over(w), "_x1": F.lead("x").over(w)}))
     cut = F.col("_x0") - F.col("_h0") * (F.col("x") - F.col("_x0")) / (F.col("h") - F.col("_h0"))
-    edges = crossing.select("activity", cut.alias("x"), (F.col("h") >= 0).alias("_rises"))
-    ends = edges.select("activity", "x", "_rises", F.lag("x").over(w).alias("_from"))
-    closed = ends.where("_rises").select("activity", F.coalesce("_from", F.lit(-INFINITY)).alias("lower"),
-                                         F.col("x").alias("upper"))
-    last = edges.groupBy("activity").agg(F.max(F.when(~F.col("_rises"), F.col("x"))).alias("lower"))
-    return closed.unionByName(last.select("activity", "lower", F.lit(INFINITY).alias("upper")))
+    above, above_before = F.col("h") >= 0, F.coalesce(F.col("_h0") >= 0, F.lit(False))
+    turns = points.where(above != above_before).select(
+        "activity", F.coalesce(cut, F.col("x")).alias("x"), above.alias("_rises"))
+    ends = points.where(above & F.col("_x1").isNull()).select("activity", "x", F.lit(False).alias("_rises"))
+    edges = turns.unionByName(ends).select("activity", "x", "_rises", F.lead("x").over(
+        Window.partitionBy("activity").orderBy("x", F.desc("_rises"))).alias("_next"))
+    inside = edges.where("_rises").select("activity", F.col("x").alias("_from"), F.col("_next").alias("_to"))
+    return _outside(points.select("activity").distinct(), inside)
+
+
+def all_anomaly_intervals(dists: DataFrame, cutoffs: DataFrame, bins: DataFrame, binwidth: float, bands: DataFrame,
+                          slots: DataFrame) -> DataFrame:
+    """Intervals below the cut-off for the activities of all families:
+    histograms from ``bins``, kernels from ``bands`` and ``slots``."""
+    def of(kind: str) -> DataFrame:
+        return cutoffs.join(dists.where(F.col("dist_type") == kind).select("activity"), "activity", "left_semi")
+
+    closed = anomaly_intervals(dists.where(~F.col("dist_type").isin("HISTOGRAM", "KERNEL")), cutoffs)
+    return closed.unionByName(histogram_intervals(bins, of("HISTOGRAM"), binwidth)).unionByName(
+        kernel_intervals(bands, slots, of("KERNEL")))
 
 
 # ---------------------------------------------------------------- baselines and evaluation

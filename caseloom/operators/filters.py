@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import names
 from caseloom.functions.maths import epoch_ms
 from caseloom.plans.fingerprint import element_hashes, uniform
-from caseloom.plans.slices import (attach_cases, positions, running, running_dense, running_in_case,
+from caseloom.plans.slices import (attach_cases, positions, running, running_dense, running_in_case, slice_of,
                                    with_case_values)
 
 def _minute_slices() -> list[tuple[str, Column]]:
@@ -115,7 +115,9 @@ def number_cases(cases: DataFrame) -> DataFrame:
 
 
 def filter_classes(log: DataFrame, classes: list[str]) -> DataFrame:
-    return log.where(F.col("activity").isin(classes))
+    """Events of the listed activities, renumbered from 1 without gaps."""
+    kept = log.where(F.col("activity").isin(classes)).withColumnRenamed("pos", "_was")
+    return positions(kept, ["case_id"], ["_was"], "pos", [("place", slice_of("_was"))]).select(*log.columns)
 
 
 def kfold(log: DataFrame, k: int, fold: int, in_fold: bool = True) -> DataFrame:

@@ -43,8 +43,9 @@ def active_case_load(log: DataFrame) -> DataFrame:
     order; a case closes after its last event.  Cases must be sorted by time;
     events without a timestamp are left out."""
     timed = log.where(F.col("ts").isNotNull())
-    events = with_case_values(timed, _start=F.min_by("ts", "pos"), _n=F.max("pos"))
-    first = (F.col("pos") == 1).cast("int")
+    # a case opens and closes with its first and last event that has a time
+    events = with_case_values(timed, _start=F.min_by("ts", "pos"), _one=F.min("pos"), _n=F.max("pos"))
+    first = (F.col("pos") == F.col("_one")).cast("int")
     last = (F.col("pos") == F.col("_n")).cast("int")
     swept = running(events.withColumn("_minute", F.expr("unix_micros(ts) div 60000000")), [], ["_minute"],
                     ["ts", "_start", "case_id", "pos"], {"load": ("sum", first - last)})

@@ -94,38 +94,44 @@ def rolling_forecast(hours: DataFrame, history: int = 672) -> DataFrame:
 
 
 GAP_SCHEMA = "case_id string, event_id bigint, ms bigint, gap_ms bigint"
-GAP_STATE = "last_ms bigint, ids array<bigint>, times array<bigint>"
+GAP_STATE = "last_us bigint, ids array<bigint>, times array<bigint>"
 
 
-def event_gaps(stream: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Time since the previous event of the case (0 for the first).  Events wait
-    until the watermark passes them, so late ones inside the delay are ordered;
-    the state of a case is its last time and the events of the delay."""
+def event_gaps(stream: DataFrame, delay: str = DELAY, forget_ms: int | None = None) -> DataFrame:
+    """Time since the previous event of the case (0 for the first), in the order
+    of the log: by microsecond, then event.  Events wait until the watermark
+    passes them, so late ones inside the delay are ordered; the state of a case
+    is its last time and the events of the delay.
+
+    A case is kept for ever; with ``forget_ms`` it is forgotten so long after its
+    last event, and an event after that counts as the first of its case.
+    """
     timed = stream.select("case_id", "event_id", "ts").withWatermark("ts", delay)
 
     def order(key, batches: Iterator, state) -> Iterator:
         import pandas as pd
 
         last, ids, times = state.get if state.exists else (None, [], [])
-        waiting = list(zip(times, ids))
+        parts = [pd.DataFrame({"us": pd.Series(times, dtype="int64"), "event_id": pd.Series(ids, dtype="int64")})]
         if not state.hasTimedOut:
-            for b in batches:
-                waiting.extend((int(t.value // 1_000_000), int(i)) for t, i in zip(b["ts"], b["event_id"]))
-        waiting.sort()
+            parts += [pd.DataFrame({"us": b["ts"].astype("datetime64[us, UTC]" if b["ts"].dt.tz is not None else
+                                                          "datetime64[us]").astype("int64"),
+                                    "event_id": b["event_id"]}) for b in batches]
+        waiting = pd.concat(parts).sort_values(["us", "event_id"], kind="stable")
         mark = state.getCurrentWatermarkMs()
-        out, due = [], [w for w in waiting if w[0] < mark]
-        waiting = waiting[len(due):]
-        for ms, event in due:
-            out.append((key[0], event, ms, 0 if last is None else ms - last))
-            last = ms
-        state.update((last, [i for _, i in waiting], [t for t, _ in waiting]))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0], mark) + 1)
-        elif last is not None:
-            # nothing waits: forget the case a day after its last event
-            state.setTimeoutTimestamp(max(last, mark) + 86_400_000)
-            if state.hasTimedOut and not out:
+        ms = waiting["us"] // 1000
+        due, waiting = waiting[ms < mark], waiting[ms >= mark]
+        out = pd.DataFrame({"case_id": key[0], "event_id": due["event_id"], "ms": due["us"] // 1000})
+        first = 0 if last is None and out.empty else (out["ms"].iloc[0] if last is None else last // 1000)
+        out["gap_ms"] = out["ms"].diff().fillna(out["ms"] - first).astype("int64")
+        last = int(due["us"].iloc[-1]) if len(due) else last
+        state.update((last, waiting["event_id"].tolist(), waiting["us"].tolist()))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["us"].iloc[0]) // 1000, mark) + 1)
+        elif last is not None and forget_ms is not None:
+            state.setTimeoutTimestamp(max(last // 1000, mark) + forget_ms)
+            if state.hasTimedOut and out.empty:
                 state.remove()
-        yield pd.DataFrame(out, columns=["case_id", "event_id", "ms", "gap_ms"])
+        yield out
 
     return timed.groupBy("case_id").applyInPandasWithState(order, GAP_SCHEMA, GAP_STATE, "append", "EventTimeTimeout")

@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from caseloom.plans.lineage import new_folder
 
 
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+
+
+def is_folder(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether the table is a folder of files; the listing is Spark's, so any store will do."""
+    return any(not f.endswith(f"/{name}") for f in spark.read.schema(EVENTS).parquet(f"{folder}/{name}").inputFiles())
+
+
 def events_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 1) -> DataFrame:
-    """``events`` files as a stream with ``event_id, ts, case_id, activity, value``."""
+    """``events`` as a stream with ``event_id, ts, case_id, activity, value``. The table is a folder of files, a single
+    file, or all files of a pattern."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    raw = (spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
-           .option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(folder))
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger)
+    if "*" not in files and is_folder(spark, folder, files):
+        raw = source.parquet(f"{folder}/{files}")
+    else:
+        raw = source.option("pathGlobFilter", files).parquet(folder)
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
                       F.concat_ws("|", "user_id", F.to_date("ts").cast("string")).alias("case_id"),
                       F.col("event_type").alias("activity"), "value", "user_id")

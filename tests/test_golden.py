@@ -375,3 +375,51 @@ def test_error_test_on_a_convolved_grid(make_log, spark):
     assert rows[0]["p_sum"] == pytest.approx(expected, abs=0.01)
     assert rows[0]["is_error"] == (rows[0]["p_sum"] > rows[0]["p_child"])
     assert rows[1]["p_sum"] is None and rows[1]["is_error"] == (math.exp(-3.0) < 0.05)
+
+
+def test_filtered_classes_have_positions_without_gaps(spark, make_log, tiny):
+    log = make_log({"c": [("a", 0), ("x", 1), ("b", 2)], "d": [("x", 0), ("a", 5)]})
+    kept = filters.filter_classes(log, ["a", "b"])
+    assert sorted((r.case_id, r.pos, r.activity) for r in kept.collect()) == [("c", 1, "a"), ("c", 2, "b"), ("d", 1, "a")]
+
+
+def test_load_with_missing_times(spark, make_log, tiny):
+    log = make_log({"c": [("a", None), ("b", 10), ("c", 30)], "d": [("a", 20), ("b", None)], "e": [("a", 25), ("b", 40)]})
+    load = {(r.case_id, r.pos): r.load for r in windows.active_case_load(log).collect()}
+    assert load == {("c", 2): 1, ("d", 1): 2, ("e", 1): 2, ("c", 3): 2, ("e", 2): 1}
+
+
+def test_intervals_of_two_clusters(spark, tiny):
+    values = [k / 40 for k in range(41)] + [100 + k / 40 for k in range(41)]
+    df = spark.createDataFrame([("A", v) for v in values], "activity string, duration double")
+    bands, slots = distributions.kernel_model(df, ["activity"], "duration")
+    bins = distributions.histogram(df, ["activity"], "duration", 1.0)
+
+    def cut(value):
+        return spark.createDataFrame([("A", value)], "activity string, cutoff double")
+
+    def spans(found):
+        return [(r.lower, r.upper) for r in found.orderBy("lower").collect()]
+
+    # above all of the density, below all of it inside the scan, between the modes
+    assert spans(anomaly.kernel_intervals(bands, slots, cut(5.0))) == [(-math.inf, math.inf)]
+    assert spans(anomaly.histogram_intervals(bins, cut(5.0), 1.0)) == [(-math.inf, math.inf)]
+    low = spans(anomaly.kernel_intervals(bands, slots, cut(-1e6)))
+    assert len(low) == 2 and low[0][0] == -math.inf and low[-1][1] == math.inf and low[0][1] < 0 and low[1][0] > 101
+    middle = spans(anomaly.kernel_intervals(bands, slots, cut(-9.0)))
+    assert middle[0][0] == -math.inf and middle[-1][1] == math.inf
+    assert all(a < b for a, b in middle) and all(x[1] < y[0] for x, y in zip(middle, middle[1:]))
+    assert not any(a < v < b for a, b in middle for v in values)
+
+
+def test_intervals_of_all_families(spark, tiny):
+    df = spark.createDataFrame([("H", 1.0), ("H", 1.0), ("K", 1.0), ("K", 2.0)], "activity string, duration double")
+    bands, slots = distributions.kernel_model(df.where("activity = 'K'"), ["activity"], "duration")
+    bins = distributions.histogram(df.where("activity = 'H'"), ["activity"], "duration", 1.0)
+    dists = spark.createDataFrame([("N", "NORMAL", [0.0, 1.0]), ("H", "HISTOGRAM", None), ("K", "KERNEL", None)],
+                                  "activity string, dist_type string, params array<double>")
+    cuts = spark.createDataFrame([("N", -2.0), ("H", -2.0), ("K", -2.0)], "activity string, cutoff double")
+    found = anomaly.all_anomaly_intervals(dists, cuts, bins, 1.0, bands, slots).collect()
+    assert {r.activity for r in found} == {"N", "H", "K"}
+    assert {r.activity for r in found if r.lower == -math.inf} == {r.activity for r in found if r.upper == math.inf} == {
+        "N", "H", "K"}

@@ -15,22 +15,22 @@ XES = """<?xml version="1.0" encoding="UTF-8"?>
     <string key="concept:name" value="c1"/>
     <float key="simulated:logProbability" value="-1.5"/>
     <event>
-      <string key="concept:name" value="tA"/>
+      <string key="concept:name" value="check in"/>
       <string key="concept:instance" value="i1"/>
       <boolean key="concept:simulated" value="true"/>
       <string key="lifecycle:transition" value="complete"/>
-      <date key="time:timestamp" value="2015-06-08T17:45:08.649+02:00"/>
+      <date key="time:timestamp" value="2021-03-04T09:15:30.250+01:00"/>
     </event>
     <event>
-      <string key="concept:name" value="tB"/>
-      <date key="time:timestamp" value="2015-06-08T17:46:08.649+02:00"/>
+      <string key="concept:name" value="sign"/>
+      <date key="time:timestamp" value="2021-03-04T09:20:30.250+01:00"/>
       <string key="org:resource" value="Kim"/>
       <int key="cost" value="12"/>
     </event>
   </trace>
   <trace>
     <string key="concept:name" value="c2"/>
-    <event><string key="concept:name" value="tA"/><date key="time:timestamp" value="2015-06-09T00:00:00.000+02:00"/></event>
+    <event><string key="concept:name" value="check in"/><date key="time:timestamp" value="2021-03-05T00:00:00.000+01:00"/></event>
   </trace>
 </log>
 """
@@ -44,7 +44,7 @@ def test_read_xes_plain_and_gzip(spark, tmp_path):
     rows = {(r["case_id"], r["pos"]): r for r in log.withColumn("ms", F.unix_millis("ts")).collect()}
     assert sorted(rows) == [("c1", 1), ("c1", 2), ("c2", 1), ("c3", 1), ("c3", 2), ("c4", 1)]
     first, second = rows["c1", 1], rows["c1", 2]
-    assert (first["activity"], first["lifecycle"], first["instance"], first["ms"]) == ("tA", "complete", "i1", 1433778308649)
+    assert (first["activity"], first["lifecycle"], first["instance"], first["ms"]) == ("check in", "complete", "i1", 1614845730250)
     assert first["attrs"] == {"concept:simulated": "true"}
     assert (second["resource"], second["lifecycle"], second["attrs"]) == ("Kim", None, {"cost": "12"})
     about = {(r["case_id"], r["key"]): r["value"] for r in xes.read_xes_cases(spark, str(tmp_path)).collect()}

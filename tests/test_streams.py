@@ -68,3 +68,26 @@ def test_rolling_forecast_bounds_its_history(spark, folder):
     out = append_to_table(st.rolling_forecast(hours, history=5)).collect()
     assert out and max(r["history"] for r in out) == 5
     assert all(r["naive"] == r["n"] for r in out)
+
+
+def test_streams_read_tables_that_are_folders(spark, folder, tmp_path):
+    path, rows = folder
+    spark.read.parquet(f"{path}/events-*.parquet").repartition(3).write.parquet(str(tmp_path / "t" / "events.parquet"))
+    spark.read.parquet(f"{path}/events-*.parquet").coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "events.parquet").write_bytes(next((tmp_path / "one").glob("part-*.parquet")).read_bytes())
+    for place in ("t", "f"):
+        out = updates_to_table(st.running_normal(events_stream(spark, str(tmp_path / place))), ["activity"])
+        assert sum(r["n"] for r in out.collect()) == len(rows)
+
+
+def test_event_gaps_order_by_microsecond(spark, tmp_path):
+    # two events of one millisecond, the later one with the smaller number; a last one closes the windows
+    rows = [(5, 1_000_000_100), (2, 1_000_000_900), (3, 1_000_500_000), (9, 40_000_000_000_000)]
+    df = spark.createDataFrame(rows, "event_id bigint, us bigint").selectExpr(
+        "event_id", "CAST(timestamp_micros(us) AS timestamp_ntz) AS ts", "IF(event_id = 9, 2L, 1L) AS user_id",
+        "'a' AS event_type", "1D AS value")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    out = append_to_table(st.event_gaps(events_stream(spark, str(tmp_path))))
+    assert {r["event_id"]: (r["ms"], r["gap_ms"]) for r in out.collect()} == {
+        5: (1_000_000, 0), 2: (1_000_000, 0), 3: (1_000_500, 500)}
