@@ -247,19 +247,35 @@ def _p_normal(v: str, m: str, s: str) -> str:
     WINDOW o AS (PARTITION BY case_id ORDER BY pos)),
   p AS (SELECT case_id, pos, {_p_normal('value', 'f.m', 'f.s')} AS px, CASE WHEN y IS NOT NULL THEN {_p_normal('y', 'g.m', 'g.s')} END AS py,
     CASE WHEN y IS NOT NULL THEN 2 * (1 - {phi_sql(_Z)}) END AS ps FROM linked l JOIN fit f ON f.activity = l.activity LEFT JOIN fit g ON g.activity = l.child)
-  SELECT case_id, pos, round(px, 5) AS p_value, coalesce(round(py, 5), -1) AS p_child, coalesce(round(ps, 5), -1) AS p_sum FROM p""")
+  SELECT case_id, pos, round(px, 5) AS p_value, coalesce(round(py, 5), -1) AS p_child, coalesce(round(ps, 5), -1) AS p_sum,
+    CASE WHEN ps IS NULL THEN px < 0.05 ELSE ps > py END AS is_error FROM p""")
 def _(spark, folder):
     scored, dists = scored_steps(spark, folder)
-    tested = an.error_test(scored, dists, 1.0)
-    return tested.select("case_id", "pos", r("p_value", 5).alias("p_value"),
-                         F.coalesce(r("p_child", 5), F.lit(-1.0)).alias("p_child"),
-                         F.coalesce(r("p_sum", 5), F.lit(-1.0)).alias("p_sum"))
+    return tested(an.error_test(scored, dists))
 
 
-@query("measurement_error_test_exponential", "L6")
+def tested(rows):
+    return rows.select("case_id", "pos", r("p_value", 5).alias("p_value"),
+                       F.coalesce(r("p_child", 5), F.lit(-1.0)).alias("p_child"),
+                       F.coalesce(r("p_sum", 5), F.lit(-1.0)).alias("p_sum"), "is_error")
+
+
+@query("measurement_error_test_exponential", "L6", LOG + FIT + """, linked AS (SELECT *, lead(value) OVER o AS y, lead(activity) OVER o AS child FROM log
+    WINDOW o AS (PARTITION BY case_id ORDER BY pos)),
+  g AS (SELECT activity, m, unnest(generate_series(CAST(floor(2.0 / 4.0) AS BIGINT), CAST(floor((m * -ln(1e-6::DOUBLE) + 2.0) / 4.0) AS BIGINT))) AS bin FROM fit),
+  d AS (SELECT activity, bin, (exp(-bin * 4.0::DOUBLE / m) + exp(-(bin * 4 + 4.0::DOUBLE / 3) / m) + exp(-(bin * 4 + 8.0::DOUBLE / 3) / m)
+    + exp(-(bin * 4 + 4.0::DOUBLE) / m)) / m / 4 AS w FROM g),
+  b AS (SELECT activity, bin, w / sum(w) OVER (PARTITION BY activity) AS p FROM d),
+  pairs AS (SELECT DISTINCT activity, child FROM linked WHERE child IS NOT NULL),
+  c AS (SELECT q.activity, q.child, x.bin + z.bin AS bin, sum(x.p * z.p) AS p FROM pairs q JOIN b x ON x.activity = q.activity JOIN b z ON z.activity = q.child GROUP BY 1, 2, 3),
+  t AS (SELECT activity, child, bin, sum(p) OVER (PARTITION BY activity, child ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ps FROM c),
+  e AS (SELECT case_id, pos, y, exp(-value / f.m) AS px, exp(-y / h.m) AS py, coalesce(ps, 0) AS ps FROM linked l JOIN fit f ON f.activity = l.activity
+    LEFT JOIN fit h ON h.activity = l.child LEFT JOIN t ON t.activity = l.activity AND t.child = l.child AND t.bin = floor((value + y) / 4.0 - 0.5))
+  SELECT case_id, pos, round(px, 5) AS p_value, coalesce(round(py, 5), -1) AS p_child, CASE WHEN y IS NULL THEN -1 ELSE round(ps, 5) END AS p_sum,
+    CASE WHEN y IS NULL THEN px < 0.05 ELSE ps > py END AS is_error FROM e""")
 def _(spark, folder):
     scored, dists = scored_steps(spark, folder, "EXPONENTIAL")
-    return an.error_test(scored, dists, 4.0)
+    return tested(an.error_test(scored, dists, 4.0))
 
 
 def _post(f: str, e: str) -> str:
@@ -420,7 +436,7 @@ _ZT = repr(normal_quantile(1 - 1e-6))
 @query("discretized_normal", "A16", LOG + FIT + f""", g AS (SELECT activity, m, s, unnest(generate_series(CAST(floor((m - s * {_ZT}::DOUBLE + 0.5) / 1.0) AS BIGINT),
     CAST(floor((m + s * {_ZT}::DOUBLE + 0.5) / 1.0) AS BIGINT))) AS bin FROM fit),
   d AS (SELECT activity, bin, ({' + '.join(_pdf(f'(bin + {k} / 3.0::DOUBLE)', 'm', 's * s') for k in range(4))}) / 4 AS w FROM g),
-  k AS (SELECT * FROM d WHERE w > 1e-7)
+  k AS (SELECT * FROM d WHERE w > 0)
   SELECT activity, bin, round(w / sum(w) OVER (PARTITION BY activity), 8) AS probability FROM k""")
 def _(spark, folder):
     dists = stored(ds.fit_durations(samples(spark, folder), "NORMAL"))
@@ -430,7 +446,7 @@ def _(spark, folder):
 @query("discretized_exponential", "A16", LOG + FIT + f""", g AS (SELECT activity, m, unnest(generate_series(CAST(floor((0 + 0.5) / 1.0) AS BIGINT),
     CAST(floor((m * -ln(1e-6::DOUBLE) + 0.5) / 1.0) AS BIGINT))) AS bin FROM fit),
   d AS (SELECT activity, bin, ({' + '.join(f'exp(-(bin + {k} / 3.0::DOUBLE) / m) / m' for k in range(4))}) / 4 AS w FROM g),
-  k AS (SELECT * FROM d WHERE w > 1e-7)
+  k AS (SELECT * FROM d WHERE w > 0)
   SELECT activity, bin, round(w / sum(w) OVER (PARTITION BY activity), 8) AS probability FROM k""")
 def _(spark, folder):
     dists = stored(ds.fit_durations(samples(spark, folder), "EXPONENTIAL"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms, normal_cdf, normal_pdf, normal_quantile
-from caseloom.operators.distributions import (EPSILON, INFINITY, cdf, convolve, density, discretize,
-                                              kde, kernel_grid)
+from caseloom.operators.distributions import (EPSILON, GRID_KINDS, GRID_POINTS, INFINITY, cdf, convolve, density,
+                                              discretize, kde, kernel_grid, support)
 from caseloom.plans.fingerprint import gaussian, uniform
 from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model, split_join
@@ -124,13 +124,15 @@ def grid_p_values(bins: DataFrame, keys: list[str]) -> DataFrame:
     return bins.withColumn("p", F.sum("probability").over(by_mass)).select(*keys, "bin", "p")
 
 
-def error_test(scored: DataFrame, dists: DataFrame, binwidth: float) -> DataFrame:
+def error_test(scored: DataFrame, dists: DataFrame, binwidth: float | None = None) -> DataFrame:
     """Is a step likelier a measurement error than a true outlier?
 
     With a following step y, compare p(y) with p(x + y) under the distribution
     of the sum: an error when the sum is likelier.  Without one, p(x) < 0.05.
     Adds ``p_value, p_child, p_sum, is_error``.  Sums of two normals are normal;
-    other sums use a convolved grid per pair of adjacent activities.
+    other sums use a convolved grid per pair of adjacent activities, of the given
+    bin width or of ``GRID_POINTS`` points over the support of the sum, so any
+    unit will do.  Histogram and kernel fits have no grid and are refused.
     """
     own = p_values(scored).select("case_id", "pos", "activity", "duration", "p_value", "dist_type", "params")
     linked = neighbours(own, ["case_id"], "pos", {
@@ -142,15 +144,28 @@ def error_test(scored: DataFrame, dists: DataFrame, binwidth: float) -> DataFram
                       {"child": ("activity", -1), "_child_type": ("dist_type", -1)})
     pairs = stored(both.where(F.col("child").isNotNull() & ~(
         (F.col("dist_type") == "NORMAL") & (F.col("_child_type") == "NORMAL"))).select("activity", "child").distinct())
-    placed = linked.withColumn("_bin", F.floor(total / binwidth - 0.5).cast("bigint"))
     if pairs.isEmpty():
-        joined = placed.withColumn("_p_grid", F.lit(None).cast("double"))
+        joined = linked.withColumn("_p_grid", F.lit(None).cast("double"))
     else:
-        bins = stored(discretize(dists, binwidth))
-        first = pairs.join(bins, "activity")
-        second = pairs.join(bins.withColumnRenamed("activity", "child"), "child")
-        sums = grid_p_values(convolve(first, second, ["activity", "child"]), ["activity", "child"])
+        fits = dists.select("activity", "dist_type", "params")
+        sides = pairs.join(fits, "activity").join(fits.select(
+            F.col("activity").alias("child"), F.col("dist_type").alias("_ct"), F.col("params").alias("_cp")), "child")
+        without = sides.where(~F.col("dist_type").isin(GRID_KINDS) | ~F.col("_ct").isin(GRID_KINDS)).first()
+        if without:
+            raise ValueError(f"no grid for the sum of {without['dist_type']} and {without['_ct']}")
+        (low, high), (low2, high2) = (support(F.col(k), F.col(p)) for k, p in (("dist_type", "params"), ("_ct", "_cp")))
+        span = (high - low + high2 - low2) / GRID_POINTS
+        width = F.when(span > 0, span).otherwise(1.0) if binwidth is None else F.lit(float(binwidth))
+        sides = stored(sides.withColumn("width", width))
+        both_keys = ("activity", "child")
+        own_bins = discretize(sides, F.col("width"), both_keys)
+        child_bins = discretize(sides.select("activity", "child", "width", F.col("_ct").alias("dist_type"),
+                                             F.col("_cp").alias("params")), F.col("width"), both_keys)
+        sums = grid_p_values(convolve(own_bins, child_bins, list(both_keys)), list(both_keys))
         sums = stored(sums.select("activity", "child", F.col("bin").alias("_bin"), F.col("p").alias("_p_grid")))
+        widths = stored(sides.select("activity", "child", "width"))
+        placed = join_model(linked, widths, ["activity", "child"], "left").withColumn(
+            "_bin", F.floor(total / F.col("width") - 0.5).cast("bigint")).drop("width")
         joined = join_model(placed, sums, ["activity", "child", "_bin"], "left")
 
     def at(params: str, i: int) -> Column:

@@ -180,20 +180,18 @@ def histogram_moments(bins: DataFrame, keys: list[str], binwidth: float = 0.1) -
         (F.min("value") - binwidth / 2).alias("lower"), (F.max("value") + binwidth / 2).alias("upper"))
 
 
-MAX_BINS = 2048  # fixed value: points of the convolution grid
+SPREAD = 16  # parts of a grid that are multiplied apart
 
 
 def convolve(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Distribution of the sum of two independent durations on bin tables with
-    the same bin width: ``keys, bin, probability``.  A bin table may have at
-    most ``MAX_BINS`` bins per key (checked), which bounds the products."""
-    for side in (first, second):
-        widest = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-        if widest > MAX_BINS:
-            raise ValueError(f"{widest} bins per key; choose a bin width that gives at most {MAX_BINS}")
-    left = first.select(*keys, F.col("bin").alias("_i"), F.col("probability").alias("_p"))
-    right = second.select(*keys, F.col("bin").alias("_j"), F.col("probability").alias("_q"))
-    return (left.join(right, keys).groupBy(*keys, (F.col("_i") + F.col("_j")).alias("bin"))
+    the same bin width: ``keys, bin, probability``.  The products of a key are
+    spread over ``SPREAD`` parts and summed before the shuffle."""
+    left = first.select(*keys, F.col("bin").alias("_i"), F.col("probability").alias("_p"),
+                        F.pmod("bin", F.lit(SPREAD)).cast("int").alias("_part"))
+    right = second.select(*keys, F.col("bin").alias("_j"), F.col("probability").alias("_q"),
+                          F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
+    return (left.join(right, [*keys, "_part"]).groupBy(*keys, (F.col("_i") + F.col("_j")).alias("bin"))
             .agg(F.sum(F.col("_p") * F.col("_q")).alias("probability")))
 
 
@@ -202,35 +200,47 @@ def sum_of_normals(params_a: Column, params_b: Column) -> Column:
     return _params(_p(1, params_a) + _p(1, params_b), F.sqrt(sd_a * sd_a + sd_b * sd_b))
 
 
-# Fixed values of the grid.
-GRID_TAIL = 1e-6
-GRID_UPPER = 1000.0
-GRID_FLOOR = 1e-7
-MAX_GRID = 1_000_000
+GRID_TAIL = 1e-6     # fixed value: share of the mass that a grid leaves out at an open end
+GRID_POINTS = 2000   # fixed value: points of a grid that is sized to the support
+GRID_KINDS = ["NORMAL", "EXPONENTIAL", "LOGNORMAL", "UNIFORM", "DETERMINISTIC", "IMMEDIATE"]
+_SECTION = 10_000
 
 
-def discretize(dists: DataFrame, binwidth: float) -> DataFrame:
-    """Probability per bin of every parametric fit: ``activity, bin, probability``.
-
-    A bin [i*w, (i+1)*w] weighs the mean density at four equidistant points.
-    """
+def support(kind: Column, params: Column) -> tuple[Column, Column]:
+    """Lower and upper end of a parametric fit, but for the tails of ``GRID_TAIL``."""
     z = normal_quantile(1 - GRID_TAIL)
-    a, b = _p(1, F.col("params")), _p(2, F.col("params"))
-    kind = F.col("dist_type")
-    low = F.when(kind == "NORMAL", a - b * z).when(kind == "UNIFORM", F.greatest(a, F.lit(0.0))).otherwise(0.0)
+    a, b = _p(1, params), _p(2, params)
+    point = F.coalesce(a, F.lit(0.0))
+    low = (F.when(kind == "NORMAL", a - b * z).when(kind == "UNIFORM", a)
+           .when(kind.isin("DETERMINISTIC", "IMMEDIATE"), point).otherwise(0.0))
     high = (F.when(kind == "NORMAL", a + b * z).when(kind == "EXPONENTIAL", a * -math.log(GRID_TAIL))
-            .when(kind == "LOGNORMAL", F.exp(a + b * z)).when(kind == "UNIFORM", F.least(b, F.lit(GRID_UPPER))))
-    index = [F.floor((edge + binwidth / 2) / binwidth).cast("bigint") for edge in (low, high)]
-    bins = F.when(index[1] - index[0] < MAX_GRID, F.sequence(*index)).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_GRID} bins; choose a wider bin")).cast("array<bigint>"))
-    grid = dists.where(kind.isin("NORMAL", "EXPONENTIAL", "LOGNORMAL", "UNIFORM")).select(
-        "activity", "dist_type", "params", F.explode(bins).alias("bin"))
-    points = [density(F.col("dist_type"), F.col("params"), F.col("bin") * binwidth + binwidth * k / 3)
-              for k in range(4)]
-    weighed = grid.select("activity", "bin", ((points[0] + points[1] + points[2] + points[3]) / 4).alias("w")
-                          ).where(F.col("w") > GRID_FLOOR)
-    totals = weighed.groupBy("activity").agg(F.sum("w").alias("_total"))
-    return weighed.join(totals, "activity").select("activity", "bin", (F.col("w") / F.col("_total")).alias("probability"))
+            .when(kind == "LOGNORMAL", F.exp(a + b * z)).when(kind == "UNIFORM", b).otherwise(point))
+    return low, high
+
+
+def discretize(dists: DataFrame, binwidth: float | Column, keys: tuple[str, ...] = ("activity",)) -> DataFrame:
+    """Probability per bin of every parametric fit: ``keys, bin, probability``.
+    The bins follow the support, whatever its unit; ``binwidth`` may be a column.
+
+    A bin [i*w, (i+1)*w] weighs the mean density at four equidistant points; a
+    point mass fills one bin.
+    """
+    w = F.lit(float(binwidth)) if isinstance(binwidth, (int, float)) else binwidth
+    kind, params = F.col("dist_type"), F.col("params")
+    first, last = (F.floor((edge + w / 2) / w).cast("bigint") for edge in support(kind, params))
+    # two steps, so that no row holds a long list
+    parts = dists.where(kind.isin(GRID_KINDS)).select(
+        *keys, kind, params, w.alias("_w"), first.alias("_first"), last.alias("_last")).withColumn(
+        "_part", F.explode(F.sequence(F.floor(F.col("_first") / _SECTION), F.floor(F.col("_last") / _SECTION))))
+    grid = parts.select(*keys, "dist_type", "params", "_w", F.explode(F.sequence(
+        F.greatest("_first", F.col("_part") * _SECTION),
+        F.least("_last", (F.col("_part") + 1) * _SECTION - 1))).alias("bin"))
+    points = [density(kind, params, F.col("bin") * F.col("_w") + F.col("_w") * k / 3) for k in range(4)]
+    weight = F.when(kind.isin("DETERMINISTIC", "IMMEDIATE"), 1.0).otherwise(
+        (points[0] + points[1] + points[2] + points[3]) / 4)
+    weighed = grid.select(*keys, "bin", weight.alias("w")).where(F.col("w") > 0)
+    totals = weighed.groupBy(*keys).agg(F.sum("w").alias("_total"))
+    return weighed.join(totals, list(keys)).select(*keys, "bin", (F.col("w") / F.col("_total")).alias("probability"))
 
 
 # ---------------------------------------------------------------- kernels

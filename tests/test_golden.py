@@ -423,3 +423,36 @@ def test_intervals_of_all_families(spark, tiny):
     assert {r.activity for r in found} == {"N", "H", "K"}
     assert {r.activity for r in found if r.lower == -math.inf} == {r.activity for r in found if r.upper == math.inf} == {
         "N", "H", "K"}
+
+
+def test_grids_follow_the_support(spark):
+    dists = spark.createDataFrame([("U", "UNIFORM", [0.0, 4000.0]), ("V", "UNIFORM", [1500.0, 1600.0]),
+                                   ("E", "EXPONENTIAL", [2e7]), ("D", "DETERMINISTIC", [7.0]), ("I", "IMMEDIATE", None)],
+                                  "activity string, dist_type string, params array<double>")
+    bins = distributions.discretize(dists.where("activity <> 'E'"), 1.0)
+    about = {r.activity: r for r in bins.groupBy("activity").agg(
+        F.min("bin").alias("low"), F.max("bin").alias("high"), F.sum("probability").alias("p")).collect()}
+    assert (about["U"].low, about["U"].high) == (0, 4000) and (about["V"].low, about["V"].high) == (1500, 1600)
+    assert (about["D"].low, about["D"].high, about["I"].low) == (7, 7, 0)
+    assert all(r.p == pytest.approx(1) for r in about.values())
+    wide = distributions.discretize(dists.where("activity = 'E'"), 1e5)
+    mean = wide.agg(F.sum((F.col("bin") + 0.5) * 1e5 * F.col("probability"))).first()[0]
+    assert mean == pytest.approx(2e7, rel=0.01)
+
+
+def test_measurement_errors_in_any_unit(spark, make_log, tiny):
+    rows = {f"c{i}": [("a", 0), ("b", 0)] for i in range(6)}
+    long = [1000.0, 1200.0, 900.0, 1100.0, 9000.0, 1000.0]
+    log = make_log(rows)
+    found = []
+    for unit in (1.0, 1e6):
+        value = F.element_at(F.array(*(F.lit(v * unit) for v in long)), F.substring("case_id", 2, 1).cast("int") + 1)
+        steps = log.withColumn("duration", F.when(F.col("activity") == "a", value).otherwise(1000.0 * unit))
+        dists = distributions.fit_durations(steps.select("activity", "duration"), "EXPONENTIAL")
+        flags = anomaly.error_test(distributions.with_density(steps, dists), dists)
+        found.append({(r.case_id, r.pos): (round(r.p_sum, 6) if r.p_sum is not None else None, r.is_error)
+                      for r in flags.collect()})
+    assert found[0] == found[1] and any(p for p, _ in found[0].values())
+    kernel = dists.withColumn("dist_type", F.lit("KERNEL"))
+    with pytest.raises(ValueError):
+        anomaly.error_test(distributions.with_density(steps, dists).withColumn("dist_type", F.lit("KERNEL")), kernel)
