@@ -192,8 +192,8 @@ def _(spark, folder):
 def _(spark, folder):
     from pyspark.sql import Window
     marked = marked_steps(spark, folder)[0]
-    scores = an.case_likelihood(marked).withColumn("log_likelihood", F.round("log_likelihood", 6))
-    top = an.rank_cases(scores, an.outlier_counts(marked), top=100)
+    cases = an.marked_cases(marked).withColumn("log_likelihood", F.round("log_likelihood", 6))
+    top = an.rank_cases(cases, top=100)
     place = F.row_number().over(Window.orderBy(F.desc("n_outliers"), "log_likelihood", "case_id")).cast("bigint")
     return top.select(place.alias("place"), "case_id", "n_outliers", r("log_likelihood").alias("log_likelihood"))
 
@@ -495,3 +495,26 @@ for _target in ("NORMAL", "EXPONENTIAL"):
         out = ds.convert_dists(a.unionByName(b), target)
         return out.select("activity", "dist_type", "source", r(F.col("params")[0], 5).alias("p1"),
                           F.coalesce(r(F.try_element_at("params", F.lit(2)), 5), F.lit(-1.0)).alias("p2"))
+
+
+_TAIL = f"(1 - {phi_sql('((value - m) / s)')})"
+
+
+@query("conditional_expectation_normal", "R3", LOG + FIT + f"""SELECT event_id, round(CASE WHEN {_TAIL} > 1e-6
+  THEN m + s * exp(-0.5 * ((value - m) / s) ** 2) / sqrt(2 * pi()) / {_TAIL} ELSE value END, 4) AS expected FROM log JOIN fit USING (activity)""")
+def _(spark, folder):
+    from caseloom.operators.remaining import conditional_expectation
+    from caseloom.plans.models import join_model
+    dists = stored(ds.fit_durations(samples(spark, folder), "NORMAL").select("activity", "dist_type", "params"))
+    rows = join_model(events_log(spark, folder).select("event_id", "activity", "value"), dists, ["activity"])
+    found = conditional_expectation(F.col("dist_type"), F.col("params"), F.col("value"))
+    return rows.select("event_id", r(found, 4).alias("expected"))
+
+
+@query("convert_histogram", "R8", LOG + """, b AS (SELECT activity, floor(value / 2 + 0.5) * 2 AS x, count(*) AS n FROM log GROUP BY 1, 2)
+  SELECT activity, 'NORMAL' AS dist_type, round(sum(x * n) / sum(n), 5) AS p1, round(sqrt(sum(x * x * n) / sum(n) - (sum(x * n) / sum(n)) ** 2), 5) AS p2 FROM b GROUP BY 1""")
+def _(spark, folder):
+    bins = stored(ds.histogram(samples(spark, folder), ["activity"], "duration", 2.0))
+    measured = stored(ds.histogram_moments(bins, ["activity"], 2.0).select("activity", "mean", "variance"))
+    out = ds.convert_dists(ds.fit_durations(samples(spark, folder), "HISTOGRAM"), "NORMAL", measured)
+    return out.select("activity", "dist_type", r(F.col("params")[0], 5).alias("p1"), r(F.col("params")[1], 5).alias("p2"))

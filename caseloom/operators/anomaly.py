@@ -85,9 +85,20 @@ def outlier_counts(marked: DataFrame) -> DataFrame:
     return marked.groupBy("case_id").agg(F.count_if("is_outlier").alias("n_outliers"))
 
 
-def rank_cases(scores: DataFrame, counts: DataFrame, top: int | None = None) -> DataFrame:
+def marked_cases(marked: DataFrame, *more: Column) -> DataFrame:
+    """``case_likelihood`` and ``outlier_counts`` of marked steps in one pass,
+    with any other aggregates."""
+    timed = F.col("dist_type") != "IMMEDIATE"
+    ms = epoch_ms("ts")
+    return marked.groupBy("case_id").agg(
+        F.coalesce(F.sum(F.when(timed, F.col("log_density"))), F.lit(0.0)).alias("log_likelihood"),
+        (F.max_by(ms, "pos") - F.min_by(ms, "pos")).alias("case_duration"), F.max("pos").alias("n_events"),
+        F.count_if("is_outlier").alias("n_outliers"), *more)
+
+
+def rank_cases(cases: DataFrame, top: int | None = None) -> DataFrame:
     """Cases by outlier count (descending), then log-likelihood (ascending)."""
-    ranked = scores.join(counts, "case_id").orderBy(F.desc("n_outliers"), F.asc("log_likelihood"), "case_id")
+    ranked = cases.orderBy(F.desc("n_outliers"), F.asc("log_likelihood"), "case_id")
     return ranked if top is None else ranked.limit(top)
 
 

@@ -55,8 +55,8 @@ def fit_durations(durations: DataFrame, family: str = "NORMAL", censored: DataFr
         waits = censored.select("activity", F.col("duration").cast("double").alias("_wait"))
         known = waits.groupBy("activity").agg(F.count(F.lit(1)).alias("_waits"), F.min("_wait").alias("_least"))
         model = model.join(known, "activity", "full")
-        medians = model.where(F.col("n") > 4).select("activity", "_median")
-        above = waits.join(medians, "activity").groupBy("activity").agg(
+        medians = stored(model.where(F.col("n") > 4).select("activity", "_median"))
+        above = join_model(waits, medians, ["activity"]).groupBy("activity").agg(
             F.count_if(F.col("_wait") > F.col("_median") + EPSILON).alias("_above"))
         model = model.join(above, "activity", "left")
     else:
@@ -290,7 +290,7 @@ def _kernel_density(x: Column) -> Column:
 def kde(bands: DataFrame, slots: DataFrame, probes: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Probe rows (``keys, x`` and any others) with the kernel ``density`` and
     ``cdf`` there; a row sums over the slots of its key in place."""
-    met = join_model(probes, packed_kernels(bands, slots, keys), keys)
+    met = join_model(probes, stored(packed_kernels(bands, slots, keys)), keys)
     at = F.col(x).cast("double")
     return met.withColumns({"density": _kernel_density(at), "cdf": _kernel_sum(at, normal_cdf) / F.col("_n")}
                            ).drop("_n", "_h", "slots")
@@ -309,6 +309,16 @@ def kernel_grid(bands: DataFrame, keys: list[str], points: int) -> DataFrame:
 TINY_VARIANCE = 1e-7  # fixed value
 
 
+def kernel_moments(bands: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, mean, variance`` of kernel fits: of the slots, and the variance of
+    the kernel itself."""
+    c, k = F.col("centre"), F.col("weight")
+    mean = F.sum(c * k) / F.sum(k)
+    sums = slots.groupBy(*keys).agg(mean.alias("mean"), (F.sum(c * c * k) / F.sum(k) - mean * mean).alias("_v"))
+    return sums.join(bands.select(*keys, "h"), keys).select(
+        *keys, "mean", (F.col("_v") + F.col("h") * F.col("h")).alias("variance"))
+
+
 def moments(dist_type: Column, params: Column) -> tuple[Column, Column]:
     a, b = _p(1, params), _p(2, params)
     mean = (F.when(dist_type.isin("NORMAL", "EXPONENTIAL", "DETERMINISTIC"), a)
@@ -322,11 +332,18 @@ def moments(dist_type: Column, params: Column) -> tuple[Column, Column]:
     return mean, variance
 
 
-def convert_dists(dists: DataFrame, target: str) -> DataFrame:
+def convert_dists(dists: DataFrame, target: str, measured: DataFrame | None = None) -> DataFrame:
     """Moment matching to NORMAL or EXPONENTIAL; immediate and deterministic
-    rows stay as they are."""
+    rows stay as they are.  ``measured`` (``activity, mean, variance``) has the
+    moments of histogram and kernel fits (``histogram_moments``,
+    ``kernel_moments``)."""
     kind, params = F.col("dist_type"), F.col("params")
     mean, variance = moments(kind, params)
+    columns = dists.columns
+    if measured is not None:
+        known = measured.select("activity", F.col("mean").alias("_mean"), F.col("variance").alias("_variance"))
+        dists = join_model(dists, known, ["activity"], "left")
+        mean, variance = F.coalesce(mean, "_mean"), F.coalesce(variance, "_variance")
     keep = kind.isin("IMMEDIATE", "DETERMINISTIC")
     if target == "NORMAL":
         sd = F.sqrt(F.when(variance <= 0, TINY_VARIANCE).otherwise(variance))
@@ -338,4 +355,5 @@ def convert_dists(dists: DataFrame, target: str) -> DataFrame:
     else:
         raise ValueError(f"cannot convert to {target!r}")
     return dists.withColumns({"dist_type": F.when(keep, kind).otherwise(new_kind),
-                              "params": F.when(keep, params).otherwise(new_params)})
+                              "params": F.when(keep, params).otherwise(new_params)}).select(*columns)
+

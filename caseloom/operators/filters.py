@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import names
 from caseloom.functions.maths import epoch_ms
 from caseloom.plans.fingerprint import element_hashes, uniform
+from caseloom.plans.models import join_model, stored
 from caseloom.plans.slices import (attach_cases, positions, running, running_dense, running_in_case, slice_of,
                                    with_case_values)
 
@@ -86,8 +87,8 @@ def chained_classes(log: DataFrame) -> DataFrame:
 
 def reduplicate(log: DataFrame) -> DataFrame:
     """Undo numbering: rename ``base_k`` to ``base`` where the chain exists."""
-    renames = chained_classes(log)
-    return (log.join(renames, "activity", "left")
+    renames = stored(chained_classes(log))
+    return (join_model(log, renames, ["activity"], "left")
             .withColumn("activity", F.coalesce("base", "activity")).select(*log.columns))
 
 
@@ -307,6 +308,8 @@ def accurate_noise(log: DataFrame, noise: float, deletion_ratio: float, seed: in
     n_classes = log.agg(F.countDistinct("activity")).scalar()
     rows = rows.withColumn("_class", F.when(F.col("_copy") == 1, 1 + F.floor(
         uniform(seed, "class", "case_id", "_was") * n_classes)))
-    rows = rows.join(numbered, "_class", "left").withColumn(
-        "activity", F.coalesce("_name", "activity"))
+    # only inserted rows have a class; the others do not meet on the missing one
+    new = join_model(rows.where("_copy = 1"), stored(numbered), ["_class"], "left").withColumn(
+        "activity", F.coalesce("_name", "activity")).drop("_name")
+    rows = rows.where("_copy = 0").unionByName(new.select(*rows.columns))
     return positions(rows, ["case_id"], ["ts", "_copy", "_was"], "pos", _minute_slices()).select(*log.columns)

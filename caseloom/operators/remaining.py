@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions.maths import epoch_ms
+from caseloom.functions.maths import epoch_ms, normal_cdf, normal_pdf
 from caseloom.operators.aggs import case_durations, forecast_eval
 from caseloom.operators.filters import sort_cases
 from caseloom.operators.joins import last_observation
@@ -85,16 +85,46 @@ def conditional_duration(train: DataFrame, probes: DataFrame, keys: list[str], d
         left > 0, F.col("s_left") / F.greatest(left, F.lit(1))).otherwise(F.col(elapsed)).alias("expected"))
 
 
+TAIL = 1e-6  # mass of a tail whose mean is still told from the distribution function
+
+
 def conditional_expectation(dist_type: Column, params: Column, elapsed: Column) -> Column:
     """Expected duration given it exceeds the elapsed time: exponential durations
-    forget, uniform ones start at the elapsed time."""
+    forget, uniform ones start at the elapsed time, normal and log-normal ones
+    have the mean of their tail.  The elapsed time itself where nothing is left
+    of the tail; histogram and kernel fits go through ``conditional_table``."""
     a, b = (F.try_element_at(params, F.lit(i)) for i in (1, 2))
     uniform = F.when(elapsed < b, (F.greatest(a, elapsed) + b) / 2).otherwise(elapsed)
     point = F.greatest(a, elapsed)
+    z = (elapsed - a) / b
+    left = F.lit(1.0) - normal_cdf(z)
+    normal = F.when(left > TAIL, a + b * normal_pdf(z, F.lit(0.0), F.lit(1.0)) / left).otherwise(elapsed)
+    y = (F.ln(F.greatest(elapsed, F.lit(1e-300))) - a) / b
+    rest = F.lit(1.0) - normal_cdf(y)
+    mean = F.exp(a + b * b / 2)
+    lognormal = F.when(elapsed <= 0, mean).when(rest > TAIL, mean * normal_cdf(b - y) / rest).otherwise(elapsed)
     return (F.when(dist_type == "EXPONENTIAL", a + elapsed).when(dist_type == "UNIFORM", uniform)
+            .when(dist_type == "NORMAL", normal).when(dist_type == "LOGNORMAL", lognormal)
             .when(dist_type == "DETERMINISTIC", point).when(dist_type == "IMMEDIATE", elapsed))
 
 
+def conditional_table(parts: DataFrame, probes: DataFrame, keys: list[str], elapsed: str = "elapsed") -> DataFrame:
+    """The same for tables of bins or kernel slots (``keys, value, weight``): the
+    mean of the parts not below the elapsed time, which a part stands for as a
+    whole: ``keys, elapsed, expected``."""
+    v, k = F.col("value"), F.col("weight")
+    asked = probes.select(*keys, F.col(elapsed).cast("double").alias(elapsed)).distinct()
+    packed = stored(parts.groupBy(*keys).agg(F.collect_list(F.struct(v.cast("double").alias("value"), k.cast(
+        "double").alias("weight"))).alias("_parts")))  # one row per fit, as many parts as its grid
+    met = join_model(asked, packed, keys, "left")
+    left = F.filter("_parts", lambda p: p["value"] >= F.col(elapsed))
+    mass = F.aggregate(left, F.lit(0.0), lambda n, p: n + p["weight"])
+    total = F.aggregate(left, F.lit(0.0), lambda n, p: n + p["weight"] * p["value"])
+    return met.withColumns({"_mass": F.coalesce(mass, F.lit(0.0)), "_sum": total}).select(
+        *keys, elapsed, F.when(F.col("_mass") > 0, F.col("_sum") / F.col("_mass")).otherwise(F.col(elapsed)).alias(
+            "expected"))
+
+
 def deadline_risk(train: DataFrame, probes: DataFrame, state: str, budget: str) -> DataFrame:
     """Probability to miss a deadline ``budget`` ms away: 1 - (rank + 0.5)/(n + 1)
     of the budget among the remaining times seen in the same state."""

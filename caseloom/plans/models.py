@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.plans.bounds import BROADCAST_ROWS
+from caseloom.plans.bounds import BROADCAST_BYTES, BROADCAST_ROWS, size_in_bytes
 from caseloom.plans.lineage import stored  # noqa: F401
 
 SALTS = 32
@@ -15,11 +15,12 @@ def join_model(rows: DataFrame, model: DataFrame, on: list[str], how: str = "inn
                max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join many rows with a stored model table.
 
-    ``model`` should be a stored table.  It is counted first: a small one is broadcast; a larger one is
-    repeated under ``SALTS`` salts, so a key that holds a third of the rows is
+    ``model`` should be a stored table.  Its rows and bytes are counted first: a small one is broadcast; a
+    larger one is repeated under ``SALTS`` salts, so a key that holds a third of the rows is
     spread over that many tasks.
     """
-    if model.limit(max_rows + 1).count() <= max_rows:
+    n, size = size_in_bytes(model)
+    if n <= max_rows and size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(model), on, how)
     hashable = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))

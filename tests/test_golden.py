@@ -456,3 +456,31 @@ def test_measurement_errors_in_any_unit(spark, make_log, tiny):
     kernel = dists.withColumn("dist_type", F.lit("KERNEL"))
     with pytest.raises(ValueError):
         anomaly.error_test(distributions.with_density(steps, dists).withColumn("dist_type", F.lit("KERNEL")), kernel)
+
+
+def test_means_of_tails(spark, tiny):
+    def mean(kind, params, elapsed):
+        return spark.range(1).select(remaining.conditional_expectation(
+            F.lit(kind), F.array(*map(F.lit, params)), F.lit(elapsed)).alias("e")).first()["e"]
+
+    assert mean("NORMAL", [10.0, 2.0], 10.0) == pytest.approx(10 + 2 * math.sqrt(2 / math.pi), rel=1e-5)
+    assert mean("NORMAL", [10.0, 2.0], 99.0) == 99.0
+    draws = [math.exp(1 + 0.5 * normal_quantile((k + 0.5) / 200_000)) for k in range(200_000)]
+    left = [d for d in draws if d >= 4.0]
+    assert mean("LOGNORMAL", [1.0, 0.5], 4.0) == pytest.approx(sum(left) / len(left), rel=1e-3)
+    assert mean("LOGNORMAL", [1.0, 0.5], 0.0) == pytest.approx(math.exp(1.125))
+    parts = spark.createDataFrame([("A", 1.0, 3.0), ("A", 5.0, 1.0), ("A", 9.0, 1.0)], "activity string, value double, weight double")
+    probes = spark.createDataFrame([("A", 0.0), ("A", 4.0), ("A", 99.0), ("B", 2.0)], "activity string, elapsed double")
+    rows = {(r.activity, r.elapsed): r.expected for r in remaining.conditional_table(parts, probes, ["activity"]).collect()}
+    assert rows == {("A", 0.0): pytest.approx(17 / 5), ("A", 4.0): 7.0, ("A", 99.0): 99.0, ("B", 2.0): 2.0}
+
+
+def test_conversion_of_kernels(spark, tiny):
+    df = spark.createDataFrame([("A", float(v)) for v in range(101)], "activity string, duration double")
+    bands, slots = distributions.kernel_model(df, ["activity"], "duration")
+    measured = distributions.kernel_moments(bands, slots, ["activity"])
+    dists = spark.createDataFrame([("A", "KERNEL", None)], "activity string, dist_type string, params array<double>")
+    out = distributions.convert_dists(dists, "NORMAL", measured).first()
+    h = bands.first()["h"]
+    assert out["dist_type"] == "NORMAL" and out["params"][0] == pytest.approx(50, abs=0.1)
+    assert out["params"][1] == pytest.approx(math.sqrt(100 * 102 / 12 + h * h), rel=0.01)
