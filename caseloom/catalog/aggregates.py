@@ -270,12 +270,13 @@ def _(spark, folder):
 
 
 @query("hourly_medians", "A33", """SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS hour_ms, count(*) AS n, round(median(value), 6) AS median_value,
-  count(*) FILTER (event_type = 'click') AS event_type_click, count(*) FILTER (event_type = 'error') AS event_type_error FROM events GROUP BY 1""")
+  """ + ", ".join(f"count(*) FILTER (event_type = '{k}') AS event_type_{k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1")
 def _(spark, folder):
     ev = load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = a.hourly(ev, "ts", ["value"], {"event_type": ["click", "error"]})
+    levels = sorted(row[0] for row in ev.select("event_type").distinct().collect())  # as many as there are types
+    out = a.hourly(ev, "ts", ["value"], {"event_type": levels})
     return out.select(epoch_ms("hour").alias("hour_ms"), "n", r("median_value", 6).alias("median_value"),
-                      "event_type_click", "event_type_error")
+                      *(f"event_type_{k}" for k in levels))
 
 
 @query("duration_matrix", "S5", LOG + """SELECT case_id, """ + ", ".join(

@@ -55,3 +55,9 @@ TALK = """WITH talk AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
   FROM conversations)
 """
+
+
+def uniform_sql(seed: int, salt: str, *keys: str) -> str:
+    """The number of ``plans.fingerprint.uniform`` in SQL."""
+    parts = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{salt}', {parts})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.catalog.base import LOG, SHIP, TALK, query
+from caseloom.catalog.base import LOG, SHIP, TALK, query, uniform_sql
 from caseloom.functions.maths import epoch_ms, format_duration, to_unit
 from caseloom.operators import filters as f
 from caseloom.plans.lineage import stored
@@ -165,14 +165,34 @@ def _(spark, folder):
         F.count(F.lit(1)).alias("n"), F.sum("duration").alias("total"))
 
 
-@query("add_noise", "F15")
+def _u(salt: str, *keys: str) -> str:
+    return uniform_sql(7, salt, *(keys or ("case_id", "pos")))
+
+
+@query("add_noise", "F15", LOG + f""", d AS (SELECT case_id, pos, activity, ms, {_u('keep')} >= 0.2 AS keep, {_u('spare')} AS spare, {_u('twice')} < 0.1 AS twice, {_u('at')} AS u FROM log),
+  m AS (SELECT *, bool_or(keep) OVER c AS kept_any, row_number() OVER (PARTITION BY case_id ORDER BY spare, pos) = 1 AS pick, min(ms) OVER c - 10 AS lo, max(ms) OVER c + 10 AS hi
+    FROM d WINDOW c AS (PARTITION BY case_id)),
+  e AS (SELECT case_id, pos, activity, ts, 0 AS copy FROM m JOIN log USING (case_id, pos, activity) WHERE keep OR (NOT kept_any AND pick)
+    UNION ALL SELECT case_id, pos, activity, make_timestamp((lo + CAST(floor(u * (hi - lo)) AS BIGINT)) * 1000), 1 FROM m WHERE twice)
+  SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, copy, pos) AS pos, activity, epoch_us(ts) AS us FROM e""")
 def _(spark, folder):
-    return f.add_noise(events_log(spark, folder), 0.1, 0.2, 7).select("case_id", "pos", "activity", "ts")
+    rows = f.add_noise(events_log(spark, folder), 0.1, 0.2, 7)
+    return rows.select("case_id", "pos", "activity", F.unix_micros("ts").alias("us"))
 
 
-@query("accurate_noise", "F16")
+@query("accurate_noise", "F16", LOG + f""", c AS (SELECT case_id, max(pos) AS n, arg_min(ms, pos) AS t0, arg_max(ms, pos) - arg_min(ms, pos) AS d FROM log GROUP BY 1),
+  a AS (SELECT *, floor(n * 0.3::DOUBLE) + CASE WHEN {_u('affected', 'case_id')} < n * 0.3::DOUBLE - floor(n * 0.3::DOUBLE) THEN 1 ELSE 0 END AS affected FROM c),
+  x AS (SELECT *, floor(affected * 0.5::DOUBLE) + CASE WHEN {_u('deleted', 'case_id')} < affected * 0.5::DOUBLE - floor(affected * 0.5::DOUBLE) THEN 1 ELSE 0 END AS deleted FROM a),
+  k AS (SELECT l.case_id, l.pos, l.activity, l.ts, n, t0, affected, deleted, row_number() OVER (PARTITION BY l.case_id ORDER BY {_u('draw', 'l.case_id', 'l.pos')}, l.pos) AS rk
+    FROM log l JOIN x USING (case_id)),
+  g AS (SELECT activity AS name, row_number() OVER (ORDER BY activity) AS class FROM (SELECT DISTINCT activity FROM log)),
+  e AS (SELECT case_id, pos, activity, ts, 0 AS copy FROM k WHERE rk > deleted OR (deleted >= n AND rk = n)
+    UNION ALL SELECT case_id, pos, name, make_timestamp((t0 + CAST(floor({_u('at')} * (SELECT avg(d) FROM c)) AS BIGINT)) * 1000), 1
+      FROM k JOIN g ON class = 1 + floor({_u('class')} * (SELECT count(*) FROM g)) WHERE rk > deleted AND rk <= affected)
+  SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, copy, pos) AS pos, activity, epoch_us(ts) AS us FROM e""")
 def _(spark, folder):
-    return f.accurate_noise(events_log(spark, folder), 0.3, 0.5, 7).select("case_id", "pos", "activity", "ts")
+    rows = f.accurate_noise(events_log(spark, folder), 0.3, 0.5, 7)
+    return rows.select("case_id", "pos", "activity", F.unix_micros("ts").alias("us"))
 
 
 @query("add_noise_without_noise", "F15", LOG + "SELECT case_id, pos, activity, ms FROM log")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.catalog.base import LOG, query
+from caseloom.catalog.base import LOG, query, uniform_sql
 from caseloom.functions.maths import ERF_A, ERF_P, normal_quantile
 from caseloom.operators import anomaly as an
 from caseloom.operators import distributions as ds
@@ -396,20 +396,34 @@ def _(spark, folder):
     return an.neighbor_error(flags).select("case_id", "pos", "neighbor_is_error")
 
 
-@query("injected_errors", "L12")
+def _injected(u=lambda salt: uniform_sql(11, salt, "case_id", "pos")) -> str:
+    return f""", b AS (SELECT case_id, arg_min(ms, pos) AS t0, arg_max(ms, pos) AS t1 FROM steps GROUP BY 1),
+  z AS (SELECT case_id, pos, activity, duration, CASE WHEN pos > 1 AND {u('hit')} <= 0.1
+    THEN sqrt(-2 * ln(1 - {u('size:u')})) * cos(6.283185307179586::DOUBLE * {u('size:v')}) * (t1 - t0) / 6.0 ELSE 0 END AS error FROM steps JOIN b USING (case_id)),
+  q AS (SELECT *, duration + error - coalesce(lag(error) OVER o, 0) AS observed, lead(duration) OVER o AS child FROM z WINDOW o AS (PARTITION BY case_id ORDER BY pos)),
+  inj AS (SELECT *, CASE WHEN error = 0 THEN 'NONE' WHEN observed < 0 OR coalesce(child - error < 0, false) THEN 'STRUCTURAL_ERROR' ELSE 'TIME_ERROR' END AS label FROM q)
+"""
+
+
+@query("injected_errors", "L12", LOG + _injected() + "SELECT case_id, pos, duration, round(error, 3) AS error, round(observed, 3) AS observed, label FROM inj")
 def _(spark, folder):
     steps = w.step_durations(events_log(spark, folder))
-    return an.inject_errors(steps, 0.1, 11).select("case_id", "pos", "duration", "error", "observed", "label")
+    found = an.inject_errors(steps, 0.1, 11)
+    return found.select("case_id", "pos", "duration", r("error", 3).alias("error"), r("observed", 3).alias("observed"), "label")
 
 
-@query("injected_error_detection", "L12,L4,A28")
+@query("injected_error_detection", "L12,L4,A28", LOG + _injected() + """, n AS (SELECT activity, avg(duration) AS m, stddev_samp(duration) AS s FROM inj WHERE pos > 1 GROUP BY 1),
+  d AS (SELECT activity, abs(observed - m) / s > 3 AS p, label = 'TIME_ERROR' AS y FROM inj JOIN n USING (activity) WHERE pos > 1),
+  c AS (SELECT activity, count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (NOT p AND y) AS fn FROM d GROUP BY 1)
+  SELECT *, coalesce(round(tp / nullif(tp + fp, 0), 6), -1) AS precision, coalesce(round(tp / nullif(tp + fn, 0), 6), -1) AS recall, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy FROM c""")
 def _(spark, folder):
     from caseloom.operators.aggs import retrieval_stats
     steps = stored(an.inject_errors(w.step_durations(events_log(spark, folder)), 0.1, 11).where("pos > 1"))
-    clean = steps.select("activity", F.col("duration"))
-    dists = stored(ds.fit_durations(clean, "NORMAL"))
+    dists = stored(ds.fit_durations(steps.select("activity", "duration"), "NORMAL"))
     scored = ds.with_density(steps.withColumn("duration", F.col("observed")), dists)
-    return retrieval_stats(an.z_outliers(scored), F.col("is_z_outlier"), F.col("label") == "TIME_ERROR", ["activity"])
+    s = retrieval_stats(an.z_outliers(scored), F.col("is_z_outlier"), F.col("label") == "TIME_ERROR", ["activity"])
+    return s.select("activity", "tp", "fp", "tn", "fn", F.coalesce(r("precision", 6), F.lit(-1.0)).alias("precision"),
+                    F.coalesce(r("recall", 6), F.lit(-1.0)).alias("recall"), r("accuracy", 6).alias("accuracy"))
 
 
 @query("histogram", "A15", """WITH b AS (SELECT event_type AS activity, CAST(floor(value / 0.1::DOUBLE + 0.5) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.catalog.aggregates import DFG
-from caseloom.catalog.base import LOG, SHIP, TALK, query
+from caseloom.catalog.base import LOG, SHIP, TALK, query, uniform_sql
 from caseloom.functions.maths import epoch_ms
 from caseloom.operators import joins as j
 from caseloom.operators import measures as m
@@ -345,7 +345,9 @@ def _(spark, folder):
         F.array_join("outcome", ",").alias("outcome"), place.alias("place"), against.alias("against"))
 
 
-@query("weighted_pick", "O5")
+@query("weighted_pick", "O5", LOG + f""", moves AS (SELECT coalesce(prev, '{tp.START}') AS state, activity, count(*) AS n FROM steps GROUP BY 1, 2),
+  summed AS (SELECT *, sum(n) OVER (PARTITION BY state ORDER BY activity) AS upto, sum(n) OVER (PARTITION BY state) AS total FROM moves)
+  SELECT state, arg_min(activity, upto) AS activity FROM summed WHERE upto >= {uniform_sql(5, 'pick', 'state')} * total GROUP BY state""")
 def _(spark, folder):
     moves = j.successors(j.with_state(events_log(spark, folder)))
     return o.weighted_pick(moves, ["state"], "activity", "n", 5)

@@ -18,10 +18,11 @@ def element_hashes(*parts: Column | str) -> tuple[Column, Column]:
 
 
 def uniform(seed: int, salt: str, *keys: Column | str) -> Column:
-    """A number in [0, 1) that depends only on the keys, so retries agree."""
-    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), *cols), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends only on the keys, so retries agree: the
+    first 52 bits of the md5 of seed, salt and keys, which other engines have too."""
+    cols = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *cols).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
 def gaussian(seed: int, salt: str, *keys: Column | str) -> Column:
