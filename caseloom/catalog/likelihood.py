@@ -198,17 +198,13 @@ def _(spark, folder):
     return top.select(place.alias("place"), "case_id", "n_outliers", r("log_likelihood").alias("log_likelihood"))
 
 
-@query("case_table", "O2", LOG + CUT + """SELECT case_id, count(*) FILTER (is_outlier) AS exceptions, round(sum(ld), 4) AS log_likelihood, """ + ", ".join(
-    f"coalesce(max(activity || '=' || printf('%.2f', value)) FILTER (pos = {i}), '') AS activity_{i}" for i in range(1, 11)) + " FROM marked GROUP BY case_id")
+@query("case_table", "O2", LOG + CUT + """SELECT case_id, pos, activity || '=' || printf('%.2f', value) AS step,
+  count(*) FILTER (is_outlier) OVER c AS exceptions, round(sum(ld) OVER c, 4) AS log_likelihood FROM marked WINDOW c AS (PARTITION BY case_id)""")
 def _(spark, folder):
     from caseloom.operators.ordering import case_table
     marked = marked_steps(spark, folder)[0].withColumn(
-        "step", F.concat("activity", F.lit("="), F.format_string("%.2f", "value")))
-    table = case_table(marked, "step")
-    for i in range(1, 11):
-        if f"activity_{i}" not in table.columns:
-            table = table.withColumn(f"activity_{i}", F.lit(""))
-    return table.withColumn("log_likelihood", r("log_likelihood"))
+        "text", F.concat("activity", F.lit("="), F.format_string("%.2f", "value")))
+    return case_table(marked, "text").withColumn("log_likelihood", r("log_likelihood"))
 
 
 @query("p_values_exponential", "L5", LOG + FIT + "SELECT case_id, pos, round(exp(-value / m), 6) AS p_value FROM log JOIN fit USING (activity)")

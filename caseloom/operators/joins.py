@@ -199,20 +199,22 @@ def case_jaccard(log: DataFrame, min_similarity: float) -> DataFrame:
     return pairs.withColumn("similarity", similarity).where(F.col("similarity") >= min_similarity - 1e-9)
 
 
-MAX_FAMILY = 10_000
+PARTS = 64  # tasks that share the products of two families
 
 
 def cross_union(first: DataFrame, second: DataFrame, col: str = "items") -> DataFrame:
     """Distinct unions of a set of the first family with one of the second; an
-    empty family is neutral.  The second family is a checked parameter list."""
-    require_at_most(second, MAX_FAMILY, "sets in the second family")
-    if second.isEmpty():
-        return first.select(F.sort_array(col).alias(col)).distinct()
-    if first.isEmpty():
-        return second.select(F.sort_array(col).alias(col)).distinct()
-    paired = first.withColumn("_others", second.agg(F.collect_set(col)).scalar())
-    unions = F.transform("_others", lambda o: F.sort_array(F.array_union(F.col(col), o)))
-    return paired.select(F.explode(unions).alias(col)).distinct()
+    empty family is neutral.  Both families are made distinct first; every part
+    of the first meets a copy of the second, so no family has to be small."""
+    ours = stored(first.select(F.sort_array(F.array_distinct(col)).alias(col)).distinct())
+    theirs = stored(second.select(F.sort_array(F.array_distinct(col)).alias("_other")).distinct())
+    if theirs.isEmpty():
+        return ours
+    if ours.isEmpty():
+        return theirs.select(F.col("_other").alias(col))
+    parts = ours.withColumn("_part", F.pmod(F.xxhash64(col), F.lit(PARTS)))
+    copies = theirs.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    return parts.join(copies, "_part").select(F.sort_array(F.array_union(col, "_other")).alias(col)).distinct()
 
 
 # ---------------------------------------------------------------- competitors, weights, censoring

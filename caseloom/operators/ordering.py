@@ -6,23 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.plans.fingerprint import uniform
-from caseloom.plans.slices import running
-
-MAX_COLUMNS = 10_000
-
+from caseloom.plans.slices import running, with_case_values
 
 def case_table(marked: DataFrame, step: str) -> DataFrame:
-    """One row per case: ``case_id, exceptions, log_likelihood, activity_1 ...``
-    with the step texts in order, padded with ''.  One column per position of
-    the longest case; logs with longer cases than a table can have columns are
-    refused, not shortened."""
-    width = marked.agg(F.max("pos")).first()[0] or 0
-    if width > MAX_COLUMNS:
-        raise ValueError(f"the longest case has {width} steps; a table may have {MAX_COLUMNS} step columns")
-    return marked.groupBy("case_id").agg(
-        F.count_if("is_outlier").alias("exceptions"), F.sum("log_density").alias("log_likelihood"),
-        *[F.coalesce(F.max(F.when(F.col("pos") == i, F.col(step))), F.lit("")).alias(f"activity_{i}")
-          for i in range(1, width + 1)])
+    """One row per step in case order with the figures of its case: ``case_id,
+    pos, step, exceptions, log_likelihood``.  Long form, so cases may have any
+    length."""
+    figures = with_case_values(marked, exceptions=F.count_if("is_outlier"), log_likelihood=F.sum("log_density"))
+    return figures.select("case_id", "pos", F.col(step).alias("step"), "exceptions", "log_likelihood")
 
 
 def by_size_then_elements(sets: DataFrame, col: str) -> DataFrame:
