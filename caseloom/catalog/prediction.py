@@ -313,3 +313,32 @@ def _(spark, folder):
   UNION ALL SELECT n, n, 0.0 FROM (SELECT DISTINCT CAST(s AS VARCHAR) AS n FROM e UNION SELECT CAST(d AS VARCHAR) FROM e)""")
 def _(spark, folder):
     return g.all_pairs_distances(_edges(spark, folder, 12))
+
+
+def _deliveries(spark, folder):
+    """A graph that grows with the tables: customers to orders, orders to suppliers."""
+    orders, lines = load(spark, folder, "orders"), load(spark, folder, "lineitem")
+    placed = orders.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"),
+                           F.col("o_totalprice").cast("double").alias("weight"))
+    sent = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"),
+                        F.col("l_extendedprice").cast("double").alias("weight"))
+    first = orders.agg(F.min("o_custkey")).first()[0]
+    return placed.unionByName(sent), f"c{first}"
+
+
+def _deliveries_sql(agg):
+    return f"""WITH k AS (SELECT min(o_custkey) AS c FROM orders), mine AS (SELECT o_orderkey, o_totalprice::DOUBLE AS p FROM orders, k WHERE o_custkey = c)
+  SELECT 'c' || c AS node, 0.0::DOUBLE AS distance FROM k UNION ALL SELECT 'o' || o_orderkey, round(p, 2) FROM mine
+  UNION ALL SELECT 's' || l_suppkey, round({agg}(p + l_extendedprice::DOUBLE), 2) FROM mine JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"""
+
+
+@query("delivery_paths", "G1", _deliveries_sql("min"))
+def _(spark, folder):
+    return g.path_distances(*_deliveries(spark, folder)).select("node", r("distance", 2).alias("distance"))
+
+
+@query("delivery_paths_longest", "G1", _deliveries_sql("max"))
+def _(spark, folder):
+    edges, source = _deliveries(spark, folder)
+    longest = g.path_distances(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")), source, longest=True)
+    return longest.select("node", r("distance", 2).alias("distance"))

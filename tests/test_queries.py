@@ -14,7 +14,8 @@ running_entropy sample_rank duration_stats directly_follows pairwise_gaps_shipme
 hourly_medians fit_classification density_histogram outlier_steps p_values_empirical error_posterior kernel_density
 activity_intervals last_observation resource_movements case_jaccard censored_enabling_memory quantile_entropy
 prefix_automaton bounded_history last_season forecast_average remaining_by_bag compare_predictors longest_paths
-stream_event_gaps xes_round_trip""".split()
+stream_event_gaps xes_round_trip measurement_error_test_exponential add_noise accurate_noise injected_errors weighted_pick
+conditional_expectation_normal convert_histogram delivery_paths case_table filter_classes""".split()
 NAMES = sorted(SQL) if os.environ.get("CASELOOM_ALL") else SAMPLE
 
 
