@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
-SAMPLE_TEXTS = 400        # per language, at most
-SAMPLE_CHARS = 1_500_000  # per language, at most; texts longer than that are not taken into the sample
+SAMPLE_TEXTS = 250        # per language, at most
+SAMPLE_CHARS = 600_000  # per language, at most; texts longer than that are not taken into the sample
 CACHED_WORDS = 120_000
 CACHED_GRAMS = 200_000
 UNKNOWN = "und"

@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import join_small, whole_text, with_row_ids
+from caseloom.llm.common import FEW_ENTRIES, join_small, whole_text, with_row_ids
 from caseloom.plans.lineage import stored
 
 WINDOW = 200
 ANCHOR = 32
-BUCKET = 1024          # different contexts of one anchor in one index
+BUCKET = 4096          # different contexts of one anchor in one index
 WAYS = 8               # longer anchors that take the place of a hot one
 CHUNK = 600_000        # bytes that are indexed together
 STRETCH = 1 << 20      # bytes of a text that are hashed together
@@ -250,9 +250,9 @@ def words(text: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Order of all suffixes: by eight bytes, then by doubling, each time only where ties are left."""
     n, reach = len(text), 8
-    order = np.argsort(word[:n])
-    rank = np.full(n + 1, -1, dtype=np.int64)
-    key, slots = word[:n][order], np.arange(n)
+    order = np.argsort(word[:n]).astype(np.int32)
+    rank = np.full(n + 1, -1, dtype=np.int32)
+    key, slots = word[:n][order], np.arange(n, dtype=np.int32)
     while True:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         length = np.diff(np.r_[first, len(key)])
@@ -261,7 +261,7 @@ def suffix_array(text: np.ndarray, word: np.ndarray) -> np.ndarray:
         if not len(slots):
             return order
         some = order[slots]
-        key = rank[some] * (n + 2) + rank[np.minimum(some + reach, n)] + 1
+        key = rank[some].astype(np.int64) * (n + 2) + rank[np.minimum(some + reach, n)] + 1
         by = np.argsort(key)
         order[slots], key = some[by], key[by]
         reach *= 2
@@ -269,14 +269,14 @@ def suffix_array(text: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def common_prefix(word: np.ndarray, n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes at each ``i`` and ``j``."""
-    out = np.zeros(len(i), dtype=np.int64)
+    out = np.zeros(len(i), dtype=np.int32)
     active = np.arange(len(i))
     while len(active):
         a, b = i[active] + out[active], j[active] + out[active]
         differ = word[np.minimum(a, n)] ^ word[np.minimum(b, n)]
         same = (differ == 0) & (np.maximum(a, b) < n)
         rest = differ[~same]
-        equal = sum(((rest >> np.uint64(64 - 8 * k)) == 0).astype(np.int64) for k in range(1, 8)) if len(rest) else 0
+        equal = sum(((rest >> np.uint64(64 - 8 * k)) == 0).astype(np.int32) for k in range(1, 8)) if len(rest) else 0
         out[active[~same]] += equal
         active = active[same]
         out[active] += 8
@@ -296,10 +296,10 @@ def matching_statistics(text: np.ndarray) -> np.ndarray:
     heads = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1       # runs begin here; the run before ends one earlier
     before, first = order[heads - 1], order[heads]        # sampled text positions: ends and beginnings of runs
     match = common_prefix(word, n, before, first)
-    reach = np.zeros(n, dtype=np.int64)
+    reach = np.zeros(n, dtype=np.int32)
     np.maximum.at(reach, before, match + before)
     np.maximum.at(reach, first, match + first)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     return np.maximum(np.maximum.accumulate(reach) - at, 0)
 
 
@@ -349,17 +349,25 @@ def indexed(rows: DataFrame, window: int) -> DataFrame:
     return rows.repartition("a").sortWithinPartitions("a", "row_id", "lo").mapInArrow(index, SPANS)
 
 
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], first: bool) -> DataFrame:
+    """The rows whose key is listed. The rounds after the first have few of them, and the list is broadcast then."""
+    if first:
+        return rows.join(keys, on, "left_semi")
+    keys = stored(keys)
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW_ENTRIES // 4 else keys, on, "left_semi")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, length: int = ANCHOR, bucket: int = BUCKET) -> DataFrame:
     """Spans ``row_id, start, stop`` of documents ``row_id, _text`` that cover all repeated windows, and nothing else;
     spans may overlap."""
-    rows, found = stored(anchor_rows(docs, window, length)), None
+    rows, found, first = stored(anchor_rows(docs, window, length)), None, True
     while True:
         twice = rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        members = stored(rows.join(twice, "a", "left_semi"))
+        members = stored(meet(rows, twice, ["a"], first))
         classes = stored(members.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "place")).alias(
             "one")))
         start, stop = span_of("place", window, length)
-        whole = members.join(classes.where("n > 1").select("a", "c"), ["a", "c"], "left_semi").select(
+        whole = meet(members, classes.where("n > 1").select("a", "c"), ["a", "c"], first).select(
             "row_id", start.alias("start"), stop.alias("stop"))
         found = whole if found is None else found.union(whole)
         mixed = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where(
@@ -372,7 +380,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, length: int = ANCHOR, bucket:
         if not many:
             return found
         # one of each kind goes on; the others of a kind are repeated as a whole and marked already
-        hot = open_.where(F.col("kinds") > bucket)
+        hot, first = open_.where(F.col("kinds") > bucket), False
         rows = stored(longer_rows(docs, hot, many, window, length))
         length = longer(np.zeros(1, np.int64), length, window, window)[1]
 
