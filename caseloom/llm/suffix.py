@@ -350,11 +350,11 @@ def indexed(rows: DataFrame, window: int) -> DataFrame:
 
 
 def meet(rows: DataFrame, keys: DataFrame, on: list[str], first: bool) -> DataFrame:
-    """The rows whose key is listed. The rounds after the first have few of them, and the list is broadcast then."""
-    if first:
-        return rows.join(keys, on, "left_semi")
+    """The rows whose key is listed. The list is stored, so that the join stands apart from the counting and a key with
+    very many rows can be split. The rounds after the first have few rows, and their list is broadcast while it is short."""
     keys = stored(keys)
-    return rows.join(F.broadcast(keys) if keys.count() <= FEW_ENTRIES // 4 else keys, on, "left_semi")
+    few = not first and keys.count() <= FEW_ENTRIES // 4
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, length: int = ANCHOR, bucket: int = BUCKET) -> DataFrame:
