@@ -6,10 +6,13 @@ to be neighbours of each other, so all neighbours and reverse neighbours that me
 keeps the best it has found. A list has ``LIST`` entries; one that is full of links (cosine of ``THRESHOLD`` or more) is
 saturated and is enlarged, up to ``DENSE`` links. Reverse neighbours of a popular vector are dealt out in blocks.
 
-*Dense vectors*, those with ``DENSE`` links or more, are counted exactly without listing pairs. Those that are connected
-form a cluster; its members are put into blocks by their angle to one of them. Two blocks whose angles add up to no more
-than that of the threshold are linked as a whole, two that are too far apart are not at all, and only the others are
-compared, block by block.
+*Dense vectors*, those with ``DENSE`` links or more, are counted exactly without listing pairs, since their lists are
+full. Those that are connected form a cluster, one without dense neighbours a cluster of its own; its members are put into
+blocks by their angle to one of them, the pivot. The pivots are compared with each other; two clusters that are further
+apart than the widest angles of both and that of the threshold have no links. Of the blocks of a cluster or of two others,
+two whose angles (and that between the pivots) add up to no more than that of the threshold are linked as a whole, two
+that are too far apart are not at all, and only the rest is compared, block by block. One link of two linked blocks joins
+their clusters.
 
 *Audit.* A stated set of ``AUDIT`` vectors is compared with all vectors, in blocks. While less than ``RECALL`` of their
 links were found, the lists grow and the refinement goes on, ``AUDITS`` times at most; the recall is part of the result.
@@ -42,6 +45,8 @@ SIGNS = 62        # projections of one sorting
 ROUNDS = 4
 BLOCK = 2048      # vectors compared in one piece
 DEGREES = 0.5     # width of the blocks of a dense cluster
+SMALL = 256       # members of a cluster that are one block
+SLACK = 1e-7      # rounding of an angle
 AUDIT = 256
 RECALL = 0.98
 AUDITS = 3
@@ -186,9 +191,41 @@ def by_length(vectors: DataFrame) -> list[int]:
     return [r[0] for r in vectors.select("dim").distinct().collect()]
 
 
-def dense_counts(cluster: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``node, n``: rows linked with each member of a cluster inside it, its own rows included; members are
-    ``node, cluster``, the cluster's name being one of them."""
+def near_clusters(turned: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``cluster, cluster2, between``: each cluster with itself and, both ways, with those that it may have links with,
+    and the angle between their pivots."""
+    limit = math.acos(THRESHOLD)
+    pivots = stored(turned.groupBy("cluster").agg(F.max("angle").alias("reach")).join(
+        vectors.select(F.col("node").alias("cluster"), "dim", "vec"), "cluster"))
+    parts = -(-pivots.count() // BLOCK)
+    dealt = pivots.withColumn("p", F.pmod(F.xxhash64("cluster"), F.lit(parts))).withColumn(
+        "q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    at = (F.col("dim").cast("bigint") * parts + F.least("p", "q")) * parts + F.greatest("p", "q")
+    side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
+
+    def compare(batches):
+        for _, (side, ids, reach, body) in groups_of(batches, 5):
+            side, ids, reach, x = np.array(side), np.array(ids, np.int64), np.array(reach), unit(body)
+            one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            for low in range(0, len(one), 256):
+                some = one[low: low + 256]
+                angle = np.arccos(np.clip(x[some] @ x[two].T, -1.0, 1.0))
+                same = ids[some][:, None] == ids[two][None, :]
+                angle[same] = 0.0
+                i, j = np.nonzero(same | (angle - reach[some][:, None] - reach[two][None, :] <= limit + SLACK))
+                u, v, between = ids[some][i], ids[two][j], angle[i, j]
+                yield edge_batch(u, v, between)
+                if side[some[0]] == 0:
+                    yield edge_batch(v, u, between)
+
+    found = dealt.select(at.alias("at"), side.alias("side"), "cluster", "reach", "vec").repartition(
+        "at").sortWithinPartitions("at", "side", "cluster").mapInArrow(compare, EDGES)
+    return stored(found.toDF("cluster", "cluster2", "between"))
+
+
+def dense_counts(cluster: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, n``: rows linked with each dense vector among all dense ones, its own rows included; and links ``a, b``
+    that connect the clusters that are linked. Members are ``node, cluster``, the cluster's name being one of them."""
     limit = math.acos(THRESHOLD)
     pivot = vectors.select(F.col("node").alias("cluster"), F.col("vec").alias("pivot"))
     rows = cluster.join(vectors, "node").join(pivot, "cluster")
@@ -202,38 +239,52 @@ def dense_counts(cluster: DataFrame, vectors: DataFrame) -> DataFrame:
                                                  ["node", "cluster", "m", "vec", "angle"])
 
     turned = stored(rows.select("node", "cluster", "m", "vec", "pivot").mapInArrow(
-        turn, "node bigint, cluster bigint, m bigint, vec binary, angle double").withColumn(
-        "ring", F.floor(F.degrees("angle") / DEGREES)))
-    slices = turned.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
-    placed = turned.join(slices, ["cluster", "ring"]).withColumn(
+        turn, "node bigint, cluster bigint, m bigint, vec binary, angle double"))
+    near = near_clusters(turned, vectors)
+    large = turned.groupBy("cluster").agg((F.count("*") > SMALL).alias("large"))
+    ringed = turned.join(large, "cluster").withColumn(
+        "ring", F.when(F.col("large"), F.floor(F.degrees("angle") / DEGREES)).otherwise(0))
+    slices = ringed.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
+    placed = ringed.join(slices, ["cluster", "ring"]).withColumn(
         "slice", F.pmod(F.xxhash64("node"), F.col("slices")))
     blocks = stored(placed.groupBy("cluster", "ring", "slice").agg(
-        F.sum("m").alias("m"), F.min("angle").alias("low"), F.max("angle").alias("high")))
-    other = blocks.select("cluster", *(F.col(c).alias(f"{c}2") for c in ("ring", "slice", "m", "low", "high")))
-    pairs = blocks.join(other, "cluster")
-    certain = F.col("high") + F.col("high2") <= limit - 1e-9
-    apart = (F.col("low") - F.col("high2") > limit + 1e-9) | (F.col("low2") - F.col("high") > limit + 1e-9)
-    whole = pairs.where(certain).groupBy("cluster", "ring", "slice").agg(F.sum("m2").alias("n"))
+        F.sum("m").alias("m"), F.min("angle").alias("low"), F.max("angle").alias("high"), F.min("node").alias("first")))
+    other = blocks.select(*(F.col(c).alias(f"{c}2") for c in ("cluster", "ring", "slice", "m", "low", "high", "first")))
+    pairs = blocks.join(near, "cluster").join(other, "cluster2")
+    certain = F.col("between") + F.col("high") + F.col("high2") <= limit - SLACK
+    least = F.greatest(F.col("between") - F.col("high") - F.col("high2"), F.col("low") - F.col("high2") - F.col("between"),
+                       F.col("low2") - F.col("high") - F.col("between"))
+    whole = stored(pairs.where(certain).groupBy("cluster", "ring", "slice").agg(
+        F.sum("m2").alias("n"), F.collect_set(F.when(F.col("cluster") < F.col("cluster2"), F.struct(
+            F.col("first").alias("a"), F.col("first2").alias("b")))).alias("joined")))
     sure = placed.join(whole, ["cluster", "ring", "slice"]).select("node", "n")
-    open_ = pairs.where(~certain & ~apart).select("cluster", "ring", "slice", "ring2", "slice2")
-    name = F.xxhash64("cluster", "ring", "slice", "ring2", "slice2")
+    open_ = stored(pairs.where(~certain & (least <= limit + SLACK)).select(
+        "cluster", "ring", "slice", "cluster2", "ring2", "slice2"))
+    name = F.xxhash64("cluster", "ring", "slice", "cluster2", "ring2", "slice2")
     asked = placed.join(open_, ["cluster", "ring", "slice"]).select(name.alias("at"), F.lit(0).alias("side"), "node",
                                                                     "m", "vec")
-    against = placed.select("cluster", F.col("ring").alias("ring2"), F.col("slice").alias("slice2"), "node", "m",
-                            "vec").join(open_, ["cluster", "ring2", "slice2"]).select(
-        name.alias("at"), F.lit(1).alias("side"), "node", "m", "vec")
+    against = placed.select(F.col("cluster").alias("cluster2"), F.col("ring").alias("ring2"),
+                            F.col("slice").alias("slice2"), "node", "m", "vec").join(
+        open_, ["cluster2", "ring2", "slice2"]).select(name.alias("at"), F.lit(1).alias("side"), "node", "m", "vec")
 
     def compare(batches):
         for _, (side, ids, m, body) in groups_of(batches, 5):
-            side, m, x = np.array(side), np.array(m, np.int64), unit(body)
+            side, ids, m, x = np.array(side), np.array(ids, np.int64), np.array(m, np.int64), unit(body)
             near = x[side == 0] @ x[side == 1].T >= THRESHOLD
-            same = np.array(ids)[side == 0][:, None] == np.array(ids)[side == 1][None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[side == 0]),
-                                              pa.array((near | same) @ m[side == 1])], ["node", "n"])
-
-    compared = asked.union(against).repartition("at").sortWithinPartitions("at", "side", "node").mapInArrow(
-        compare, "node bigint, n bigint")
-    return sure.union(compared).groupBy("node").agg(F.sum("n").alias("n"))
+            same = ids[side == 0][:, None] == ids[side == 1][None, :]
+            # one link of the two blocks
+            u, v = np.divmod(int(np.argmax(near & ~same)), near.shape[1])
+            peer = np.full(len(near), -1, np.int64)
+            if near[u, v] and not same[u, v]:
+                peer[u] = ids[side == 1][v]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[side == 0]), pa.array((near | same) @ m[side == 1]),
+                                              pa.array(peer, mask=peer < 0)], ["node", "n", "peer"])
+
+    compared = stored(asked.union(against).repartition("at").sortWithinPartitions("at", "side", "node").mapInArrow(
+        compare, "node bigint, n bigint, peer bigint"))
+    joined = whole.select(F.explode("joined").alias("j")).select("j.a", "j.b").union(
+        compared.where("peer IS NOT NULL").select(F.least("node", "peer").alias("a"), F.greatest("node", "peer").alias("b")))
+    return sure.union(compared.select("node", "n")).groupBy("node").agg(F.sum("n").alias("n")), joined
 
 
 def counted(lists: DataFrame, vectors: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
@@ -248,13 +299,15 @@ def counted(lists: DataFrame, vectors: DataFrame, dense: int) -> tuple[DataFrame
         outside = both
     else:
         core = both.join(many, "u", "left_semi").join(heavy, "v", "left_semi")
-        cluster = stored(components(core.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(
-            "node", F.col("component").alias("cluster")))
-        inside = dense_counts(cluster, vectors)
-        # links between two dense vectors are counted by their cluster
-        outside = both.join(cluster.select(F.col("node").alias("u"), F.col("cluster").alias("x")), "u", "left").join(
-            cluster.select(F.col("node").alias("v"), F.col("cluster").alias("y")), "v", "left").where(
-            F.coalesce(F.col("x") != F.col("y"), F.lit(True))).select("u", "v")
+        found = components(core.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(
+            F.col("node").alias("u"), F.col("component").alias("cluster"))
+        cluster = stored(many.join(found, "u", "left").select(
+            F.col("u").alias("node"), F.coalesce("cluster", "u").alias("cluster")))
+        inside, joined = dense_counts(cluster, vectors)
+        links = stored(links.union(joined).distinct())
+        # links between two dense vectors are counted by their clusters
+        outside = both.join(many.withColumn("x", F.lit(True)), "u", "left").join(
+            heavy.withColumn("y", F.lit(True)), "v", "left").where("x IS NULL OR y IS NULL").select("u", "v")
     light = outside.join(vectors.select(F.col("node").alias("v"), "m"), "v").groupBy(F.col("u").alias("node")).agg(
         F.sum("m").alias("n"))
     own = vectors.select("node", F.col("m").alias("own"))

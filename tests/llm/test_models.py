@@ -187,6 +187,22 @@ def test_links_of_vectors(spark, dense):
     assert neighbours.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("cross", [0.93, 0.9])
+def test_links_between_dense_clusters(spark, cross):
+    """Two tight groups whose lists are full of inner links, linked as a whole (0.93) or in part (0.9); a third apart."""
+    rnd = np.random.default_rng(5)
+    base = np.linalg.qr(rnd.standard_normal((48, 3)))[0].T
+    centres = [base[0], cross * base[0] + math.sqrt(1 - cross ** 2) * base[1], base[2]]
+    some = np.concatenate([c + 0.004 * rnd.standard_normal((n, 48)) for c, n in zip(centres, (150, 90, 60))])
+    some /= np.linalg.norm(some, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)], "vec_id bigint, embedding array<double>")
+    near = some @ some.T >= 0.9
+    want = {i: (int(near[i].sum()) - 1, 0 if i < 240 else 240) for i in range(300)}
+    assert near[:150, 150:240].any() and near[:150, 150:240].all() == (cross > 0.92)
+    rows = neighbours.near_duplicates(df, dense=20).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == want and rows[0].recall == 1.0
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on its own input: what it drops is what it should drop, and clean documents stay as they are."""
     base = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(120)
