@@ -307,6 +307,37 @@ def test_shared_passages(spark, odd, none):
     assert chaining.shared_passages(none).count() == 0
 
 
+def test_passages_on_both_sides_of_a_gap(spark):
+    """Pairs of documents with an exact header and footer and other words between."""
+    rnd = random.Random(13)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(50_000)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    docs, planted = [], []
+    for size, between in [(60, 35), (60, 40), (60, 45), (60, 60), (100, 60), (100, 75), (100, 90)] * 3:
+        header, footer = some(size), some(size)
+        for _ in range(2):
+            middle = some(between)
+            docs.append(" ".join(header + middle + footer))
+            planted.append((len(" ".join(header)), len(" ".join([*header, *middle, ""]))))
+    rows = {r.doc_id: r for r in chaining.shared_passages(table(spark, docs)).collect()}
+    for i, (stop, start) in enumerate(planted):
+        assert rows[i].partner_id == i ^ 1 and rows[i].n_spans == 2
+        assert abs(rows[i].stops[0] - stop) < 25 and abs(rows[i].starts[1] - start) < 25
+        assert (rows[i].starts[0], rows[i].stops[1]) == (0, len(docs[i]))
+
+
+def test_runs_are_the_longest():
+    rnd = random.Random(14)
+    for _ in range(300):
+        n = rnd.randint(1, 12)
+        pos = sorted(rnd.sample(range(100), n))
+        gain = np.cumsum([0, *(rnd.randint(-3, 2) for _ in range(n - 1))])
+        low = rnd.randint(0, n - 1)
+        a, b = chaining.longest_run(low, n - 1, gain, pos, -1.0)
+        assert low <= a <= b and gain[b] - gain[a] >= -1
+        assert pos[b] - pos[a] == max(pos[j] - pos[i] for i in range(low, n) for j in range(i, n) if gain[j] - gain[i] >= -1)
+
+
 def test_digest_columns_of_the_queries(spark):
     from caseloom.llm.queries import QUERIES
     folder = "/root/testdata/sf0.001"
