@@ -42,6 +42,10 @@ def _cell(value) -> str:
 
 def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str | None:
     """A description of the first difference, or None."""
+    # integers with missing values are floats in pandas, unless a column of their own kind holds them
+    spark_rows, sql_rows = ({c: d[c].astype("float64") if str(d[c].dtype) == "Int64" and d[c].isna().any() else d[c]
+                             for c in d.columns} for d in (spark_rows, sql_rows))
+    spark_rows, sql_rows = pd.DataFrame(spark_rows), pd.DataFrame(sql_rows)
     left, right = sorted(spark_rows.columns), sorted(sql_rows.columns)
     if left != right:
         return f"columns {left} != {right}"
