@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, chaining, exact, language, neighbours, packing, sharding, simhash, suffix, toxicity
+from caseloom.llm import bpe, chaining, exact, language, neighbours, packing, sharding, simhash, suffix, toxicity, variants
 from caseloom.llm.common import crc_of_id, default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,42 @@ def op5_chaining(spark: SparkSession, folder: str) -> DataFrame:
     found = chaining.shared_passages(documents(spark, folder).select("doc_id", "text"))
     return found.select("doc_id", "class_id", "partner_id", "n_words", "n_bytes", "n_removed", "n_spans",
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among the words of all documents, of which a stated share loses a code point."""
+    runs = variants.letter_runs(documents(spark, folder))
+    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    place = (h % F.length("run")).cast("int")
+    word = F.when(h % 31 == 0, variants.without(F.col("run"), place, F.lit(1))).otherwise(F.col("run"))
+    return variants.variants(variants.counted(runs.select(word.alias("word"))))
+
+
+SQL["op12_variants"] = r"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT id, run, count(*) AS m, hex(encode(id || ':' || run)) AS x FROM r GROUP BY ALL),
+-- the crc, bit by bit
+h AS (SELECT run, m, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+        range(0, length(x) // 2), lambda i: list_transform(range(0, 8), lambda b: ((instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1)
+        * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) >> b & 1)))),
+        lambda c, bit: xor(c >> 1, xor(c & 1, bit) * 3988292384)), 4294967295) AS h FROM k),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+             ELSE run END AS word, m FROM h),
+v AS (SELECT word, sum(m)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+d AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+      FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+e AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, a.n, b.word, b.n FROM v a JOIN d b ON a.word = b.rest
+      UNION SELECT b.word, b.n, a.word, a.n FROM v a JOIN d b ON a.word = b.rest),
+o AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k, count(*) OVER (PARTITION BY word) AS c
+      FROM e),
+f AS (SELECT v.word, v.n, coalesce(c, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form,
+             CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN o ON v.word = o.word AND k = 1),
+t AS (SELECT word, word AS here, 0 AS step FROM f UNION ALL
+      SELECT t.word, f.form, step + 1 FROM t JOIN f ON t.here = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(here, step) AS root FROM t GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON f.word = z.word"""
