@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, chaining, exact, language, neighbours, packing, sharding, simhash, suffix, toxicity, variants
+from caseloom.llm import bpe, chaining, exact, language, lemp, neighbours, packing, sharding, simhash, suffix, toxicity, vantage, variants
+from caseloom.llm.blocks import finite
 from caseloom.llm.common import crc_of_id, default_vocabulary, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +147,45 @@ t AS (SELECT word, word AS here, 0 AS step FROM f UNION ALL
       SELECT t.word, f.form, step + 1 FROM t JOIN f ON t.here = f.word WHERE f.form IS NOT NULL),
 z AS (SELECT word, arg_max(here, step) AS root FROM t GROUP BY word)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON f.word = z.word"""
+
+
+@query
+def op11_vantage(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every twentieth vector, by vantage-point trees."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return vantage.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+SQL["op11_vantage"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+c AS (SELECT DISTINCT vec_id, x FROM v WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+      AND len(list_filter(x, lambda y: y <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score
+      FROM c q JOIN c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+      FROM s)
+SELECT * FROM r WHERE rank <= 20"""
+
+
+@query
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with whole components and some labels moved on."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").where(finite("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return lemp.hard_negatives(vectors.select("vec_id", label.alias("label"), whole.alias("embedding")), F.col("id") % 100 == 0)
+
+
+SQL["op13_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding::DOUBLE[], lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER
+       AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
