@@ -45,8 +45,7 @@ def _(spark, folder):
 @query("grouped_rows", "A4,U1", """SELECT event_type AS key, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM events""")
 def _(spark, folder):
     ev = load(spark, folder, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    out = a.group_rows(ev, lambda d: d["event_type"], ["ts", "event_id"],
-                       [("minute", F.expr("unix_micros(ts) div 60000000"))])
+    out = a.group_rows(ev, lambda d: d["event_type"], ["ts", "event_id"])
     return out.select("key", "event_id", "place")
 
 

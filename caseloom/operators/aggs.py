@@ -62,10 +62,9 @@ def mean_interarrival(log: DataFrame, unit: str = "hours", buffer_ms: int = 10)
 
 # ---------------------------------------------------------------- grouped helpers
 
-def group_rows(df: DataFrame, key: Callable[[DataFrame], Column], order: list[str],
-               slices: list[tuple[str, Column]]) -> DataFrame:
+def group_rows(df: DataFrame, key: Callable[[DataFrame], Column], order: list[str]) -> DataFrame:
     """Rows grouped by a key, in long form: ``key`` and the place in the group."""
-    return positions(df.withColumn("key", key(df)), ["key"], order, "place", slices)
+    return positions(df.withColumn("key", key(df)), ["key"], order, "place")
 
 
 def sum_by(df: DataFrame, key: Column, value: Column) -> DataFrame:

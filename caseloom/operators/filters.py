@@ -11,13 +11,9 @@ from caseloom.functions import names
 from caseloom.functions.maths import epoch_ms
 from caseloom.plans.fingerprint import element_hashes, uniform
 from caseloom.plans.models import join_model, stored
-from caseloom.plans.slices import (attach_cases, positions, running, running_dense, running_in_case, slice_of,
+from caseloom.plans.slices import (attach_cases, positions, running_dense, running_in_case, slice_of, sweep,
                                    with_case_values)
 
-def _minute_slices() -> list[tuple[str, Column]]:
-    return [("minute", F.expr("unix_micros(ts) div 60000000"))]
-
-
 # ---------------------------------------------------------------- renaming
 
 def rename(log: DataFrame, fn: Callable[[Column, Column], Column]) -> DataFrame:
@@ -72,8 +68,7 @@ def chained_classes(log: DataFrame) -> DataFrame:
     near = links.where(F.col("link").between(-1, 2)).groupBy("base").agg(
         *[F.max(F.col("link") == n).alias(f"_has{i}") for i, n in enumerate([-1, 0, 1, 2])])
     # a run 1..link is complete exactly when link is its own rank
-    runs = positions(links.where(F.col("link") >= 1), ["base"], ["link"], "_rank",
-                     [("million", F.expr("link div 1000000"))])
+    runs = positions(links.where(F.col("link") >= 1), ["base"], ["link"], "_rank")
     runs = runs.select("base", (F.col("link") + 1).alias("k"), (F.col("_rank") == F.col("link")).alias("_run"))
     beside_one = F.col("_has1") | F.col("_has3")
     return (numbered.withColumn("k", F.col("k").cast("bigint")).join(near, "base", "left")
@@ -97,7 +92,7 @@ def reduplicate(log: DataFrame) -> DataFrame:
 def reorder_by_time(log: DataFrame) -> DataFrame:
     """Renumber each case by (timestamp, recorded position)."""
     kept = log.withColumnRenamed("pos", "_was")
-    return positions(kept, ["case_id"], ["ts", "_was"], "pos", _minute_slices()).select(*log.columns)
+    return positions(kept, ["case_id"], ["ts", "_was"], "pos").select(*log.columns)
 
 
 def sort_cases(log: DataFrame) -> DataFrame:
@@ -108,17 +103,14 @@ def sort_cases(log: DataFrame) -> DataFrame:
 
 
 def number_cases(cases: DataFrame) -> DataFrame:
-    """Add ``case_index`` to a table with one row per case and its ``start``.
-    The single-task step sees one row per minute of the calendar."""
-    cases = cases.withColumn("_minute", F.expr("unix_micros(start) div 60000000"))
-    return running(cases, [], ["_minute"], ["start", "case_id"],
-                   {"case_index": ("sum", F.lit(1))}).drop("_minute")
+    """Add ``case_index`` to a table with one row per case and its ``start``."""
+    return sweep(cases, [], ["start", "case_id"], {"case_index": ("sum", F.lit(1))})
 
 
 def filter_classes(log: DataFrame, classes: list[str]) -> DataFrame:
     """Events of the listed activities, renumbered from 1 without gaps."""
     kept = log.where(F.col("activity").isin(classes)).withColumnRenamed("pos", "_was")
-    return positions(kept, ["case_id"], ["_was"], "pos", [("place", slice_of("_was"))]).select(*log.columns)
+    return positions(kept, ["case_id"], ["_was"], "pos").select(*log.columns)
 
 
 def kfold(log: DataFrame, k: int, fold: int, in_fold: bool = True) -> DataFrame:
@@ -267,7 +259,7 @@ def add_noise(log: DataFrame, add: float, remove: float, seed: int) -> DataFrame
         F.when(twice, F.struct(F.lit(1).alias("copy"), F.timestamp_millis(at).alias("ts")))))
     rows = (marked.withColumn("_c", F.explode(copies)).withColumn("ts", F.col("_c.ts"))
             .withColumn("_copy", F.col("_c.copy")).withColumnRenamed("pos", "_was"))
-    return positions(rows, ["case_id"], ["ts", "_copy", "_was"], "pos", _minute_slices()).select(*log.columns)
+    return positions(rows, ["case_id"], ["ts", "_copy", "_was"], "pos").select(*log.columns)
 
 
 def accurate_noise(log: DataFrame, noise: float, deletion_ratio: float, seed: int) -> DataFrame:
@@ -287,8 +279,7 @@ def accurate_noise(log: DataFrame, noise: float, deletion_ratio: float, seed: in
     cases = cases.withColumn("_affected", rounded(F.col("n_events") * F.lit(noise), "affected"))
     cases = cases.withColumn("_deleted", rounded(F.col("_affected") * F.lit(deletion_ratio), "deleted"))
     shuffled = positions(log.withColumn("_draw", uniform(seed, "draw", "case_id", "pos")),
-                         ["case_id"], ["_draw", "pos"], "_rank",
-                         [("draw", F.floor(F.col("_draw") * 65536))])
+                         ["case_id"], ["_draw", "pos"], "_rank")
     marked = attach_cases(shuffled, cases, "n_events")
     deleted = F.col("_rank") <= F.col("_deleted")
     # deleting everything puts the last deleted event back
@@ -302,9 +293,8 @@ def accurate_noise(log: DataFrame, noise: float, deletion_ratio: float, seed: in
     rows = (marked.withColumn("_c", F.explode(copies)).withColumn("ts", F.col("_c.ts"))
             .withColumn("_copy", F.col("_c.copy")).withColumnRenamed("pos", "_was"))
     classes = log.select("activity").distinct()
-    numbered = running(classes.withColumn("_b", F.substring("activity", 1, 2)), [], ["_b"],
-                       ["activity"], {"_class": ("sum", F.lit(1))}).select(
-                           "_class", F.col("activity").alias("_name"))
+    numbered = sweep(classes, [], ["activity"], {"_class": ("sum", F.lit(1))}).select(
+        "_class", F.col("activity").alias("_name"))
     n_classes = log.agg(F.countDistinct("activity")).scalar()
     rows = rows.withColumn("_class", F.when(F.col("_copy") == 1, 1 + F.floor(
         uniform(seed, "class", "case_id", "_was") * n_classes)))
@@ -312,4 +302,4 @@ def accurate_noise(log: DataFrame, noise: float, deletion_ratio: float, seed: in
     new = join_model(rows.where("_copy = 1"), stored(numbered), ["_class"], "left").withColumn(
         "activity", F.coalesce("_name", "activity")).drop("_name")
     rows = rows.where("_copy = 0").unionByName(new.select(*rows.columns))
-    return positions(rows, ["case_id"], ["ts", "_copy", "_was"], "pos", _minute_slices()).select(*log.columns)
+    return positions(rows, ["case_id"], ["ts", "_copy", "_was"], "pos").select(*log.columns)

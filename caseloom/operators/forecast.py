@@ -9,7 +9,7 @@ from caseloom.functions.maths import epoch_ms
 from caseloom.operators.distributions import EPSILON, _params
 from caseloom.operators.windows import SEASON, carry_forward
 from caseloom.plans.ranks import clamped_percentile, value_ranks
-from caseloom.plans.slices import running
+from caseloom.plans.slices import sweep
 
 HOUR_MS = 3_600_000
 METHODS = ("average", "naive", "drift", "seasonal")
@@ -140,15 +140,14 @@ def calendar_features(df: DataFrame, ts: str, drop_weekends: bool = False) -> Da
 
 def rolling_fit(training: DataFrame, probes: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean and deviation of the training values strictly before each
-    probe time: training and probes are swept together, cut by minute."""
+    probe time: training and probes are swept together."""
     x = F.col(value).cast("double")
     left = training.select(*keys, "ts", F.lit(1).alias("_kind"), x.alias("_x"))
     extra = [c for c in probes.columns if c not in (*keys, "ts")]
     right = probes.select(*keys, "ts", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_x"),
                           F.struct(*extra).alias("_probe"))
     both = left.withColumn("_probe", F.lit(None).cast(right.schema["_probe"].dataType)).unionByName(right)
-    cut = both.withColumn("_minute", F.expr("unix_micros(ts) div 60000000"))
-    swept = running(cut, keys, ["_minute"], ["ts", "_kind"], {
+    swept = sweep(both, keys, ["ts", "_kind"], {
         "n": ("sum", F.col("_x").isNotNull().cast("bigint")), "_s": ("sum", F.coalesce("_x", F.lit(0.0))),
         "_q": ("sum", F.coalesce(F.col("_x") * F.col("_x"), F.lit(0.0)))}).where(F.col("_kind") == 0)
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")

@@ -10,7 +10,7 @@ from caseloom.functions.names import ITERATION_MARK, label_base
 from caseloom.plans.bounds import require_at_most
 from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model
-from caseloom.plans.slices import neighbours, positions, running, running_in_case
+from caseloom.plans.slices import neighbours, positions, running_in_case, sweep
 
 DUMMY = "DUMMY"
 
@@ -54,8 +54,8 @@ def last_observation(training: DataFrame, probes: DataFrame, keys: list[str], va
     (``inclusive``: up to) the probe time ``ts``.  ``order`` breaks ties among
     training rows.
 
-    Training rows and probes are swept together, cut by minute, so a
-    key with a third of all rows is spread over its time range.
+    Training rows and probes are swept together, so a key with a third of all
+    rows, or of a single time, is spread over many tasks.
     """
     tie = F.struct(*[F.col(c) for c in order])
     empty = F.lit(None)
@@ -65,8 +65,7 @@ def last_observation(training: DataFrame, probes: DataFrame, keys: list[str], va
     both = left.withColumn("_probe", empty.cast(right.schema["_probe"].dataType)).unionByName(
         right.withColumns({"_tie": empty.cast(left.schema["_tie"].dataType),
                            "_value": empty.cast(left.schema["_value"].dataType)}))
-    cut = both.withColumn("_minute", F.expr("unix_micros(ts) div 60000000"))
-    swept = running(cut, keys, ["_minute"], ["ts", "_kind", "_tie"], {"observed": ("last", F.col("_value"))})
+    swept = sweep(both, keys, ["ts", "_kind", "_tie"], {"observed": ("last", F.col("_value"))})
     return swept.where(F.col("_kind") != 1).select(*keys, "ts", *[F.col(f"_probe.`{c}`").alias(c) for c in extra],
                                                    "observed")
 
@@ -79,8 +78,7 @@ def resource_movements(intervals: DataFrame, distances: DataFrame, speeds: DataF
     per second).  ``travel_ms`` is 0 after an activity of length zero; ``idle``
     marks records with travel.
     """
-    placed = positions(intervals, ["resource"], ["start", "id"], "_place",
-                       [("minute", F.expr("unix_micros(start) div 60000000"))])
+    placed = positions(intervals, ["resource"], ["start", "id"], "_place")
     linked = neighbours(placed, ["resource"], "_place", {
         "origin": ("location", 1), "_start": ("start", 1), "_end": ("end", 1)})
     moves = linked.where(F.col("_end").isNotNull()).select(

@@ -242,5 +242,5 @@ def subset_study(log: DataFrame, mandatory: list[str], optional: list[str], size
         raise ValueError("no subsets to study")
     copies = log.withColumn("subset", F.explode(tagged)).withColumns({
         "case_id": F.concat_ws("#", "subset", "case_id"), "_was": F.col("pos")}).drop("pos")
-    dense = positions(copies, ["case_id"], ["_was"], "pos", [("slice", F.floor(F.col("_was") / 100_000))])
+    dense = positions(copies, ["case_id"], ["_was"], "pos")
     return compare_predictors(stored(dense.select("case_id", "pos", "activity", "ts", "subset")), folds, points, "subset")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.maths import UNIT_MS, epoch_ms
 from caseloom.plans.lineage import stored
-from caseloom.plans.slices import neighbours, running, running_in_case, with_case_values
+from caseloom.plans.slices import neighbours, running_in_case, sweep, with_case_values
 
 START = "_Start"
 TIME = "decimal(15,0)"
@@ -110,8 +110,7 @@ def class_ids(log: DataFrame) -> DataFrame:
     """``activity, id``: 0-based ids by first appearance in case order."""
     events = with_case_values(log, _start=F.min_by("ts", "pos"))
     first = events.groupBy("activity").agg(F.min(F.struct("_start", "case_id", "pos")).alias("_at"))
-    first = first.withColumn("_minute", F.expr("unix_micros(_at._start) div 60000000"))
-    ranked = running(first, [], ["_minute"], ["_at"], {"id": ("sum", F.lit(1))})
+    ranked = sweep(first, [], ["_at"], {"id": ("sum", F.lit(1))})
     return ranked.select("activity", (F.col("id") - 1).cast("bigint").alias("id"))
 
 

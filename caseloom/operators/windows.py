@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms, round_half_up
 from caseloom.operators.filters import SEQUENCE, case_sequences, number_cases
-from caseloom.plans.slices import (neighbours, running, running_dense, running_in_case, slice_of,
+from caseloom.plans.slices import (neighbours, running, running_dense, running_in_case, slice_of, sweep,
                                    with_case_values)
 
 
@@ -47,8 +47,7 @@ def active_case_load(log: DataFrame) -> DataFrame:
     events = with_case_values(timed, _start=F.min_by("ts", "pos"), _one=F.min("pos"), _n=F.max("pos"))
     first = (F.col("pos") == F.col("_one")).cast("int")
     last = (F.col("pos") == F.col("_n")).cast("int")
-    swept = running(events.withColumn("_minute", F.expr("unix_micros(ts) div 60000000")), [], ["_minute"],
-                    ["ts", "_start", "case_id", "pos"], {"load": ("sum", first - last)})
+    swept = sweep(events, [], ["ts", "_start", "case_id", "pos"], {"load": ("sum", first - last)})
     return swept.withColumn("load", F.col("load") + last).select(*log.columns, "load")
 
 
@@ -140,18 +139,15 @@ def lookup_ranks(ranks: DataFrame, probes: DataFrame, keys: list[str], value: st
                  carry: list[str], strict: bool) -> DataFrame:
     """For every distinct probe, the ``carry`` columns of the largest ranked
     value <= probe (``strict``: < probe), null if there is none, and the totals
-    of the key.  Ranked values and probes are swept together, cut by value cells."""
-    from caseloom.plans.ranks import value_cell
-
+    of the key.  Ranked values and probes are swept together."""
     empty = F.lit(None)
     whole = [c for c in ranks.columns if c == "total" or c.startswith("total_")]
     marks = ranks.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_kind"), *carry, *whole)
     asks = probes.select(*keys, F.col(probe).cast("double").alias("_v")).distinct().select(
         *keys, "_v", F.lit(0 if strict else 2).alias("_kind"),
         *[empty.cast(marks.schema[c].dataType).alias(c) for c in [*carry, *whole]])
-    swept = running(marks.unionByName(asks).withColumn("_cell", value_cell(F.col("_v"))), keys,
-                    ["_cell"], ["_v", "_kind"], {f"_at_{c}": ("last", F.col(c)) for c in carry},
-                    overall={f"_all_{c}": ("max", F.col(c)) for c in whole})
+    swept = sweep(marks.unionByName(asks), keys, ["_v", "_kind"], {f"_at_{c}": ("last", F.col(c)) for c in carry},
+                  overall={f"_all_{c}": ("max", F.col(c)) for c in whole})
     return swept.where(F.col("_kind") != 1).select(
         *keys, F.col("_v").alias(probe), *[F.col(f"_at_{c}").alias(c) for c in carry],
         *[F.col(f"_all_{c}").alias(c) for c in whole])

@@ -2,8 +2,8 @@
 
 Rows are first collapsed to distinct ``(key, value, n)``, with the counts
 combined before the shuffle, so a value shared by a third of all rows is one
-row.  The distinct values are then ranked with a two-level running count over
-logarithmic value cells.
+row.  The distinct values are then ranked by a sweep, which cuts keys with very
+many distinct values into ranges of near equal size, however narrow they are.
 """
 
 from __future__ import annotations
@@ -11,15 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.plans.slices import running
-
-CELLS_PER_OCTAVE = 1024
-
-
-def value_cell(value: Column) -> Column:
-    """A cell number that grows with the value; cells widen with magnitude."""
-    size = F.floor(F.log2(F.least(F.abs(value), F.lit(1e300)) + 1) * CELLS_PER_OCTAVE)
-    return F.when(value < 0, -size - 1).otherwise(size).cast("bigint")
+from caseloom.plans.slices import sweep
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Column] | None = None
@@ -34,13 +26,12 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict[str, Col
     extra = extra or {}
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     distinct = (df.where(usable).groupBy(*keys, value)
-                .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in extra.items()])
-                .withColumn("_cell", value_cell(F.col(value))))
+                .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in extra.items()]))
     sums = {"upto": ("sum", F.col("n"))}
     sums.update({f"upto_{k}": ("sum", F.col(k)) for k in extra})
     overall = {"total": ("sum", F.col("n"))}
     overall.update({f"total_{k}": ("sum", F.col(k)) for k in extra})
-    return running(distinct, keys, ["_cell"], [value], sums, overall=overall).drop("_cell")
+    return sweep(distinct, keys, [value], sums, overall=overall)
 
 
 def pick(value: str, index: Column, upto: str = "upto", n: str = "n") -> Column:

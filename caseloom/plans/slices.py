@@ -2,10 +2,13 @@
 
 A plain ``Window.partitionBy(case).orderBy(pos)`` sends a whole case to one
 task.  A case, user or activity may hold a third of all rows, so ordered
-operators use three shapes instead:
+operators use four shapes instead:
 
-``positions``   dense row numbers; only keys above ``hot_rows`` are cut into
-                ordered slices, whose counts are prefix-summed.
+``sweep``       running values over any order, of all rows or of keys; what is
+                too large for one task is range-partitioned by its full order
+                (the splitters are drawn from the data) and the totals of the
+                cells are prefix-combined.
+``positions``   dense row numbers, by a sweep that counts.
 ``neighbours``  lag/lead over a dense order column, cut into fixed-length
                 slices; the rows at a slice edge are copied to the next slice.
 ``running``     running sum/max/xor/last over ordered buckets: totals per
@@ -20,8 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from caseloom.plans.lineage import reusable, stored
+
 SLICE_CONF = "spark.caseloom.sliceRows"
 HOT_CONF = "spark.caseloom.hotRows"
+CELL_CONF = "spark.caseloom.cellRows"
 DEFAULT_ROWS = 1_000_000
 
 
@@ -85,8 +91,8 @@ def running(
     ``full_bucket_rows`` says a bucket is followed by another one only when it
     holds exactly that many rows, so the totals of all others are dropped.
     ``exclusive`` leaves out the current row.  ``overall`` adds sums or maxima
-    over the whole key, taken over the bucket totals, so no row meets all rows
-    of its key (needs ``buckets`` and no ``full_bucket_rows``).  ``carry_for``
+    over the whole key, taken over the bucket totals if there are any, so no
+    row meets all rows of its key (needs no ``full_bucket_rows``).  ``carry_for``
     lists the (few) keys with more than one bucket; no totals are taken for others.
     """
     overall = overall or {}
@@ -97,8 +103,10 @@ def running(
     frame = span.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     windowed = {name: _aggregate(op, col, order, True).over(frame) for name, (op, col) in cols.items()}
     if not buckets:
+        whole = Window.partitionBy(*(keys or [F.lit(0)]))
         return df.withColumns({n: F.coalesce(c, F.lit(0)) if cols[n][0] in ("sum", "xor") else c
-                               for n, c in windowed.items()})
+                               for n, c in windowed.items()} | {
+            n: _aggregate(op, col, order, True).over(whole) for n, (op, col) in overall.items()})
     own = df.withColumns(windowed)
 
     sources = df if carry_for is None else df.join(F.broadcast(carry_for), carry_for.columns, "left_semi")
@@ -176,30 +184,52 @@ def neighbours(df: DataFrame, keys: list[str], order: str,
     return out.where(F.col("_slice") == home).drop("_slice")
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], out: str,
-              slices: list[tuple[str, Column]]) -> DataFrame:
-    """Dense 1-based row numbers by ``order`` within ``keys``.
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys with more than ``hotRows`` rows, at most (rows / hotRows) of them; None if there is none."""
+    hot = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > _conf(HOT_CONF)).select(*keys))
+    return None if hot.isEmpty() else hot
+
 
-    Keys with more than ``hotRows`` rows are found by a pre-aggregated count
-    and cut by ``slices`` (coarse to fine, growing with ``order``); all others
-    stay whole, so the common case costs one shuffle of the rows.  The hot-key
-    list has at most (rows / hotRows) entries, which bounds its broadcast.
+def cells(rows: DataFrame, order: list[str]) -> DataFrame:
+    """A stored copy of the rows with ``_cell``, a number that grows with ``order``.
+
+    The rows are range-partitioned by the full order, into cells of about half of ``cellRows`` rows however values and
+    ties are spread; the splitters come from a sample that Spark draws, and since the copy is stored, all readers see the
+    same cells.
     """
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > _conf(HOT_CONF)).select(*keys, F.lit(True).alias("_hot")))
-    names = [f"_s_{n}" for n, _ in slices]
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumns({
-        name: F.when(F.col("_hot"), expr).otherwise(F.lit(0)) for name, (_, expr) in zip(names, slices)})
-    numbered = tagged.withColumn(
-        out, F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)).cast("bigint"))
-    totals = (tagged.where(F.col("_hot")).groupBy(*keys, *names)
-              .agg(F.count(F.lit(1)).alias("_rows")))
-    before = running(totals, keys, names[:-1], [names[-1]],
-                     {"_before": ("sum", F.col("_rows"))}, exclusive=True)
-    before = before.select(*keys, *names, "_before")
-    place = F.col(out) + F.coalesce(F.col("_before"), F.lit(0)).cast("bigint")
-    return numbered.join(before, keys + names, "left").select(
-        *[c for c in df.columns if c != out], place.alias(out))
+    parts = -(-2 * rows.count() // int(SparkSession.active().conf.get(CELL_CONF, str(_conf(HOT_CONF)))))
+    return stored(rows.repartitionByRange(max(parts, 1), *order).withColumn("_cell", F.spark_partition_id()))
+
+
+def sweep(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, tuple[str, Column]], exclusive: bool = False,
+          overall: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """``running`` over any order within ``keys`` (none: over all rows), without buckets to name.
+
+    Keys of at most ``hotRows`` rows stay whole. All others are put into ``cells`` by key and order, whose totals are
+    prefix-combined; so neither many rows of one key nor many rows of one time or value meet in a task.
+    """
+    rows = reusable(df)
+    if keys:
+        hot = hot_keys(rows, keys)
+        heavy = None if hot is None else rows.join(F.broadcast(hot), keys, "left_semi")
+        light = rows if hot is None else rows.join(F.broadcast(hot), keys, "left_anti")
+    else:
+        many = rows.count() > _conf(HOT_CONF)
+        heavy, light = (rows, None) if many else (None, rows)
+    out = []
+    if light is not None:
+        out.append(running(light, keys, [], order, cols, exclusive, overall=overall))
+    if heavy is not None:
+        out.append(running(cells(heavy, [*keys, *order]), keys, ["_cell"], order, cols, exclusive,
+                           overall=overall).drop("_cell"))
+    return out[0].unionByName(out[1]) if len(out) > 1 else out[0]
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Dense 1-based row numbers by ``order`` within ``keys``."""
+    kept = [c for c in df.columns if c != out]
+    placed = sweep(df.select(*kept), keys, order, {out: ("sum", F.lit(1))})
+    return placed.select(*kept, F.col(out).cast("bigint").alias(out))
 
 
 def with_case_values(log: DataFrame, **aggregates: Column) -> DataFrame:

@@ -30,20 +30,18 @@ def as_log(df: DataFrame, case: Column | str, activity: Column | str, ts: Column
     carried = list(dict.fromkeys([*tiebreak, *(keep or [])]))
     base = df.select(F.coalesce(col(case).cast("string"), F.lit("")).alias("case_id"),
                      F.coalesce(col(activity), F.lit("")).alias("activity"), col(ts).cast("timestamp").alias("ts"), *carried)
-    return positions(base, ["case_id"], ["ts", *tiebreak], "pos",
-                     [("minute", F.expr("unix_micros(ts) div 60000000"))]
-                     ).select("case_id", "pos", "activity", "ts", *carried)
+    return positions(base, ["case_id"], ["ts", *tiebreak], "pos").select("case_id", "pos", "activity", "ts", *carried)
 
 
 def as_sequence(df: DataFrame, case: Column | str, activity: Column | str, order: str,
-                slices: list[tuple[str, Column]], keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None) -> DataFrame:
     """An event log without timestamps: numbered by a numeric ``order`` column."""
     def col(c):
         return F.col(c) if isinstance(c, str) else c
 
     base = df.select(F.coalesce(col(case).cast("string"), F.lit("")).alias("case_id"),
                      F.coalesce(col(activity), F.lit("")).alias("activity"), F.col(order), *(keep or []))
-    return positions(base, ["case_id"], [order, *(keep or [])], "pos", slices)
+    return positions(base, ["case_id"], [order, *(keep or [])], "pos")
 
 
 def events_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,10 +65,10 @@ def shipments_log(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("ordered"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "ts"]
-    return positions(joined, ["case_id"], order, "pos", [("line", F.col("l_linenumber"))])
+    return positions(joined, ["case_id"], order, "pos")
 
 
 def conversations_log(spark: SparkSession, folder: str) -> DataFrame:
     """``conversations`` as a log without timestamps."""
     turns = load(spark, folder, "conversations").select("conv_id", "turn", "role")
-    return as_sequence(turns, "conv_id", "role", "turn", [("turns", F.expr("turn div 1000"))])
+    return as_sequence(turns, "conv_id", "role", "turn")

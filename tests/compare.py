@@ -75,6 +75,7 @@ def main() -> int:
     if tiny:
         spark.conf.set("spark.caseloom.sliceRows", "3")
         spark.conf.set("spark.caseloom.hotRows", "3")
+        spark.conf.set("spark.caseloom.cellRows", "1000")
     con = connect(folder)
     bad = 0
     for name in names:

@@ -22,9 +22,11 @@ def tiny(spark):
     """Slices of three rows, so that every sliced path is taken."""
     spark.conf.set("spark.caseloom.sliceRows", "3")
     spark.conf.set("spark.caseloom.hotRows", "3")
+    spark.conf.set("spark.caseloom.cellRows", "100")
     yield spark
     spark.conf.unset("spark.caseloom.sliceRows")
     spark.conf.unset("spark.caseloom.hotRows")
+    spark.conf.unset("spark.caseloom.cellRows")
 
 
 @pytest.fixture

@@ -20,7 +20,7 @@ def rows(spark):
 
 def test_positions_neighbours_and_running(tiny, rows):
     data, df = rows
-    placed = positions(df, ["k"], ["t"], "pos", [("tens", F.expr("t div 10"))])
+    placed = positions(df, ["k"], ["t"], "pos")
     out = running_dense(placed, ["k"], "pos", {"s": ("sum", F.col("v")), "m": ("max", F.col("v")),
                                                "x": ("xor", F.col("t")), "l": ("last", F.when(F.col("v") > 3, F.col("t")))})
     out = neighbours(out, ["k"], "pos", {"back": ("t", 2), "ahead": ("t", -1)})
@@ -72,3 +72,65 @@ def test_model_joins_agree_on_every_path(tiny, rows):
         got = split_join(df.drop("attrs"), model, ["k"], "n", how).collect()
         assert sorted((r["t"], r["n"]) for r in got if r["n"] is not None) == expected
         assert len(got) == (len(data) if how == "left" else len(expected))
+
+
+@pytest.fixture
+def thousand(spark):
+    """At most a thousand rows in one piece."""
+    spark.conf.set("spark.caseloom.hotRows", "1000")
+    yield spark
+    spark.conf.unset("spark.caseloom.hotRows")
+
+
+def largest_cell(rows, order):
+    from caseloom.plans.slices import cells
+    sizes = [r["count"] for r in cells(rows, order).groupBy("_cell").count().collect()]
+    return max(sizes), len(sizes)
+
+
+def test_narrow_values_are_spread(thousand):
+    """200,000 scores within 0.0001 of each other, all of one key."""
+    scores = thousand.range(200_000).select(F.lit("k").alias("k"), (0.5 + F.col("id") / 2e9).alias("v"))
+    most, n = largest_cell(scores, ["k", "v"])
+    assert most <= 1000 and n >= 200
+    ranks = value_ranks(scores, ["k"], "v")
+    assert ranks.agg(F.count("*"), F.min("total"), F.max("total"), F.sum("upto")).first() == (
+        200_000, 200_000, 200_000, 200_000 * 200_001 // 2)
+    wrong = ranks.where(F.round((F.col("v") - 0.5) * 2e9) != F.col("upto") - 1)
+    assert wrong.count() == 0
+
+
+def test_one_time_is_spread(thousand):
+    """A log whose events all bear the same day."""
+    from caseloom.operators import forecast, joins, windows
+    from caseloom.operators.filters import sort_cases
+    day = F.timestamp_seconds(F.lit(1_500_000_000))
+    log = thousand.range(20_000).select(F.format_string("c%05d", F.col("id") % 4000).alias("case_id"),
+                                        (F.col("id") / 4000).cast("bigint").alias("n"), day.alias("ts"))
+    log = log.select("case_id", (F.col("n") + 1).alias("pos"), F.concat(F.lit("a"), "n").alias("activity"), "ts")
+    for order in (["ts", "case_id"], ["ts", "case_id", "pos"]):
+        most, n = largest_cell(log, order)
+        assert most <= 1000 and n >= 20
+    numbered = sort_cases(log)
+    assert numbered.where(F.format_string("c%05d", F.col("case_index") - 1) != F.col("case_id")).count() == 0
+    # with equal times, cases follow one another
+    assert {r["load"] for r in windows.active_case_load(log).select("load").distinct().collect()} == {1}
+    training = log.select(F.lit("k").alias("k"), "ts", "case_id", "pos")
+    probes = thousand.range(3000).select(F.lit("k").alias("k"), F.timestamp_seconds(1_499_999_999 + F.col("id") % 3).alias("ts"),
+                                         "id")
+    seen = joins.last_observation(training, probes, ["k"], "case_id", ["case_id", "pos"])
+    assert {(r["m"], r["observed"]) for r in seen.select((F.col("id") % 3).alias("m"), "observed").distinct().collect()} == {
+        (0, None), (1, None), (2, "c03999")}
+    fit = forecast.rolling_fit(training, probes, ["k"], "pos").select((F.col("id") % 3).alias("m"), "n", "mean").distinct()
+    assert {tuple(r) for r in fit.collect()} == {(0, 0, None), (1, 0, None), (2, 20_000, 3.0)}
+    entropy = windows.running_entropy(log).orderBy(F.desc("sample_count")).first()
+    assert entropy["sample_count"] == 4000 and abs(entropy["sample_entropy"]) < 1e-9
+
+
+def test_numbering_reads_its_input_at_most_twice(spark, tmp_path):
+    from caseloom.sources.logs import as_log
+    path = str(tmp_path / "events")
+    spark.range(100).select((F.col("id") % 5).alias("u"), F.lit("a").alias("a"), F.timestamp_seconds("id").alias("ts"),
+                            "id").write.parquet(path)
+    plan = as_log(spark.read.parquet(path), "u", "a", "ts", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
