@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.catalog.aggregates import DFG
 from caseloom.catalog.base import LOG, SHIP, TALK, query, uniform_sql
 from caseloom.functions.maths import epoch_ms
+from caseloom.operators import curves
 from caseloom.operators import joins as j
 from caseloom.operators import measures as m
 from caseloom.operators import ordering as o
@@ -108,13 +109,39 @@ def _(spark, folder):
     return j.resource_movements(iv, distances, speeds)
 
 
-@query("case_warping_distances", "J8")
+# Distance 1 means: without one run of a single point, which differs by one activity from a neighbouring run, the runs of
+# both agree, or they differ in one run of a single point by one activity. (Points as in case_time_series: 200 steps.)
+@query("case_warping_distances", "J8", LOG + """, pt AS (SELECT case_id, activity, CASE WHEN t1 = t0 THEN 0 ELSE
+    CAST(floor(200.0::DOUBLE * (ms - t0) / greatest(t1 - t0, 1) + 0.5) AS INT) END AS t, CASE WHEN t1 = t0 THEN 0 ELSE 200 END AS hi
+    FROM log JOIN (SELECT case_id, arg_min(ms, pos) AS t0, arg_max(ms, pos) AS t1 FROM log GROUP BY 1) USING (case_id)),
+  act AS (SELECT case_id, t, list_sort(list(DISTINCT activity)) AS s FROM pt GROUP BY 1, 2),
+  grid AS (SELECT case_id, unnest(range(0, max(hi) + 1)) AS t FROM pt GROUP BY 1),
+  pts AS (SELECT case_id, g.t, coalesce(array_to_string(s, ','), '') AS s FROM grid g LEFT JOIN act a USING (case_id, t)),
+  marks AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY case_id ORDER BY t) THEN 0 ELSE 1 END AS new FROM pts),
+  runs AS (SELECT case_id, r, any_value(s) AS s, count(*) AS len FROM
+    (SELECT *, sum(new) OVER (PARTITION BY case_id ORDER BY t) AS r FROM marks) GROUP BY 1, 2),
+  each AS (SELECT case_id, list(s ORDER BY r) AS v, list(len ORDER BY r) AS l FROM runs GROUP BY 1),
+  curve AS (SELECT min(case_id) AS curve, count(*) AS n, v, l FROM each GROUP BY v, l),
+  shape AS (SELECT v, min(curve) AS shape FROM curve GROUP BY v),
+  cut AS (SELECT curve, v, l, unnest(range(1, len(v) + 1)) AS i FROM curve),
+  one AS (SELECT curve, v, i, string_split(v[i], ',') AS x, CASE WHEN i > 1 THEN string_split(v[i - 1], ',') END AS x0,
+    CASE WHEN i < len(v) THEN string_split(v[i + 1], ',') END AS x1 FROM cut WHERE l[i] = 1),
+  clean AS (SELECT curve, v, i, list_filter(x, lambda e: e <> '') AS x, list_filter(x0, lambda e: e <> '') AS x0,
+    list_filter(x1, lambda e: e <> '') AS x1 FROM one),
+  gone AS (SELECT curve, CASE WHEN i > 1 AND i < len(v) AND v[i - 1] = v[i + 1] THEN list_concat(v[:i - 1], v[i + 2:])
+      ELSE list_concat(v[:i - 1], v[i + 1:]) END AS v FROM clean
+    WHERE (x0 IS NOT NULL AND len(x) + len(x0) - 2 * len(list_intersect(x, x0)) = 1)
+       OR (x1 IS NOT NULL AND len(x) + len(x1) - 2 * len(list_intersect(x, x1)) = 1)),
+  blank AS (SELECT curve, i, x, list_concat(v[:i - 1], ['?'], v[i + 1:]) AS v FROM clean),
+  near AS (SELECT least(g.curve, c.curve) AS "left", greatest(g.curve, c.curve) AS "right" FROM gone g JOIN curve c ON g.v = c.v
+    UNION SELECT a.curve, b.curve FROM blank a JOIN blank b ON a.v = b.v AND a.i = b.i AND a.curve < b.curve
+      AND len(a.x) + len(b.x) - 2 * len(list_intersect(a.x, b.x)) = 1),
+  rel AS (SELECT "left", "right", 1::BIGINT AS distance FROM near
+    UNION ALL SELECT shape, curve, 0 FROM curve JOIN shape USING (v))
+  SELECT "left", "right", a.n AS n_left, b.n AS n_right, distance FROM rel
+  JOIN curve a ON a.curve = "left" JOIN curve b ON "right" = b.curve""")
 def _(spark, folder):
-    series = stored(w.case_time_series(events_log(spark, folder)))
-    # probes: the first case of every distinct number of points in use, at most 201 cases
-    sizes = series.where(F.size("active") > 0).groupBy("case_id").agg(F.count(F.lit(1)).alias("k"))
-    firsts = sizes.groupBy("k").agg(F.min("case_id").alias("case_id")).select("case_id")
-    return j.case_distances(series, series.join(F.broadcast(firsts), "case_id", "left_semi"))
+    return curves.similar_curves(stored(w.case_time_series(events_log(spark, folder))), 1)
 
 
 @query("case_jaccard", "J9", LOG + """, sets AS (SELECT case_id, list_sort(list_distinct(list(activity))) AS s FROM log GROUP BY case_id),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms
 from caseloom.functions.names import ITERATION_MARK, label_base
-from caseloom.plans.bounds import require_at_most
 from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model
 from caseloom.plans.slices import neighbours, positions, running_in_case, sweep
@@ -94,82 +93,6 @@ def resource_movements(intervals: DataFrame, distances: DataFrame, speeds: DataF
 
 # ---------------------------------------------------------------- similarity of cases
 
-MAX_PROBES = 1000
-
-
-def case_distances(series: DataFrame, probes: DataFrame, max_probes: int = MAX_PROBES) -> DataFrame:
-    """Dynamic-time-warping distance (Manhattan between activity sets) of every
-    case to every probe case: ``case_id, probe_id, distance``.
-
-    ``series`` and ``probes`` come from ``case_time_series``.  The probe cases
-    are a parameter table whose number is checked; with all cases of a small
-    log as probes the result is the full distance matrix.  Each case has at
-    most resolution + 1 points, so one pair costs a fixed amount of work.
-    """
-    require_at_most(probes.select("case_id").distinct(), max_probes, "probe cases")
-    names = [r[0] for r in require_at_most(
-        series.select(F.explode("active").alias("a")).distinct(), 10_000, "activities").collect()]
-    index = F.create_map(*[x for i, n in enumerate(sorted(names)) for x in (F.lit(n), F.lit(i))])
-
-    def curves(df: DataFrame) -> DataFrame:
-        """Per case its number of points and the (point, activity) marks."""
-        marks = df.select("case_id", "t", F.explode_outer("active").alias("a"))
-        mark = F.struct(F.col("t").cast("int").alias("t"), F.try_element_at(index, F.col("a")).alias("i"))
-        listed = marks.groupBy("case_id").agg((F.max("t") + 1).cast("int").alias("size"), F.sort_array(
-            F.collect_list(F.when(F.col("a").isNotNull(), mark))).alias("marks"))
-        return listed.select("case_id", F.struct("size", F.transform("marks", lambda m: m["t"]).alias("at"),
-                                                 F.transform("marks", lambda m: m["i"]).alias("on")).alias("curve"))
-
-    wanted = curves(probes).agg(F.collect_list(F.struct("case_id", "curve"))).scalar()
-    paired = curves(series).select("case_id", "curve", F.explode(wanted).alias("p")).select(
-        "case_id", F.col("p.case_id").alias("probe_id"), *[
-            F.col(f"{c}.{part}").alias(f"{side}_{part}") for c, side in (("curve", "x"), ("p.curve", "y"))
-            for part in ("size", "at", "on")])
-    width = len(names)
-
-    def warp(batches):
-        import numpy as np
-        import pandas as pd
-
-        def dense(part, side):
-            m = np.zeros((len(part), part[f"{side}_size"].iloc[0], width), dtype=np.float32)
-            for k, (at, on) in enumerate(zip(part[f"{side}_at"], part[f"{side}_on"])):
-                m[k, np.asarray(at, dtype=int), np.asarray(on, dtype=int)] = 1
-            return m
-
-        def distances(part):
-            """Warping distances of many pairs of equally long curves at once."""
-            x, y = dense(part, "x"), dense(part, "y")
-            size_x, size_y = x.sum(axis=2), y.sum(axis=2)
-            best = None
-            for i in range(x.shape[1]):
-                cost = size_x[:, i, None] + size_y - 2 * np.matmul(y, x[:, i, :, None])[:, :, 0]
-                prefix = np.cumsum(cost, axis=1)
-                if best is None:
-                    best = prefix
-                    continue
-                arrive = best.copy()
-                arrive[:, 1:] = np.minimum(best[:, 1:], best[:, :-1]) - prefix[:, :-1]
-                # moving on within the row: running minimum of arrival minus prefix cost
-                best = np.minimum.accumulate(arrive, axis=1) + prefix
-            return best[:, -1].astype(float)
-
-        for batch in batches:
-            batch = batch.reset_index(drop=True)
-            found = pd.Series(0.0, index=batch.index)
-            for _, same in batch.groupby(["x_size", "y_size"]):
-                for begin in range(0, len(same), 256):
-                    part = same.iloc[begin:begin + 256]
-                    found.loc[part.index] = distances(part)
-            yield pd.DataFrame({"case_id": batch["case_id"], "probe_id": batch["probe_id"], "distance": found})
-
-    # few bytes but much work per row: spread the pairs explicitly
-    tasks = max(series.sparkSession.sparkContext.defaultParallelism,
-                int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    paired = paired.repartition(tasks, "case_id", "probe_id")
-    return paired.mapInPandas(warp, "case_id string, probe_id string, distance double")
-
-
 def case_jaccard(log: DataFrame, min_similarity: float) -> DataFrame:
     """Pairs of distinct activity sets with Jaccard similarity at least
     ``min_similarity``: ``left, right, n_left, n_right, similarity`` (n = cases

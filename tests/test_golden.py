@@ -285,20 +285,33 @@ def brute_dtw(a, b):
     return d[-1][-1]
 
 
-def test_warping_distance(make_log, spark):
+@pytest.mark.parametrize("threshold", [0, 1, 3])
+def test_similar_curves_match_brute_force(make_log, spark, threshold):
+    from caseloom.operators.curves import similar_curves
     rng = random.Random(3)
-    log = make_log({str(c): [(rng.choice("xyz"), t) for t in sorted(rng.sample(range(1000), rng.randint(1, 5)))] for c in range(7)})
+    log = make_log({f"{c:02}": [(rng.choice("xyz"), t) for t in sorted(rng.sample(range(1000), rng.randint(1, 5)))]
+                    for c in range(60)} | {"70": [("x", 0), ("y", 10)], "71": [("x", 5), ("y", 900)], "72": [("x", 7)]})
+    # activities that stay open make runs of several points
+    log = log.withColumn("lifecycle", F.when(F.col("pos") % 3 == 1, "start").otherwise("complete"))
     series = windows.case_time_series(log, 12)
-    curves = {}
+    points = {}
     for r in series.orderBy("case_id", "t").collect():
-        curves.setdefault(r["case_id"], []).append(r["active"])
-    probes = series.where(F.col("case_id").isin("0", "1", "2"))
-    rows = joins.case_distances(series, probes).collect()
-    assert len(rows) == 21
-    for r in rows:
-        assert r["distance"] == brute_dtw(curves[r["case_id"]], curves[r["probe_id"]])
-    with pytest.raises(ValueError):
-        joins.case_distances(series, probes, max_probes=2)
+        points.setdefault(r["case_id"], []).append(tuple(r["active"]))
+    named = {}
+    for case in sorted(points):
+        named.setdefault(tuple(points[case]), []).append(case)
+    want, first = set(), {}
+    for curve, cases in named.items():
+        shape = tuple(s for i, s in enumerate(curve) if not i or s != curve[i - 1])
+        home = first.setdefault(shape, cases[0])
+        want.add((home, cases[0], len(named[tuple(points[home])]), len(cases), 0))
+        for other, more in named.items():
+            d = brute_dtw(curve, other)
+            if cases[0] < more[0] and 0 < d <= threshold:
+                want.add((cases[0], more[0], len(cases), len(more), d))
+            assert (d == 0) == (shape == tuple(s for i, s in enumerate(other) if not i or s != other[i - 1]))
+    got = [tuple(r) for r in similar_curves(series, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_case_time_series_holds_open_activities(make_log, tiny):
