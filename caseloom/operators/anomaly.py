@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms, normal_cdf, normal_pdf, normal_quantile
-from caseloom.operators.distributions import (EPSILON, GRID_KINDS, GRID_POINTS, INFINITY, cdf, convolve, density,
-                                              discretize, kde, kernel_grid, support)
+from caseloom.functions.special import bisect, let
+from caseloom.operators import sums
+from caseloom.operators.distributions import (EPSILON, GRID_KINDS, INFINITY, KERNEL, convolve, density, discretize,
+                                              kde, log_density, packed_kernels)
 from caseloom.plans.fingerprint import gaussian, uniform
 from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model, split_join
@@ -105,11 +107,11 @@ def rank_cases(cases: DataFrame, top: int | None = None) -> DataFrame:
 # ---------------------------------------------------------------- p-values
 
 def _closed_p(dist_type: Column, params: Column, x: Column) -> Column:
-    below = cdf(dist_type, params, x)
-    mean = F.try_element_at(params, F.lit(1))
+    mean, sd = (F.try_element_at(params, F.lit(i)) for i in (1, 2))
+    below = normal_cdf((x - mean) / sd)
     return (F.when(dist_type == "IMMEDIATE", F.when(x == 0, 1.0).otherwise(0.0))
             .when(dist_type == "NORMAL", F.when(x > mean, F.lit(1.0) - below).otherwise(below) * 2)
-            .when(dist_type == "EXPONENTIAL", F.lit(1.0) - below))
+            .when(dist_type == "EXPONENTIAL", F.when(x > 0, F.exp(-x / mean)).otherwise(1.0)))
 
 
 def p_values(scored: DataFrame) -> DataFrame:
@@ -135,15 +137,16 @@ def grid_p_values(bins: DataFrame, keys: list[str]) -> DataFrame:
     return bins.withColumn("p", F.sum("probability").over(by_mass)).select(*keys, "bin", "p")
 
 
-def error_test(scored: DataFrame, dists: DataFrame, binwidth: float | None = None) -> DataFrame:
+def error_test(scored: DataFrame, dists: DataFrame, binwidth: float | None = None, bins: DataFrame | None = None,
+               kernels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Is a step likelier a measurement error than a true outlier?
 
     With a following step y, compare p(y) with p(x + y) under the distribution
     of the sum: an error when the sum is likelier.  Without one, p(x) < 0.05.
     Adds ``p_value, p_child, p_sum, is_error``.  Sums of two normals are normal;
-    other sums use a convolved grid per pair of adjacent activities, of the given
-    bin width or of ``GRID_POINTS`` points over the support of the sum, so any
-    unit will do.  Histogram and kernel fits have no grid and are refused.
+    other sums use the cells of ``sum_cells`` per pair of adjacent activities,
+    or a convolved grid if a bin width is given.  Histogram fits need their
+    ``bins`` and kernel fits their ``kernels``.
     """
     own = p_values(scored).select("case_id", "pos", "activity", "duration", "p_value", "dist_type", "params")
     linked = neighbours(own, ["case_id"], "pos", {
@@ -153,31 +156,27 @@ def error_test(scored: DataFrame, dists: DataFrame, binwidth: float | None = Non
     # only pairs that are not both normal need a grid
     both = neighbours(scored.select("case_id", "pos", "activity", "dist_type"), ["case_id"], "pos",
                       {"child": ("activity", -1), "_child_type": ("dist_type", -1)})
-    pairs = stored(both.where(F.col("child").isNotNull() & ~(
-        (F.col("dist_type") == "NORMAL") & (F.col("_child_type") == "NORMAL"))).select("activity", "child").distinct())
+    normal = (F.col("dist_type") == "NORMAL") & (F.col("_child_type") == "NORMAL")
+    pairs = stored(both.where(F.col("child").isNotNull() & ~normal).select("activity", "child").distinct())
     if pairs.isEmpty():
         joined = linked.withColumn("_p_grid", F.lit(None).cast("double"))
+    elif binwidth is not None:
+        joined = _on_even_grid(linked, total, dists, pairs, float(binwidth))
     else:
-        fits = dists.select("activity", "dist_type", "params")
-        sides = pairs.join(fits, "activity").join(fits.select(
-            F.col("activity").alias("child"), F.col("dist_type").alias("_ct"), F.col("params").alias("_cp")), "child")
-        without = sides.where(~F.col("dist_type").isin(GRID_KINDS) | ~F.col("_ct").isin(GRID_KINDS)).first()
+        cells = stored(sums.fit_cells(dists.select("activity", "dist_type", "params"), bins, kernels))
+        without = pairs.select("activity").union(pairs.select("child")).join(cells, "activity", "left_anti").first()
         if without:
-            raise ValueError(f"no grid for the sum of {without['dist_type']} and {without['_ct']}")
-        (low, high), (low2, high2) = (support(F.col(k), F.col(p)) for k, p in (("dist_type", "params"), ("_ct", "_cp")))
-        span = (high - low + high2 - low2) / GRID_POINTS
-        width = F.when(span > 0, span).otherwise(1.0) if binwidth is None else F.lit(float(binwidth))
-        sides = stored(sides.withColumn("width", width))
-        both_keys = ("activity", "child")
-        own_bins = discretize(sides, F.col("width"), both_keys)
-        child_bins = discretize(sides.select("activity", "child", "width", F.col("_ct").alias("dist_type"),
-                                             F.col("_cp").alias("params")), F.col("width"), both_keys)
-        sums = grid_p_values(convolve(own_bins, child_bins, list(both_keys)), list(both_keys))
-        sums = stored(sums.select("activity", "child", F.col("bin").alias("_bin"), F.col("p").alias("_p_grid")))
-        widths = stored(sides.select("activity", "child", "width"))
-        placed = join_model(linked, widths, ["activity", "child"], "left").withColumn(
-            "_bin", F.floor(total / F.col("width") - 0.5).cast("bigint")).drop("width")
-        joined = join_model(placed, sums, ["activity", "child", "_bin"], "left")
+            raise ValueError(f"no cells for the fit of {without['activity']!r}: pass its bins or kernels")
+        first = pairs.join(cells, "activity")
+        second = pairs.join(cells.withColumnRenamed("activity", "child"), "child")
+        both_keys = ["activity", "child"]
+        grid = stored(sums.sum_cells(first, second, both_keys))
+        linked = stored(linked.withColumn("_total", total))
+        asked = linked.where(F.col("child").isNotNull() & ~normal)
+        rest = linked.where(F.col("child").isNull() | normal)
+        found = sums.at_totals(asked, grid, both_keys, "_total", ["case_id", "pos"])
+        joined = found.withColumnRenamed("p_grid", "_p_grid").unionByName(
+            rest.withColumn("_p_grid", F.lit(None).cast("double")))
 
     def at(params: str, i: int) -> Column:
         return F.try_element_at(F.col(params), F.lit(i))
@@ -185,7 +184,6 @@ def error_test(scored: DataFrame, dists: DataFrame, binwidth: float | None = Non
     mean = at("params", 1) + at("_child_params", 1)
     sd = F.sqrt(at("params", 2) * at("params", 2) + at("_child_params", 2) * at("_child_params", 2))
     z = F.abs((total - mean) / F.when(sd > 0, sd))
-    normal = (F.col("dist_type") == "NORMAL") & (F.col("_child_type") == "NORMAL")
     p_sum = F.when(F.col("child").isNotNull(), F.when(normal, (F.lit(1.0) - normal_cdf(z)) * 2)
                    .otherwise(F.coalesce("_p_grid", F.lit(0.0))))
     flagged = joined.withColumn("p_sum", p_sum)
@@ -194,6 +192,24 @@ def error_test(scored: DataFrame, dists: DataFrame, binwidth: float | None = Non
                           F.coalesce(is_error, F.lit(False)).alias("is_error"))
 
 
+def _on_even_grid(linked: DataFrame, total: Column, dists: DataFrame, pairs: DataFrame, width: float) -> DataFrame:
+    """Steps with ``_p_grid`` from a convolved grid of parametric fits with bins of one width."""
+    fits = dists.select("activity", "dist_type", "params")
+    sides = pairs.join(fits, "activity").join(fits.select(
+        F.col("activity").alias("child"), F.col("dist_type").alias("_ct"), F.col("params").alias("_cp")), "child")
+    without = sides.where(~F.col("dist_type").isin(GRID_KINDS) | ~F.col("_ct").isin(GRID_KINDS)).first()
+    if without:
+        raise ValueError(f"no even grid for the sum of {without['dist_type']} and {without['_ct']}")
+    both_keys = ("activity", "child")
+    own_bins = discretize(sides, width, both_keys)
+    child_bins = discretize(sides.select("activity", "child", F.col("_ct").alias("dist_type"), F.col("_cp").alias("params")),
+                            width, both_keys)
+    grid = grid_p_values(convolve(own_bins, child_bins, list(both_keys)), list(both_keys))
+    grid = stored(grid.select("activity", "child", F.col("bin").alias("_bin"), F.col("p").alias("_p_grid")))
+    placed = linked.withColumn("_bin", F.floor(total / F.lit(width) - 0.5).cast("bigint"))
+    return join_model(placed, grid, ["activity", "child", "_bin"], "left")
+
+
 # ---------------------------------------------------------------- error posterior
 
 QUADRATURE = 64
@@ -251,11 +267,14 @@ def error_scores(scored: DataFrame, error_sd: float, rate: float) -> DataFrame:
                 .when(kind == "LOGNORMAL", F.exp(a + b * z)).when(kind == "UNIFORM", a + (b - a) * p)
                 .otherwise(F.coalesce(a, F.lit(0.0))))
 
-    mass = _mean_over(nodes, lambda z: F.coalesce(density(ty, py, s - quantile(tx, px, z)), F.lit(0.0)))
-
     def along(u: Column) -> Column:
         return F.coalesce(density(tx, px, u) * density(ty, py, s - u), F.lit(0.0))
 
+    # gamma and beta steps have no closed quantiles: their sums are averaged over the places that x can take
+    span = F.greatest(F.when(tx == "BETA", F.least(s, F.lit(1.0))).otherwise(s), F.lit(0.0))
+    mass = F.when(tx.isin("GAMMA", "BETA"), _mean_over(nodes, lambda z: along(span * normal_cdf(z))) * span).otherwise(
+        _mean_over(nodes, lambda z: F.coalesce(density(ty, py, s - quantile(tx, px, z)), F.lit(0.0))))
+
     xy = F.when(both_normal, normal_pdf(x, centre, F.sqrt(spread))).otherwise(
         F.when(mass > 0, along(x) / F.when(mass > 0, mass)).otherwise(0.0))
     xy_err = F.when(both_normal, normal_pdf(x, centre, F.sqrt(spread + error_sd * error_sd))).otherwise(
@@ -303,9 +322,26 @@ def anomaly_intervals(dists: DataFrame, cutoffs: DataFrame) -> DataFrame:
                        ).otherwise(everything)
     value = F.coalesce(a, F.lit(0.0))
     kind = F.col("dist_type")
+
+    def likely(x: Column) -> Column:
+        return log_density(kind, F.col("params"), x) >= c
+
+    # gamma and beta densities rise to their mode and fall behind it; a beta density may fall to its least point instead
+    top = F.when(kind == "GAMMA", F.greatest((a - 1) * b, F.lit(0.0))).when(a <= 1, 0.0).when(b <= 1, 1.0).otherwise(
+        (a - 1) / F.when(a + b != 2, a + b - 2).otherwise(1.0))
+    end = F.when(kind == "BETA", 1.0).otherwise(a * b * 1e3 + top)
+    inner = F.least(F.greatest(top, end * 1e-15), end * (1 - 1e-15))
+    hump = F.when(likely(inner), outside(
+        F.when(top <= 0, 0.0).otherwise(bisect(F.lit(0.0), inner, lambda x: ~likely(x))),
+        F.when((kind == "BETA") & (top >= 1), 1.0).otherwise(bisect(inner, end, likely)))).otherwise(everything)
+    least = (F.lit(1.0) - a) / F.when(a + b != 2, F.lit(2.0) - a - b).otherwise(1.0)
+    hollow = F.when(likely(least), outside(F.lit(0.0), F.lit(1.0))).otherwise(F.concat(
+        outside(F.lit(0.0), F.lit(1.0)), F.array(F.struct(
+            bisect(F.lit(0.0), least, likely).alias("lower"), bisect(least, F.lit(1.0), lambda x: ~likely(x)).alias("upper")))))
     found = (F.when(kind.isin("IMMEDIATE", "DETERMINISTIC"), outside(value - EPSILON, value + EPSILON))
              .when(kind == "UNIFORM", outside(a, b)).when(kind == "NORMAL", normal)
-             .when(kind == "EXPONENTIAL", exponential).when(kind == "LOGNORMAL", lognormal))
+             .when(kind == "EXPONENTIAL", exponential).when(kind == "LOGNORMAL", lognormal)
+             .when((kind == "BETA") & (a < 1) & (b < 1), hollow).when(kind.isin("GAMMA", "BETA"), hump))
     return (dists.join(cutoffs, "activity", "left").select("activity", F.explode(found).alias("i"))
             .select("activity", "i.lower", "i.upper"))
 
@@ -337,29 +373,49 @@ def _outside(activities: DataFrame, inside: DataFrame) -> DataFrame:
     return gaps.unionByName(tails)
 
 
-SCAN_POINTS = 1000  # fixed value
+def kernel_intervals(bands: DataFrame, slots: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Intervals where the kernel log-density is below the cut-off; the whole
+    line where it never reaches the cut-off.
+
+    A kernel sum has its modes at slots or between them, never beyond, and turns
+    at most once from a slot to the middle between it and the next one.  So the
+    density is told at all slots, at the middles and beyond the ends, an edge
+    lies between two of these points on different sides of the cut-off, and is
+    found there by bisection, however narrow the mode.
+    """
+    packed = packed_kernels(bands, slots, ["activity"]).join(cutoffs, "activity")
+    at = F.transform("slots", lambda s: s["centre"])
+    # this far beyond the outermost slots the density is below the cut-off
+    depth = F.greatest(-F.col("cutoff") - F.ln(F.col("_h") * math.sqrt(2 * math.pi)), F.lit(0.0)) * 2
+    reach = F.col("_h") * (F.sqrt(F.least(depth, F.lit(1e12))) + 1)
+    probes = F.concat(F.array(F.array_min("c") - reach), F.flatten(F.transform("c", lambda x, i: F.when(
+        i == 0, F.array(x)).otherwise(F.array((x + F.get("c", i - 1)) / 2, x)))), F.array(F.array_max("c") + reach))
+    # in two steps, so that no task sees all probes of an activity times its slots at once
+    points = packed.withColumn("c", at).select(*packed.columns, F.posexplode(probes).alias("i", "x"))
 
+    def above(x: Column) -> Column:
+        return _kernel_log_density(x) >= F.col("cutoff")
 
-def kernel_intervals(bands: DataFrame, slots: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Intervals where the kernel log-density is below the cut-off: a scan over
-    1000 grid points per activity, edges interpolated between two points.  The
-    scan starts and ends below the cut-off, so both tails are reported; the
-    whole line where the density never reaches the cut-off."""
-    grid = kernel_grid(bands, ["activity"], SCAN_POINTS)
-    seen = kde(bands, slots, grid, ["activity"], "x").join(cutoffs, "activity")
-    height = F.ln(F.greatest("density", F.lit(1e-300))) - F.col("cutoff")
-    w = Window.partitionBy("activity").orderBy("x")
-    points = stored(seen.select("activity", "x", height.alias("h")).withColumns({
-        "_x0": F.lag("x").over(w), "_h0": F.lag("h").over(w), "_x1": F.lead("x").over(w)}))
-    cut = F.col("_x0") - F.col("_h0") * (F.col("x") - F.col("_x0")) / (F.col("h") - F.col("_h0"))
-    above, above_before = F.col("h") >= 0, F.coalesce(F.col("_h0") >= 0, F.lit(False))
-    turns = points.where(above != above_before).select(
-        "activity", F.coalesce(cut, F.col("x")).alias("x"), above.alias("_rises"))
-    ends = points.where(above & F.col("_x1").isNull()).select("activity", "x", F.lit(False).alias("_rises"))
-    edges = turns.unionByName(ends).select("activity", "x", "_rises", F.lead("x").over(
-        Window.partitionBy("activity").orderBy("x", F.desc("_rises"))).alias("_next"))
-    inside = edges.where("_rises").select("activity", F.col("x").alias("_from"), F.col("_next").alias("_to"))
-    return _outside(points.select("activity").distinct(), inside)
+    seen = stored(points.select("activity", "i", "x", above(F.col("x")).alias("up")))
+    order = Window.partitionBy("activity").orderBy("i")
+    turns = seen.withColumns({"_x0": F.lag("x").over(order), "_up0": F.lag("up").over(order)}).where("up <> _up0")
+    edges = turns.join(packed, "activity").select("activity", F.col("up").alias("_rises"), bisect(
+        F.col("_x0"), F.col("x"), lambda v: above(v) != F.col("up")).alias("x"))
+    ends = edges.select("activity", "x", "_rises", F.lead("x").over(Window.partitionBy("activity").orderBy("x")).alias("_next"))
+    inside = ends.where("_rises").select("activity", F.col("x").alias("_from"), F.col("_next").alias("_to"))
+    return _outside(packed.select("activity"), inside)
+
+
+def _kernel_log_density(x: Column) -> Column:
+    """Log-density of the packed kernel of a row, told from its largest term, so it never vanishes."""
+    def term(s: Column) -> Column:
+        return -0.5 * ((x - s["centre"]) / F.col("_h")) * ((x - s["centre"]) / F.col("_h"))
+
+    def whole(top: Column) -> Column:
+        total = F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + F.exp(term(s) - top) * s["weight"])
+        return top + F.ln(total) - F.ln(F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+
+    return let(whole, F.array_max(F.transform("slots", term)))
 
 
 def all_anomaly_intervals(dists: DataFrame, cutoffs: DataFrame, bins: DataFrame, binwidth: float, bands: DataFrame,
@@ -369,9 +425,9 @@ def all_anomaly_intervals(dists: DataFrame, cutoffs: DataFrame, bins: DataFrame,
     def of(kind: str) -> DataFrame:
         return cutoffs.join(dists.where(F.col("dist_type") == kind).select("activity"), "activity", "left_semi")
 
-    closed = anomaly_intervals(dists.where(~F.col("dist_type").isin("HISTOGRAM", "KERNEL")), cutoffs)
+    closed = anomaly_intervals(dists.where(~F.col("dist_type").isin("HISTOGRAM", KERNEL)), cutoffs)
     return closed.unionByName(histogram_intervals(bins, of("HISTOGRAM"), binwidth)).unionByName(
-        kernel_intervals(bands, slots, of("KERNEL")))
+        kernel_intervals(bands, slots, of(KERNEL)))
 
 
 # ---------------------------------------------------------------- baselines and evaluation

@@ -7,12 +7,15 @@ of samples.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import normal_cdf, normal_pdf, normal_quantile, round_half_up
+from caseloom.functions.special import (beta_cdf, beta_quantile, fitted_beta, fitted_gamma, gamma_cdf, gamma_quantile,
+                                        let, log_gamma)
 from caseloom.plans.lineage import stored
 from caseloom.plans.models import join_model
 from caseloom.plans.ranks import order_statistics, value_ranks
@@ -23,6 +26,7 @@ EPSILON = 1e-5
 DETERMINISTIC_SHARE = 0.05
 DEFAULT_UPPER = 200.0
 INFINITY = float("inf")
+KERNEL = "GAUSSIAN_KERNEL"  # name of kernel fits
 
 
 def _params(*values: Column) -> Column:
@@ -41,12 +45,24 @@ def fit_durations(durations: DataFrame, family: str = "NORMAL", censored: DataFr
     x = F.col("duration").cast("double")
     samples = durations.select("activity", x.alias("duration")).where(
         F.col("duration").isNotNull() & ~F.isnan("duration"))
-    logs = F.when(F.col("duration") > 0, F.ln(F.greatest("duration", F.lit(1e-300))))
+    positive, inner = F.col("duration") > 0, (F.col("duration") > 0) & (F.col("duration") < 1)
+    logs = F.when(positive, F.ln(F.greatest("duration", F.lit(1e-300))))
+    extra = {}
+    if family == "GAMMA":  # of positive durations
+        extra = {"_pos_mean": F.avg(F.when(positive, F.col("duration")))}
+    elif family == "BETA":  # of durations between 0 and 1
+        part = F.when(inner, F.col("duration"))
+        extra = {"_in_mean": F.avg(part), "_in_var": F.var_samp(part), "_in_ln": F.avg(F.ln(part)),
+                 "_in_rest": F.avg(F.ln(F.lit(1.0) - part))}
     sums = samples.groupBy("activity").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.abs("duration") > EPSILON).alias("_nonzero"),
         F.avg("duration").alias("_mean"), F.coalesce(F.stddev_samp("duration"), F.lit(0.0)).alias("_sd"),
         F.avg(logs).alias("_ln_mean"), F.coalesce(F.stddev_samp(logs), F.lit(0.0)).alias("_ln_sd"),
-        F.min("duration").alias("_min"), F.max("duration").alias("_max"))
+        F.min("duration").alias("_min"), F.max("duration").alias("_max"), *[c.alias(k) for k, c in extra.items()])
+    if family == "GAMMA":
+        sums = sums.withColumn("_shape", fitted_gamma(F.col("_pos_mean"), F.col("_ln_mean")))
+    elif family == "BETA":
+        sums = sums.withColumn("_beta", fitted_beta(*(F.col(c) for c in ("_in_mean", "_in_var", "_in_ln", "_in_rest"))))
     size = F.col("total")
     orders = order_statistics(value_ranks(samples, ["activity"], "duration"), ["activity"], "duration", {
         "_q1": F.floor(size / 4), "_median": F.floor(size / 2), "_q3": F.floor(size * 3 / 4)})
@@ -74,8 +90,12 @@ def fit_durations(durations: DataFrame, family: str = "NORMAL", censored: DataFr
         "UNIFORM": _params(F.col("_min"), F.col("_max")),
         "DETERMINISTIC": _params(F.col("_median")),
         "HISTOGRAM": F.array().cast("array<double>"),
-        "GAUSSIAN_KERNEL": F.array().cast("array<double>"),
+        KERNEL: F.array().cast("array<double>"),
     }
+    if family == "GAMMA":
+        families[family] = _params(F.col("_shape"), F.col("_pos_mean") / F.col("_shape"))
+    elif family == "BETA":
+        families[family] = _params(F.col("_beta.a"), F.col("_beta.b"))
     cases = [
         (n == 0, "UNIFORM", _params(F.coalesce("_least", F.lit(0.0)), F.lit(DEFAULT_UPPER))),
         (F.col("_nonzero") / n <= DETERMINISTIC_SHARE, "IMMEDIATE", F.array().cast("array<double>")),
@@ -96,18 +116,49 @@ def _p(i: int, params: Column) -> Column:
     return F.try_element_at(params, F.lit(i))
 
 
-def density(dist_type: Column, params: Column, x: Column) -> Column:
-    """Density of the parametric families; a point mass has an infinite one."""
+@functools.lru_cache(maxsize=256)
+def _of_names(fn, *names: str):
+    return fn(*map(F.col, names))
+
+
+def built_once(fn):
+    """Expressions of special functions are long: those of the same column names are put together once."""
+    @functools.wraps(fn)
+    def wrapper(*columns: Column):
+        plain = all(c._jc.node().getClass().getSimpleName() == "UnresolvedAttribute" for c in columns)
+        return _of_names(fn, *(str(c)[8:-2] for c in columns)) if plain else fn(*columns)
+
+    return wrapper
+
+
+@built_once
+def log_constant(dist_type: Column, params: Column) -> Column:
+    """Logarithm of what the density of a gamma or beta fit is divided by: told once per fit."""
+    a, b = _p(1, params), _p(2, params)
+    return (F.when(dist_type == "GAMMA", let(lambda k, t: log_gamma(k) + k * F.ln(t), a, b))
+            .when(dist_type == "BETA", let(lambda p, q: log_gamma(p) + log_gamma(q) - log_gamma(p + q), a, b)))
+
+
+def density(dist_type: Column, params: Column, x: Column, constant: Column | None = None) -> Column:
+    """Density of the parametric families; a point mass has an infinite one.  ``constant`` is the ``log_constant`` of
+    the fit, if it is at hand."""
+    constant = log_constant(dist_type, params) if constant is None else constant
     a, b = _p(1, params), _p(2, params)
     exponential = F.when(x >= 0, F.exp(-x / a) / a).otherwise(0.0)
     positive = F.greatest(x, F.lit(1e-300))
     lognormal = F.when(x > 0, normal_pdf(F.ln(positive), a, b) / positive).otherwise(0.0)
     inside = F.when((x >= a) & (x <= b), F.lit(1.0) / F.greatest(b - a, F.lit(1e-300))).otherwise(0.0)
     point = F.when(F.abs(x - a) <= EPSILON, F.lit(INFINITY)).otherwise(0.0)
+    gamma = F.when(x > 0, F.exp((a - 1) * F.ln(positive) - positive / b - constant)).otherwise(0.0)
+    inner = F.least(positive, F.lit(1 - 1e-16))
+    beta = F.when((x > 0) & (x < 1), F.exp(
+        (a - 1) * F.ln(inner) + (b - 1) * F.ln(F.lit(1.0) - inner) - constant)).otherwise(0.0)
     return (F.when(dist_type == "NORMAL", normal_pdf(x, a, b))
             .when(dist_type == "EXPONENTIAL", exponential)
             .when(dist_type == "LOGNORMAL", lognormal)
             .when(dist_type == "UNIFORM", inside)
+            .when(dist_type == "GAMMA", gamma)
+            .when(dist_type == "BETA", beta)
             .when(dist_type == "DETERMINISTIC", point)
             .when(dist_type == "IMMEDIATE", F.lit(1.0)))
 
@@ -126,18 +177,35 @@ def cdf(dist_type: Column, params: Column, x: Column) -> Column:
             .when(dist_type == "EXPONENTIAL", F.when(x > 0, F.lit(1.0) - F.exp(-x / a)).otherwise(0.0))
             .when(dist_type == "LOGNORMAL", F.when(x > 0, normal_cdf((F.ln(positive) - a) / b)).otherwise(0.0))
             .when(dist_type == "UNIFORM", F.least(F.greatest((x - a) / (b - a), F.lit(0.0)), F.lit(1.0)))
+            .when(dist_type == "GAMMA", gamma_cdf(a, x / b))
+            .when(dist_type == "BETA", beta_cdf(a, b, x))
             .when(dist_type == "DETERMINISTIC", F.when(x >= a, 1.0).otherwise(0.0))
             .when(dist_type == "IMMEDIATE", F.when(x >= 0, 1.0).otherwise(0.0)))
 
 
+@built_once
+def quantile(dist_type: Column, params: Column, u: Column, z: Column) -> Column:
+    """Value with share ``u`` of a parametric fit below it; ``z`` is the standard normal quantile of ``u``."""
+    a, b = _p(1, params), _p(2, params)
+    return (F.when(dist_type == "NORMAL", a + b * z)
+            .when(dist_type == "EXPONENTIAL", -a * F.ln(F.lit(1.0) - u))
+            .when(dist_type == "LOGNORMAL", F.exp(a + b * z))
+            .when(dist_type == "UNIFORM", a + (b - a) * u)
+            .when(dist_type == "GAMMA", gamma_quantile(a, u) * b)
+            .when(dist_type == "BETA", beta_quantile(a, b, u))
+            .when(dist_type == "DETERMINISTIC", a)
+            .when(dist_type == "IMMEDIATE", F.lit(0.0)))
+
+
 def with_density(steps: DataFrame, dists: DataFrame, bins: DataFrame | None = None,
                  binwidth: float | None = None, kernels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Add ``dist_type, params, density, log_density`` to steps (``activity,
     duration``).  Histogram activities look their bin up in ``bins``, kernel
     activities sum over the slots of ``kernels`` (from ``kernel_model``)."""
-    scored = join_model(steps, dists.select("activity", "dist_type", "params"), ["activity"])
+    known = dists.select("activity", "dist_type", "params", log_constant(F.col("dist_type"), F.col("params")).alias("_c"))
+    scored = join_model(steps, known, ["activity"])
     x = F.col("duration").cast("double")
-    d = density(F.col("dist_type"), F.col("params"), x)
+    d = density(F.col("dist_type"), F.col("params"), x, F.col("_c"))
     if bins is not None:
         scored = scored.withColumn("bin", bin_of(x, binwidth))
         scored = join_model(scored, bins.select("activity", "bin", F.col("density").alias("_bin_density")),
@@ -145,12 +213,12 @@ def with_density(steps: DataFrame, dists: DataFrame, bins: DataFrame | None = No
         d = F.when(F.col("dist_type") == "HISTOGRAM", F.coalesce("_bin_density", F.lit(0.0))).otherwise(d)
     if kernels is not None:
         scored = join_model(scored, packed_kernels(*kernels, ["activity"]), ["activity"], "left")
-        d = F.when(F.col("dist_type") == "GAUSSIAN_KERNEL", _kernel_density(x)).otherwise(d)
+        d = F.when(F.col("dist_type") == KERNEL, _kernel_density(x)).otherwise(d)
     scored = scored.withColumn("density", d)
     log = F.when(F.col("density") == INFINITY, 0.0).when(
         F.col("density") > 0, F.ln(F.greatest("density", F.lit(1e-320)))).when(
             F.col("density").isNotNull(), F.lit(-INFINITY))
-    return scored.withColumn("log_density", log).drop("_bin_density", "_n", "_h", "slots")
+    return scored.withColumn("log_density", log).drop("_bin_density", "_n", "_h", "slots", "_c")
 
 
 # ---------------------------------------------------------------- histograms
@@ -201,11 +269,11 @@ def sum_of_normals(params_a: Column, params_b: Column) -> Column:
 
 
 GRID_TAIL = 1e-6     # fixed value: share of the mass that a grid leaves out at an open end
-GRID_POINTS = 2000   # fixed value: points of a grid that is sized to the support
-GRID_KINDS = ["NORMAL", "EXPONENTIAL", "LOGNORMAL", "UNIFORM", "DETERMINISTIC", "IMMEDIATE"]
+GRID_KINDS = ["NORMAL", "EXPONENTIAL", "LOGNORMAL", "UNIFORM", "GAMMA", "BETA", "DETERMINISTIC", "IMMEDIATE"]
 _SECTION = 10_000
 
 
+@built_once
 def support(kind: Column, params: Column) -> tuple[Column, Column]:
     """Lower and upper end of a parametric fit, but for the tails of ``GRID_TAIL``."""
     z = normal_quantile(1 - GRID_TAIL)
@@ -213,8 +281,10 @@ def support(kind: Column, params: Column) -> tuple[Column, Column]:
     point = F.coalesce(a, F.lit(0.0))
     low = (F.when(kind == "NORMAL", a - b * z).when(kind == "UNIFORM", a)
            .when(kind.isin("DETERMINISTIC", "IMMEDIATE"), point).otherwise(0.0))
+    end = F.lit(1 - GRID_TAIL)
     high = (F.when(kind == "NORMAL", a + b * z).when(kind == "EXPONENTIAL", a * -math.log(GRID_TAIL))
-            .when(kind == "LOGNORMAL", F.exp(a + b * z)).when(kind == "UNIFORM", b).otherwise(point))
+            .when(kind == "LOGNORMAL", F.exp(a + b * z)).when(kind == "UNIFORM", b)
+            .when(kind == "GAMMA", gamma_quantile(a, end) * b).when(kind == "BETA", beta_quantile(a, b, end)).otherwise(point))
     return low, high
 
 
@@ -230,15 +300,15 @@ def discretize(dists: DataFrame, binwidth: float | Column, keys: tuple[str, ...]
     first, last = (F.floor((edge + w / 2) / w).cast("bigint") for edge in support(kind, params))
     # two steps, so that no row holds a long list
     parts = dists.where(kind.isin(GRID_KINDS)).select(
-        *keys, kind, params, w.alias("_w"), first.alias("_first"), last.alias("_last")).withColumn(
+        *keys, kind, params, log_constant(kind, params).alias("_c"), w.alias("_w"), first.alias("_first"), last.alias("_last")).withColumn(
         "_part", F.explode(F.sequence(F.floor(F.col("_first") / _SECTION), F.floor(F.col("_last") / _SECTION))))
-    grid = parts.select(*keys, "dist_type", "params", "_w", F.explode(F.sequence(
+    grid = parts.select(*keys, "dist_type", "params", "_c", "_w", F.explode(F.sequence(
         F.greatest("_first", F.col("_part") * _SECTION),
         F.least("_last", (F.col("_part") + 1) * _SECTION - 1))).alias("bin"))
-    points = [density(kind, params, F.col("bin") * F.col("_w") + F.col("_w") * k / 3) for k in range(4)]
+    points = {f"_d{k}": density(kind, params, F.col("bin") * F.col("_w") + F.col("_w") * k / 3, F.col("_c")) for k in range(4)}
     weight = F.when(kind.isin("DETERMINISTIC", "IMMEDIATE"), 1.0).otherwise(
-        (points[0] + points[1] + points[2] + points[3]) / 4)
-    weighed = grid.select(*keys, "bin", weight.alias("w")).where(F.col("w") > 0)
+        (F.col("_d0") + F.col("_d1") + F.col("_d2") + F.col("_d3")) / 4)
+    weighed = grid.withColumns(points).select(*keys, "bin", weight.alias("w")).where(F.col("w") > 0)
     totals = weighed.groupBy(*keys).agg(F.sum("w").alias("_total"))
     return weighed.join(totals, list(keys)).select(*keys, "bin", (F.col("w") / F.col("_total")).alias("probability"))
 
@@ -324,10 +394,13 @@ def moments(dist_type: Column, params: Column) -> tuple[Column, Column]:
     mean = (F.when(dist_type.isin("NORMAL", "EXPONENTIAL", "DETERMINISTIC"), a)
             .when(dist_type == "UNIFORM", (a + b) / 2)
             .when(dist_type == "LOGNORMAL", F.exp(a + b * b / 2))
+            .when(dist_type == "GAMMA", a * b).when(dist_type == "BETA", a / (a + b))
             .when(dist_type == "IMMEDIATE", F.lit(0.0)))
     variance = (F.when(dist_type == "NORMAL", b * b).when(dist_type == "EXPONENTIAL", a * a)
                 .when(dist_type == "UNIFORM", (b - a) * (b - a) / 12)
                 .when(dist_type == "LOGNORMAL", (F.exp(b * b) - 1) * F.exp(a * 2 + b * b))
+                .when(dist_type == "GAMMA", a * b * b)
+                .when(dist_type == "BETA", a * b / ((a + b) * (a + b) * (a + b + 1)))
                 .when(dist_type.isin("DETERMINISTIC", "IMMEDIATE"), F.lit(0.0)))
     return mean, variance
 

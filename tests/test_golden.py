@@ -429,7 +429,7 @@ def test_intervals_of_all_families(spark, tiny):
     df = spark.createDataFrame([("H", 1.0), ("H", 1.0), ("K", 1.0), ("K", 2.0)], "activity string, duration double")
     bands, slots = distributions.kernel_model(df.where("activity = 'K'"), ["activity"], "duration")
     bins = distributions.histogram(df.where("activity = 'H'"), ["activity"], "duration", 1.0)
-    dists = spark.createDataFrame([("N", "NORMAL", [0.0, 1.0]), ("H", "HISTOGRAM", None), ("K", "KERNEL", None)],
+    dists = spark.createDataFrame([("N", "NORMAL", [0.0, 1.0]), ("H", "HISTOGRAM", None), ("K", "GAUSSIAN_KERNEL", None)],
                                   "activity string, dist_type string, params array<double>")
     cuts = spark.createDataFrame([("N", -2.0), ("H", -2.0), ("K", -2.0)], "activity string, cutoff double")
     found = anomaly.all_anomaly_intervals(dists, cuts, bins, 1.0, bands, slots).collect()
@@ -453,7 +453,7 @@ def test_grids_follow_the_support(spark):
     assert mean == pytest.approx(2e7, rel=0.01)
 
 
-def test_measurement_errors_in_any_unit(spark, make_log, tiny):
+def test_measurement_errors_in_any_unit(spark, make_log):
     rows = {f"c{i}": [("a", 0), ("b", 0)] for i in range(6)}
     long = [1000.0, 1200.0, 900.0, 1100.0, 9000.0, 1000.0]
     log = make_log(rows)
@@ -466,9 +466,158 @@ def test_measurement_errors_in_any_unit(spark, make_log, tiny):
         found.append({(r.case_id, r.pos): (round(r.p_sum, 6) if r.p_sum is not None else None, r.is_error)
                       for r in flags.collect()})
     assert found[0] == found[1] and any(p for p, _ in found[0].values())
-    kernel = dists.withColumn("dist_type", F.lit("KERNEL"))
-    with pytest.raises(ValueError):
-        anomaly.error_test(distributions.with_density(steps, dists).withColumn("dist_type", F.lit("KERNEL")), kernel)
+    kernel = dists.withColumn("dist_type", F.lit("HISTOGRAM"))
+    with pytest.raises(ValueError):  # without the bins
+        anomaly.error_test(distributions.with_density(steps, dists).withColumn("dist_type", F.lit("HISTOGRAM")), kernel)
+
+
+def grid_of_sum(spark, one, two, **measured):
+    from caseloom.operators import sums
+    fits = spark.createDataFrame([("A", *one), ("B", *two)], "activity string, dist_type string, params array<double>")
+    cells = sums.fit_cells(fits, **measured)
+    sides = [cells.where(F.col("activity") == name).drop("activity").withColumn("key", F.lit("s")) for name in "AB"]
+    rows = sums.sum_cells(*sides, ["key"]).orderBy("k").collect()
+    whole = sum(r["mass"] for r in rows)
+    return [(r["low"], r["high"], r["mass"] / whole, r["p"]) for r in rows]
+
+
+def test_sums_of_heavy_tails(spark):
+    """LOGNORMAL(0, 2.5) twice: masses within 0.01 of direct integration, p-values of the densities as well."""
+    rows = grid_of_sum(spark, ("LOGNORMAL", [0.0, 2.5]), ("LOGNORMAL", [0.0, 2.5]))
+    nodes = [math.exp(2.5 * normal_quantile((k + 0.5) / 20_000)) for k in range(20_000)]
+
+    def below(s):  # share of the sum below s
+        return sum(0.5 * math.erfc(-math.log(s - x) / 2.5 / math.sqrt(2)) for x in nodes if x < s) / len(nodes)
+
+    for s in (0.05, 0.5, 1.0, 4.0, 20.0, 300.0, 5000.0):
+        assert sum(m for _, high, m, _ in rows if high <= s) == pytest.approx(below(s), abs=0.01)
+    # the density falls behind its mode, so the p-value of a large sum is what lies above it and a little near 0
+    for low, high, _, p in rows:
+        if low > 50:
+            assert p == pytest.approx(1 - below(low), abs=0.01)
+    assert rows[0][1] - rows[0][0] < 0.1 and rows[-1][1] > 1e4
+
+
+@pytest.mark.parametrize("kind", ["GAMMA", "UNIFORM", "DETERMINISTIC", "HISTOGRAM", "GAUSSIAN_KERNEL"])
+def test_sums_of_other_families(spark, kind):
+    values = [1.0 + 4 * (k + 0.5) / 500 for k in range(500)]
+    draws = spark.createDataFrame([("A", v) for v in values], "activity string, duration double")
+    bins = distributions.histogram(draws, ["activity"], "duration", 0.05)
+    kernels = distributions.kernel_model(draws, ["activity"], "duration")
+    params = {"GAMMA": [4.0, 0.5], "UNIFORM": [1.0, 5.0], "DETERMINISTIC": [3.0]}.get(kind, [])
+    rows = grid_of_sum(spark, (kind, params), ("EXPONENTIAL", [2.0]), bins=bins, kernels=kernels)
+    mean = {"GAMMA": 2.0}.get(kind, 3.0) + 2
+    assert sum((low + high) / 2 * m for low, high, m, _ in rows) == pytest.approx(mean, rel=0.02)
+    half = [low for low, _, m, _ in rows if low <= 5.0]
+    share = sum(m for low, _, m, _ in rows if low <= 5.0)
+    if kind == "DETERMINISTIC":
+        assert share == pytest.approx(1 - math.exp(-1), abs=0.01)
+    elif kind != "GAMMA":  # mean over the uniform part of the exponential one
+        assert share == pytest.approx(sum(1 - math.exp(-(5 - v) / 2) for v in values) / 500, abs=0.02)
+    assert half
+
+
+def test_error_test_of_measured_fits(spark, make_log):
+    rng = random.Random(4)
+    log = make_log({f"c{i}": [("a", 0), ("b", 0)] for i in range(120)}).withColumn(
+        "duration", F.when(F.col("activity") == "a", 5.0).otherwise(9.0) + F.substring("case_id", 2, 3).cast("double") / 30)
+    odd = log.withColumn("duration", F.when(F.col("case_id") == "c7", F.when(F.col("pos") == 1, 8.9).otherwise(9.4)).otherwise(
+        F.col("duration")))
+    data = odd.select("activity", "duration")
+    results = []
+    for family in ("HISTOGRAM", "GAUSSIAN_KERNEL"):
+        dists = distributions.fit_durations(data, family)
+        bins = distributions.histogram(data, ["activity"], "duration", 0.25)
+        kernels = distributions.kernel_model(data, ["activity"], "duration")
+        scored = distributions.with_density(odd, dists, bins, 0.25, kernels)
+        found = {(r.case_id, r.pos): r for r in anomaly.error_test(scored, dists, bins=bins, kernels=kernels).collect()}
+        assert len(found) == 240
+        assert all((r.p_sum is None) == (pos == 2) and 0 <= (r.p_sum or 0) <= 1 for (_, pos), r in found.items())
+        assert found["c60", 1].p_sum > 0.5 and found["c119", 1].p_sum < 0.2
+        results.append(found)
+    assert rng is not None and results[0].keys() == results[1].keys()
+
+
+@pytest.mark.parametrize("shape,scale", [(0.4, 3.0), (6.0, 1000.0)])
+def test_gamma_fits(spark, shape, scale):
+    """Quantiles of a gamma distribution bring its parameters back; densities integrate to the distribution function."""
+    fit = spark.createDataFrame([("G", "GAMMA", [shape, scale])], "activity string, dist_type string, params array<double>")
+    u = F.explode(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: (i + 0.5) / 100)).alias("u")
+    draws = fit.select("activity", "dist_type", "params", u).select("activity", distributions.quantile(
+        F.col("dist_type"), F.col("params"), F.col("u"), F.lit(0.0)).alias("duration"), "u", "dist_type", "params")
+    draws = spark.createDataFrame(draws.collect(), draws.schema)
+    back = distributions.fit_durations(draws.select("activity", "duration"), "GAMMA").first()
+    assert back["dist_type"] == "GAMMA" and back["params"] == pytest.approx([shape, scale], rel=0.05)
+    checked = draws.select("u", "duration", distributions.cdf(F.col("dist_type"), F.col("params"), F.col("duration")).alias("c"),
+                           distributions.density(F.col("dist_type"), F.col("params"), F.col("duration")).alias("d")).collect()
+    assert all(r.c == pytest.approx(r.u, abs=1e-8) for r in checked)
+    for r in checked[::20]:
+        want = math.exp((shape - 1) * math.log(r.duration) - r.duration / scale - math.lgamma(shape) - shape * math.log(scale))
+        assert r.d == pytest.approx(want, rel=1e-8)
+    mean, variance = fit.select(*distributions.moments(F.col("dist_type"), F.col("params"))).first()
+    assert (mean, variance) == pytest.approx((shape * scale, shape * scale * scale))
+
+
+@pytest.mark.parametrize("a,b", [(0.5, 0.5), (2.0, 5.0)])
+def test_beta_fits(spark, a, b):
+    fit = spark.createDataFrame([("B", "BETA", [a, b])], "activity string, dist_type string, params array<double>")
+    u = F.explode(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: (i + 0.5) / 100)).alias("u")
+    draws = fit.select("activity", "dist_type", "params", u).select("activity", distributions.quantile(
+        F.col("dist_type"), F.col("params"), F.col("u"), F.lit(0.0)).alias("duration"), "u")
+    draws = spark.createDataFrame(draws.collect(), draws.schema)
+    odd = draws.select("activity", "duration").union(spark.createDataFrame([("B", 0.0), ("B", 1.0), ("B", 7.0)], "a string, d double"))
+    back = distributions.fit_durations(odd, "BETA").first()
+    assert back["dist_type"] == "BETA" and back["params"] == pytest.approx([a, b], rel=0.06)
+
+
+def test_intervals_of_gamma_and_beta(spark):
+    fits = [("g", "GAMMA", [3.0, 2.0]), ("j", "GAMMA", [0.5, 2.0]), ("b", "BETA", [2.0, 5.0]), ("u", "BETA", [0.5, 0.5])]
+    dists = spark.createDataFrame(fits, "activity string, dist_type string, params array<double>")
+
+    def logf(kind, p, x):
+        if kind == "GAMMA":
+            return (p[0] - 1) * math.log(x) - x / p[1] - math.lgamma(p[0]) - p[0] * math.log(p[1])
+        return ((p[0] - 1) * math.log(x) + (p[1] - 1) * math.log1p(-x) + math.lgamma(sum(p)) - math.lgamma(p[0]) - math.lgamma(p[1]))
+
+    for cut in (-3.0, -0.4, 5.0):
+        cuts = dists.select("activity", F.lit(cut).alias("cutoff"))
+        found = {}
+        for r in anomaly.anomaly_intervals(dists, cuts).collect():
+            found.setdefault(r.activity, []).append((r.lower, r.upper))
+        for name, kind, p in fits:
+            top = 1.0 if kind == "BETA" else 60.0
+            for i in range(1, 400):
+                x = top * i / 400
+                if abs(logf(kind, p, x) - cut) > 1e-6:
+                    assert any(lo < x < hi for lo, hi in found[name]) == (logf(kind, p, x) < cut), (name, cut, x)
+            assert any(lo < -1 < hi for lo, hi in found[name]) and any(lo < top + 1e5 < hi for lo, hi in found[name])
+
+
+def test_narrow_modes_of_kernels_are_found(spark):
+    """A mode far narrower than a thousandth of the range."""
+    bands = spark.createDataFrame([("A", 3, 0.01, 0.0, 1e6, 0.0)], "activity string, n bigint, h double, _lo double, _hi double, _width double")
+    slots = spark.createDataFrame([("A", 0.0, 1), ("A", 123456.7, 1), ("A", 1e6, 1)], "activity string, centre double, weight bigint")
+    cut = spark.createDataFrame([("A", 0.0)], "activity string, cutoff double")
+    found = anomaly.kernel_intervals(bands, slots, cut).orderBy("lower").collect()
+    width = 0.01 * math.sqrt(2 * math.log(1 / (3 * 0.01 * math.sqrt(2 * math.pi))))
+    ends = [v for c in (0.0, 123456.7, 1e6) for v in (c - width, c + width)]
+    assert [v for r in found for v in (r.lower, r.upper)] == pytest.approx([-math.inf, *ends, math.inf], abs=1e-6)
+
+
+def test_fitted_kernels_are_among_all_intervals(spark):
+    values = [k / 40 for k in range(41)] + [100 + k / 40 for k in range(41)]
+    data = spark.createDataFrame([(a, v) for a in "NHK" for v in values], "activity string, duration double")
+    fits = None
+    for name, family in (("N", "NORMAL"), ("H", "HISTOGRAM"), ("K", "GAUSSIAN_KERNEL")):
+        part = distributions.fit_durations(data.where(F.col("activity") == name), family)
+        fits = part if fits is None else fits.union(part)
+    bands, slots = distributions.kernel_model(data, ["activity"], "duration")
+    bins = distributions.histogram(data, ["activity"], "duration", 1.0)
+    cuts = spark.createDataFrame([(a, -9.0) for a in "NHK"], "activity string, cutoff double")
+    found = anomaly.all_anomaly_intervals(fits, cuts, bins, 1.0, bands, slots).collect()
+    assert {r.activity for r in found} == {"N", "H", "K"}
+    own = anomaly.kernel_intervals(bands.where("activity = 'K'"), slots.where("activity = 'K'"), cuts.where("activity = 'K'"))
+    assert sorted((r.lower, r.upper) for r in found if r.activity == "K") == sorted((r.lower, r.upper) for r in own.collect())
 
 
 def test_means_of_tails(spark, tiny):
@@ -492,7 +641,7 @@ def test_conversion_of_kernels(spark, tiny):
     df = spark.createDataFrame([("A", float(v)) for v in range(101)], "activity string, duration double")
     bands, slots = distributions.kernel_model(df, ["activity"], "duration")
     measured = distributions.kernel_moments(bands, slots, ["activity"])
-    dists = spark.createDataFrame([("A", "KERNEL", None)], "activity string, dist_type string, params array<double>")
+    dists = spark.createDataFrame([("A", "GAUSSIAN_KERNEL", None)], "activity string, dist_type string, params array<double>")
     out = distributions.convert_dists(dists, "NORMAL", measured).first()
     h = bands.first()["h"]
     assert out["dist_type"] == "NORMAL" and out["params"][0] == pytest.approx(50, abs=0.1)
