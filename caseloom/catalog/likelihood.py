@@ -8,6 +8,7 @@ from caseloom.catalog.base import LOG, query, uniform_sql
 from caseloom.functions.maths import ERF_A, ERF_P, normal_quantile
 from caseloom.operators import anomaly as an
 from caseloom.operators import distributions as ds
+from caseloom.operators import sums
 from caseloom.operators import windows as w
 from caseloom.plans.lineage import stored
 from caseloom.sources.logs import events_log, load
@@ -113,6 +114,55 @@ def _(spark, folder):
     return _params(ds.fit_durations(seen, "NORMAL", censored=cens))
 
 
+def _psi(x: str) -> str:
+    """Digamma as the slope of the logarithm of the gamma function."""
+    return f"((lgamma({x} * 1.0001::DOUBLE) - lgamma({x} * 0.9999::DOUBLE)) / (0.0002::DOUBLE * {x}))"
+
+
+# the shape solves ln k - digamma(k) = ln mean - mean ln
+_GAMMA = LOG.replace("WITH log", "WITH RECURSIVE log") + f""", gs AS (SELECT activity, count(*) AS n, avg(value) AS m, ln(avg(value)) - avg(ln(value)) AS s FROM log GROUP BY 1),
+  gb AS (SELECT activity, n, m, s, -10.0::DOUBLE AS lo, 20.0::DOUBLE AS hi, 0 AS i FROM gs UNION ALL
+    SELECT activity, n, m, s, CASE WHEN big THEN mid ELSE lo END, CASE WHEN big THEN hi ELSE mid END, i + 1
+    FROM (SELECT *, mid - {_psi('exp(mid)')} > s AS big FROM (SELECT *, (lo + hi) / 2 AS mid FROM gb)) WHERE i < 60),
+  gf AS (SELECT activity, n, exp(lo) AS k, m / exp(lo) AS t FROM gb WHERE i = 60),
+  gd AS (SELECT l.*, (k - 1) * ln(value) - value / t - lgamma(k) - k * ln(t) AS ld FROM log l JOIN gf USING (activity))
+"""
+
+
+@query("fit_gamma", "A6,A7,L1", _GAMMA + "SELECT activity, n, 'GAMMA' AS dist_type, round(k, 4) AS p1, round(t, 3) AS p2 FROM gf")
+def _(spark, folder):
+    fits = ds.fit_durations(samples(spark, folder), "GAMMA")
+    return _params(fits).withColumns({"p1": r("p1", 4), "p2": r("p2", 3)})
+
+
+@query("density_gamma", "L1", _GAMMA + "SELECT case_id, pos, activity, round(ld, 3) AS log_density FROM gd")
+def _(spark, folder):
+    dists = stored(ds.fit_durations(samples(spark, folder), "GAMMA"))
+    return ds.with_density(valued_steps(spark, folder), dists).select(
+        "case_id", "pos", "activity", r("log_density", 3).alias("log_density"))
+
+
+@query("p_values_gamma", "L5", _GAMMA + """SELECT case_id, pos, round(cume_dist() OVER (PARTITION BY activity ORDER BY ld), 6) AS p_value FROM gd""")
+def _(spark, folder):
+    scored, _ = scored_steps(spark, folder, "GAMMA")
+    return an.p_values(scored).select("case_id", "pos", r("p_value", 6).alias("p_value"))
+
+
+# quantities as shares of one more than the largest; Newton steps from the fit of the moments
+@query("fit_beta", "A6,A7,L1", f"""WITH RECURSIVE x AS (SELECT l_returnflag AS activity, l_quantity::DOUBLE / 51 AS x FROM lineitem),
+  s AS (SELECT activity, count(*) AS n, avg(x) AS m, var_samp(x) AS v, avg(ln(x)) AS g, avg(ln(1 - x)) AS h FROM x GROUP BY 1),
+  it AS (SELECT activity, n, g, h, m * (m * (1 - m) / v - 1) AS a, (1 - m) * (m * (1 - m) / v - 1) AS b, 0 AS i FROM s UNION ALL
+    SELECT activity, n, g, h, a - (f * (q - w) + e * w) / ((p - w) * (q - w) - w * w), b - (e * (p - w) + f * w) / ((p - w) * (q - w) - w * w), i + 1
+    FROM (SELECT *, {_psi('a')} - {_psi('(a + b)')} - g AS f, {_psi('b')} - {_psi('(a + b)')} - h AS e,
+        ({_psi('(a * 1.001)')} - {_psi('(a * 0.999)')}) / (0.002 * a) AS p, ({_psi('(b * 1.001)')} - {_psi('(b * 0.999)')}) / (0.002 * b) AS q,
+        ({_psi('((a + b) * 1.001)')} - {_psi('((a + b) * 0.999)')}) / (0.002 * (a + b)) AS w FROM it) WHERE i < 40)
+  SELECT activity, n, 'BETA' AS dist_type, round(a, 4) AS p1, round(b, 4) AS p2 FROM it WHERE i = 40""")
+def _(spark, folder):
+    shares = load(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("activity"), (F.col("l_quantity").cast("double") / 51).alias("duration"))
+    return _params(ds.fit_durations(shares, "BETA")).withColumns({"p1": r("p1", 4), "p2": r("p2", 4)})
+
+
 @query("density_normal", "L1", LOG + SCORED + "SELECT case_id, pos, activity, round(ld, 5) AS log_density FROM scored")
 def _(spark, folder):
     steps = valued_steps(spark, folder)
@@ -250,10 +300,10 @@ def _(spark, folder):
     return tested(an.error_test(scored, dists))
 
 
-def tested(rows):
+def tested(rows, digits=5):
     return rows.select("case_id", "pos", r("p_value", 5).alias("p_value"),
                        F.coalesce(r("p_child", 5), F.lit(-1.0)).alias("p_child"),
-                       F.coalesce(r("p_sum", 5), F.lit(-1.0)).alias("p_sum"), "is_error")
+                       F.coalesce(r("p_sum", digits), F.lit(-1.0)).alias("p_sum"), "is_error")
 
 
 @query("measurement_error_test_exponential", "L6", LOG + FIT + """, linked AS (SELECT *, lead(value) OVER o AS y, lead(activity) OVER o AS child FROM log
@@ -274,6 +324,37 @@ def _(spark, folder):
     return tested(an.error_test(scored, dists, 4.0))
 
 
+_LEVELS = ", ".join(f"({k}, {z!r}::DOUBLE, {m}::BIGINT)" for k, _, z, m in sums.levels())
+
+
+@query("measurement_error_test_lognormal", "L6", LOG + FIT + f""", scored AS (SELECT l.*, -0.5 * ((ln(value) - lm) / ls) ** 2 - ln(ls * sqrt(2 * pi()) * value) AS ld
+    FROM log l JOIN fit USING (activity)),
+  p AS (SELECT *, cume_dist() OVER (PARTITION BY activity ORDER BY ld) AS px FROM scored),
+  linked AS (SELECT *, lead(value) OVER o AS y, lead(activity) OVER o AS child, lead(px) OVER o AS py FROM p WINDOW o AS (PARTITION BY case_id ORDER BY pos)),
+  lv(k, z, m) AS (VALUES {_LEVELS}),
+  ed AS (SELECT activity, k, lv.m, exp(lm + ls * z)::FLOAT::DOUBLE AS lo, lead(exp(lm + ls * z)::FLOAT::DOUBLE) OVER (PARTITION BY activity ORDER BY k) AS hi FROM fit, lv),
+  ce AS (SELECT * FROM ed WHERE m > 0),
+  pairs AS (SELECT DISTINCT activity, child FROM linked WHERE child IS NOT NULL),
+  pr AS (SELECT q.activity, q.child, a.lo + (a.hi - a.lo) * ((b.k * {sums.TURN[0]!r}::DOUBLE) % 1) + (b.lo + (b.hi - b.lo) * ((a.k * {sums.TURN[1]!r}::DOUBLE) % 1)) AS v,
+    a.m * b.m AS m, a.k AS i, b.k AS j FROM pairs q JOIN ce a ON a.activity = q.activity JOIN ce b ON b.activity = q.child),
+  cu AS (SELECT activity, child, v, m, (sum(m) OVER (PARTITION BY activity, child ORDER BY v, i, j)::DOUBLE - m::DOUBLE / 2)
+    / sum(m) OVER (PARTITION BY activity, child)::DOUBLE AS c FROM pr),
+  ga AS (SELECT activity, child, least(greatest(floor((ln(c / (1 - c)) + {sums.ODDS}::DOUBLE) / {2 * sums.ODDS}::DOUBLE * {sums.SUM_CELLS}), 0), {sums.SUM_CELLS - 1}) AS k,
+    min(v) AS lo, max(v) AS hi, sum(m)::DOUBLE AS m FROM cu GROUP BY 1, 2, 3),
+  ge AS (SELECT activity, child, k, lo, coalesce(lead(lo) OVER (PARTITION BY activity, child ORDER BY k), hi) AS hi, m FROM ga),
+  gp AS (SELECT activity, child, k, lo, hi, sum(m) OVER (PARTITION BY activity, child ORDER BY m / (hi - lo) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    / sum(m) OVER (PARTITION BY activity, child) AS p FROM ge),
+  marks AS (SELECT activity, child, CASE WHEN k = min(k) OVER (PARTITION BY activity, child) THEN lo - 1e-5 ELSE lo END AS at, p FROM gp
+    UNION ALL SELECT activity, child, max(hi) + 1.0000001e-5, 0 FROM gp GROUP BY 1, 2),
+  joined AS (SELECT l.case_id, l.pos, l.y, l.px, l.py, coalesce(g.p, 0) AS ps FROM (SELECT *, value + y AS total FROM linked) l
+    ASOF LEFT JOIN marks g ON l.activity = g.activity AND l.child = g.child AND l.total >= g.at)
+  SELECT case_id, pos, round(px, 5) AS p_value, coalesce(round(py, 5), -1) AS p_child, CASE WHEN y IS NULL THEN -1 ELSE round(ps, 6) END AS p_sum,
+    CASE WHEN y IS NULL THEN px < 0.05 ELSE ps > py END AS is_error FROM joined""")
+def _(spark, folder):
+    scored, dists = scored_steps(spark, folder, "LOGNORMAL")
+    return tested(an.error_test(scored, dists), 6)
+
+
 def _post(f: str, e: str) -> str:
     return f"(0.1 * {e} / (0.9 * {f} + 0.1 * {e}))"
 
@@ -365,11 +446,37 @@ def _(spark, folder):
     return found.select("activity", F.greatest("lower", F.lit(-1e6)).alias("lower"), F.least("upper", F.lit(1e6)).alias("upper"))
 
 
-@query("anomaly_intervals_kernel", "L9,A17")
+_KERNEL = LOG + """, s AS (SELECT activity, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd, list_sort(list(value)) AS v FROM log GROUP BY activity),
+  h AS (SELECT activity, n, lo, hi, (hi - lo) / 1000 AS width, 1.06 * least(sd, (v[(3 * n) // 4 + 1] - v[n // 4 + 1]) / 1.34) * pow(n, -0.2) AS h FROM s),
+  slots AS (SELECT activity, floor(value / width + 0.5) * width AS c, count(*) AS w FROM log JOIN h USING (activity) GROUP BY 1, 2),
+  grid AS (SELECT activity, n, h, i, lo - 3 * h + (hi - lo + 6 * h) * i / 99 AS x FROM h, generate_series(0, 99) t(i))
+"""
+
+
+# a level that the density crosses; edges lie between slots, middles of slots and the far ends, and are halved in
+_EDGES = _KERNEL.replace("WITH log", "WITH RECURSIVE log") + """, pk AS (SELECT activity, list(c ORDER BY c) AS cs, list(w ORDER BY c) AS ws FROM slots GROUP BY 1),
+  pt AS (SELECT activity, c AS x FROM slots UNION ALL SELECT activity, (c + lead(c) OVER (PARTITION BY activity ORDER BY c)) / 2 FROM slots
+    UNION ALL SELECT activity, min(c) - 50 * any_value(h) FROM slots JOIN h USING (activity) GROUP BY 1
+    UNION ALL SELECT activity, max(c) + 50 * any_value(h) FROM slots JOIN h USING (activity) GROUP BY 1),
+  f AS (SELECT pt.activity, x, sum(w * exp(-0.5 * ((x - c) / h) ** 2)) / any_value(n * h) / sqrt(2 * pi()) >= 0.002 AS up
+    FROM pt JOIN h USING (activity) JOIN slots USING (activity) WHERE x IS NOT NULL GROUP BY 1, 2),
+  g AS (SELECT activity, x, up, lag(x) OVER w AS x0, lag(up) OVER w AS up0 FROM f WINDOW w AS (PARTITION BY activity ORDER BY x)),
+  b AS (SELECT activity, up, x0 AS a, x AS b, 0 AS i FROM g WHERE up <> up0 UNION ALL
+    SELECT b.activity, up, CASE WHEN at_up <> up THEN mid ELSE a END, CASE WHEN at_up <> up THEN b ELSE mid END, i + 1
+    FROM (SELECT b.*, (a + b) / 2 AS mid, list_sum(list_transform(range(1, len(cs) + 1), lambda j: ws[j] * exp(-0.5 * (((a + b) / 2 - cs[j]) / h) ** 2)))
+        / (n * h) / sqrt(2 * pi()) >= 0.002 AS at_up FROM b JOIN pk USING (activity) JOIN h USING (activity)) b WHERE i < 45),
+  ed AS (SELECT activity, up, a AS x, lag(a) OVER w AS before FROM b WHERE i = 45 WINDOW w AS (PARTITION BY activity ORDER BY a)),
+  iv AS (SELECT activity, coalesce(before, -1e6) AS lower, x AS upper FROM ed WHERE up
+    UNION ALL SELECT activity, coalesce(max(x), -1e6), 1e6 FROM h LEFT JOIN ed USING (activity) GROUP BY 1)
+"""
+
+
+@query("anomaly_intervals_kernel", "L9,A17", _EDGES + "SELECT activity, round(lower, 4) AS lower, round(upper, 4) AS upper FROM iv")
 def _(spark, folder):
     bands, slots = ds.kernel_model(samples(spark, folder), ["activity"], "duration")
     cut = bands.select("activity", F.ln(F.lit(0.002)).alias("cutoff"))
-    return an.kernel_intervals(bands, stored(slots), cut)
+    found = an.kernel_intervals(bands, stored(slots), cut)
+    return found.select("activity", r(F.greatest("lower", F.lit(-1e6)), 4).alias("lower"), r(F.least("upper", F.lit(1e6)), 4).alias("upper"))
 
 
 @query("anomaly_intervals_json", "K1")
@@ -463,13 +570,6 @@ def _(spark, folder):
     return ds.discretize(dists, 1.0).select("activity", "bin", r("probability", 8).alias("probability"))
 
 
-_KERNEL = LOG + """, s AS (SELECT activity, count(*) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd, list_sort(list(value)) AS v FROM log GROUP BY activity),
-  h AS (SELECT activity, n, lo, hi, (hi - lo) / 1000 AS width, 1.06 * least(sd, (v[(3 * n) // 4 + 1] - v[n // 4 + 1]) / 1.34) * pow(n, -0.2) AS h FROM s),
-  slots AS (SELECT activity, floor(value / width + 0.5) * width AS c, count(*) AS w FROM log JOIN h USING (activity) GROUP BY 1, 2),
-  grid AS (SELECT activity, n, h, i, lo - 3 * h + (hi - lo + 6 * h) * i / 99 AS x FROM h, generate_series(0, 99) t(i))
-"""
-
-
 @query("kernel_density", "A17,A18", _KERNEL + f"""SELECT activity, CAST(i AS INTEGER) AS i, round(sum(w * exp(-0.5 * ((x - c) / h) ** 2)) / any_value(n * h) / sqrt(2 * pi()), 6) AS density,
   round(sum(w * {phi_sql('((x - c) / h)')}) / any_value(n), 5) AS cdf FROM grid JOIN slots USING (activity) GROUP BY 1, 2""")
 def _(spark, folder):

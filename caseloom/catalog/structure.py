@@ -186,13 +186,12 @@ def _(spark, folder):
 
 @query("branch_weights_race", "A8", SHIP + """, st AS (SELECT *, coalesce(lag(activity) OVER (PARTITION BY case_id ORDER BY pos), '_Start') AS state FROM ship),
   moves AS (SELECT state, activity, count(*) AS n FROM st GROUP BY 1, 2),
-  fast AS (SELECT DISTINCT state FROM moves WHERE activity LIKE 'A%' AND state NOT LIKE 'R%'),
+  fast AS (SELECT DISTINCT state FROM moves WHERE activity LIKE 'A%'),
   w AS (SELECT m.*, 1.0 + coalesce((SELECT sum(n) FROM moves k JOIN fast USING (state) WHERE k.activity = m.activity), 0) AS weight FROM moves m)
-  SELECT state, activity, n, weight::DOUBLE AS weight, round(weight / sum(weight) OVER (PARTITION BY state), 6) AS probability FROM w WHERE state NOT LIKE 'R%'
-  """.replace("WHERE k.activity = m.activity), 0) AS weight FROM moves m)", "WHERE k.activity = m.activity), 0) AS weight FROM moves m WHERE state NOT LIKE 'R%')"))
+  SELECT state, activity, n, weight::DOUBLE AS weight, round(weight / sum(weight) OVER (PARTITION BY state), 6) AS probability FROM w""")
 def _(spark, folder):
     steps = j.with_state(shipments_log(spark, folder))
-    moves = stored(j.successors(steps).where(~F.col("state").startswith("R")))
+    moves = stored(j.successors(steps))
     immediate = moves.where(F.col("activity").startswith("A")).select("activity")
     b = j.branch_weights(moves, immediate)
     return b.select("state", "activity", "n", "weight", r("probability").alias("probability"))

@@ -54,7 +54,8 @@ def family_cells(fits: DataFrame, keys: list[str]) -> DataFrame:
                                         F.lit(m).cast("bigint").alias("mass")) for k, u, z, m in levels())))
     rows = fits.select(*keys, "dist_type", "params", ends.alias("e")).select(
         *keys, F.col("e.k").alias("k"), F.when(point & (F.col("e.k") == 0), WHOLE).when(~point, F.col("e.mass")).otherwise(
-            F.lit(0)).cast("bigint").alias("mass"), quantile(F.col("dist_type"), F.col("params"), F.col("e.u"), F.col("e.z")).alias("at"))
+            F.lit(0)).cast("bigint").alias("mass"), quantile(F.col("dist_type"), F.col("params"), F.col("e.u"), F.col("e.z")).cast("float").cast("double").alias("at"))
+    # (single precision: the last bits of a fit must not change the order of the products)
     # a window over the few ends of one fit
     cells = rows.withColumn("_next", F.lead("at").over(Window.partitionBy(*keys).orderBy("k")))
     return cells.where(F.col("mass") > 0).select(*keys, "k", F.col("at").alias("low"), F.col("_next").alias("high"), "mass")
