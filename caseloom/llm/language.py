@@ -36,14 +36,15 @@ LETTERS = re.compile(r"[^\W\d_]+").findall
 
 def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS,
            chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of (language, whole text): the texts with the smallest hashes, up to both bounds. Only about
-    twice the bound is sorted, whatever the size of a language."""
+    """A bounded sample of (language, whole text): of the distinct texts of a language those with the smallest hashes, up to
+    both bounds, however many copies a text has. Only about twice the bound is sorted, whatever the size of a language."""
     size = F.length(text)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (size <= chars)).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").agg(F.countDistinct("h").alias("n"))
     near = rows.join(F.broadcast(counts), "lang").where(
         F.pmod("h", F.lit(1 << 40)) < F.lit(float(1 << 40)) * (2 * texts + 20) / F.col("n"))
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "text")
     chosen = near.withColumn("k", F.row_number().over(order)).withColumn("c", F.sum(F.length("text")).over(
         order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("k") <= texts) & (F.col("c") <= chars))

@@ -96,7 +96,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of the ids."""
     docs = documents(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where(crc_of_id() % 5 != 0)
-    network = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    network = toxicity.train(docs.select("doc_id", "text"), labels=labels)
     scored = toxicity.score(docs.select("doc_id", "text"), network)
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.plans.lineage import stored
+
 WINDOW, STRIDE = 32, 16
 SAMPLE_TEXTS = 600        # per label
 SAMPLE_CHARS = 1_200_000  # per label; texts of more than a twentieth are not taken into the sample
@@ -36,20 +38,34 @@ GROUP_WORDS = 300_000     # words that are scored together
 WORDS = re.compile(r"[^\W_]+").findall
 
 
-def sample(labelled: DataFrame, text: str, label: str, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS):
-    """A bounded sample of (label, whole text), the texts with the smallest hashes, and the share of label 1. Only about
-    twice the bound is sorted."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= chars // 20)).select(
-        F.col(label).cast("int").alias("y"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 40)).alias("h"))
-    counts = {r[0]: r[1] for r in rows.groupBy("y").agg(F.count("*")).collect()}
+def sample(docs: DataFrame, text: str, label: str, labels: DataFrame | None = None, key: str = "doc_id",
+           texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS):
+    """A bounded sample of (label, whole text), and the share of label 1: of the distinct texts of each label those with
+    the smallest hashes, however many copies a text has. ``labels`` has the labels by ``key``, if ``docs`` has none.
+
+    Hashes and lengths are chosen first, so that no text is exchanged but those of the sample; only about twice the bound
+    of them is sorted.
+    """
+    place = F.pmod(F.xxhash64(text), F.lit(1 << 40))
+    known = docs.where(F.col(text).isNotNull() & (F.length(text) <= chars // 20))
+    if labels is None:
+        marks = known.select(F.col(label).alias("y"), place.alias("h"), F.length(text).alias("n"))
+    else:
+        marks = known.select(F.col(key).alias("key"), place.alias("h"), F.length(text).alias("n")).join(
+            labels.select(F.col(key).alias("key"), F.col(label).alias("y")), "key")
+    marks = stored(marks.where(F.col("y").isin(0, 1)).select(F.col("y").cast("int").alias("y"), "h", "n"))
+    counts = {r.y: r for r in marks.groupBy("y").agg(F.count("*").alias("rows"), F.countDistinct("h").alias("texts")).collect()}
     if len(counts) < 2:
         return [], 0.0
-    bar = F.when(F.col("y") == 1, (2 * texts + 20) / counts[1]).otherwise((2 * texts + 20) / counts[0])
-    order = Window.partitionBy("y").orderBy("h", "text")
-    chosen = rows.where(F.col("h") < bar * float(1 << 40)).withColumn("k", F.row_number().over(order)).withColumn(
-        "c", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(
-        (F.col("k") <= texts) & (F.col("c") <= chars)).orderBy("h", "text", "y")
-    return [(r.y, r.text) for r in chosen.select("y", "text").collect()], counts[1] / (counts[0] + counts[1])
+    bar = F.when(F.col("y") == 1, (2 * texts + 20) / counts[1].texts).otherwise((2 * texts + 20) / counts[0].texts)
+    near = marks.where(F.col("h") < bar * float(1 << 40)).groupBy("y", "h").agg(F.max("n").alias("n"))
+    order = Window.partitionBy("y").orderBy("h")
+    chosen = stored(near.withColumn("k", F.row_number().over(order)).withColumn(
+        "c", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(
+        (F.col("k") <= texts) & (F.col("c") <= chars)).select("y", "h"))
+    found = known.select(F.col(text).alias("text"), place.alias("h")).join(F.broadcast(chosen), "h").groupBy(
+        "y", "h").agg(F.min("text").alias("text")).orderBy("h", "text", "y")
+    return [(r.y, r.text) for r in found.collect()], counts[1].rows / (counts[0].rows + counts[1].rows)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -340,7 +356,9 @@ def score(df: DataFrame, network: Network | None, text: str = "text", name: str
     return df.withColumn(name, rate(F.col(text).cast("string")))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Network | None:
-    """The network fitted on a bounded sample of the labelled texts."""
-    texts, share = sample(labelled, text, label)
+def train(docs: DataFrame, text: str = "text", label: str = "toxic", labels: DataFrame | None = None,
+          key: str = "doc_id") -> Network | None:
+    """The network fitted on a bounded sample of the labelled texts; ``labels`` has the labels by ``key``, if ``docs`` has
+    none."""
+    texts, share = sample(docs, text, label, labels, key)
     return fit(texts, share)

@@ -235,3 +235,20 @@ def test_pipeline_stages(spark, tmp_path):
     nothing = read(docs.where("false"), "none")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, FOLDER).count() == 0, name
+
+
+def test_samples_take_distinct_texts(spark):
+    """20,000 copies of four texts hide neither a language nor a label."""
+    few = spark.range(20_000).select("id", F.concat(F.lit("der die das "), (F.col("id") % 4).cast("string")).alias("text"),
+                                     F.lit("de").alias("lang"), F.lit(1).alias("toxic"))
+    many = spark.range(3000).select((F.col("id") + 20_000).alias("id"), F.concat(F.lit("the thing "), "id").alias("text"),
+                                    F.lit("en").alias("lang"), F.lit(0).alias("toxic"))
+    docs = few.union(many).withColumnRenamed("id", "doc_id")
+    chosen = Counter(language.sample(docs))
+    assert {t for lang, t in chosen if lang == "de"} == {f"der die das {i}" for i in range(4)}
+    assert sum(lang == "en" for lang, _ in chosen) == language.SAMPLE_TEXTS and max(chosen.values()) == 1
+    with_labels, share = toxicity.sample(docs, "text", "toxic")
+    apart = toxicity.sample(docs.drop("toxic"), "text", "toxic", docs.select("doc_id", "toxic"))
+    assert sorted(with_labels) == sorted(apart[0]) and share == apart[1] == 20 / 23
+    assert {t for y, t in with_labels if y == 1} == {f"der die das {i}" for i in range(4)}
+    assert sum(y == 0 for y, _ in with_labels) == toxicity.SAMPLE_TEXTS
