@@ -55,38 +55,45 @@ def outlier_flags(stream: DataFrame, dists: DataFrame, cutoffs: DataFrame) -> Da
 
 
 FORECAST_SCHEMA = "activity string, at timestamp, n bigint, naive double, drift double, history int"
-FORECAST_STATE = "first_hour bigint, values array<double>"
+FORECAST_STATE = "hours array<bigint>, counts array<bigint>"
+HOUR_NS = 3_600_000_000_000
 
 
-def rolling_forecast(hours: DataFrame, history: int = 672) -> DataFrame:
+def rolling_forecast(hours: DataFrame, history: int = 672, late: int = 48) -> DataFrame:
     """After every closed hour, forecasts of the next one per activity from the
-    last ``history`` hourly counts.
+    counts of the last ``history`` hours.
 
     ``hours`` streams the files ``hourly_activity`` writes (``activity, at, n``),
     so the state of an activity sees one row per hour, whatever its share of the
-    events.  Missing hours count as unknown.
+    events.  Missing hours count as unknown.  An hour that comes in a later batch
+    takes its place, and the forecasts of it and of the hours behind it are sent
+    (again): the last row of an hour counts.  Hours more than ``late`` before the
+    newest one come too late; the state holds the hours that forecasts need.
     """
 
     def forecast(key, batches: Iterator, state) -> Iterator:
         import pandas as pd
 
-        begin, values = state.get if state.exists else (None, [])
-        values = [float("nan") if v is None else v for v in values]
-        rows = sorted((int(t.value // 3_600_000_000_000), t, int(n))
-                      for b in batches for t, n in zip(b["at"], b["n"]))
-        out = []
-        for hour, at, n in rows:
-            begin = hour if begin is None else begin
-            values.extend([float("nan")] * (hour - begin - len(values)))
-            values.append(float(n))
-            if len(values) > history:
-                begin += len(values) - history
-                values = values[-history:]
-            known = [i for i, v in enumerate(values) if v == v]
-            first, size = known[0], len(values) - known[0]
-            slope = (values[-1] - values[first]) / (size - 1) if size > 1 else 0.0
-            out.append((key[0], at, n, values[-1], max(0.0, values[-1] + slope), len(known)))
-        state.update((begin, [None if v != v else v for v in values]))
+        held = dict(zip(*state.get)) if state.exists else {}
+        newest, first_new, shift = max(held, default=None), None, 0
+        rows = sorted((int(t.value), int(n)) for b in batches for t, n in zip(b["at"], b["n"]))
+        for ns, n in rows:
+            hour, shift = divmod(ns, HOUR_NS)
+            if newest is None or hour > newest - late:
+                held[hour] = n
+                first_new = hour if first_new is None else min(first_new, hour)
+        order = sorted(held)
+        out, back = [], 0
+        for place, hour in enumerate(order):
+            while order[back] <= hour - history:
+                back += 1
+            if first_new is not None and hour >= first_new:
+                value, span = float(held[hour]), hour - order[back]
+                slope = (value - held[order[back]]) / span if span else 0.0
+                out.append((key[0], pd.Timestamp(hour * HOUR_NS + shift), held[hour], value, max(0.0, value + slope),
+                            place - back + 1))
+        kept = [h for h in order if h > order[-1] - history - late]
+        state.update((kept, [held[h] for h in kept]))
         yield pd.DataFrame(out, columns=["activity", "at", "n", "naive", "drift", "history"])
 
     return hours.groupBy("activity").applyInPandasWithState(

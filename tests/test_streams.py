@@ -70,6 +70,26 @@ def test_rolling_forecast_bounds_its_history(spark, folder):
     assert all(r["naive"] == r["n"] for r in out)
 
 
+def test_rolling_forecast_takes_late_hours_into_their_place(spark, tmp_path):
+    """Hours in files of reverse order, one file a batch: the last row of an hour is that of hours in order."""
+    counts = [(0, 10), (1, 14), (3, 30), (5, 50), (6, 60), (9, 12)]
+    results = {}
+    for name, order in (("forth", counts), ("back", counts[::-1])):
+        for k, (hour, n) in enumerate(order):
+            one = spark.createDataFrame([("a", hour * 3600, n)], "activity string, s bigint, n bigint").select(
+                "activity", F.timestamp_seconds("s").alias("at"), "n")
+            one.coalesce(1).write.parquet(str(tmp_path / name / f"{k}"))
+        files = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "*"))
+        rows = append_to_table(st.rolling_forecast(files, history=4).withColumn("sent", F.current_timestamp())).collect()
+        last = {}
+        for r in sorted(rows, key=lambda r: r["sent"]):
+            last[r["at"].timestamp()] = (r["n"], r["naive"], r["drift"], r["history"])
+        results[name] = list(last[t] for t in sorted(last))
+    assert results["forth"] == results["back"]
+    # after hour 6: hours 3 to 6 are in reach, the drift is (60 - 30) / 3
+    assert results["back"][4] == (60, 60.0, 70.0, 3)
+
+
 def test_streams_read_tables_that_are_folders(spark, folder, tmp_path):
     path, rows = folder
     spark.read.parquet(f"{path}/events-*.parquet").repartition(3).write.parquet(str(tmp_path / "t" / "events.parquet"))
