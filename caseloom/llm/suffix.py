@@ -28,7 +28,6 @@ replaced.
 
 from __future__ import annotations
 
-import functools
 
 import numpy as np
 import pandas as pd
@@ -75,16 +74,17 @@ class Spans:
             return mix((self.sums[stop] - self.sums[start]) * self.power[start])
 
 
-@functools.lru_cache(8)
-def powers_table(base: int, room: int) -> np.ndarray:
-    steps = np.full(room, base, dtype=np.uint64)
-    steps[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(steps)
+POWERS: dict[int, np.ndarray] = {}  # one table per base, of the largest size that was asked for
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return powers_table(base, 1 << max(12, (n + 1).bit_length()))[: n]
+    table = POWERS.get(base)
+    if table is None or len(table) < n:
+        steps = np.full(1 << max(12, (n + 1).bit_length()), base, dtype=np.uint64)
+        steps[0] = 1
+        with np.errstate(over="ignore"):
+            table = POWERS[base] = np.cumprod(steps)
+    return table[: n]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
