@@ -342,3 +342,14 @@ def _(spark, folder):
     edges, source = _deliveries(spark, folder)
     longest = g.path_distances(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")), source, longest=True)
     return longest.select("node", r("distance", 2).alias("distance"))
+
+
+@query("distances_from_customers", "G2", """WITH a AS (SELECT o_custkey AS c, o_orderkey AS o, min(o_totalprice)::DOUBLE AS w FROM orders GROUP BY 1, 2),
+  b AS (SELECT l_orderkey AS o, l_suppkey AS s, min(l_extendedprice)::DOUBLE AS w FROM lineitem GROUP BY 1, 2)
+  SELECT 'c' || c_custkey AS source, 'c' || c_custkey AS node, 0.0::DOUBLE AS distance FROM customer
+  UNION ALL SELECT 'c' || c, 'o' || o, round(w, 2) FROM a JOIN customer ON c = c_custkey
+  UNION ALL SELECT 'c' || c, 's' || s, round(min(a.w + b.w), 2) FROM a JOIN customer ON c = c_custkey JOIN b USING (o) GROUP BY c, s""")
+def _(spark, folder):
+    customers = load(spark, folder, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("source"))
+    found = g.distances_from(_deliveries(spark, folder)[0], customers)
+    return found.select("source", "node", r("distance", 2).alias("distance"))

@@ -48,3 +48,27 @@ def all_pairs_distances(edges: DataFrame) -> DataFrame:
         second = paths.select(F.col("src").alias("via"), "dst", F.col("distance").alias("_b"))
         paths = cut(first.join(second, "via").groupBy("src", "dst").agg(F.min(F.col("_a") + F.col("_b")).alias("distance")))
     return paths
+
+
+def distances_from(edges: DataFrame, sources: DataFrame, within: float | None = None) -> DataFrame:
+    """Shortest distances from every source of a table (``source``) to all nodes it reaches, at most ``within``:
+    ``source, node, distance``, the source itself at 0.
+
+    The frontier is keyed by (source, node): a round relaxes the pairs that improved in the last one only, and the rounds
+    are as many as the edges of the longest shortest path. Weights must not be negative.
+    """
+    links = cut(edges.groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("w")))
+    if not links.where("w < 0").isEmpty():
+        raise ValueError("weights must not be negative")
+    known = cut(sources.select(F.col("source").cast("string").alias("source")).where("source IS NOT NULL").distinct().select(
+        "source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(True).alias("_moved")))
+    while True:
+        frontier = known.where("_moved").select("source", F.col("node").alias("src"), "distance")
+        offers = frontier.join(links, "src").select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("_new"))
+        offers = (offers if within is None else offers.where(F.col("_new") <= within)).groupBy("source", "node").agg(
+            F.min("_new").alias("_new"))
+        better = F.col("_new").isNotNull() & (F.col("distance").isNull() | (F.col("_new") < F.col("distance")))
+        known = cut(known.drop("_moved").join(offers, ["source", "node"], "full").select(
+            "source", "node", F.least("distance", "_new").alias("distance"), better.alias("_moved")))
+        if known.where("_moved").isEmpty():
+            return known.drop("_moved")

@@ -646,3 +646,26 @@ def test_conversion_of_kernels(spark, tiny):
     h = bands.first()["h"]
     assert out["dist_type"] == "NORMAL" and out["params"][0] == pytest.approx(50, abs=0.1)
     assert out["params"][1] == pytest.approx(math.sqrt(100 * 102 / 12 + h * h), rel=0.01)
+
+
+def test_distances_from_many_sources(spark):
+    from caseloom.operators import graph
+    rng = random.Random(9)
+    edges = [(str(rng.randrange(40)), str(rng.randrange(40)), float(rng.randint(0, 20))) for _ in range(110)]
+    sources = ["0", "1", "2", "7", "nowhere"]
+    want = {}
+    for s in sources:
+        best = {s: 0.0}
+        for _ in range(41):
+            for a, b, w in edges:
+                if a in best and best[a] + w < best.get(b, math.inf):
+                    best[b] = best[a] + w
+        want.update({(s, n): d for n, d in best.items()})
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    table = spark.createDataFrame([(s,) for s in [*sources, "0", None]], "source string")
+    found = {(r["source"], r["node"]): r["distance"] for r in graph.distances_from(df, table).collect()}
+    assert found == want
+    near = {(r["source"], r["node"]): r["distance"] for r in graph.distances_from(df, table, 9.0).collect()}
+    assert near == {k: d for k, d in want.items() if d <= 9}
+    with pytest.raises(ValueError):
+        graph.distances_from(df.withColumn("weight", F.lit(-1.0)), table)
