@@ -299,6 +299,28 @@ def error_scores(scored: DataFrame, error_sd: float, rate: float) -> DataFrame:
 
 # ---------------------------------------------------------------- intervals
 
+def _special_intervals(kind: Column, params: Column, c: Column, outside, everything: Column) -> Column:
+    """Intervals of gamma and beta fits, whose edges are found by bisection."""
+    a, b = (F.try_element_at(params, F.lit(i)) for i in (1, 2))
+
+    def likely(x: Column) -> Column:
+        return log_density(kind, params, x) >= c
+
+    # gamma and beta densities rise to their mode and fall behind it; a beta density may fall to its least point instead
+    top = F.when(kind == "GAMMA", F.greatest((a - 1) * b, F.lit(0.0))).when(a <= 1, 0.0).when(b <= 1, 1.0).otherwise(
+        (a - 1) / F.when(a + b != 2, a + b - 2).otherwise(1.0))
+    end = F.when(kind == "BETA", 1.0).otherwise(a * b * 1e3 + top)
+    inner = F.least(F.greatest(top, end * 1e-15), end * (1 - 1e-15))
+    hump = F.when(likely(inner), outside(
+        F.when(top <= 0, 0.0).otherwise(bisect(F.lit(0.0), inner, lambda x: ~likely(x))),
+        F.when((kind == "BETA") & (top >= 1), 1.0).otherwise(bisect(inner, end, likely)))).otherwise(everything)
+    least = (F.lit(1.0) - a) / F.when(a + b != 2, F.lit(2.0) - a - b).otherwise(1.0)
+    hollow = F.when(likely(least), outside(F.lit(0.0), F.lit(1.0))).otherwise(F.concat(
+        outside(F.lit(0.0), F.lit(1.0)), F.array(F.struct(
+            bisect(F.lit(0.0), least, likely).alias("lower"), bisect(least, F.lit(1.0), lambda x: ~likely(x)).alias("upper")))))
+    return F.when((kind == "BETA") & (a < 1) & (b < 1), hollow).otherwise(hump)
+
+
 def anomaly_intervals(dists: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Duration intervals below the cut-off, per activity of a parametric
     family: ``activity, lower, upper`` (open ends are infinite)."""
@@ -322,26 +344,12 @@ def anomaly_intervals(dists: DataFrame, cutoffs: DataFrame) -> DataFrame:
                        ).otherwise(everything)
     value = F.coalesce(a, F.lit(0.0))
     kind = F.col("dist_type")
-
-    def likely(x: Column) -> Column:
-        return log_density(kind, F.col("params"), x) >= c
-
-    # gamma and beta densities rise to their mode and fall behind it; a beta density may fall to its least point instead
-    top = F.when(kind == "GAMMA", F.greatest((a - 1) * b, F.lit(0.0))).when(a <= 1, 0.0).when(b <= 1, 1.0).otherwise(
-        (a - 1) / F.when(a + b != 2, a + b - 2).otherwise(1.0))
-    end = F.when(kind == "BETA", 1.0).otherwise(a * b * 1e3 + top)
-    inner = F.least(F.greatest(top, end * 1e-15), end * (1 - 1e-15))
-    hump = F.when(likely(inner), outside(
-        F.when(top <= 0, 0.0).otherwise(bisect(F.lit(0.0), inner, lambda x: ~likely(x))),
-        F.when((kind == "BETA") & (top >= 1), 1.0).otherwise(bisect(inner, end, likely)))).otherwise(everything)
-    least = (F.lit(1.0) - a) / F.when(a + b != 2, F.lit(2.0) - a - b).otherwise(1.0)
-    hollow = F.when(likely(least), outside(F.lit(0.0), F.lit(1.0))).otherwise(F.concat(
-        outside(F.lit(0.0), F.lit(1.0)), F.array(F.struct(
-            bisect(F.lit(0.0), least, likely).alias("lower"), bisect(least, F.lit(1.0), lambda x: ~likely(x)).alias("upper")))))
     found = (F.when(kind.isin("IMMEDIATE", "DETERMINISTIC"), outside(value - EPSILON, value + EPSILON))
              .when(kind == "UNIFORM", outside(a, b)).when(kind == "NORMAL", normal)
-             .when(kind == "EXPONENTIAL", exponential).when(kind == "LOGNORMAL", lognormal)
-             .when((kind == "BETA") & (a < 1) & (b < 1), hollow).when(kind.isin("GAMMA", "BETA"), hump))
+             .when(kind == "EXPONENTIAL", exponential).when(kind == "LOGNORMAL", lognormal))
+    special = kind.isin("GAMMA", "BETA")
+    if not dists.where(special).isEmpty():  # long expressions, only where they are needed
+        found = found.when(special, _special_intervals(kind, F.col("params"), c, outside, everything))
     return (dists.join(cutoffs, "activity", "left").select("activity", F.explode(found).alias("i"))
             .select("activity", "i.lower", "i.upper"))
 

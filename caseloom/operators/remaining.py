@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.maths import epoch_ms, normal_cdf, normal_pdf
+from caseloom.functions.special import beta_cdf, gamma_cdf
 from caseloom.operators.aggs import case_durations, forecast_eval
 from caseloom.operators.filters import sort_cases
 from caseloom.operators.joins import last_observation
@@ -88,11 +89,12 @@ def conditional_duration(train: DataFrame, probes: DataFrame, keys: list[str], d
 TAIL = 1e-6  # mass of a tail whose mean is still told from the distribution function
 
 
-def conditional_expectation(dist_type: Column, params: Column, elapsed: Column) -> Column:
+def conditional_expectation(dist_type: Column, params: Column, elapsed: Column, special: bool = False) -> Column:
     """Expected duration given it exceeds the elapsed time: exponential durations
-    forget, uniform ones start at the elapsed time, normal and log-normal ones
-    have the mean of their tail.  The elapsed time itself where nothing is left
-    of the tail; histogram and kernel fits go through ``conditional_table``."""
+    forget, uniform ones start at the elapsed time, normal, log-normal, gamma and
+    beta ones have the mean of their tail.  The elapsed time itself where nothing is left
+    of the tail; histogram and kernel fits go through ``conditional_table``, and
+    gamma and beta fits need ``special``, since their expressions are long."""
     a, b = (F.try_element_at(params, F.lit(i)) for i in (1, 2))
     uniform = F.when(elapsed < b, (F.greatest(a, elapsed) + b) / 2).otherwise(elapsed)
     point = F.greatest(a, elapsed)
@@ -103,9 +105,18 @@ def conditional_expectation(dist_type: Column, params: Column, elapsed: Column)
     rest = F.lit(1.0) - normal_cdf(y)
     mean = F.exp(a + b * b / 2)
     lognormal = F.when(elapsed <= 0, mean).when(rest > TAIL, mean * normal_cdf(b - y) / rest).otherwise(elapsed)
-    return (F.when(dist_type == "EXPONENTIAL", a + elapsed).when(dist_type == "UNIFORM", uniform)
-            .when(dist_type == "NORMAL", normal).when(dist_type == "LOGNORMAL", lognormal)
-            .when(dist_type == "DETERMINISTIC", point).when(dist_type == "IMMEDIATE", elapsed))
+    plain = (F.when(dist_type == "EXPONENTIAL", a + elapsed).when(dist_type == "UNIFORM", uniform)
+             .when(dist_type == "NORMAL", normal).when(dist_type == "LOGNORMAL", lognormal)
+             .when(dist_type == "DETERMINISTIC", point).when(dist_type == "IMMEDIATE", elapsed))
+    if not special:
+        return plain
+
+    def of_tail(whole: Column, more: Column, less: Column) -> Column:
+        return F.when(elapsed <= 0, whole).when(less < 1 - TAIL, whole * (F.lit(1.0) - more) / (F.lit(1.0) - less)).otherwise(elapsed)
+
+    gamma = of_tail(a * b, gamma_cdf(a + 1, elapsed / b), gamma_cdf(a, elapsed / b))
+    beta = of_tail(a / (a + b), beta_cdf(a + 1, b, elapsed), beta_cdf(a, b, elapsed))
+    return plain.when(dist_type == "GAMMA", gamma).when(dist_type == "BETA", beta)
 
 
 def conditional_table(parts: DataFrame, probes: DataFrame, keys: list[str], elapsed: str = "elapsed") -> DataFrame:

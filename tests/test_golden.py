@@ -623,10 +623,15 @@ def test_fitted_kernels_are_among_all_intervals(spark):
 def test_means_of_tails(spark, tiny):
     def mean(kind, params, elapsed):
         return spark.range(1).select(remaining.conditional_expectation(
-            F.lit(kind), F.array(*map(F.lit, params)), F.lit(elapsed)).alias("e")).first()["e"]
+            F.lit(kind), F.array(*map(F.lit, params)), F.lit(elapsed), kind in ("GAMMA", "BETA")).alias("e")).first()["e"]
 
     assert mean("NORMAL", [10.0, 2.0], 10.0) == pytest.approx(10 + 2 * math.sqrt(2 / math.pi), rel=1e-5)
     assert mean("NORMAL", [10.0, 2.0], 99.0) == 99.0
+    # a gamma distribution of shape 2 beyond t: the sum of two exponential parts
+    assert mean("GAMMA", [2.0, 3.0], 6.0) == pytest.approx((36 / 3 + 2 * 6 + 2 * 3) / (1 + 6 / 3) , rel=1e-6)
+    assert mean("GAMMA", [2.0, 3.0], 0.0) == pytest.approx(6.0)
+    # density 2x on (0, 1)
+    assert mean("BETA", [2.0, 1.0], 0.5) == pytest.approx((2 / 3) * (1 - 0.125) / (1 - 0.25), rel=1e-6)
     draws = [math.exp(1 + 0.5 * normal_quantile((k + 0.5) / 200_000)) for k in range(200_000)]
     left = [d for d in draws if d >= 4.0]
     assert mean("LOGNORMAL", [1.0, 0.5], 4.0) == pytest.approx(sum(left) / len(left), rel=1e-3)
