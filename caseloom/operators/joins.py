@@ -69,23 +69,26 @@ def last_observation(training: DataFrame, probes: DataFrame, keys: list[str], va
                                                    "observed")
 
 
-def resource_movements(intervals: DataFrame, distances: DataFrame, speeds: DataFrame) -> DataFrame:
+def resource_movements(intervals: DataFrame, distances: DataFrame, speeds: DataFrame,
+                       single: Column | None = None) -> DataFrame:
     """Travel between the locations of consecutive activities of a resource.
 
     ``intervals``: resource, location, start, end (and a unique ``id``);
     ``distances``: origin, target, distance; ``speeds``: resource, speed (metres
-    per second).  ``travel_ms`` is 0 after an activity of length zero; ``idle``
-    marks records with travel.
+    per second).  ``travel_ms`` is 0 after an activity that a single event
+    stands for: where ``single`` holds of its interval (default: its start is
+    its end); ``idle`` marks records with travel.
     """
+    intervals = intervals.withColumn("_single", F.col("start") == F.col("end") if single is None else single)
     placed = positions(intervals, ["resource"], ["start", "id"], "_place")
     linked = neighbours(placed, ["resource"], "_place", {
-        "origin": ("location", 1), "_start": ("start", 1), "_end": ("end", 1)})
+        "origin": ("location", 1), "_alone": ("_single", 1), "_end": ("end", 1)})
     moves = linked.where(F.col("_end").isNotNull()).select(
-        "resource", "id", "origin", F.col("location").alias("target"), F.col("_start"), F.col("_end"), "start")
+        "resource", "id", "origin", F.col("location").alias("target"), "_alone", "_end", "start")
     far = join_model(moves, distances.select("origin", "target", "distance"), ["origin", "target"], "left")
     fast = join_model(far, speeds, ["resource"])
     travel = F.floor(F.coalesce("distance", F.lit(0.0)) / F.col("speed") * 1000).cast("bigint")
-    travel = F.when(F.col("_start") == F.col("_end"), 0).otherwise(travel).cast("bigint")
+    travel = F.when(F.col("_alone"), 0).otherwise(travel).cast("bigint")
     return fast.select("resource", "id", "origin", "target", epoch_ms("_end").alias("from_ms"),
                        travel.alias("travel_ms"), (epoch_ms("start") - epoch_ms("_end")).alias("gap_ms"),
                        (travel > 0).alias("idle"))

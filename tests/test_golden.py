@@ -696,3 +696,18 @@ def test_gamma_fit_with_zeros_has_the_smallest_shape(spark):
     found = {r["duration"]: r["log_density"] for r in distributions.with_density(data, dists).collect()}
     assert found[0.0] == math.inf
     assert found[2.0] == pytest.approx((shape - 1) * math.log(2) - 2 / scale - math.lgamma(shape) - shape * math.log(scale))
+
+
+def test_movement_after_an_interval_of_no_length(spark):
+    from caseloom.operators.joins import resource_movements
+    rows = spark.createDataFrame([("r", 1, "A", 0, 0), ("r", 2, "B", 10, 20), ("r", 3, "A", 30, 31)],
+                                 "resource string, id bigint, location string, s bigint, e bigint")
+    iv = rows.select("resource", "id", "location", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds("e").alias("end"))
+    far = spark.createDataFrame([("A", "B", 6.0), ("B", "A", 4.0)], "origin string, target string, distance double")
+    fast = spark.createDataFrame([("r", 2.0)], "resource string, speed double")
+
+    def travel(**more):
+        return {r["id"]: r["travel_ms"] for r in resource_movements(iv, far, fast, **more).collect()}
+
+    assert travel() == {2: 0, 3: 2000}
+    assert travel(single=F.lit(False)) == {2: 3000, 3: 2000}
