@@ -711,3 +711,40 @@ def test_movement_after_an_interval_of_no_length(spark):
 
     assert travel() == {2: 0, 3: 2000}
     assert travel(single=F.lit(False)) == {2: 3000, 3: 2000}
+
+
+@pytest.mark.parametrize("threshold", [1, 3])
+def test_similar_cases_are_warped_once_per_class(spark, make_log, monkeypatch, threshold):
+    """Distances of all curves as by the full table over 201 points; long runs count as short ones do."""
+    from caseloom.operators import curves
+    rng = random.Random(threshold)
+    cases = {f"c{k:02d}": sorted([("ABC"[rng.randrange(3)], m) for m in [0, 400] + [rng.choice([2, 4, 6, 200, 396]) for _ in range(
+        rng.randrange(4))]], key=lambda e: e[1]) for k in range(40)}
+    sizes, warped = [], curves._warped
+    monkeypatch.setattr(curves, "_warped", lambda pairs, t: (sizes.append(
+        pairs.select(F.max(F.array_max("lengths"))).first()[0]), warped(pairs, t))[1])
+    found = {(r["left"], r["right"]): r["distance"] for r in curves.similar_cases(make_log(cases), threshold).collect()}
+    assert max(sizes) <= threshold + 1
+
+    points = {c: [frozenset(a for a, m in events if m // 2 == t) for t in range(201)] for c, events in cases.items()}
+    first = {}
+    for c in sorted(points):
+        first.setdefault(tuple(points[c]), c)
+    shapes, expected = {}, {}
+
+    def distance(a, b):
+        best = [0] + [math.inf] * len(b)
+        for x in a:
+            row = [math.inf]
+            for j, y in enumerate(b):
+                row.append(len(x ^ y) + min(row[j], best[j], best[j + 1]))
+            best = row
+        return best[-1]
+
+    for curve, c in first.items():
+        shape = tuple(s for i, s in enumerate(curve) if i == 0 or s != curve[i - 1])
+        expected[shapes.setdefault(shape, c), c] = 0
+        for other, o in first.items():
+            if c < o and 0 < (d := distance(curve, other)) <= threshold:
+                expected[c, o] = d
+    assert found == expected and len(set(expected.values())) > 1
