@@ -101,44 +101,54 @@ def rolling_forecast(hours: DataFrame, history: int = 672, late: int = 48) -> Da
 
 
 GAP_SCHEMA = "case_id string, event_id bigint, ms bigint, gap_ms bigint"
-GAP_STATE = "last_us bigint, ids array<bigint>, times array<bigint>"
+GAP_STATE = "cases array<string>, lasts array<bigint>, waiting array<string>, ids array<bigint>, times array<bigint>"
 
 
-def event_gaps(stream: DataFrame, delay: str = DELAY, forget_ms: int | None = None) -> DataFrame:
+def event_gaps(stream: DataFrame, delay: str = DELAY, forget_ms: int | None = None, buckets: int = 1024) -> DataFrame:
     """Time since the previous event of the case (0 for the first), in the order
     of the log: by microsecond, then event.  Events wait until the watermark
     passes them, so late ones inside the delay are ordered; the state of a case
     is its last time and the events of the delay.
 
-    A case is kept for ever; with ``forget_ms`` it is forgotten so long after its
-    last event, and an event after that counts as the first of its case.
+    Cases are many and short, so those of one of ``buckets`` hash values share a
+    state and are ordered at once.  A case is kept for ever; with ``forget_ms``
+    it is forgotten so long after its last event, and an event after that counts
+    as the first of its case.
     """
-    timed = stream.select("case_id", "event_id", "ts").withWatermark("ts", delay)
+    timed = stream.select("case_id", "event_id", "ts", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("bucket")
+                          ).withWatermark("ts", delay)
 
     def order(key, batches: Iterator, state) -> Iterator:
         import pandas as pd
 
-        last, ids, times = state.get if state.exists else (None, [], [])
-        parts = [pd.DataFrame({"us": pd.Series(times, dtype="int64"), "event_id": pd.Series(ids, dtype="int64")})]
+        cases, lasts, waiting, ids, times = state.get if state.exists else ([], [], [], [], [])
+        held = dict(zip(cases, lasts))
+        parts = [pd.DataFrame({"case_id": pd.Series(waiting, dtype="object"), "event_id": pd.Series(ids, dtype="int64"),
+                               "us": pd.Series(times, dtype="int64")})]
         if not state.hasTimedOut:
-            parts += [pd.DataFrame({"us": b["ts"].astype("datetime64[us, UTC]" if b["ts"].dt.tz is not None else
-                                                          "datetime64[us]").astype("int64"),
-                                    "event_id": b["event_id"]}) for b in batches]
-        waiting = pd.concat(parts).sort_values(["us", "event_id"], kind="stable")
+            parts += [pd.DataFrame({"case_id": b["case_id"], "event_id": b["event_id"], "us": b["ts"].astype(
+                "datetime64[us, UTC]" if b["ts"].dt.tz is not None else "datetime64[us]").astype("int64")}) for b in batches]
+        rows = pd.concat(parts).sort_values(["us", "event_id"], kind="stable")
         mark = state.getCurrentWatermarkMs()
-        ms = waiting["us"] // 1000
-        due, waiting = waiting[ms < mark], waiting[ms >= mark]
-        out = pd.DataFrame({"case_id": key[0], "event_id": due["event_id"], "ms": due["us"] // 1000})
-        first = 0 if last is None and out.empty else (out["ms"].iloc[0] if last is None else last // 1000)
-        out["gap_ms"] = out["ms"].diff().fillna(out["ms"] - first).astype("int64")
-        last = int(due["us"].iloc[-1]) if len(due) else last
-        state.update((last, waiting["event_id"].tolist(), waiting["us"].tolist()))
-        if len(waiting):
-            state.setTimeoutTimestamp(max(int(waiting["us"].iloc[0]) // 1000, mark) + 1)
-        elif last is not None and forget_ms is not None:
-            state.setTimeoutTimestamp(max(last // 1000, mark) + forget_ms)
-            if state.hasTimedOut and out.empty:
-                state.remove()
+        rows["ms"] = rows["us"] // 1000
+        due, rest = rows[rows["ms"] < mark], rows[rows["ms"] >= mark]
+        earlier = due.groupby("case_id", sort=False)["ms"].shift()
+        earlier = earlier.fillna(due["case_id"].map(held) // 1000 if held else due["ms"]).fillna(due["ms"])
+        out = pd.DataFrame({"case_id": due["case_id"], "event_id": due["event_id"], "ms": due["ms"],
+                            "gap_ms": due["ms"] - earlier.astype("int64")})
+        held.update((c, int(us)) for c, us in zip(due["case_id"], due["us"]))
+        first = [int(rest["ms"].iloc[0])] if len(rest) else []
+        if forget_ms is not None:
+            open_cases = set(rest["case_id"])
+            held = {c: us for c, us in held.items() if c in open_cases or us // 1000 + forget_ms >= mark}
+            first += [us // 1000 + forget_ms for c, us in held.items() if c not in open_cases]
+        if held or len(rest):
+            state.update((list(held), list(held.values()), rest["case_id"].tolist(), rest["event_id"].tolist(),
+                          rest["us"].tolist()))
+            if first:
+                state.setTimeoutTimestamp(max(min(first), mark) + 1)
+        elif state.exists:
+            state.remove()
         yield out
 
-    return timed.groupBy("case_id").applyInPandasWithState(order, GAP_SCHEMA, GAP_STATE, "append", "EventTimeTimeout")
+    return timed.groupBy("bucket").applyInPandasWithState(order, GAP_SCHEMA, GAP_STATE, "append", "EventTimeTimeout")

@@ -111,3 +111,31 @@ def test_event_gaps_order_by_microsecond(spark, tmp_path):
     out = append_to_table(st.event_gaps(events_stream(spark, str(tmp_path))))
     assert {r["event_id"]: (r["ms"], r["gap_ms"]) for r in out.collect()} == {
         5: (1_000_000, 0), 2: (1_000_000, 0), 3: (1_000_500, 500)}
+
+
+def test_event_gaps_keep_one_state_per_bucket(spark, tmp_path):
+    """Cases of a bucket share a state, which drops the cases to forget."""
+    minute = 60_000
+    parts = [[(k, k % 40, minute + k * minute // 40) for k in range(80)], [(100, 3, 300 * minute), (101, 41, 301 * minute)],
+             [(200, 3, 310 * minute)], [(300, 99, 600 * minute)]]
+    (tmp_path / "in").mkdir()
+    for n, mine in enumerate(parts):
+        spark.createDataFrame(mine, "event_id bigint, user_id bigint, ms bigint").selectExpr(
+            "event_id", "CAST(timestamp_millis(ms) AS timestamp_ntz) AS ts", "user_id", "'a' AS event_type", "1.0D AS value"
+        ).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        source = next((tmp_path / f"w{n}").glob("part-*.parquet"))
+        (tmp_path / "in" / f"events-{n}.parquet").write_bytes(source.read_bytes())
+
+    def gaps(**more):
+        rows = st.event_gaps(stream(spark, str(tmp_path / "in")), buckets=4, **more)
+        place = str(tmp_path / f"state{len(more)}")
+        query = rows.writeStream.format("memory").queryName(f"gaps{len(more)}").outputMode("append").option(
+            "checkpointLocation", place).trigger(availableNow=True).start()
+        query.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert 0 < max(states) <= 4
+        return {r["event_id"]: r["gap_ms"] for r in spark.table(f"gaps{len(more)}").collect()}
+
+    kept, forgot = gaps(), gaps(forget_ms=60 * minute)
+    assert kept == {k: minute if k >= 40 else 0 for k in range(80)} | {100: 299 * minute - 43 * minute // 40, 101: 0, 200: 10 * minute}
+    assert forgot[200] == 10 * minute and forgot[101] == 0 and forgot[79] == minute
