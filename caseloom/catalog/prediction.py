@@ -340,7 +340,7 @@ def _(spark, folder):
 @query("delivery_paths_longest", "G1", _deliveries_sql("max"))
 def _(spark, folder):
     edges, source = _deliveries(spark, folder)
-    longest = g.path_distances(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")), source, longest=True)
+    longest = g.path_distances(edges, source, longest=True)
     return longest.select("node", r("distance", 2).alias("distance"))
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from caseloom.operators import graph
 from caseloom.plans.models import join_model, split_join
 from caseloom.plans.ranks import clamped_percentile, order_statistics, value_ranks
 from caseloom.plans.slices import neighbours, positions, running, running_dense
@@ -134,3 +135,49 @@ def test_numbering_reads_its_input_at_most_twice(spark, tmp_path):
                             "id").write.parquet(path)
     plan = as_log(spark.read.parquet(path), "u", "a", "ts", ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1
+
+
+def shuffled_rows(spark, job) -> int:
+    """Rows written in shuffles while ``job`` runs."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages, n = store.stageList(None, False, False, none, None).iterator(), 0
+        while stages.hasNext():
+            n += stages.next().shuffleWriteRecords()
+        return n
+
+    before = total()
+    job()
+    return total() - before
+
+
+def test_path_distances_do_not_shuffle_the_edges(spark):
+    """A source that reaches few nodes leaves all other edges where they are."""
+    n = 5000
+    edges = spark.range(n).selectExpr("concat('n', id) AS src", "concat('m', id % 1000) AS dst", "double(id % 7) AS weight")
+    edges = edges.unionByName(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("b", "c", 5.0)], edges.schema))
+    for longest, far in ((False, 3.0), (True, 6.0)):
+        found = {}
+        rows = shuffled_rows(spark, lambda: found.update(graph.path_distances(edges, "a", longest).collect()))
+        assert found == {"a": 0.0, "b": 1.0, "c": far}
+        assert rows < n / 10
+
+
+def test_distances_from_relax_no_ends(spark):
+    """Pairs whose node no edge leaves are not joined with the edges again: each edge is relaxed at most once here."""
+    n = 5000
+    first = spark.range(n).selectExpr("concat('c', id % 50) AS src", "concat('o', id) AS dst", "double(id % 7) AS weight")
+    second = spark.range(n).selectExpr("concat('o', id) AS src", "concat('s', id % 100) AS dst", "double(id % 3) AS weight")
+    sources = spark.range(50).selectExpr("concat('c', id) AS source")
+    found = {}
+    rows = shuffled_rows(spark, lambda: found.update(
+        {(r[0], r[1]): r[2] for r in graph.distances_from(first.unionByName(second), sources).collect()}))
+    best = {}
+    for i in range(n):
+        key = (f"c{i % 50}", f"s{i % 100}")
+        best[key] = min(best.get(key, 99.0), float(i % 7 + i % 3))
+    assert {k: v for k, v in found.items() if k[1].startswith("s")} == best
+    assert len(found) == 50 + n + len(best)
+    assert rows < 7 * n
