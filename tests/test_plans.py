@@ -180,4 +180,4 @@ def test_distances_from_relax_no_ends(spark):
         best[key] = min(best.get(key, 99.0), float(i % 7 + i % 3))
     assert {k: v for k, v in found.items() if k[1].startswith("s")} == best
     assert len(found) == 50 + n + len(best)
-    assert rows < 7 * n
+    assert rows < 4 * n
