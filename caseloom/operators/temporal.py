@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.maths import UNIT_MS, epoch_ms
 from caseloom.plans.lineage import stored
-from caseloom.plans.slices import neighbours, running_in_case, sweep, with_case_values
+from caseloom.plans.slices import long_cases, neighbours, running, running_in_case, sweep, with_case_values
 
 START = "_Start"
 TIME = "decimal(15,0)"
 EXACT = "decimal(38,0)"
+MEETING_ROWS = 100_000  # events of a task that repeats each of them per activity of its case
 
 
 def _moments(n: Column, total: Column, squares: Column, unit: str) -> tuple[Column, Column]:
@@ -62,45 +63,59 @@ def temporal_matrix(dfg: DataFrame) -> DataFrame:
                       (F.col("n") / whole.select("n").scalar()).alias("weight"))
 
 
-def _prefix_moments(log: DataFrame) -> DataFrame:
+def _prefix_moments(log: DataFrame, start: bool = False) -> DataFrame:
     """Per event and activity seen earlier in the case: count, time sums,
     position sum and last position.  One row per event and *distinct* activity
-    of its case, never one per pair of events."""
-    timed = with_case_values(log.withColumn("_ms", epoch_ms("ts")), _t0=F.min_by(epoch_ms("ts"), "pos"),
-                             _classes=F.collect_set("activity"))
+    of its case, never one per pair of events.  With ``start`` every event also
+    has a row with ``start`` true: the case start, seen once at time 0, right
+    before the event.  ``log`` is a stored table."""
+    timed = log.withColumn("_ms", epoch_ms("ts"))
+    short = long_cases(log).isEmpty()
+    if short:  # the events of a case meet once, for its values and for the sums
+        timed = timed.repartition(max(1, -(-log.count() // MEETING_ROWS)), "case_id")
+        case = Window.partitionBy("case_id")
+        timed = timed.withColumns({"_t0": F.min_by("_ms", "pos").over(case), "_classes": F.collect_set("activity").over(case)})
+    else:
+        timed = with_case_values(timed, _t0=F.min_by("_ms", "pos"), _classes=F.collect_set("activity"))
     t = (F.col("_ms") - F.col("_t0")).cast(TIME)
-    base = timed.select("case_id", "pos", "activity", t.alias("t"), F.explode("_classes").alias("other"))
-    here = F.col("activity") == F.col("other")
-    seen = running_in_case(base, ["other"], {
+    others = F.transform("_classes", lambda c: F.struct(c.alias("other"), F.lit(False).alias("start")))
+    if start:
+        others = F.concat(F.array(F.struct(F.lit(START).alias("other"), F.lit(True).alias("start"))), others)
+    base = timed.select("case_id", "pos", "activity", t.alias("t"), F.explode(others).alias("_o")).select(
+        "case_id", "pos", "activity", "t", "_o.other", "_o.start")
+    here = (F.col("activity") == F.col("other")) & ~F.col("start")
+    sums = {
         "n": ("sum", here.cast("int")),
         "s1": ("sum", F.when(here, F.col("t")).otherwise(0).cast(EXACT)),
         "s2": ("sum", F.when(here, F.col("t") * F.col("t")).otherwise(0).cast(EXACT)),
         "p1": ("sum", F.when(here, F.col("pos")).otherwise(0)),
         "last": ("max", F.when(here, F.col("pos"))),
-    }, exclusive=True, log=log)
-    return seen.where(F.col("n") > 0)
+    }
+    if short:
+        seen = running(base, ["case_id", "other", "start"], [], ["pos"], sums, exclusive=True)
+    else:
+        seen = running_in_case(base, ["other", "start"], sums, exclusive=True, log=log)
+    if start:
+        before = F.col("pos") - 1
+        seen = seen.withColumns({"n": F.when(F.col("start"), 1).otherwise(F.col("n")),
+                                 "p1": F.when(F.col("start"), before).otherwise(F.col("p1")),
+                                 "last": F.when(F.col("start"), before).otherwise(F.col("last"))})
+    return seen.where(F.col("n") > 0).drop("start")
 
 
 def pairwise_gaps(log: DataFrame, unit: str = "minutes") -> DataFrame:
     """All ordered pairs i < j per case, summed per activity pair:
     ``before, after, n, mean, sd, mean_distance, n_direct``; ``_Start`` counts
-    as distance 1 to every event.  The events are stored first: six branches
-    read them."""
+    as distance 1 to every event.  The events are stored first, since they are
+    read twice."""
     log = stored(log.select("case_id", "pos", "activity", "ts"))
-    m = _prefix_moments(log)
+    m = _prefix_moments(log, start=True)
     t, n = F.col("t"), F.col("n").cast("decimal(20,0)")
-    pairs = m.groupBy(F.col("other").alias("before"), F.col("activity").alias("after")).agg(
+    both = m.groupBy(F.col("other").alias("before"), F.col("activity").alias("after")).agg(
         F.sum("n").alias("n"), F.sum((n * t - F.col("s1")).cast(EXACT)).alias("_s"),
         F.sum((n * t * t - 2 * t * F.col("s1") + F.col("s2")).cast(EXACT)).alias("_q"),
         F.sum(F.col("n") * F.col("pos") - F.col("p1")).alias("_d"),
         F.count_if(F.col("last") == F.col("pos") - 1).alias("n_direct"))
-    elapsed = with_case_values(log, _t0=F.min_by(epoch_ms("ts"), "pos")).withColumn(
-        "t", (epoch_ms("ts") - F.col("_t0")).cast(TIME))
-    starts = elapsed.groupBy(F.lit(START).alias("before"), F.col("activity").alias("after")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("t").cast(EXACT)).alias("_s"),
-        F.sum((F.col("t") * F.col("t")).cast(EXACT)).alias("_q"), F.count(F.lit(1)).alias("_d"),
-        F.count(F.lit(1)).alias("n_direct"))
-    both = pairs.unionByName(starts)
     mean, sd = _moments(F.col("n"), F.col("_s"), F.col("_q"), unit)
     return both.select("before", "after", "n", mean.alias("mean"), sd.alias("sd"),
                        (F.col("_d") / F.col("n")).alias("mean_distance"), "n_direct")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import graph
+from caseloom.operators import graph, temporal
 from caseloom.plans.models import join_model, split_join
 from caseloom.plans.ranks import clamped_percentile, order_statistics, value_ranks
 from caseloom.plans.slices import neighbours, positions, running, running_dense
@@ -181,3 +181,19 @@ def test_distances_from_relax_no_ends(spark):
     assert {k: v for k, v in found.items() if k[1].startswith("s")} == best
     assert len(found) == 50 + n + len(best)
     assert rows < 4 * n
+
+
+def test_pairwise_gaps_shuffle_each_event_once(spark, make_log):
+    """Events are repeated per activity of their case after the shuffle, not before."""
+    log = make_log({f"{c}": [("abcd"[(c + i) % 4], 1000 * i) for i in range(8)] for c in range(500)})
+    found = {}
+    rows = shuffled_rows(spark, lambda: found.update({(r[0], r[1]): r for r in temporal.pairwise_gaps(log).collect()}))
+    assert sum(r["n"] for r in found.values()) == 500 * (8 * 7 / 2 + 8)
+    assert rows < 2 * 4000
+
+
+def test_pairwise_gaps_with_an_activity_named_as_the_start(make_log):
+    log = make_log({"x": [("a", 0), ("_Start", 60_000), ("a", 180_000)], "y": [("_Start", 0)]})
+    found = {(r["before"], r["after"]): (r["n"], r["mean"], r["mean_distance"]) for r in temporal.pairwise_gaps(log).collect()}
+    assert found == {("a", "_Start"): (1, 1.0, 1.0), ("a", "a"): (1, 3.0, 2.0), ("_Start", "a"): (3, 5 / 3, 1.0),
+                     ("_Start", "_Start"): (2, 0.5, 1.0)}
