@@ -8,7 +8,8 @@ from caseloom.catalog.base import LOG, SHIP, query
 from caseloom.operators import filters as f
 from caseloom.operators import windows as w
 from caseloom.plans.ranks import value_ranks
-from caseloom.sources.logs import events_log, shipments_log
+from caseloom.plans.slices import hot_keys
+from caseloom.sources.logs import events_log, load, shipments_log
 
 KINDS = ["click", "error", "signup", "purchase", "view"]
 
@@ -38,8 +39,9 @@ def _(spark, folder):
     FROM s JOIN c USING (case_id))
   SELECT case_id, pos, (sum(f - e) OVER (ORDER BY ts, case_index, pos) + e)::BIGINT AS load FROM m""")
 def _(spark, folder):
-    log = f.reorder_by_time(shipments_log(spark, folder))
-    return w.active_case_load(log).select("case_id", "pos", F.col("load").cast("bigint"))
+    cases = load(spark, folder, "lineitem").select(F.col("l_orderkey").cast("string").alias("case_id"))
+    log = f.reorder_by_time(shipments_log(spark, folder).select("case_id", "pos", "ts"), cases)
+    return w.active_case_load(log, hot_keys(cases, ["case_id"]) is None).select("case_id", "pos", F.col("load").cast("bigint"))
 
 
 @query("step_durations", "W3", LOG + "SELECT case_id, pos, activity, duration FROM steps")
@@ -79,7 +81,6 @@ def _(spark, folder):
   row_number() OVER (PARTITION BY activity ORDER BY ts DESC, event_id DESC) AS rn FROM log) WHERE rn <= 25""")
 def _(spark, folder):
     from pyspark.sql import Window
-    from caseloom.sources.logs import load
     events = load(spark, folder, "events").select(
         F.col("event_type").alias("activity"), "event_id", F.struct("ts", "event_id").alias("at"))
     top = w.largest_keys(events, ["activity"], "at", 25)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import graph, temporal
+from caseloom.operators import graph, temporal, windows
 from caseloom.plans.models import join_model, split_join
 from caseloom.plans.ranks import clamped_percentile, order_statistics, value_ranks
 from caseloom.plans.slices import neighbours, positions, running, running_dense
@@ -197,3 +197,15 @@ def test_pairwise_gaps_with_an_activity_named_as_the_start(make_log):
     found = {(r["before"], r["after"]): (r["n"], r["mean"], r["mean_distance"]) for r in temporal.pairwise_gaps(log).collect()}
     assert found == {("a", "_Start"): (1, 1.0, 1.0), ("a", "a"): (1, 3.0, 2.0), ("_Start", "a"): (3, 5 / 3, 1.0),
                      ("_Start", "_Start"): (2, 0.5, 1.0)}
+
+
+def test_active_case_load_of_whole_cases(spark, make_log):
+    """Cases that fit into a window give the same load with fewer rows shuffled."""
+    log = make_log({f"{c}": [("a", 7 * c + 1000 * i) for i in range(4)] for c in range(300)})
+    log = log.repartition(4).localCheckpoint()
+    loads, rows = [{}, {}], []
+    for whole in (False, True):
+        rows.append(shuffled_rows(spark, lambda: loads[whole].update({(r.case_id, r.pos): r.load for r in windows.active_case_load(
+            log, whole).collect()})))
+    assert loads[0] == loads[1] and len(loads[0]) == 1200
+    assert rows[1] < rows[0]
