@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from caseloom.functions.maths import epoch_ms, normal_cdf, normal_pdf
 from caseloom.functions.special import beta_cdf, gamma_cdf
 from caseloom.operators.aggs import case_durations, forecast_eval
-from caseloom.operators.filters import sort_cases
+from caseloom.operators.filters import number_cases
 from caseloom.operators.joins import last_observation
 from caseloom.operators.windows import lookup_ranks, sample_rank
 from caseloom.plans.fingerprint import element_hashes
-from caseloom.plans.lineage import stored
+from caseloom.plans.lineage import reusable, stored
 from caseloom.plans.models import join_model, split_join
 from caseloom.plans.ranks import value_ranks
 from caseloom.plans.slices import attach_cases, positions, running_dense, running_in_case, with_case_values
 
 STATES = ("last", "set", "list", "bag")
+MEETING_ROWS = 100_000  # events of a task that copies each of them to the subsets that hold it
 
 
 def with_prefix_state(log: DataFrame, state: str) -> DataFrame:
@@ -154,22 +155,23 @@ def monitoring_points(log: DataFrame, n: int, keys: list[str] | None = None) ->
     ms = epoch_ms("ts")
     cases = log.groupBy(*keys, "case_id").agg(F.min_by(ms, "pos").alias("_t0"), F.max_by(ms, "pos").alias("_t1"),
                                               F.max("pos").alias("_n"))
+    return _points(cases, n, keys)
+
+
+def _points(cases: DataFrame, n: int, keys: list[str], *more: str) -> DataFrame:
+    """``monitoring_points`` of a table of cases with ``_t0, _t1, _n``, and ``more`` of its columns."""
     spread = cases.withColumn("_d", F.col("_t1") - F.col("_t0"))
     if keys:
         spread = spread.join(spread.groupBy(*keys).agg(F.avg("_d").alias("_mean")), keys)
     else:
         spread = spread.withColumn("_mean", spread.agg(F.avg("_d")).scalar())
     period = F.floor(F.col("_mean") * 2 / n).cast("bigint")
-    grid = spread.where("_n >= 2").select(*keys, "case_id", "_t0", "_t1", period.alias("_p"),
+    grid = spread.where("_n >= 2").select(*keys, "case_id", *more, "_t0", "_t1", period.alias("_p"),
                                           F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     at = F.col("_t0") + F.col("i") * F.col("_p")
     return grid.where(F.col("_t1") - at >= 0).select(
-        *keys, "case_id", "i", at.alias("at_ms"), (at - F.col("_t0")).alias("elapsed"), (F.col("_t1") - at).alias("remaining"))
-
-
-def fold_cases(log: DataFrame, k: int) -> DataFrame:
-    """``case_id, n_events, fold`` by place in case order modulo k."""
-    return sort_cases(log).select("case_id", "n_events", ((F.col("case_index") - 1) % k).cast("int").alias("fold"))
+        *keys, "case_id", "i", at.alias("at_ms"), (at - F.col("_t0")).alias("elapsed"), (F.col("_t1") - at).alias("remaining"),
+        *more)
 
 
 def compare_predictors(log: DataFrame, k: int, n: int, study: str | None = None) -> DataFrame:
@@ -182,12 +184,17 @@ def compare_predictors(log: DataFrame, k: int, n: int, study: str | None = None)
     """
     keys = [study] if study else []
     base = ["case_id", "pos", "activity", "ts", *keys]
-    folded = stored(attach_cases(log, fold_cases(log, k), "n_events").select(*base, "fold"))
-    probes = stored(monitoring_points(folded, n, keys).join(
-        folded.where("pos = 1").select("case_id", "fold"), "case_id"))
-
-    durations = folded.groupBy(*keys, "fold", "case_id").agg(
-        (F.max_by(epoch_ms("ts"), "pos") - F.min_by(epoch_ms("ts"), "pos")).alias("duration"))
+    log, ms = reusable(log.select(*base)), epoch_ms("ts")
+    # one row per case, with all that is asked of its ends
+    ends = number_cases(log.groupBy("case_id", *keys).agg(
+        F.min_by("ts", "pos").alias("start"), F.max("pos").alias("n_events"), F.min_by(ms, "pos").alias("_t0"),
+        F.max_by(ms, "pos").alias("_t1")))
+    cases = stored(ends.withColumn("fold", ((F.col("case_index") - 1) % k).cast("int")).drop("start", "case_index"))
+    folded = stored(attach_cases(log, cases.drop(*keys), "n_events").select(
+        *base, "fold", (F.col("_t1") - ms).alias("remaining")))
+    probes = stored(_points(cases.withColumnRenamed("n_events", "_n"), n, keys, "fold"))
+
+    durations = cases.select(*keys, "fold", (F.col("_t1") - F.col("_t0")).alias("duration"))
     fold_sums = durations.groupBy(*keys, "fold").agg(F.sum("duration").alias("_fs"), F.count(F.lit(1)).alias("_fn"))
     whole = Window.partitionBy(*(keys or [F.lit(0)]))  # k rows per study
     sums = fold_sums.withColumns({"_s": F.sum("_fs").over(whole), "_n": F.sum("_fn").over(whole)})
@@ -199,7 +206,7 @@ def compare_predictors(log: DataFrame, k: int, n: int, study: str | None = None)
                                 asked, ["case_id"], "activity", ["pos"], inclusive=True)
     at_state = at_state.withColumnRenamed("observed", "state")
 
-    seen = remaining_times(folded).groupBy(*keys, F.col("activity").alias("state"), "fold").agg(
+    seen = folded.groupBy(*keys, F.col("activity").alias("state"), "fold").agg(
         F.sum("remaining").alias("_fs"), F.count(F.lit(1)).alias("_fn"))
     whole = seen.groupBy(*keys, "state").agg(F.sum("_fs").alias("_s"), F.sum("_fn").alias("_n"))
     grid = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -251,7 +258,9 @@ def subset_study(log: DataFrame, mandatory: list[str], optional: list[str], size
                     sorted(holding), F.when(F.lit(False), F.array(F.lit("")))) if holding else None
     if tagged is None:
         raise ValueError("no subsets to study")
-    copies = log.withColumn("subset", F.explode(tagged)).withColumns({
-        "case_id": F.concat_ws("#", "subset", "case_id"), "_was": F.col("pos")}).drop("pos")
-    dense = positions(copies, ["case_id"], ["_was"], "pos")
-    return compare_predictors(stored(dense.select("case_id", "pos", "activity", "ts", "subset")), folds, points, "subset")
+    log = reusable(log.select("case_id", "pos", "activity", "ts"))
+    dealt = log.repartition(max(1, -(-log.count() // MEETING_ROWS)), "case_id")  # copies are made where their case is numbered
+    copies = dealt.withColumnRenamed("pos", "_was").withColumn("subset", F.explode(tagged))
+    dense = positions(copies, ["case_id", "subset"], ["_was"], "pos", log.select("case_id", F.lit("").alias("subset")))
+    named = dense.withColumn("case_id", F.concat_ws("#", "subset", "case_id"))
+    return compare_predictors(stored(named.select("case_id", "pos", "activity", "ts", "subset")), folds, points, "subset")
