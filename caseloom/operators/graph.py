@@ -43,9 +43,10 @@ def path_distances(edges: DataFrame, source: str, longest: bool = False, max_rou
             (F.col("_new").isNotNull() & (F.col("distance").isNull() | (F.col("_new") < F.col("distance")))).alias("_moved")))
         known = merged.select("node", "distance")
         changed = merged.where("_moved").select("node", "distance")
-        if changed.isEmpty():
+        moved, nodes = merged.agg(F.count_if("_moved"), F.count(F.lit(1))).first()
+        if not moved:
             return known.select("node", (F.col("distance") * sign).alias("distance"))
-        if rounds >= known.count():
+        if rounds >= nodes:
             break
     raise ValueError("distances keep improving: the graph has a cycle of negative (or, for longest, positive) weight")
 
