@@ -307,6 +307,37 @@ def test_shared_passages(spark, odd, none):
     assert chaining.shared_passages(none).count() == 0
 
 
+def test_chains_are_aligned_without_shuffling_texts(spark, monkeypatch):
+    """However many chains there are, blocks of hashes go to them, not the texts."""
+    from caseloom.llm import common
+    monkeypatch.setattr(common, "FEW_ENTRIES", 0)
+    rnd = random.Random(5)
+    word = lambda: rnd.randbytes(100).hex()
+    passage = [word() for _ in range(80)]
+    texts = [[word() for _ in range(150)] + passage, passage + [word() for _ in range(150)],
+             *([word() for _ in range(230)] for _ in range(20))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row_id bigint, _text string")
+    chained = spark.createDataFrame([(1, 0, 1, [160, 200], [10, 50])],
+                                    "chain bigint, row_id bigint, other bigint, pos array<int>, at array<int>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages, n = store.stageList(None, False, False, none, None).iterator(), 0
+        while stages.hasNext():
+            n += stages.next().shuffleWriteBytes()
+        return n
+
+    before, threshold = shuffled(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        found = {tuple(r) for r in chaining.aligned(chained, docs, chaining.SEED, 50, 0.8).collect()}
+    finally:
+        spark.conf.unset(threshold)
+    assert found == {(0, 150, 230, 1), (1, 0, 80, 0)}
+    assert shuffled() - before < sum(len(" ".join(t)) for t in texts) / 10
+
+
 def test_passages_on_both_sides_of_a_gap(spark):
     """Pairs of documents with an exact header and footer and other words between."""
     rnd = random.Random(13)
