@@ -771,3 +771,28 @@ def test_kernel_density_is_summed_once_per_value(tiny, monkeypatch):
         else:
             assert r["density"] == pytest.approx(sum(w * math.exp(-0.5 * ((r["duration"] - c) / h) ** 2) for c, w in listed[
                 r["activity"]]) / (n * h * math.sqrt(2 * math.pi)))
+
+
+def test_shapes_meet_on_their_order(spark, make_log, monkeypatch):
+    """Cases with the same activities in another order are not compared."""
+    from itertools import permutations
+    from caseloom.operators import curves
+    cases = {"".join(p): [(a, 100 * i) for i, a in enumerate(p)] for p in permutations("ABCD")}
+    cases |= {"short": [("A", 0), ("B", 100), ("D", 300)], "other": [("A", 0), ("B", 100), ("D", 200), ("D", 300)]}
+    compared, warped = [], curves._warped
+    monkeypatch.setattr(curves, "_warped", lambda pairs, t: (compared.append(pairs.count()), warped(pairs, t))[1])
+    found = {(r["left"], r["right"], r["distance"]) for r in curves.similar_cases(make_log(cases), 1).collect()}
+    assert {x for x in found if x[2]} == {("ABCD", "short", 1), ("ACBD", "short", 1), ("other", "short", 1)}
+    assert max(compared) <= 20  # 276 pairs share their bag
+
+
+def test_curves_are_the_same_by_case_and_by_point(spark, make_log, tiny):
+    """Cases that are gathered and cases that are told from ``active_points``; times may be missing or out of order."""
+    from caseloom.operators import curves
+    rng = random.Random(8)
+    cases = {f"c{k:02d}": [(rng.choice("ABC"), rng.choice([0, 5, 10, 700, 1000])) for _ in range(rng.randint(1, 7))] for k in range(40)}
+    log = make_log(cases).withColumn("ts", F.when(F.hash("case_id", "pos") % 5 != 0, F.col("ts")))
+    log = log.union(make_log({"gone": [("A", 1)]}).withColumn("ts", F.lit(None).cast("timestamp")))
+    one, two, mixed = ({(r["case_id"], str(r["sets"]), tuple(r["lengths"])) for r in c.collect()} for c in (
+        curves.case_events(log), curves.curves_of_points(*windows.active_points(log)), curves.log_curves(log)))
+    assert one == two == mixed and len(one) == 41
