@@ -380,3 +380,45 @@ def test_digest_columns_of_the_queries(spark):
     want = brute.without_repeats([docs[n] for n in sorted(docs)], 200)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op9_suffix"](spark, folder).collect()}
     assert got == {n: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for n, w in zip(sorted(docs), want)}
+
+
+def test_all_holders_of_a_seed_are_compared(spark):
+    """A passage whose halves stand in other documents too, which come before and after; and one of many documents, some of
+    which share more than the others."""
+    rnd = random.Random(15)
+    words = [f"w{i}" for i in range(50_000)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    one, two, line, more = some(30), some(30), some(30), some(60)
+    held = {1: one, 9: one, 5: one + two, 6: one + two, 2: two, 8: two, 4: line + more, 11: line + more}
+    docs = {k: " ".join(some(60) + held.get(k, line if k > 11 else []) + some(60)) for k in range(1, 40)}
+    rows = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(
+        list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert {k: r.partner_id for k, r in rows.items() if r.n_spans} == {5: 6, 6: 5, 4: 11, 11: 4}
+    for k in (5, 6, 4, 11):
+        text = " ".join(held[k])
+        at = docs[k].index(text)
+        assert abs(rows[k].starts[0] - at) < 25 and abs(rows[k].stops[0] - at - len(text)) < 25
+
+
+def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch):
+    """Every pair with two seeds in common has all its links, whatever its commonest seeds are and however it is dealt."""
+    monkeypatch.setattr(chaining, "BLOCK", 3)
+    rnd = random.Random(16)
+    held = {d: {p * 3: rnd.choice([0, 0, 0, 1, 1, 2, *range(3, 30)]) for p in range(rnd.randint(1, 6))} for d in range(40)}
+    seeds = spark.createDataFrame([(h, d, p) for d, places in held.items() for p, h in places.items()],
+                                  "h bigint, row_id bigint, pos int")
+    found = {}
+    for r in chaining.links_of(seeds, 12).collect():
+        found.setdefault((r.row_id, r.other), set()).add((r.pos, r.at))
+    n = 0
+    for a in held:
+        for b in held:
+            if a >= b:
+                continue
+            want = {(p, q) for p, h in held[a].items() for q, g in held[b].items() if h == g}
+            some = [h for h in set(held[a].values()) if min(sum(g == h for g in x.values()) for x in (held[a], held[b])) > 2]
+            if some or len({held[a][p] for p, _ in want}) < 2:  # linked in order; one seed in common
+                continue
+            n += 1
+            assert found[a, b] == want
+    assert n > 40
